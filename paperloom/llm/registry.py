@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["query_exact_dedup"]
+MODULES = ["query_secret_scan", "query_exact_dedup"]
 
 
 def _each():
