@@ -85,3 +85,12 @@ def stream(uri: str):
 def finish(part: str, uri: str) -> None:
     filesystem, path = _filesystem(part)
     filesystem.move(path, _filesystem(uri)[1])
+
+
+def listed(uri: str) -> list[str]:
+    """URIs of the files of a folder of the shared one, in the order of their names."""
+    from pyarrow import fs
+
+    filesystem, path = _filesystem(uri)
+    names = [x.base_name for x in filesystem.get_file_info(fs.FileSelector(path)) if x.is_file]
+    return [f"{uri}/{name}" for name in sorted(names) if not name.endswith(".part")]
