@@ -21,7 +21,8 @@ SPACE, LETTER, NUMBER, OTHER, EDGE = 0, 1, 2, 3, 9
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: White space as Unicode has it.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
+TABLE_BITS = 19
 
 
 @lru_cache(1)
@@ -103,9 +104,39 @@ class Vocabulary:
             self.byte_ids[b] = vocab[c]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in read["model"]["merges"]]
         keys = np.array([(vocab[a] << 24) | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        # Ranks by pair in an open hash table: the slot after a taken one, and so on.
+        self.table, self.ranks = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros(1 << TABLE_BITS, np.int32)
+        rank, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(rank):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.table[slot[first]] == -1]
+            self.table[slot[first]], self.ranks[slot[first]] = keys[rank[first]], rank[first]
+            left = np.ones(len(rank), bool)
+            left[first] = False
+            rank, slot = rank[left], (slot[left] + 1) & (len(self.table) - 1)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        spread = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def rank_of(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the number of merges for a pair that has none."""
+        none = np.int32(len(self.merged))
+        slot = self._slot(keys)
+        held = self.table[slot]
+        out = np.where(held == keys, self.ranks[slot], none)
+        open_ = np.flatnonzero((held != keys) & (held != -1))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & (len(self.table) - 1)
+            held = self.table[slot]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.ranks[slot[hit]]
+            more = ~hit & (held != -1)
+            open_, slot = open_[more], slot[more]
+        return out
 
     def merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the byte ranges end to end, and the offsets of each: lowest rank first, all words at once."""
@@ -115,12 +146,10 @@ class Vocabulary:
         symbols = self.byte_ids[data[at]]
         word = np.repeat(np.arange(len(starts)), lengths)
         done_symbols, done_word = [], []
-        none = np.int32(len(self.keys))
+        none = np.int32(len(self.merged))
         while len(symbols):
             pair = (symbols[:-1].astype(np.int64) << 24) | symbols[1:]
-            slot = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where((self.keys[slot] == pair) & (word[:-1] == word[1:]), self.ranks[slot], none)
-            rank = np.append(rank, none)
+            rank = np.append(np.where(word[:-1] == word[1:], self.rank_of(pair), none), none)
             heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             counts = np.diff(np.append(heads, len(word)))
             least = np.repeat(np.minimum.reduceat(rank, heads), counts)
