@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["query_packing", "query_lm", "query_secret_scan", "query_bpe", "query_exact_dedup", "query_warc", "query_topk"]
+MODULES = [
+    "query_packing", "query_lm", "query_toxicity", "query_secret_scan", "query_bpe", "query_exact_dedup", "query_warc",
+    "query_jaccard", "query_topk",
+]
 
 
 def _each():
