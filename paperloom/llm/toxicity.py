@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text (bytes other than white space and ASCII punctuation, A-Z lower-cased) and
-their first 4, 5 and 6 bytes, hashed to `1 << SLOT_BITS` slots; a text either has a term or not. The
+their first 4, 5, 6 and 8 bytes, hashed to `1 << SLOT_BITS` slots; a text either has a term or not. The
 machine adds a bias, a weight for each term and, for each pair of terms, the product of their factor
 vectors, so that two terms can count together for more (or less) than each alone.
 
@@ -33,8 +33,8 @@ MAX_TRAIN = 40_000
 MAX_TERMS = 1024
 FACTORS = 8
 EPOCHS = 12
-LEAST_STEPS = 2500
-PREFIXES = (4, 5, 6)
+LEAST_STEPS = 800
+PREFIXES = (4, 5, 6, 8)
 THRESHOLD = 0.3
 
 #: Bytes of terms: white space and ASCII punctuation separate them.
