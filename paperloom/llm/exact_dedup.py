@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.columns import free
+
 PREFIX_CHARS = 256
 FILTER_BITS = 1 << 22
 
@@ -99,14 +101,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat both id and text count as one document: one of them stays. A row whose id is
     null stays only if no row with an id has its text.
     """
-    found = duplicate_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept", "group_size", "full_hash")
+    key, full, kept_name = free(docs, "_id", "_hash", "_kept")
+    found = duplicate_groups(docs, id_col, text_col)
+    found = found.select(F.col(id_col).alias(key), F.col("full_hash").alias(full), F.col("kept").alias(kept_name))
     # Rows of a repeated id can differ in text, so the text's hash is part of the key.
-    lost = found.where("not kept").select("_id", "full_hash").distinct()
-    again = found.where("kept").groupBy("_id", "full_hash").count().where("count > 1").select("_id", "full_hash")
+    lost = found.where(~F.col(kept_name)).select(key, full).distinct()
+    again = found.where(kept_name).groupBy(key, full).count().where("count > 1").select(key, full)
     body = F.coalesce(F.col(text_col), F.lit(""))
 
     def same(other: DataFrame):
-        return docs[id_col].eqNullSafe(other["_id"]) & (F.sha2(body, 256) == other["full_hash"])
+        return docs[id_col].eqNullSafe(other[key]) & (F.sha2(body, 256) == other[full])
 
     kept = docs.join(lost, same(lost), "left_anti")
     repeats = kept.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col])

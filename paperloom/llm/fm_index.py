@@ -68,6 +68,8 @@ class FMIndex:
         previous = np.where(before >= first[self.order], self.code[np.maximum(before, 0)], 0)
         self.matrix = WaveletMatrix(previous)
         self.heads = np.concatenate([[0], np.cumsum(np.bincount(self.code, minlength=sigma))])
+        # Suffixes of one symbol stand first among those that begin with it, and no suffix follows them.
+        self.ended = np.bincount(self.code[place + stride > last], minlength=sigma)
 
     def matching(self, positions: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """For the pattern of `depth` symbols at each position: how many of its last symbols occur, as a
@@ -81,7 +83,8 @@ class FMIndex:
             if step:
                 symbol = self.code[positions[live] + (self.depth - 1 - step) * self.stride]
                 low, high = self.matrix.rank(symbol, low, high)
-                low, high = low + self.heads[symbol], high + self.heads[symbol]
+                begin = self.heads[symbol] + self.ended[symbol]
+                low, high = low + begin, high + begin
             often = high - low >= least
             live, low, high = live[often], low[often], high[often]
             matched[live] += 1

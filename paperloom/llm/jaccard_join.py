@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import packed, shared, sorted_store, words
+from paperloom.llm.columns import free
 from paperloom.llm.components import components
 
 DF_BITS = 48
@@ -283,8 +284,22 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id",
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id. Ids must be distinct;
-    rows with a null id stay."""
-    found = link(docs, k, percent, id_col, text_col)
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost"))
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    """The rows of docs that stay: of each component the one with the smallest id, with all its columns.
+
+    Rows of one id with different texts are told apart; rows that repeat id and text count as one, of
+    which one stays; a row without an id stays only if no row with an id is in its component.
+    """
+
+    def key() -> Column:
+        tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+        return F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), tag.alias("tag"))
+
+    own, named = free(docs, "_own", "_named")
+    keyed = docs.select(key().alias(own), F.col(text_col).alias("body"))
+    found = link(keyed, k, percent, own, "body").select(own, F.col("component_id").alias(named))
+    found = shared.written(found, "near-duplicates")
+    lost = found.where(F.col(own) != F.col(named)).select(own).distinct()
+    again = found.groupBy(own).count().where("count > 1").select(own)
+    kept = docs.withColumn(own, key()).join(lost, own, "left_anti")
+    repeats = kept.join(again, own, "left_semi").dropDuplicates([own])
+    return kept.join(again, own, "left_anti").unionByName(repeats).select(docs.columns)

@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm import shared, sorted_store, words
+from paperloom.llm import packed, shared, sorted_store, words
 
 END = np.uint64(0x5E5E5E5E5E5E5E5F)
-FLUSH = 3_000_000
 UNIGRAM = (("count", np.int64),)
 BIGRAM = (("count", np.uint32),)
 RANGES = {"n1": np.uint32, "n2": np.uint32, "n3": np.uint32, "total": np.int64, "before": np.uint32}
@@ -55,41 +54,11 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
-def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts[:0]
-
-
-class _Counter:
-    """Counts of 64-bit keys, given out when they are many."""
-
-    def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
-
-    def add(self, keys: np.ndarray) -> bool:
-        keys, counts = np.unique(keys, return_counts=True)
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.size += len(keys)
-        if self.size > FLUSH and len(self.keys) > 1:
-            keys, counts = _merged(np.concatenate(self.keys), np.concatenate(self.counts))
-            self.keys, self.counts, self.size = [keys], [counts], len(keys)
-        return self.size > FLUSH * 2 // 3
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate(self.keys) if self.keys else np.empty(0, np.int64)
-        counts = np.concatenate(self.counts) if self.keys else np.empty(0, np.int64)
-        self.keys, self.counts, self.size = [], [], 0
-        return _merged(keys, counts)
-
-
 def _count_words(texts: DataFrame, target: str, bits: int) -> tuple[int, int]:
     """Write the word store; tokens and types."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counter()
+        held = packed.Counter()
 
         def out():
             h, n = held.take()
@@ -107,7 +76,7 @@ def _count_words(texts: DataFrame, target: str, bits: int) -> tuple[int, int]:
         yield from out()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, parts in _by_key(batches):
+        for bucket, parts in packed.by_key(batches):
             h = np.concatenate([x[1].to_numpy() for x in parts]).view(np.uint64) ^ np.uint64(1 << 63)
             n = np.concatenate([x[2].to_numpy() for x in parts])
             sorted_store.save(target, "hash", bucket, h)
@@ -120,46 +89,6 @@ def _count_words(texts: DataFrame, target: str, bits: int) -> tuple[int, int]:
     return total[0] or 0, total[1] or 0
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[pa.Array]]]]:
-    """Rows of each key of the first column, from batches sorted by it."""
-    now, held = None, []
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-        for start, stop in zip(edges[:-1], edges[1:], strict=True):
-            if start == stop:
-                continue
-            if now is not None and keys[start] != now:
-                yield int(now), held
-                held = []
-            now = keys[start]
-            held.append([c.slice(start, stop - start) for c in batch.columns])
-    if now is not None:
-        yield int(now), held
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as differences in the fewest whole bytes that hold them all, counts likewise."""
-    gaps = np.diff(keys, prepend=0)
-    return _narrow(gaps), _narrow(counts)
-
-
-def _narrow(values: np.ndarray) -> bytes:
-    """Non-negative numbers in as many byte planes as the largest needs; the first byte says how many."""
-    most = int(values.max()) if len(values) else 0
-    planes = max(1, (most.bit_length() + 7) // 8)
-    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return bytes([planes]) + np.ascontiguousarray(raw[:, :planes].T).tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    planes = data[0]
-    body = np.frombuffer(data, np.uint8, offset=1).reshape(planes, -1)
-    raw = np.zeros((body.shape[1], 8), np.uint8)
-    raw[:, :planes] = body.T
-    return raw.view("<i8").ravel()
-
-
 def _ids(store: sorted_store.Store, h: np.ndarray) -> np.ndarray:
     distinct, inverse = np.unique(h, return_inverse=True)
     return store.find(distinct)[0][inverse]
@@ -176,7 +105,7 @@ def _count_pairs(texts: DataFrame, unigrams: str, bigrams: str, contexts: str, b
     """Write the pair store and the context arrays; rows (kind, value, how many) of counts of counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, held = sorted_store.opened(unigrams, bits, UNIGRAM), _Counter()
+        store, held = sorted_store.opened(unigrams, bits, UNIGRAM), packed.Counter()
         end = int(store.find(np.array([END]))[0][0])
 
         def out():
@@ -187,7 +116,7 @@ def _count_pairs(texts: DataFrame, unigrams: str, bigrams: str, contexts: str, b
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for start, stop in zip(edges[:-1], edges[1:], strict=True):
                 if stop > start:
-                    a, b = _packed(keys[start:stop], n[start:stop])
+                    a, b = packed.narrow(np.diff(keys[start:stop], prepend=0)), packed.narrow(n[start:stop])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([bucket[start]], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["bucket", "pairs", "n"]
                     )
@@ -201,10 +130,10 @@ def _count_pairs(texts: DataFrame, unigrams: str, bigrams: str, contexts: str, b
         yield from out()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, parts in _by_key(batches):
-            keys = np.concatenate([np.cumsum(_wide(x)) for p in parts for x in p[1].to_pylist()])
-            n = np.concatenate([_wide(x) for p in parts for x in p[2].to_pylist()])
-            keys, n = _merged(keys, n)
+        for bucket, parts in packed.by_key(batches):
+            keys = np.concatenate([np.cumsum(packed.wide(x)) for p in parts for x in p[1].to_pylist()])
+            n = np.concatenate([packed.wide(x) for p in parts for x in p[2].to_pylist()])
+            keys, n = packed.merged(keys, n)
             h = words.mix(keys.view(np.uint64))
             order = np.argsort(h)
             sorted_store.save(bigrams, "hash", bucket, h[order])
@@ -219,18 +148,18 @@ def _count_pairs(texts: DataFrame, unigrams: str, bigrams: str, contexts: str, b
             yield from _by_range(1, word, [before], span)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, parts in _by_key(batches):
+        for key, parts in packed.by_key(batches):
             if key < 0:
-                tops = np.sum([_wide(x) for p in parts for x in p[2].to_pylist()], axis=0)
-                pairs = sum(int(_wide(x)[0]) for p in parts for x in p[3].to_pylist())
+                tops = np.sum([packed.wide(x) for p in parts for x in p[2].to_pylist()], axis=0)
+                pairs = sum(int(packed.wide(x)[0]) for p in parts for x in p[3].to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([tops.tolist()], pa.list_(pa.int64())), pa.array([pairs])], ["kind", "tops", "size"])
                 continue
             size = min(span, types - key * span)
             sums = {name: np.zeros(size, np.int64) for name in RANGES}
             for p in parts:
                 for kind, ids, values in zip(p[1].to_pylist(), p[2].to_pylist(), p[3].to_pylist(), strict=True):
-                    ids = np.cumsum(_wide(ids))
-                    values = _wide(values).reshape(-1, len(ids))
+                    ids = np.cumsum(packed.wide(ids))
+                    values = packed.wide(values).reshape(-1, len(ids))
                     for name, v in zip(["n1", "n2", "n3", "total"] if kind == 0 else ["before"], values, strict=True):
                         sums[name][ids] += v
             for name, dtype in RANGES.items():
@@ -244,7 +173,7 @@ def _count_pairs(texts: DataFrame, unigrams: str, bigrams: str, contexts: str, b
 
 
 def _row(part: int, kind: int, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([_narrow(ids)], pa.binary()), pa.array([_narrow(values)], pa.binary())]
+    arrays = [pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([packed.narrow(ids)], pa.binary()), pa.array([packed.narrow(values)], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, ["part", "kind", "ids", "data"])
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import packed, shared, sorted_store, words
+from paperloom.llm.columns import free
 from paperloom.llm.fm_index import FMIndex
 
 WINDOW, ANCHOR, SYMBOL = 20, 4, 10
@@ -109,13 +110,16 @@ def _count_anchors(texts: DataFrame, window: int, anchor: int, target: str, bits
 def _later(group: np.ndarray, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which windows of equal group stand later: not in the smallest id, or not first in their document."""
     order = np.lexsort((starts, tags, ids, group))
-    g, i, t = group[order], ids[order], tags[order]
+    g, i, t, s = group[order], ids[order], tags[order], starts[order]
     new_group = np.concatenate([[True], g[1:] != g[:-1]])
-    heads = np.flatnonzero(new_group)
-    smallest = np.repeat(i[heads], np.diff(np.append(heads, len(g))))
-    again = ~new_group & np.concatenate([[False], (i[1:] == i[:-1]) & (t[1:] == t[:-1])])
+    new_doc = new_group | np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
+
+    def first(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+        heads = np.flatnonzero(new)
+        return np.repeat(values[heads], np.diff(np.append(heads, len(values))))
+
     out = np.empty(len(group), bool)
-    out[order] = again | (i != smallest)
+    out[order] = (s > first(s, new_doc)) | (i != first(i, new_group))
     return out
 
 
@@ -243,11 +247,13 @@ def repeated_spans(
     return found.groupBy("id", "tag").agg(F.sort_array(F.collect_list(pair)).alias("spans"))
 
 
-def _applied(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with a column `_spans`."""
-    named = spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    same = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_tag"))
-    return docs.join(named, same, "left").drop("_id", "_tag")
+def _applied(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a further column of spans, and that column's name."""
+    key, tag, name = free(docs, "_id", "_tag", "_spans")
+    named = spans.select(F.col("id").alias(key), F.col("tag").alias(tag), F.col("spans").alias(name))
+    same_id = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == named[key]
+    same_text = F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == named[tag]
+    return docs.join(named, same_id & same_text, "left"), name
 
 
 def kept_words(text: str | None, spans) -> tuple[list[bytes], int]:
@@ -272,13 +278,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return pd.Series([x if s is None or not len(s) else b" ".join(kept_words(x, s)[0]).decode() for x, s in zip(text, spans, strict=True)], dtype=object)
 
-    joined = _applied(docs, repeated_spans(docs, id_col, text_col, window), id_col, text_col)
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).select(docs.columns)
+    joined, name = _applied(docs, repeated_spans(docs, id_col, text_col, window), id_col, text_col)
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col(name))).select(docs.columns)
 
 
 def digests(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of every row of docs."""
-    joined = _applied(docs.select(id_col, text_col), spans, id_col, text_col).select(id_col, text_col, "_spans")
+    joined, name = _applied(docs.select(id_col, text_col), spans, id_col, text_col)
+    joined = joined.select(id_col, text_col, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

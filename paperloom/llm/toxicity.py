@@ -141,7 +141,8 @@ def fit(
     """Fit on labels joined to the texts of docs."""
     sample = _sample(labels, id_col, label_col, max_train)
     # At most max_train rows of two numbers: the size of the broadcast is bounded.
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["label_id"]).select(F.col(text_col).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), F.col("text_id") == F.col("label_id")).select("text", "label")
     totals = {row.label: row.n for row in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = Model(totals.get(1, 0) / max(1, sum(totals.values())), np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, factors)))
     if len(totals) < 2:
