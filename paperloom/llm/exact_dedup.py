@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm import shared
 from paperloom.llm.columns import free
 
 PREFIX_CHARS = 256
@@ -103,7 +104,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     key, full, kept_name = free(docs, "_id", "_hash", "_kept")
     found = duplicate_groups(docs, id_col, text_col)
-    found = found.select(F.col(id_col).alias(key), F.col("full_hash").alias(full), F.col("kept").alias(kept_name))
+    found = found.where("full_hash is not null")  # the others are alone
+    found = shared.written(found.select(F.col(id_col).alias(key), F.col("full_hash").alias(full), F.col("kept").alias(kept_name)), "exact-groups")
     # Rows of a repeated id can differ in text, so the text's hash is part of the key.
     lost = found.where(~F.col(kept_name)).select(key, full).distinct()
     again = found.where(kept_name).groupBy(key, full).count().where("count > 1").select(key, full)

@@ -164,7 +164,8 @@ def fit(
     x = np.zeros((marked.num_rows, len(slots)), bool)
     x[np.repeat(np.arange(marked.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
     y = marked.column("label").to_numpy().astype(np.float64)
-    order = np.lexsort((y, *(x.sum(axis=1), x @ np.arange(1, len(slots) + 1))))  # the same at every run
+    marks = np.bincount(np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy() + 1.0, len(y))
+    order = np.lexsort((y, x.sum(axis=1), marks))  # the same at every run
     bias, weights, vectors = _fitted(x[order], y[order], factors, epochs)
     return Model(none.prior, slots, bias, weights, vectors)
 
