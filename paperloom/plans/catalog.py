@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,16 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
+def _load() -> None:
+    for name in ("rule_queries", "analytics_queries", "case_queries", "document_queries", "template_queries"):
+        importlib.import_module(f"paperloom.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
