@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MASK = (1 << 64) - 1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -91,7 +91,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         return np.empty(0, np.uint64)
     up, down = _power_table(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up[:-1], out=total[1:])
+    codes = _BYTE_CODE[data]
+    codes *= up[:-1]
+    np.cumsum(codes, out=total[1:])
+    del codes
     return mix((total[ends] - total[starts]) * down[starts])
 
 
