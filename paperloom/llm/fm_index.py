@@ -49,13 +49,13 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray, last: np.ndarray, stride: int, depth: int):
         distinct, code = np.unique(symbols, return_inverse=True)
-        self.code, self.stride, self.depth = (code + 1).astype(np.int64), stride, depth  # 0: no symbol
+        self.code, self.stride, self.depth = (code + 1).astype(np.int32), stride, depth  # 0: no symbol
         n, sigma = len(symbols), len(distinct) + 1
         place = np.arange(n)
-        order_key, reach = self.code, stride
+        order_key, reach = self.code.astype(np.int64), stride
         for _ in range(depth - 1):
             follows = place + reach <= last
-            after = np.zeros(n, np.int64)
+            after = np.zeros(n, np.int32)
             after[follows] = self.code[place[follows] + reach]
             if int(order_key.max(initial=0)) >= (1 << 62) // sigma:
                 order_key = np.unique(order_key, return_inverse=True)[1] + 1

@@ -38,6 +38,7 @@ WINDOW, ANCHOR, SYMBOL = 20, 4, 10
 ANCHOR_BITS = 48
 WORD_BITS = 40
 FREQUENT = 64
+SHARD_BITS = 2  # shards are four times as many as stores have files: a task indexes one small shard after the other
 LAST_ID = (1 << 63) - 1
 COUNT = (("count", np.uint32),)
 
@@ -134,7 +135,7 @@ def _runs(which: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(which)]]) - 1
 
 
-def _send(docs: DataFrame, window: int, anchor: int, store_uri: str, bits: int, frequent: int) -> DataFrame:
+def _send(docs: DataFrame, window: int, anchor: int, store_uri: str, bits: int, shard_bits: int, frequent: int) -> DataFrame:
     """Stretches of windows that may repeat, by shard; kind 1: stretches already known to be later ones."""
     cut = np.uint64(64 - ANCHOR_BITS)
 
@@ -158,7 +159,7 @@ def _send(docs: DataFrame, window: int, anchor: int, store_uri: str, bits: int,
                 later = _later(own, ids[row], tags[row], starts)
                 known = starts[later], row[later]
                 a, b = _runs(*known)
-                yield from _batches(1, sorted_store.bucket_of(words.mix(tags[known[1][a]].view(np.uint64)), bits), ids[known[1][a]], tags[known[1][a]], known[0][a] - first[known[1][a]], known[0][b] - known[0][a] + 1, None)
+                yield from _batches(1, sorted_store.bucket_of(words.mix(tags[known[1][a]].view(np.uint64)), shard_bits), ids[known[1][a]], tags[known[1][a]], known[0][a] - first[known[1][a]], known[0][b] - known[0][a] + 1, None)
                 starts, row, place, count, own = (x[~later] for x in (starts, row, place, count, own))
                 often = count > frequent
                 a, b = _runs(starts, np.where(often, starts, place), row)
@@ -166,7 +167,7 @@ def _send(docs: DataFrame, window: int, anchor: int, store_uri: str, bits: int,
                 length = starts[b] - starts[a] + window
                 offsets = np.concatenate([[0], np.cumsum(length)])
                 at = np.repeat(starts[a] - offsets[:-1], length) + np.arange(offsets[-1])
-                yield from _batches(0, sorted_store.bucket_of(route, bits), ids[row[a]], tags[row[a]], starts[a] - first[row[a]], length, h[at] >> np.uint64(64 - WORD_BITS))
+                yield from _batches(0, sorted_store.bucket_of(route, shard_bits), ids[row[a]], tags[row[a]], starts[a] - first[row[a]], length, h[at] >> np.uint64(64 - WORD_BITS))
 
     return docs.mapInArrow(run, "shard int, kind int, ids binary, tags binary, starts binary, lengths binary, words binary")
 
@@ -241,7 +242,7 @@ def repeated_spans(
     tagged = _tagged(docs, id_col, text_col)
     store, bits = shared.folder(spark, "anchors"), sorted_store.bits_for(spark)
     _count_anchors(tagged.select("text"), window, anchor, store, bits)
-    sent = _send(tagged, window, anchor, store, bits, frequent).repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    sent = _send(tagged, window, anchor, store, bits, bits + SHARD_BITS, frequent).repartition(1 << bits, "shard").sortWithinPartitions("shard")
     found = _judge(sent, window, symbol)
     pair = F.struct(F.col("start"), (F.col("start") + F.col("length") + (window - 1)).alias("end"))
     return found.groupBy("id", "tag").agg(F.sort_array(F.collect_list(pair)).alias("spans"))
