@@ -119,7 +119,7 @@ def completeness_checks(spark, sf):
 
 @query("case_decision", COMPLETE + ", " + MONEY.replace("WITH s", "s") + """, conflict AS (SELECT case_id, coalesce(abs(total - t) <= 0.01, true) AS passed, 'review' AS severity FROM m),
 every AS (SELECT case_id, passed, severity FROM complete UNION ALL SELECT * FROM conflict)
-SELECT case_id, CASE WHEN count(*) FILTER (NOT passed AND severity = 'review') > 0 THEN 'needs_review' ELSE 'approve' END AS decision, 0.75 AS confidence,
+SELECT case_id, CASE WHEN count(*) FILTER (NOT passed AND severity = 'review') > 0 THEN 'needs_review' ELSE 'approve' END AS decision, 0.75::DOUBLE AS confidence,
        count(*) AS n_checks, count(*) FILTER (NOT passed) AS n_failed FROM every GROUP BY case_id""")
 def case_decision(spark, sf):
     cases, members, required = _case_parts(spark, sf)

@@ -122,19 +122,22 @@ def rule_equality_fuzzy(spark, sf):
 def _format(name: str, tab: str, key: str, value, value_sql: str, passed_sql: str):
     def run(spark, sf):
         codes = formats.country_codes(spark) if name == "iso_country" else None
-        return table(spark, sf, tab).select(key, formats.check(value, name, codes).alias("passed"))
+        return table(spark, sf, tab).select(key, formats.check(value(), name, codes).alias("passed"))
 
     query(f"rule_format_{name}", f"SELECT {key}, ({passed_sql}) AS passed FROM (SELECT *, {value_sql} AS v FROM {tab})")(run)
 
 
-_word = F.get(F.split("text", " "), 1)
+def _word():
+    return F.get(F.split("text", " "), 1)
+
+
 _format("email", "documents", "doc_id", _word, "string_split(text, ' ')[2]", r"regexp_full_match(trim(v), '[^@\s]+@[^@\s]+\.[^@\s]+')")
-_format("url", "pages", "page_id", F.col("url"), "url", r"regexp_full_match(trim(v), 'https?://\S+')")
-_format("digits", "orders", "o_orderkey", F.col("o_orderkey").cast("string"), "o_orderkey::VARCHAR", "regexp_full_match(v, '[0-9]+')")
-_format("alphanumeric", "orders", "o_orderkey", F.col("o_orderpriority"), "o_orderpriority", "regexp_full_match(trim(v), '[A-Za-z0-9]+')")
-_format("uuid", "orders", "o_orderkey", F.col("o_orderpriority"), "o_orderpriority", "regexp_full_match(trim(v), '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}')")
-_format("iso_currency", "nation", "n_nationkey", F.substring("n_name", 1, 3), "substr(n_name, 1, 3)", "upper(v) IN (" + ", ".join(f"'{c}'" for c in formats.CURRENCIES) + ")")
-_format("luhn", "orders", "o_orderkey", F.col("o_orderkey").cast("string"), "o_orderkey::VARCHAR", """length(v) >= 2 AND list_sum(list_transform(range(1, length(v) + 1),
+_format("url", "pages", "page_id", lambda: F.col("url"), "url", r"regexp_full_match(trim(v), 'https?://\S+')")
+_format("digits", "orders", "o_orderkey", lambda: F.col("o_orderkey").cast("string"), "o_orderkey::VARCHAR", "regexp_full_match(v, '[0-9]+')")
+_format("alphanumeric", "orders", "o_orderkey", lambda: F.col("o_orderpriority"), "o_orderpriority", "regexp_full_match(trim(v), '[A-Za-z0-9]+')")
+_format("uuid", "orders", "o_orderkey", lambda: F.col("o_orderpriority"), "o_orderpriority", "regexp_full_match(trim(v), '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}')")
+_format("iso_currency", "nation", "n_nationkey", lambda: F.substring("n_name", 1, 3), "substr(n_name, 1, 3)", "upper(v) IN (" + ", ".join(f"'{c}'" for c in formats.CURRENCIES) + ")")
+_format("luhn", "orders", "o_orderkey", lambda: F.col("o_orderkey").cast("string"), "o_orderkey::VARCHAR", """length(v) >= 2 AND list_sum(list_transform(range(1, length(v) + 1),
     lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(v), i, 1)::INT ELSE (2 * substr(reverse(v), i, 1)::INT) // 10 + (2 * substr(reverse(v), i, 1)::INT) % 10 END)) % 10 = 0""")
 
 
@@ -177,7 +180,7 @@ def uniqueness_history(spark, sf):
     return R.history(rows, "doc_id", "k", "is_decided").select("seq", "seen_before")
 
 
-@query("document_decisions", INVOICES + CHECKS + """ SELECT o_orderkey, decision, CASE WHEN decision = 'flag' THEN 0.9 ELSE 0.8 END AS confidence,
+@query("document_decisions", INVOICES + CHECKS + """ SELECT o_orderkey, decision, CASE WHEN decision = 'flag' THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS confidence,
     CASE WHEN decision = 'needs_review' THEN 'needs_review' ELSE 'decided' END AS status FROM decided""")
 def document_decisions(spark, sf):
     docs = R.decided(invoices(spark, sf), R.ruleset(P0, invoice_fields()), extraction=F.lit(0.8))
