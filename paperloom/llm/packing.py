@@ -4,7 +4,7 @@ Pieces of one length are exchangeable, so the packing is decided on how many pie
 at most `capacity` numbers, however large the corpus. For each bin the longest piece left opens it
 and a bitset subset-sum over the lengths still available finds the fullest feasible combination;
 the combination is then removed as often as the counts allow, which is what choosing it anew for
-bin after bin would do. Spark does the rest: tokens are counted in tasks, each piece gets its rank
+bin after bin would do. Short pieces may be held back for the slack that is left (see `combinations`). Spark does the rest: tokens are counted in tasks, each piece gets its rank
 among those of its length (ranks are dealt out over `lanes`, so one common length is no hot group)
 and the rank says which copy of which combination, and which place in it, the piece takes.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import bpe, shared, words
 
 LANES = 256
+RESERVES = (0, 4, 8, 16, 32, 64, 128, 256)
 
 
 def fullest(counts: dict[int, int], space: int) -> list[tuple[int, int]]:
@@ -49,8 +50,8 @@ def fullest(counts: dict[int, int], space: int) -> list[tuple[int, int]]:
     return sorted(chosen.items(), reverse=True)
 
 
-def combinations(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """(combination, number of bins) until nothing is left."""
+def _filled(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """(combination, number of bins) until nothing is left, each bin as full as it can be."""
     counts, out = {k: n for k, n in counts.items() if n}, []
     while counts:
         longest = max(counts)
@@ -66,6 +67,40 @@ def combinations(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple
     return out
 
 
+def combinations(counts: dict[int, int], capacity: int, reserves: tuple[int, ...] = RESERVES) -> list[tuple[list[tuple[int, int]], int]]:
+    """(combination, number of bins) until nothing is left.
+
+    Bins that are filled early use up the short pieces that later ones would need. So pieces up to a
+    reserve length are kept back and then put where they leave the least slack; what fits nowhere is
+    filled into bins of its own. Of several reserves the one with the fewest bins is taken.
+    """
+    plans = []
+    for reserve in reserves:
+        groups: dict[tuple, int] = {}
+        for made, copies in _filled({k: n for k, n in counts.items() if k > reserve}, capacity):
+            groups[tuple(made)] = groups.get(tuple(made), 0) + copies
+        left = {k: n for k, n in counts.items() if k <= reserve and n}
+        by_slack: dict[int, list[tuple]] = {}
+        for made in groups:
+            by_slack.setdefault(capacity - sum(k * n for k, n in made), []).append(made)
+        for length in sorted(left, reverse=True):
+            while left[length] and (fits := [s for s, held in by_slack.items() if s >= length and held]):
+                slack = min(fits)
+                made = by_slack[slack].pop()
+                copies = groups.pop(made)
+                used = min(copies, left[length])
+                left[length] -= used
+                pieces_ = dict(made)
+                pieces_[length] = pieces_.get(length, 0) + 1
+                for one, n in ((tuple(sorted(pieces_.items(), reverse=True)), used), (made, copies - used)):
+                    if n:
+                        if one not in groups:
+                            by_slack.setdefault(capacity - sum(k * m for k, m in one), []).append(one)
+                        groups[one] = groups.get(one, 0) + n
+        plans.append([(list(made), n) for made, n in groups.items()] + _filled(left, capacity))
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
 def places(plan: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, rank after the last, pieces in a bin, first bin, offset of the first piece)."""
     out, used, bins = [], {}, 0
