@@ -34,11 +34,11 @@ def regrounded_leaves(spark, sf):
     return W.regrounded(leaves, docs.select("doc_id", "text")).select("doc_id", "char_start", "confidence")
 
 
-@query("table_backfill", "SELECT n_regionkey AS doc_id, n_name AS \"desc\", n_nationkey::DOUBLE AS amount FROM nation")
+@query("table_backfill", "SELECT n_regionkey AS doc_id, n_name AS item, n_nationkey::DOUBLE AS amount FROM nation")
 def table_backfill(spark, sf):
     rows = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.array(F.col("n_name"), F.col("n_nationkey").cast("string")))).alias("rows"))
     page = rows.select(F.col("n_regionkey").alias("doc_id"), F.lit(1).alias("page"), D.markdown_rows(F.concat(F.array(F.array(F.lit("name"), F.lit("key"))), "rows")).alias("text"))
-    return W.backfilled_rows(D.markdown_tables(page)).select("doc_id", "desc", "amount")
+    return W.backfilled_rows(D.markdown_tables(page)).select("doc_id", F.col("desc").alias("item"), "amount")
 
 
 @query("engine_chain", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'mock' WHEN o_orderstatus = 'F' THEN 'F,vlm' ELSE 'vlm,O' END AS chain FROM orders")
