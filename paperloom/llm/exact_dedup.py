@@ -102,18 +102,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat both id and text count as one document: one of them stays. A row whose id is
     null stays only if no row with an id has its text.
     """
-    key, full, kept_name = free(docs, "_id", "_hash", "_kept")
-    found = duplicate_groups(docs, id_col, text_col)
-    found = found.where("full_hash is not null")  # the others are alone
-    found = shared.written(found.select(F.col(id_col).alias(key), F.col("full_hash").alias(full), F.col("kept").alias(kept_name)), "exact-groups")
-    # Rows of a repeated id can differ in text, so the text's hash is part of the key.
-    lost = found.where(~F.col(kept_name)).select(key, full).distinct()
-    again = found.where(kept_name).groupBy(key, full).count().where("count > 1").select(key, full)
+    key, full, many = free(docs, "_id", "_hash", "_many")
+    found = duplicate_groups(docs, id_col, text_col).where("full_hash is not null")  # the others are alone
+    # Rows of a repeated id can differ in text, so the text's hash is part of the key. A key stands for one
+    # row that goes, for several equal rows of which one stays, or is not needed.
+    rows = found.groupBy(F.col(id_col).alias(key), F.col("full_hash").alias(full)).agg(F.bool_and("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias(many))
+    told = shared.written(rows.where(~F.col("kept") | F.col(many)).select(key, full, "kept", many), "exact-groups")
     body = F.coalesce(F.col(text_col), F.lit(""))
 
     def same(other: DataFrame):
         return docs[id_col].eqNullSafe(other[key]) & (F.sha2(body, 256) == other[full])
 
+    lost = told.select(key, full)
     kept = docs.join(lost, same(lost), "left_anti")
-    repeats = kept.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, same(again), "left_anti").unionByName(repeats)
+    again = told.where("kept").select(key, full)
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col]))

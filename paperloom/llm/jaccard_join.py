@@ -297,9 +297,12 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "d
     own, named = free(docs, "_own", "_named")
     keyed = docs.select(key().alias(own), F.col(text_col).alias("body"))
     found = link(keyed, k, percent, own, "body").select(own, F.col("component_id").alias(named))
-    found = shared.written(found, "near-duplicates")
-    lost = found.where(F.col(own) != F.col(named)).select(own).distinct()
-    again = found.groupBy(own).count().where("count > 1").select(own)
-    kept = docs.withColumn(own, key()).join(lost, own, "left_anti")
-    repeats = kept.join(again, own, "left_semi").dropDuplicates([own])
-    return kept.join(again, own, "left_anti").unionByName(repeats).select(docs.columns)
+    rows = found.groupBy(own, named).agg(F.count(F.lit(1)).alias("n"))
+    stays = (F.col(own) == F.col(named)).alias("stays")
+    told = shared.written(rows.where((F.col(own) != F.col(named)) | (F.col("n") > 1)).select(own, stays), "near-duplicates")
+    marked = docs.withColumn(own, key())
+    kept = marked.join(told.select(own), own, "left_anti").select(docs.columns)
+    again = told.where("stays").select(own)
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(marked.join(again, own, "left_semi").dropDuplicates([own]).select(docs.columns))
