@@ -17,10 +17,10 @@ def latest(rows: DataFrame, by: str | list[str], at: str, tie: str) -> DataFrame
     """
     keys = [by] if isinstance(by, str) else by
     rest = [c for c in rows.columns if c not in keys]
-    # min_by wants the newest first: the tie is only looked at inside the newest time.
-    newest = rows.groupBy(*keys).agg(F.max(at).alias("_at"))
-    met = rows.join(newest, keys).where(F.col(at) == F.col("_at"))
-    return met.groupBy(*keys).agg(F.min_by(F.struct(*rest), tie).alias("_row")).select(*keys, "_row.*")
+    kind = dict(rows.dtypes)[at]
+    age = -F.unix_micros(F.col(at).cast("timestamp")) if kind.startswith(("timestamp", "date")) else -F.col(at)
+    found = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(age.alias("age"), F.col(tie).alias("tie"))).alias("_row"))
+    return found.select(*keys, "_row.*")
 
 
 def counts(rows: DataFrame, by: str) -> DataFrame:

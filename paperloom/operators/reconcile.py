@@ -30,15 +30,17 @@ def open_pile(leaves: DataFrame) -> DataFrame:
     return keyed.join(often.select("case_id", "field"), ["case_id", "field"], "left_semi").select("case_id", "field", "doc_id", "doc_ord", "ord", "value")
 
 
-def kinds(candidates: DataFrame) -> DataFrame:
-    """(case_id, field, field_kind): money if all values are numbers, date by name or by a value, else string."""
-    is_number = F.col("value.kind") == "number"
-    is_day = V.as_date(V.as_text(F.col("value"))).isNotNull()
-    known = candidates.groupBy("case_id", "field").agg(
-        F.bool_and(F.when(F.col("value").isNotNull(), is_number)).alias("numbers"), F.bool_or(is_day).alias("days")
-    )
-    kind = F.when(F.coalesce("numbers", F.lit(False)), "money").when(F.col("field").rlike(V.DATE_NAME) | F.coalesce("days", F.lit(False)), "date").otherwise("string")
-    return known.select("case_id", "field", kind.alias("field_kind"))
+def _gathered(candidates: DataFrame) -> DataFrame:
+    """(case_id, field, bag, field_kind): all candidates of a field in document order, from one shuffle.
+
+    The kind is money if all values are numbers, date by the field's name or by a value, else string.
+    """
+    listed = candidates.groupBy("case_id", "field").agg(F.sort_array(F.collect_list(F.struct("doc_ord", "ord", "doc_id", F.struct("value").alias("v")))).alias("bag"))
+    filled = F.filter("bag", lambda x: x["v"]["value"].isNotNull())
+    numbers = (F.size(filled) > 0) & F.forall(filled, lambda x: x["v"]["value"]["kind"] == "number")
+    days = F.exists(filled, lambda x: V.as_date(V.as_text(x["v"]["value"])).isNotNull())
+    kind = F.when(numbers, "money").when(F.col("field").rlike(V.DATE_NAME) | days, "date").otherwise("string")
+    return listed.select("case_id", "field", filled.alias("bag"), kind.alias("field_kind"))
 
 
 def agrees(kind: Column, a: Column, b: Column, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> Column:
@@ -55,29 +57,36 @@ def agrees(kind: Column, a: Column, b: Column, settings: Settings = DEFAULT, use
     return F.when(kind == "money", money).when(as_text, text).otherwise(days)
 
 
+def _compared(gathered: DataFrame, settings: Settings, use_fuzzy: bool) -> DataFrame:
+    """gathered, with one row for each pair of different values of different documents (one without a pair)."""
+    values = F.array_distinct(F.transform("bag", lambda x: F.struct(x["doc_ord"], x["doc_id"], x["v"])))
+    met = F.flatten(F.transform(values, lambda a: F.transform(
+        F.filter(values, lambda b: a["doc_ord"] < b["doc_ord"]),
+        lambda b: F.struct(a["doc_id"].alias("doc_a"), b["doc_id"].alias("doc_b"), a["v"]["value"].alias("a"), b["v"]["value"].alias("b")),
+    )))
+    rows = gathered.withColumn("pair", F.explode_outer(met))
+    return rows.withColumn("agree", agrees(F.col("field_kind"), F.col("pair.a"), F.col("pair.b"), settings, use_fuzzy))
+
+
 def pairs(candidates: DataFrame, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
     """(case_id, field, doc_a, doc_b, agree) for each pair of documents that fill a field."""
-    filled = candidates.where("value is not null").select("case_id", "field", "doc_id", "doc_ord", "value").distinct()
-    known = filled.join(kinds(candidates), ["case_id", "field"])
-    left = known.select("case_id", "field", "field_kind", F.col("doc_id").alias("doc_a"), F.col("doc_ord").alias("ord_a"), F.col("value").alias("value_a"))
-    right = filled.select("case_id", "field", F.col("doc_id").alias("doc_b"), F.col("doc_ord").alias("ord_b"), F.col("value").alias("value_b"))
-    met = left.join(right, ["case_id", "field"]).where("ord_a < ord_b")
-    return met.groupBy("case_id", "field", "doc_a", "doc_b").agg(F.bool_or(agrees(F.col("field_kind"), F.col("value_a"), F.col("value_b"), settings, use_fuzzy)).alias("agree"))
+    rows = _compared(_gathered(candidates), settings, use_fuzzy).where("pair is not null")
+    return rows.groupBy("case_id", "field", F.col("pair.doc_a").alias("doc_a"), F.col("pair.doc_b").alias("doc_b")).agg(F.bool_or("agree").alias("agree"))
 
 
 def reconciled(candidates: DataFrame, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
-    """(case_id, field, field_kind, value, docs, agreement): value is the first one in document order."""
-    place = F.struct("doc_ord", "ord")
-    filled = F.col("value").isNotNull()
-    fields = candidates.groupBy("case_id", "field").agg(
-        F.min_by(F.when(filled, F.col("value")), F.when(filled, place)).alias("value"),
-        F.count_distinct(F.when(filled, F.col("doc_id"))).alias("docs"),
-    )
-    all_agree = pairs(candidates, settings, use_fuzzy).groupBy("case_id", "field").agg(F.bool_and("agree").alias("agree"))
-    return (
-        fields.join(kinds(candidates), ["case_id", "field"]).join(all_agree, ["case_id", "field"], "left")
-        .select("case_id", "field", "field_kind", "value", "docs", F.coalesce("agree", F.lit(True)).alias("agreement"))
+    """(case_id, field, field_kind, value, docs, agreement): value is the first one in document order.
+
+    One scan and one shuffle: what follows groups by more keys than the rows are already dealt out by.
+    """
+    rows = _compared(_gathered(candidates), settings, use_fuzzy)
+    by_pair = rows.groupBy("case_id", "field", "pair.doc_a", "pair.doc_b").agg(
+        F.first("field_kind").alias("field_kind"), F.first("bag").alias("bag"),
+        F.bool_or(F.when(F.col("pair").isNull(), True).otherwise(F.col("agree"))).alias("agree"),
     )
+    whole = by_pair.groupBy("case_id", "field").agg(F.first("field_kind").alias("field_kind"), F.first("bag").alias("bag"), F.bool_and("agree").alias("agreement"))
+    docs = F.size(F.array_distinct(F.transform("bag", lambda x: x["doc_id"]))).cast("long")
+    return whole.select("case_id", "field", "field_kind", F.try_element_at("bag", F.lit(1))["v"]["value"].alias("value"), docs.alias("docs"), "agreement")
 
 
 def conflict_checks(fields: DataFrame) -> DataFrame:
