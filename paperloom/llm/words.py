@@ -6,14 +6,16 @@ a character. A word's hash is 64 bits wide and the same on every machine.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 MASK = (1 << 64) - 1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -68,6 +70,20 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+    _give_back()
+
+
+@lru_cache(1)
+def _trim():
+    """The C library's function that returns freed memory to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    """Return what a batch has used: workers live long and share a machine with the next stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
