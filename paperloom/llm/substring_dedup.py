@@ -162,7 +162,7 @@ def _send(docs: DataFrame, window: int, anchor: int, store_uri: str, bits: int,
                 yield from _batches(1, sorted_store.bucket_of(words.mix(tags[known[1][a]].view(np.uint64)), shard_bits), ids[known[1][a]], tags[known[1][a]], known[0][a] - first[known[1][a]], known[0][b] - known[0][a] + 1, None)
                 starts, row, place, count, own = (x[~later] for x in (starts, row, place, count, own))
                 often = count > frequent
-                a, b = _runs(starts, np.where(often, starts, place), row)
+                a, b = _runs(starts, np.where(often, -1 - starts, place), row)  # a window's own key is never a place
                 route = np.where(often[a], own[a], words.mix(g[place[a]]))
                 length = starts[b] - starts[a] + window
                 offsets = np.concatenate([[0], np.cumsum(length)])

@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import fm_index, substring_dedup
 
-from .util import docs, words
+from .util import column, docs, words
 
 
 def brute(rows, n=20):
@@ -56,6 +57,21 @@ def test_equals_brute_force(spark, frequent):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute(rows)
 
 
+def test_frequent_window_after_a_rare_one_goes_to_its_own_shard(spark):
+    rng = random.Random(9)
+    texts = [[f"v{rng.randrange(10**9)}" for _ in range(21)] for _ in range(6000)]
+    _, _, _, place, _ = substring_dedup._windows(column([" ".join(t) for t in texts]), 20, 4)
+    # The first window's anchor stands where the second window begins, the second's in its last words.
+    hard = [t for t, (x, y) in zip(texts, (place.reshape(-1, 2) - 21 * np.arange(len(texts))[:, None]).tolist()) if (x, y) == (1, 17)]
+    assert len(hard) > 5
+    many = [(100 * n + k, " ".join(t[1:])) for n, t in enumerate(hard) for k in range(6)]
+    few = [(10**6 + 100 * n + k, " ".join([f"u{n}x{k}x{j}" for j in range(8)] + t)) for n, t in enumerate(hard) for k in range(2)]
+    frame = docs(spark, many + few).repartition(16, F.col("doc_id") < 10**6)  # a task for each of both
+    assert frame.select(F.spark_partition_id()).distinct().count() == 2
+    found = substring_dedup.digests(frame, substring_dedup.repeated_spans(frame, frequent=4)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute(many + few)
+
+
 def test_removal_keeps_columns_and_untouched_texts(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     frame = docs(spark, [(2, f"x {passage}  y"), (1, f"{passage}\nz"), (3, "short  text"), (4, None)])
