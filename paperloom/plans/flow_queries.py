@@ -135,7 +135,7 @@ def effective_dpi(spark, sf):
 
 @query("image_metrics")
 def image_metrics(spark, sf):
-    """Pixels of a page are the bytes of its text, 32 to a row."""
-    gray = F.encode(F.substring("text", 1, 4096), "ISO-8859-1")
+    """Pixels of a page are the bytes of its whole text, 32 to a row; a last row that isn't full is no row."""
+    gray = F.encode("text", "ISO-8859-1")
     image = F.struct(F.lit(32).alias("width"), F.floor(F.octet_length(gray) / 32).cast("int").alias("height"), gray.alias("gray"))
     return table(spark, sf, "documents").select("doc_id", P.image_metrics(image).alias("m")).select("doc_id", "m.*")

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from paperloom.functions import display
 from paperloom.operators import flows as W
 from paperloom.operators import pages as P
@@ -24,6 +25,18 @@ def test_focus_and_verdicts(spark):
     assert P.focus(rng.integers(0, 256, (300, 2500), dtype=np.uint8)) > 0
 
 
+def test_image_metrics_query_uses_whole_texts(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(lo, lo + 40, 9000 + 7))) for lo in (33, 80)]
+    texts.append(texts[0][:4096] + "\xe9" * 6400)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in entry.queries()["image_metrics"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        gray = np.frombuffer(t.encode("latin-1"), np.uint8)[: len(t) // 32 * 32].reshape(-1, 32)
+        assert abs(got[i].sharpness - P.focus(gray)) < 0.1
+        assert np.allclose((got[i].contrast, got[i].brightness, got[i].ink), (gray.std(), gray.mean(), (gray < 200).mean()))
+
+
 def test_skew(spark):
     angles = spark.createDataFrame([(0.0,), (44.0,), (46.0,), (-45.0,), (-46.0,), (90.0,)], "a double")
     assert [r.x for r in angles.select(P.skew(F.col("a")).alias("x")).collect()] == [0.0, 44.0, -44.0, 45.0, 44.0, 0.0]
