@@ -49,7 +49,8 @@ FROM t LEFT JOIN listed USING (doc_id)
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = secret_scan.scan(docs, repository=F.concat_ws("/", "source", "lang"))
+    # The SQL has opaque bare tokens only; the pipeline masks bare copies of any value.
+    found = secret_scan.scan(docs, repository=F.concat_ws("/", "source", "lang"), any_value=False)
 
     def count(kind: str):
         return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
