@@ -39,8 +39,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 1024 tokens."""
-    return packing.pack(docs, VOCABULARY)
+    """Token pieces with their ids and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, VOCABULARY, with_ids=True)
 
 
 STAGES = [

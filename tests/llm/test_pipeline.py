@@ -17,6 +17,19 @@ def test_stages_work_on_what_stays(spark):
     assert packed.selectExpr("max(offset + length)").first()[0] <= 1024
 
 
+def test_last_stage_has_the_token_ids(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = {}
+    for row in sorted(corpus_pipeline.pack_sequences(spark, docs, SF).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(row.ids) == row.length
+        ids.setdefault(row.doc_id, []).extend(row.ids)
+    whole = Tokenizer.from_file(corpus_pipeline.VOCABULARY)
+    assert ids == {i: whole.encode(t, add_special_tokens=False).ids + [2] for i, t in text.items()}
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
