@@ -1,40 +1,45 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text (bytes other than white space and ASCII punctuation, A-Z lower-cased) and
-their first 4, 5, 6 and 8 bytes, hashed to `1 << SLOT_BITS` slots; a text either has a term or not. The
-machine adds a bias, a weight for each term and, for each pair of terms, the product of their factor
-vectors, so that two terms can count together for more (or less) than each alone.
-
-Fitting uses at most MAX_TRAIN labelled rows, those with the smallest hashes of their ids, so the model's
-cost is bounded and the choice is the same at every run. Their terms are counted in Spark; the
-MAX_TERMS slots that tell the labels apart most go into the machine, which is fitted by Adam on the
-driver from lists of slot numbers. Scoring covers every text whole.
-
-Defined results: null and empty texts get the score of no terms; rows with a null id are scored, not
-learned from; labels other than 0 and 1 are ignored; of labels that repeat for an id each counts; if the
-labels are all alike or none are there, every score is their mean (0 without any); extra columns are
-ignored by `score`, kept by `keep_clean`; empty input gives no rows.
+their first 4 and 6 bytes, hashed to `1 << SLOT_BITS` slots; a text either has a term or not. The machine
+adds a bias, a weight for each term and, for each pair of terms, the product of their factor vectors, so
+that two terms can count together for more (or less) than each alone.
+
+Fitting uses at most MAX_TRAIN labelled rows, those with the smallest hashes of id and text, so the model's
+cost is bounded and the choice is the same at every run. All terms of these rows go into the machine: none
+is judged by its own odds beforehand, as a term may matter in pairs only. It is fitted by Adam on lists of
+slot numbers under a prior that keeps weights and factors at zero unless the data insist (SHRINK times the
+root of the number of rows); a term in no more rows than that can't have a weight, and is left out for
+that alone. The terms that keep a weight or a factor are written to the shared folder and mapped by
+workers. Scoring covers every text whole.
+
+Defined results: null and empty texts get the score of no terms; document rows that repeat an id are all
+scored, and each that has a label is learned from once for each text and label it has; rows with a null
+id are scored, not learned from; labels other than 0 and 1 are ignored; labels that differ for an id each
+count; if the labels are all alike or none are there, every score is their mean (0 without any); very long
+texts are read whole; extra columns are ignored by `score`, kept by `keep_clean`; empty input gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm import packed, words
+from paperloom.llm import shared, words
 
 SLOT_BITS = 22
-MAX_TRAIN = 40_000
-MAX_TERMS = 1024
+MAX_TRAIN = 20_000
 FACTORS = 8
-EPOCHS = 12
-LEAST_STEPS = 800
-PREFIXES = (4, 5, 6, 8)
+EPOCHS, LEAST_STEPS, BATCH = 8, 600, 256
+SHRINK, RATE = 0.073, 0.05
+PREFIXES = (4, 6)
 THRESHOLD = 0.3
 
 #: Bytes of terms: white space and ASCII punctuation separate them.
@@ -44,11 +49,17 @@ _TERM[:32] = False
 
 @dataclass(frozen=True)
 class Model:
+    """`uri` has the sorted slots that count, their weights and their factors; None: every score is the prior."""
+
     prior: float
-    slots: np.ndarray  # sorted
-    bias: float
-    weights: np.ndarray
-    factors: np.ndarray
+    bias: float = 0.0
+    uri: str | None = None
+
+
+@lru_cache(4)
+def _arrays(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    slots = shared.mapped(f"{uri}/slots", np.int64)
+    return slots, shared.mapped(f"{uri}/weights", np.float32).reshape(len(slots), -1) if len(slots) else np.empty((0, 1 + FACTORS), np.float32)
 
 
 def _terms(column) -> tuple[np.ndarray, np.ndarray]:
@@ -65,41 +76,6 @@ def _terms(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(slots) >> shift).astype(np.int64)
 
 
-def _sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """At most `most` labelled rows, by the hash of their id."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    chosen = usable.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
-    return chosen.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(most)
-
-
-def _term_counts(rows: DataFrame) -> DataFrame:
-    """(slot, label, n): the number of texts of each label that have a term of the slot."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = packed.Counter(1_000_000)
-
-        def out():
-            keys, n = held.take()
-            for at in range(0, len(keys), 200_000):
-                part = keys[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part >> 1), pa.array((part & 1).astype(np.int32)), pa.array(n[at : at + 200_000])], ["slot", "label", "n"])
-
-        for batch in batches:
-            for block in words.blocks(batch, "text"):
-                row, slot = _terms(block.column(0))
-                label = block.column(1).to_numpy().astype(np.int64)
-                distinct = np.unique((row << SLOT_BITS) | slot)
-                keys = ((distinct & ((1 << SLOT_BITS) - 1)) << 1) | label[distinct >> SLOT_BITS]
-                if held.add(keys):
-                    yield from out()
-        yield from out()
-
-    return rows.mapInArrow(count, "slot long, label int, n long").groupBy("slot").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"),
-    )
-
-
 def _found(row: np.ndarray, slot: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, place in known) of the slots that are known."""
     at = np.minimum(np.searchsorted(known, slot), max(0, len(known) - 1))
@@ -108,66 +84,126 @@ def _found(row: np.ndarray, slot: np.ndarray, known: np.ndarray) -> tuple[np.nda
     return distinct // max(1, len(known)), distinct % max(1, len(known))
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, factors: int, epochs: int, penalty: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by Adam on the logistic loss; x is 0 or 1, (rows, terms)."""
-    rng = np.random.default_rng(7)
-    parts = [np.zeros(1), np.zeros(x.shape[1]), rng.normal(0, 0.02, (x.shape[1], factors))]
-    parts[0][0] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
-    first, second, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
-    for _ in range(max(epochs, -(-LEAST_STEPS * 256 // max(1, len(y))))):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), 256):
-            chosen = order[at : at + 256]
-            b = x[chosen].astype(np.float64)
-            sums = b @ parts[2]
-            z = parts[0][0] + b @ parts[1] + 0.5 * (sums**2 - b @ parts[2] ** 2).sum(axis=1)
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[chosen]) / len(chosen)
-            grads = [
-                np.array([error.sum()]), b.T @ error + penalty * parts[1],
-                b.T @ (error[:, None] * sums) - (b.T @ error)[:, None] * parts[2] + penalty * parts[2],
-            ]
-            step += 1
-            for p, g, m, v in zip(parts, grads, first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g**2 - v)
-                p -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return float(parts[0][0]), parts[1], parts[2]
+class _Batch:
+    """Some rows: their labels, their terms end to end, and the same terms in the order of their places."""
+
+    def __init__(self, lists: list[np.ndarray], y: np.ndarray):
+        self.y, self.n = y.astype(np.float32), np.array([len(x) for x in lists])
+        self.known, self.inverse = np.unique(np.concatenate(lists), return_inverse=True)
+        row = np.repeat(np.arange(len(lists)), self.n)
+        order = np.argsort(self.inverse, kind="stable")
+        self.row, self.heads = row[order], np.flatnonzero(np.diff(self.inverse[order], prepend=-1))
+        self.full = np.flatnonzero(self.n)
+        self.starts = (np.cumsum(self.n) - self.n)[self.full]
+
+    def forward(self, bias: float, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits, and for each row the sums of its terms' parameters."""
+        each = p[self.inverse]
+        sums, squares = np.zeros((len(self.n), p.shape[1]), np.float32), np.zeros(len(self.n), np.float32)
+        if len(self.full):
+            sums[self.full] = np.add.reduceat(each, self.starts)
+            squares[self.full] = np.add.reduceat((each[:, 1:] ** 2).sum(axis=1), self.starts)
+        return bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares), sums
+
+    def gradient(self, error: np.ndarray, sums: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Of the weights and factors of the batch's terms."""
+        with_one = np.concatenate([np.ones((len(sums), 1), np.float32), sums[:, 1:]], axis=1)
+        g = np.add.reduceat((error[:, None] * with_one)[self.row], self.heads) if len(self.heads) else np.zeros_like(p)
+        g[:, 1:] -= g[:, :1] * p[:, 1:]
+        return g
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = EPOCHS,
-) -> Model:
-    """Fit on labels joined to the texts of docs."""
-    sample = _sample(labels, id_col, label_col, max_train)
-    # At most max_train rows of two numbers: the size of the broadcast is bounded.
+def _fitted(lists: list[np.ndarray], y: np.ndarray, size: int, factors: int, epochs: int, shrink: float) -> tuple[float, np.ndarray]:
+    """Bias, and weight and factors of each of `size` terms, from the places of each row's terms.
+
+    Adam with a proximal step: after each step a parameter moves towards zero by its share of the prior,
+    in the step's own metric, and stays there unless its gradient outweighs the prior.
+    """
+    rng = np.random.default_rng(7)
+    order, rows = rng.permutation(len(y)), np.zeros(size, np.int64)
+    batches = [_Batch([lists[i] for i in order[at : at + BATCH]], y[order[at : at + BATCH]]) for at in range(0, len(y), BATCH)]
+    for one in batches:
+        rows[one.known] += 1
+    bias = math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    p = np.concatenate([np.zeros((size, 1)), rng.normal(0, 0.05, (size, factors))], axis=1).astype(np.float32)
+    first, second = np.zeros_like(p), np.zeros_like(p)
+    epochs = max(epochs, -(-LEAST_STEPS // len(batches)))
+    bias_first = bias_second = step = 0.0
+    for _ in range(epochs):
+        for n in rng.permutation(len(batches)):
+            one = batches[n]
+            own = p[one.known]
+            z, sums = one.forward(bias, own)
+            error = ((_sigmoid(z) - one.y) / len(one.y)).astype(np.float32)
+            share = 1 / (len(one.y) * rows[one.known]).astype(np.float32)[:, None]
+            g = one.gradient(error, sums, own) + 0.1 * own * share
+            step += 1
+            rate = RATE * (1 - step / (epochs * len(batches) + 1))
+            m, v = first[one.known], second[one.known]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            first[one.known], second[one.known] = m, v
+            metric = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            moved = own - metric * (m / (1 - 0.9**step))
+            p[one.known] = np.sign(moved) * np.maximum(np.abs(moved) - metric * np.float32(shrink) * share, 0)
+            total = float(error.sum())
+            bias_first += 0.1 * (total - bias_first)
+            bias_second += 0.01 * (total**2 - bias_second)
+            bias -= rate * (bias_first / (1 - 0.9**step)) / (math.sqrt(bias_second / (1 - 0.99**step)) + 1e-8)
+    return bias, p
+
+
+def _learned_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> pa.Table:
+    """(label, terms) of at most `most` labelled rows, in an order that is the same at every run."""
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    chosen = usable.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).distinct()
+    # Two rows for an id at most, so at most twice `most` rows of two numbers: the size of the broadcast is bounded.
+    ids = chosen.select("label_id").distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    sample = chosen.join(F.broadcast(ids), "label_id")
     texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), F.col("text_id") == F.col("label_id")).select("text", "label")
-    totals = {row.label: row.n for row in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    none = Model(totals.get(1, 0) / max(1, sum(totals.values())), np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, factors)))
-    if len(totals) < 2:
-        return none
-    odds = F.log((F.col("n1") + 0.5) / (totals[1] + 1)) - F.log((F.col("n0") + 0.5) / (totals[0] + 1))
-    weight = F.abs(odds) * F.sqrt(F.col("n1") + F.col("n0") * totals[1] / totals[0])
-    best = _term_counts(rows).select("slot", weight.alias("weight")).orderBy(F.desc("weight"), "slot").limit(max_terms)
-    slots = np.sort(np.array([row.slot for row in best.collect()], np.int64))
+    rows = texts.join(F.broadcast(sample), F.col("text_id") == F.col("label_id")).select(F.xxhash64("text_id", "text").alias("place"), "label", "text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch, "text"):
-                row, place = _found(*_terms(block.column(0)), slots)
-                offsets = np.searchsorted(row, np.arange(block.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([block.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place, pa.int32()))], ["label", "terms"])
+                row, slot = _terms(block.column(2))
+                distinct = np.unique((row << SLOT_BITS) | slot)
+                offsets = np.searchsorted(distinct >> SLOT_BITS, np.arange(block.num_rows + 1)).astype(np.int32)
+                terms = pa.array((distinct & ((1 << SLOT_BITS) - 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.ListArray.from_arrays(pa.array(offsets), terms)], ["place", "label", "terms"])
+
+    marked = rows.mapInArrow(mark, "place long, label int, terms array<int>")
+    once = marked.groupBy("place", "label").agg(F.first("terms").alias("terms"))  # a text that stands in many rows is one before it travels
+    return once.orderBy("place", "label").limit(most).select("label", "terms").toArrow()
 
-    marked = rows.mapInArrow(mark, "label int, terms array<int>").toArrow()
-    lists = marked.column("terms").combine_chunks()
-    x = np.zeros((marked.num_rows, len(slots)), bool)
-    x[np.repeat(np.arange(marked.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
-    y = marked.column("label").to_numpy().astype(np.float64)
-    marks = np.bincount(np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy() + 1.0, len(y))
-    order = np.lexsort((y, x.sum(axis=1), marks))  # the same at every run
-    bias, weights, vectors = _fitted(x[order], y[order], factors, epochs)
-    return Model(none.prior, slots, bias, weights, vectors)
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_train: int = MAX_TRAIN, factors: int = FACTORS, epochs: int = EPOCHS, shrink: float = SHRINK,
+) -> Model:
+    """Fit on labels joined to the texts of docs."""
+    found = _learned_from(docs, labels, id_col, text_col, label_col, max_train)
+    y = found.column("label").to_numpy().astype(np.float64)
+    prior = float(y.mean()) if len(y) else 0.0
+    if prior in (0.0, 1.0):
+        return Model(prior)
+    column = found.column("terms").combine_chunks()
+    flat, sizes = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+    least = shrink * math.sqrt(len(y))
+    slots = np.flatnonzero(np.bincount(flat, minlength=1 << SLOT_BITS) > least)
+    place = np.full(1 << SLOT_BITS, -1, np.int32)
+    place[slots] = np.arange(len(slots))
+    lists = [x[x >= 0] for x in np.split(place[flat], np.cumsum(sizes)[:-1])]
+    bias, p = _fitted(lists, y, len(slots), factors, epochs, least)
+    counts = np.flatnonzero(p.any(axis=1))
+    uri = shared.folder(docs.sparkSession, "toxicity")
+    shared.put(f"{uri}/slots", slots[counts].astype(np.int64))
+    shared.put(f"{uri}/weights", p[counts])
+    return Model(prior, bias, uri)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,14 +221,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def scores(model: Model, column) -> np.ndarray:
     """Score of each row of an Arrow text column."""
     n = len(column)
-    if not len(model.slots):
+    if model.uri is None:
         return np.full(n, model.prior)
-    row, place = _found(*_terms(column), model.slots)
-    z = model.bias + np.bincount(row, model.weights[place], n)
-    for f in range(model.factors.shape[1]):
-        v = model.factors[place, f]
+    slots, p = _arrays(model.uri)
+    row, place = _found(*_terms(column), slots)
+    z = model.bias + np.bincount(row, p[place, 0], n)
+    for f in range(1, p.shape[1]):
+        v = p[place, f]
         z += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v**2, n))
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return _sigmoid(z)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
