@@ -21,7 +21,7 @@ SPACE, LETTER, NUMBER, OTHER, EDGE = 0, 1, 2, 3, 9
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: White space as Unicode has it.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-MEMO_WORDS = 1_000_000
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 32 << 20
 TABLE_BITS = 19
 
 
@@ -207,6 +207,23 @@ class Pieces:
         self.rows = np.searchsorted(self.starts, offsets)
         h = words.hashes(data, self.starts, self.ends)
         self.hashes, self.first, self.inverse, self.counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        own = self.first[self.inverse]
+        equal = words.same(data, self.starts, self.ends, data, self.starts[own], self.ends[own])
+        if not equal.all():
+            self._tell_apart(np.flatnonzero(~equal))
+
+    def _tell_apart(self, which: np.ndarray) -> None:
+        """Give pieces whose hash is another piece's, but whose bytes aren't, entries of their own."""
+        entry: dict[bytes, int] = {}
+        for i in which:
+            piece = self.data[self.starts[i] : self.ends[i]].tobytes()
+            if piece not in entry:
+                entry[piece] = len(self.first)
+                self.hashes = np.append(self.hashes, self.hashes[self.inverse[i]])
+                self.first, self.counts = np.append(self.first, i), np.append(self.counts, 0)
+            self.counts[self.inverse[i]] -= 1
+            self.inverse[i] = entry[piece]
+            self.counts[entry[piece]] += 1
 
 
 def expand(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +236,8 @@ def expand(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np
 class Encoder:
     """Ids of pieces, from a lexicon where it has them, else by merging; new ones are remembered.
 
-    The memory is limited to MEMO_WORDS pieces and starts afresh when it is full; that changes no result.
+    The memory is limited to MEMO_WORDS pieces and MEMO_BYTES bytes and starts afresh when it is full; that
+    changes no result. A hash only finds an entry: its bytes then have to be those of the piece.
     """
 
     def __init__(self, vocab: Vocabulary, lexicon=None):
@@ -230,6 +248,11 @@ class Encoder:
         self.known = np.empty(0, np.uint64)
         self.place = np.empty(0, np.int64)
         self.flat, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.spelled, self.edges = np.empty(0, np.uint8), np.zeros(1, np.int64)
+
+    def _same(self, pieces: Pieces, which: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        first = pieces.first[which]
+        return words.same(pieces.data, pieces.starts[first], pieces.ends[first], self.spelled, self.edges[entry], self.edges[entry + 1])
 
     def _merge_new(self, pieces: Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end = pieces.starts[pieces.first[which]], pieces.ends[pieces.first[which]]
@@ -255,16 +278,23 @@ class Encoder:
             flats.append((found, lex_flat, lex_offsets))
             open_ = np.flatnonzero(index < 0)
         slot = np.minimum(np.searchsorted(self.known, pieces.hashes[open_]), max(0, len(self.known) - 1))
-        seen = self.known[slot] == pieces.hashes[open_] if len(self.known) else np.zeros(len(open_), bool)
+        seen = np.zeros(len(open_), bool)
+        if len(self.known):
+            at = np.flatnonzero(self.known[slot] == pieces.hashes[open_])
+            seen[at[self._same(pieces, open_[at], self.place[slot[at]])]] = True
         old, new = open_[seen], open_[~seen]
         if len(old):
             flats.append((old, *expand(self.flat, self.offsets, self.place[slot[seen]])))
         if len(new):
             flat, offsets = self._merge_new(pieces, new)
             flats.append((new, flat, offsets))
-            if len(self.known) + len(new) > MEMO_WORDS:
+            first = pieces.first[new]
+            length = pieces.ends[first] - pieces.starts[first]
+            if len(self.known) + len(new) > MEMO_WORDS or len(self.spelled) + length.sum() > MEMO_BYTES:
                 self._forget()
             base = len(self.offsets) - 1
+            self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(length)])
+            self.spelled = np.concatenate([self.spelled, pieces.data[np.repeat(pieces.starts[first] - np.cumsum(length) + length, length) + np.arange(length.sum())]])
             self.flat = np.concatenate([self.flat, flat])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
             known = np.concatenate([self.known, pieces.hashes[new]])

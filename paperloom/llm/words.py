@@ -18,28 +18,15 @@ MASK = (1 << 64) - 1
 BLOCK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15 | 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LONG = np.uint64(0xD6E8FEB86659FD93)
 _MIXERS = [int(x) | 1 for x in _rng.integers(1, 1 << 62, 64, dtype=np.uint64)]
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the step and of its inverse modulo 2**64, for n positions."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES)
-        for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.cumprod(table, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     h = h ^ (h >> np.uint64(30))
@@ -101,17 +88,52 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+
+
+def _parts(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ranges of more than eight bytes: (which range, offset of each further part, first part of each)."""
+    count = (size - 1) >> 3
+    first = np.cumsum(count) - count
+    which = np.repeat(np.arange(len(size)), count)
+    return which, 8 * (np.arange(len(which)) - first[which] + 1), first
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges."""
+    """64-bit hashes of the byte ranges.
+
+    Eight bytes at a time are mixed with their place before they are added, so that no pattern of
+    letters makes the sums of different words equal, as it does with polynomials modulo 2**64.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = _power_table(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    codes = _BYTE_CODE[data]
-    codes *= up[:-1]
-    np.cumsum(codes, out=total[1:])
-    del codes
-    return mix((total[ends] - total[starts]) * down[starts])
+    eights, size = _eights(data), ends - starts
+    h = mix((eights[starts] & _LOW[np.minimum(size, 8)]) + _STEP)
+    longer = np.flatnonzero(size > 8)
+    if len(longer):
+        which, at, first = _parts(size[longer])
+        part = eights[starts[longer][which] + at] & _LOW[np.minimum(size[longer][which] - at, 8)]
+        h[longer] += np.add.reduceat(mix(part + _STEP * (at >> 3).astype(np.uint64) + _LONG), first)
+    return mix(h + size.astype(np.uint64) * _LONG)
+
+
+def same(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether each byte range of a is, byte for byte, the one of b beside it."""
+    if not len(a_starts):
+        return np.empty(0, bool)
+    size, x, y = a_ends - a_starts, _eights(a), _eights(b)
+    low = _LOW[np.minimum(size, 8)]
+    equal = (size == b_ends - b_starts) & ((x[a_starts] & low) == (y[b_starts] & low))
+    longer = np.flatnonzero(equal & (size > 8))
+    if len(longer):
+        which, at, first = _parts(size[longer])
+        low = _LOW[np.minimum(size[longer][which] - at, 8)]
+        part = (x[a_starts[longer][which] + at] & low) == (y[b_starts[longer][which] + at] & low)
+        equal[longer] = np.logical_and.reduceat(part, first)
+    return equal
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
