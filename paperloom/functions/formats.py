@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom.functions.values import strip
@@ -50,13 +50,8 @@ def in_codes(s: Column, codes: list[str]) -> Column:
     return F.upper(strip(s)).isin(codes)
 
 
-def country_codes(spark: SparkSession) -> list[str]:
-    """Two-letter country codes as the Java runtime has them."""
-    return sorted(spark._jvm.java.util.Locale.getISOCountries())
-
-
 def check(s: Column, name: str, codes: list[str] | None = None) -> Column:
-    """Any of the format checks by its name; iso_country takes its codes as a parameter."""
+    """Any of the format checks by its name; iso_country takes the two-letter codes that are known as a parameter."""
     if name in PATTERNS:
         return matches(s, name)
     if name == "iban":
@@ -66,5 +61,7 @@ def check(s: Column, name: str, codes: list[str] | None = None) -> Column:
     if name == "iso_currency":
         return in_codes(s, codes or CURRENCIES)
     if name == "iso_country":
-        return in_codes(s, codes or [])
+        if not codes:
+            raise ValueError("iso_country needs the codes that are known")
+        return in_codes(s, codes)
     raise ValueError(f"no format {name!r}")

@@ -88,14 +88,15 @@ def confidence_summary(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def chain_choice(attempts: DataFrame, id_col: str = "doc_id", floor: float = DEFAULT.ocr_fallback_confidence) -> DataFrame:
-    """The first adequate attempt of each document in rank order, else its last.
+    """The first adequate attempt of each document in rank order, else its last: one aggregation.
 
     attempts: id, rank, engine, confidence, chars, failed.
     """
-    last = F.max("rank").over(Window.partitionBy(id_col))
     good = ~F.col("failed") & (F.col("chars") > 0) & (F.coalesce("confidence", F.lit(1.0)) >= floor)
-    marked = attempts.withColumn("adequate", good).withColumn("last", last).where(F.col("adequate") | (F.col("rank") == F.col("last")))
-    return marked.groupBy(id_col).agg(F.min_by(F.struct("engine", "rank", "confidence", "adequate"), "rank").alias("chosen")).select(id_col, "chosen.*")
+    one, place = F.struct("engine", "rank", "confidence", "adequate"), F.struct("rank", "engine")
+    first = F.min_by(one, F.when(F.col("adequate"), place))
+    found = attempts.withColumn("adequate", F.coalesce(good, F.lit(False))).groupBy(id_col).agg(F.coalesce(first, F.max_by(one, place)).alias("chosen"))
+    return found.select(id_col, "chosen.*")
 
 
 def headings(blocks: DataFrame, labels: tuple[str, ...] = ("title", "section_header")) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields as dataclass_fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import expression, formats, fuzzy
@@ -409,23 +409,32 @@ def decided(docs: DataFrame, checks: Column, base: str = "approve", base_confide
 
 
 def history(docs: DataFrame, id_col: str, value_col: str, decided_col: str) -> DataFrame:
-    """docs with `seen_before`: on how many other decided documents the value stands. One aggregation of values."""
-    on = docs.where(F.col(decided_col) & F.col(value_col).isNotNull()).groupBy(F.col(value_col).alias("_value"))
-    on = on.agg(F.count_distinct(id_col).alias("_n"))
-    joined = docs.join(on, docs[value_col] == on["_value"], "left")
-    own = (F.col(decided_col) & F.col(value_col).isNotNull()).cast("long")
-    return joined.withColumn("seen_before", F.coalesce("_n", F.lit(0)) - own).drop("_value", "_n")
+    """docs with `seen_before`: on how many other decided documents the value stands.
+
+    A document that is decided more than once counts once, and never for its own rows. Values are counted
+    after they are made distinct by document; rows without a value have seen nothing.
+    """
+    stands = docs.where(F.col(decided_col) & F.col(value_col).isNotNull()).select(F.col(value_col).alias("_value"), F.col(id_col).alias("_doc")).distinct()
+    total = stands.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
+    own = stands.select(F.col("_value").alias("_own_value"), F.col("_doc").alias("_own_doc"), F.lit(1).alias("_own"))
+    joined = docs.join(total, docs[value_col] == total["_value"], "left")
+    joined = joined.join(own, (joined[value_col] == own["_own_value"]) & joined[id_col].eqNullSafe(own["_own_doc"]), "left")
+    seen = F.coalesce("_n", F.lit(0)) - F.coalesce("_own", F.lit(0))
+    return joined.withColumn("seen_before", seen).drop("_value", "_n", "_own_value", "_own_doc", "_own")
 
 
 def citations(leaves: DataFrame, paths: DataFrame) -> DataFrame:
     """Per (doc_id, field): the page of the grounded leaf at the path, else of the first leaf below it.
 
-    leaves: doc_id, path, ord, page. paths: field (a small table of rule inputs, joined by its size).
+    leaves: doc_id, path, ord, page. paths: field. Each leaf is listed under its own path and the paths above
+    it, so that fields meet it by equality.
     """
-    below = (F.col("path") == F.col("field")) | F.col("path").startswith(F.concat(F.col("field"), F.lit(".")))
-    found = leaves.where("page is not null").join(paths, below)
-    first = Window.partitionBy("doc_id", "field").orderBy((F.col("path") != F.col("field")), "ord")
-    return found.withColumn("n", F.row_number().over(first)).where("n = 1").select("doc_id", "field", F.concat(F.lit("page "), F.col("page")).alias("source"))
+    parts = F.split("path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    listed = leaves.where("page is not null and path is not null").select("doc_id", "ord", "page", "path", F.explode(above).alias("field"))
+    found = listed.join(paths.select("field").distinct(), "field", "left_semi")
+    best = F.min_by("page", F.struct((F.col("path") != F.col("field")).alias("below"), F.col("ord")))
+    return found.groupBy("doc_id", "field").agg(F.concat(F.lit("page "), best).alias("source"))
 
 
 # --- rules as JSON -----------------------------------------------------------

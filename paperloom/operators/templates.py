@@ -158,17 +158,35 @@ def shifted(cells_: DataFrame, anchor_row: int, added: int) -> DataFrame:
     return cells_.withColumn("row", F.when(F.col("row") > anchor_row, F.col("row") + added).otherwise(F.col("row")))
 
 
-@F.pandas_udf(T.StringType())
-def widened(formula: pd.Series, anchor_row: pd.Series, added: pd.Series) -> pd.Series:
-    """Formulas whose ranges end at the anchor row (numbered from 1) reach over the rows added below it."""
-    import re
+def widened(formula: Column, anchor_row: Column, added: Column, columns: tuple[str, ...]) -> Column:
+    """Formulas whose ranges end at the anchor row (numbered from 1) reach over the rows added below it.
+
+    Only ranges that meet a column of the table (`columns`, by their letters) and aren't of another sheet.
+    """
+    table = {_column_number(c) for c in columns}
+
+    @F.pandas_udf(T.StringType())
+    def widen(formulas: pd.Series, rows: pd.Series, more: pd.Series) -> pd.Series:
+        import re
+
+        def one(f, row, n):
+            def put(m):
+                low, high = sorted((_column_number(m[2]), _column_number(m[6])))
+                meets = any(low <= c <= high for c in table)
+                return f"{m[1]}{m[2]}{m[3]}{m[4]}:{m[5]}{m[6]}{m[7]}{int(m[8]) + n}" if meets and int(m[8]) == row else m[0]
+
+            return None if f is None or n < 1 else re.sub(r"(?<![A-Za-z0-9_!$])(\$?)([A-Za-z]{1,3})(\$?)(\d+):(\$?)([A-Za-z]{1,3})(\$?)(\d+)(?![A-Za-z0-9_])", put, f)
+
+        return pd.Series([one(*x) for x in zip(formulas, rows, more, strict=True)], dtype=object)
+
+    return F.when(added >= 1, widen(formula, anchor_row, added)).otherwise(formula)
 
-    def one(f, row, more):
-        if f is None:
-            return None
-        return re.sub(r"(\$?[A-Z]{1,3}\$?)(\d+):(\$?[A-Z]{1,3}\$?)(\d+)", lambda m: f"{m[1]}{m[2]}:{m[3]}{int(m[4]) + more}" if int(m[4]) == row else m[0], f)
 
-    return pd.Series([one(*x) for x in zip(formula, anchor_row, added, strict=True)], dtype=object)
+def _column_number(letters: str) -> int:
+    total = 0
+    for c in letters.upper():
+        total = total * 26 + ord(c) - 64
+    return total
 
 
 def regions(rows: DataFrame, id_col: str, key_col: str, ord_col: str, colors: int = 12) -> DataFrame:

@@ -178,11 +178,11 @@ def semi_decided(spark, sf):
     return table(spark, sf, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("member_state", RUNS + """, m AS (SELECT doc_id % 10 AS case_id, doc_id, arg_max(CASE WHEN stage = 'purchase' THEN 'structured' WHEN stage = 'view' THEN 'error' ELSE 'active' END, seq) AS status FROM runs GROUP BY 1, 2)
+@query("member_state", RUNS + """, m AS (SELECT doc_id // 10 AS case_id, doc_id, arg_max(CASE WHEN stage = 'purchase' THEN 'structured' WHEN stage = 'view' THEN 'error' ELSE 'active' END, seq) AS status FROM runs GROUP BY 1, 2)
 SELECT case_id, count(*) FILTER (status = 'structured') AS structured, count(*) FILTER (status = 'error') AS errored, bool_and(status IN ('structured', 'error')) AS settled, count(*) AS members FROM m GROUP BY 1""")
 def member_state(spark, sf):
     status = F.when(F.col("stage") == "purchase", "structured").when(F.col("stage") == "view", "error").otherwise("active")
-    return A.member_state(runs(spark, sf).select((F.col("doc_id") % 10).alias("case_id"), "doc_id", status.alias("status"), "seq"))
+    return A.member_state(runs(spark, sf).select(F.expr("doc_id div 10").alias("case_id"), "doc_id", status.alias("status"), "seq"))
 
 
 @query("preview_cache_keys", "SELECT page_id, sha256(html) AS cache_key FROM pages WHERE page_id % 3 <> 0 AND sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0)")

@@ -82,10 +82,10 @@ def section_merge_first_grounded(spark, sf):
     return D.merged_sections(leaves).select("doc_id", "field", "value", "candidates")
 
 
-@query("ocr_chain_select", RUNS + """, a AS (SELECT doc_id % 200 AS doc_id, seq AS rank, stage AS engine, confidence, confidence >= 0.4 AND k > 2 AS good, seq = max(seq) OVER (PARTITION BY doc_id % 200) AS last FROM runs WHERE k IS NOT NULL)
+@query("ocr_chain_select", RUNS + """, a AS (SELECT doc_id, seq AS rank, stage AS engine, confidence, confidence >= 0.4 AND k > 2 AS good, seq = max(seq) OVER (PARTITION BY doc_id) AS last FROM runs WHERE k IS NOT NULL)
 SELECT doc_id, arg_min(engine, rank) AS engine, min(rank) AS rank FROM a WHERE good OR last GROUP BY 1""")
 def ocr_chain_select(spark, sf):
-    attempts = runs(spark, sf).where("k is not null").select((F.col("doc_id") % 200).alias("doc_id"), F.col("seq").alias("rank"), F.col("stage").alias("engine"), "confidence", F.lit(10).alias("chars"), (F.col("k") <= 2).alias("failed"))
+    attempts = runs(spark, sf).where("k is not null").select("doc_id", F.col("seq").alias("rank"), F.col("stage").alias("engine"), "confidence", F.lit(10).alias("chars"), (F.col("k") <= 2).alias("failed"))
     return D.chain_choice(attempts).select("doc_id", "engine", "rank")
 
 
@@ -96,16 +96,16 @@ def ocr_confidence_summary(spark, sf):
 
 
 @query("to_number_parse", r"""SELECT doc_id, TRY_CAST(nullif(rtrim(replace(replace(replace(coalesce(nullif(regexp_extract(text, '[$€£]\s?([0-9][0-9.,oO]*)', 1), ''), regexp_extract(text, '(?:^|[^0-9A-Za-z_.])([0-9][0-9.,oO]*)', 1)), ',', ''), 'o', '0'), 'O', '0'), '.'), '') AS DOUBLE) AS amount
-FROM documents WHERE regexp_matches(text, '[$€£]')""")
+FROM documents""")
 def to_number_parse(spark, sf):
-    return table(spark, sf, "documents").where("text rlike '[$€£]'").select("doc_id", V.to_number(F.col("text")).alias("amount"))
+    return table(spark, sf, "documents").select("doc_id", V.to_number(F.col("text")).alias("amount"))
 
 
-@query("dedup_list_keep_first", r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:40]) AS item, generate_subscripts(string_split(text, ' ')[1:40], 1) - 1 AS ord FROM documents),
+@query("dedup_list_keep_first", r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS item, generate_subscripts(string_split(text, ' '), 1) - 1 AS ord FROM documents),
 k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(item), '\s*\([^)]*\)\s*$', ''), '[^\p{L}\p{M}\p{N}\p{Pc}\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM w)
 SELECT doc_id, count(*) AS n FROM (SELECT doc_id, key FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) = 1) GROUP BY 1""")
 def dedup_list_keep_first(spark, sf):
-    items = table(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 40)).alias("ord", "item"))
+    items = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("ord", "item"))
     return D.dedup_list(items, "doc_id", "ord", "item").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 

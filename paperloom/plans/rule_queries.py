@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import expression, formats, fuzzy
@@ -121,17 +123,19 @@ def rule_equality_fuzzy(spark, sf):
 
 def _format(name: str, tab: str, key: str, value, value_sql: str, passed_sql: str):
     def run(spark, sf):
-        codes = formats.country_codes(spark) if name == "iso_country" else None
-        return table(spark, sf, tab).select(key, formats.check(value(), name, codes).alias("passed"))
+        return table(spark, sf, tab).select(key, formats.check(value(), name).alias("passed"))
 
     query(f"rule_format_{name}", f"SELECT {key}, ({passed_sql}) AS passed FROM (SELECT *, {value_sql} AS v FROM {tab})")(run)
 
 
-def _word():
-    return F.get(F.split("text", " "), 1)
+@query("rule_format_email", r"""SELECT doc_id, len(string_split(text, ' '))::INT AS n_words,
+    len(list_filter(string_split(text, ' '), lambda x: regexp_full_match(regexp_replace(x, '^\s+|\s+$', '', 'g'), '[^@\s]+@[^@\s]+\.[^@\s]+')))::INT AS n_emails FROM documents""")
+def rule_format_email(spark, sf):
+    """How many of the words of each whole text are e-mail addresses."""
+    words = F.split("text", " ")
+    return table(spark, sf, "documents").select("doc_id", F.size(words).alias("n_words"), F.size(F.filter(words, lambda w: formats.check(w, "email"))).alias("n_emails"))
 
 
-_format("email", "documents", "doc_id", _word, "string_split(text, ' ')[2]", r"regexp_full_match(trim(v), '[^@\s]+@[^@\s]+\.[^@\s]+')")
 _format("url", "pages", "page_id", lambda: F.col("url"), "url", r"regexp_full_match(trim(v), 'https?://\S+')")
 _format("digits", "orders", "o_orderkey", lambda: F.col("o_orderkey").cast("string"), "o_orderkey::VARCHAR", "regexp_full_match(v, '[0-9]+')")
 _format("alphanumeric", "orders", "o_orderkey", lambda: F.col("o_orderpriority"), "o_orderpriority", "regexp_full_match(trim(v), '[A-Za-z0-9]+')")
@@ -141,9 +145,13 @@ _format("luhn", "orders", "o_orderkey", lambda: F.col("o_orderkey").cast("string
     lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(v), i, 1)::INT ELSE (2 * substr(reverse(v), i, 1)::INT) // 10 + (2 * substr(reverse(v), i, 1)::INT) % 10 END)) % 10 = 0""")
 
 
-@query("rule_format_iso_country")
+SERVED = ["AR", "BR", "CA", "CN", "DE", "EG", "ET", "FR", "GE", "ID", "IN", "IR", "JO", "JP", "KE", "MA", "MO", "NA", "PE", "RO", "RU", "SA", "US", "VN"]
+
+
+@query("rule_format_iso_country", "SELECT n_nationkey, upper(trim(substr(n_name, 1, 2))) IN (" + ", ".join(f"'{c}'" for c in SERVED) + ") AS passed FROM nation")
 def rule_format_iso_country(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", formats.in_codes(F.substring("n_name", 1, 2), formats.country_codes(spark)).alias("passed"))
+    """The codes are a parameter: those of the countries that a business serves."""
+    return table(spark, sf, "nation").select("n_nationkey", formats.check(F.substring("n_name", 1, 2), "iso_country", SERVED).alias("passed"))
 
 
 @query("rule_format_iban", """SELECT o_orderkey, (substr(v, 5) || '1314' || substr(v, 3, 2))::HUGEINT % 97 = 1 AS passed
@@ -173,8 +181,8 @@ _formula("dsl_membership", "status in ['O', 'P'] and not is_present('first_tax')
 _formula("dsl_chained", "1000 < total <= 100000", "o_totalprice > 1000 AND o_totalprice <= 100000", "b")
 
 
-@query("uniqueness_history", RUNS + """, decided AS (SELECT k, count(DISTINCT doc_id) AS n FROM runs WHERE stage = 'purchase' AND k IS NOT NULL GROUP BY k)
-SELECT seq, CASE WHEN k IS NULL THEN 0 ELSE coalesce(n, 0) END - (stage = 'purchase' AND k IS NOT NULL)::INT AS seen_before FROM runs LEFT JOIN decided USING (k)""")
+@query("uniqueness_history", RUNS + """, decided AS (SELECT DISTINCT k, doc_id FROM runs WHERE stage = 'purchase' AND k IS NOT NULL)
+SELECT r.seq, count(DISTINCT d.doc_id) FILTER (d.doc_id <> r.doc_id) AS seen_before FROM runs r LEFT JOIN decided d ON d.k = r.k GROUP BY r.seq""")
 def uniqueness_history(spark, sf):
     rows = runs(spark, sf).withColumn("is_decided", F.col("stage") == "purchase")
     return R.history(rows, "doc_id", "k", "is_decided").select("seq", "seen_before")
@@ -187,11 +195,33 @@ def document_decisions(spark, sf):
     return docs.select("o_orderkey", "decision", F.col("decision_confidence").alias("confidence"), "status")
 
 
-@query("invoice_ruleset", INVOICES + """ SELECT o_orderkey, 'amount_limit' AS name, o_totalprice <= 10000 AS passed, 'review' AS severity FROM inv WHERE o_totalprice IS NOT NULL
-UNION ALL SELECT o_orderkey, 'total_math', true, 'advisory' FROM inv
-UNION ALL SELECT o_orderkey, 'po_present', false, 'advisory' FROM inv UNION ALL SELECT o_orderkey, 'due_date_present', false, 'advisory' FROM inv
-UNION ALL SELECT o_orderkey, 'bank_details', true, 'advisory' FROM inv UNION ALL SELECT o_orderkey, 'duplicate_invoice_no', true, 'hard' FROM inv""")
+@query("rule_citations", RUNS + """, l AS (SELECT doc_id, stage || '.' || (k % 3) || '.k' AS path, seq AS ord, k AS page FROM runs WHERE k IS NOT NULL AND k % 5 <> 0),
+f(field) AS (VALUES ('purchase'), ('view.1'), ('click.2.k'), ('nothing'))
+SELECT doc_id, field, 'page ' || arg_min(page, (path <> field, ord)) AS source FROM l JOIN f ON path = field OR starts_with(path, field || '.') GROUP BY 1, 2""")
+def rule_citations(spark, sf):
+    page = F.when(F.col("k") % 5 != 0, F.col("k"))
+    leaves = runs(spark, sf).select("doc_id", F.concat_ws(".", "stage", F.col("k") % 3, F.lit("k")).alias("path"), F.col("seq").alias("ord"), page.alias("page"))
+    return R.citations(leaves, spark.createDataFrame([("purchase",), ("view.1",), ("click.2.k",), ("nothing",)], "field string"))
+
+
+@query("invoice_ruleset", INVOICES + """, numbered AS (SELECT *, o_custkey || '-' || strftime(o_orderdate, '%Y%m') AS number, o_orderstatus = 'F' AS done FROM inv),
+seen AS (SELECT n.o_orderkey, count(d.o_orderkey) FILTER (d.o_orderkey <> n.o_orderkey) AS n FROM numbered n LEFT JOIN numbered d ON d.number = n.number AND d.done GROUP BY 1),
+r AS (SELECT * FROM numbered JOIN seen USING (o_orderkey))
+SELECT o_orderkey, 'amount_limit' AS name, o_totalprice <= 10000 AS passed, 'review' AS severity FROM r WHERE o_totalprice IS NOT NULL
+UNION ALL SELECT o_orderkey, 'total_math', coalesce(abs(o_totalprice - item_sum) <= 0.01 OR n_items IS NULL, true), CASE WHEN n_items IS NULL OR o_totalprice IS NULL THEN 'advisory' ELSE 'hard' END FROM r
+UNION ALL SELECT o_orderkey, 'po_present', coalesce(o_orderpriority <> '' AND o_orderstatus = 'O', false), 'advisory' FROM r
+UNION ALL SELECT o_orderkey, 'due_date_present', items[1].ship IS NOT NULL, 'advisory' FROM r
+UNION ALL SELECT o_orderkey, 'bank_details', true, 'advisory' FROM r
+UNION ALL SELECT o_orderkey, 'duplicate_invoice_no', n = 0, 'hard' FROM r WHERE number IS NOT NULL""")
 def invoice_ruleset(spark, sf):
     f = invoice_fields()
-    docs = invoices(spark, sf).select("o_orderkey", F.explode(R.ruleset(R.invoice_rules(f.settings), f)).alias("c"))
-    return docs.select("o_orderkey", "c.name", "c.passed", "c.severity")
+    number = F.concat_ws("-", "o_custkey", F.date_format("o_orderdate", "yyyyMM"))
+    docs = R.history(invoices(spark, sf).withColumn("number", number).withColumn("done", F.col("o_orderstatus") == "F"), "o_orderkey", "number", "done")
+    with_items = F.size("items") > 0
+    own = {
+        "invoice_no": V.Text("number"), "seen_before": V.Number("seen_before"), "po_number": V.Text(F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority"))),
+        "due_date": f.values["ship_date"], "subtotal": V.Number(F.when(with_items, V.as_number(f.value("item_sum")))), "tax": V.Number(F.lit(0.0)),
+    }
+    f = replace(f, values=f.values | own)
+    checks = docs.select("o_orderkey", F.explode(R.ruleset(R.invoice_rules(f.settings), f)).alias("c"))
+    return checks.select("o_orderkey", "c.name", "c.passed", "c.severity")

@@ -89,10 +89,12 @@ def region_grouping(spark, sf):
     return T.regions(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", "l_linenumber").select("l_orderkey", "l_suppkey", "fields", "color")
 
 
-@query("formula_widening")
+@query("formula_widening", r"""WITH f AS (SELECT n_nationkey, '=SUM(B2:B' || n_nationkey || ')+SUM(E2:E' || n_nationkey || ')+SUM(A1:$C$' || n_nationkey || ')+Other!B1:B' || n_nationkey AS f FROM nation)
+SELECT n_nationkey, regexp_replace(regexp_replace(f, '(\(B2:B)10\)', '\114)'), '(\(A1:\$C\$)10\)', '\114)') AS formula FROM f""")
 def formula_widening(spark, sf):
-    f = F.concat(F.lit("=SUM(B2:B"), F.col("n_nationkey").cast("string"), F.lit(")"))
-    return table(spark, sf, "nation").select("n_nationkey", T.widened(f, F.lit(10), F.lit(4)).alias("formula"))
+    row = F.col("n_nationkey").cast("string")
+    f = F.concat(F.lit("=SUM(B2:B"), row, F.lit(")+SUM(E2:E"), row, F.lit(")+SUM(A1:$C$"), row, F.lit(")+Other!B1:B"), row)
+    return table(spark, sf, "nation").select("n_nationkey", T.widened(f, F.lit(10), F.lit(4), ("B", "C")).alias("formula"))
 
 
 @query("engine_slug", r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand || '/' || p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")

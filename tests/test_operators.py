@@ -123,7 +123,8 @@ def test_templates(spark):
     assert "script" not in page.select(T.without_scripts(F.col("html")).alias("x")).first().x.replace("javascript", "")
     bound = spark.range(1).select(T.bound(F.lit('<span data-field="a">old</span><span class="k" data-field="b"></span>'), F.create_map(F.lit("a"), F.lit("<x>"))).alias("b")).first().b
     assert bound.html == '<span data-field="a">&lt;x&gt;</span><span class="k" data-field="b"></span>' and bound.filled == ["a"] and bound.skipped == ["b"]
-    assert spark.range(1).select(T.widened(F.lit("=SUM(B2:B5)+C5"), F.lit(5), F.lit(3))).first()[0] == "=SUM(B2:B8)+C5"
+    assert spark.range(1).select(T.widened(F.lit("=SUM(B2:B5)+C5+SUM(F1:F5)+SUM($A$1:$Z$5)+S!B1:B5"), F.lit(5), F.lit(3), ("B", "C"))).first()[0] == "=SUM(B2:B8)+C5+SUM(F1:F5)+SUM($A$1:$Z$8)+S!B1:B5"
+    assert spark.range(1).select(T.widened(F.lit("=B1:B5"), F.lit(5), F.lit(0), ("B",))).first()[0] == "=B1:B5"
     lint = T.lint(spark.createDataFrame([(1, "a"), (1, "b"), (1, None)], "template int, path string"), spark.createDataFrame([("a",)], "path string")).first()
     assert (lint.total, lint.bound, lint.orphaned) == (3, 2, ["b"])
 

@@ -81,6 +81,8 @@ def test_definitions_that_are_wrong():
 def test_history_and_citations(spark):
     docs = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, "a", False), (4, "b", True), (5, None, True)], "doc_id long, no string, done boolean")
     assert {r.doc_id: r.seen_before for r in R.history(docs, "doc_id", "no", "done").collect()} == {1: 1, 2: 1, 3: 2, 4: 0, 5: 0}
+    again = spark.createDataFrame([(1, "a", True), (1, "a", True), (1, "a", False), (2, "a", False), (None, "a", False)], "doc_id long, no string, done boolean")
+    assert sorted((r.doc_id or 0, r.seen_before) for r in R.history(again, "doc_id", "no", "done").collect()) == [(0, 1), (1, 0), (1, 0), (1, 0), (2, 1)]
     leaves = spark.createDataFrame([(1, "items.0.amount", 0, 3), (1, "items.1.amount", 1, 2), (1, "total", 2, None), (1, "total.x", 3, 7)], "doc_id long, path string, ord int, page int")
     paths = spark.createDataFrame([("items",), ("total",), ("items.1.amount",)], "field string")
     assert {(r.field, r.source) for r in R.citations(leaves, paths).collect()} == {("items", "page 3"), ("total", "page 7"), ("items.1.amount", "page 2")}
