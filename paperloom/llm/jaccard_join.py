@@ -6,11 +6,15 @@
 3. In order of that frequency a set's first n - ceil(t * n) + 1 shingles must share one with any set
    it links to. Shingles that one set alone has share nothing, so most texts end here. Classes that
    share such a shingle belong to one cluster (connected components).
-4. In each cluster classes are dealt into blocks; every pair of blocks is one piece of work. There the
-   blocks are trees whose nodes hold the OR of their sets' bitmaps and the range of their sizes. Two
-   trees are traversed together; a pair of nodes goes on only if its sizes and the bits it has in
-   common leave room for enough overlap. Pairs that arrive at the leaves are checked on the sets,
-   best bound first, unless links found before already join them.
+4. Each cluster has a tree: its classes are the leaves, blocks of up to `block` classes of like size are
+   nodes, groups of blocks are nodes above them. A node holds the OR of its sets' bitmaps, the range of
+   their sizes and, if its classes are joined already, the component they are in. Pairs of nodes are rows
+   and are traversed in rounds: first each block with itself; then representatives, one for each
+   component of a block, which form blocks of their own until one is left; last groups with groups, blocks
+   with blocks and, in tasks, their own small trees. A pair of nodes goes on only if its sizes and the bits
+   it has in common leave room for enough overlap and it isn't inside one component. Sets travel only for
+   pairs of blocks that stay. Pairs of leaves are checked on the sets, best bound first, unless links
+   found before already join them.
 5. Links give components; a component is named by its smallest document.
 
 Common passages have the highest frequencies and so come last in the order of step 3: they bring
@@ -39,6 +43,8 @@ from paperloom.llm.components import components
 DF_BITS = 48
 BLOCK = 64
 FAN = 8
+NODE_BITS = 2048
+HOT_ROWS, HOT_KEYS = 1000, 100_000
 DF = (("df", np.uint32),)
 
 
@@ -190,8 +196,13 @@ def dual_traversal(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
         left, right = left[inside], right[inside]
 
 
-def links(names: list[int], sets: list[np.ndarray], in_first: np.ndarray, in_second: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Links between the sets of two blocks (or inside one), enough of them to join whatever is joined."""
+def links(
+    names: list[int], sets: list[np.ndarray], in_first: np.ndarray, in_second: np.ndarray, percent: int, joined: list[int] | None = None
+) -> Iterator[tuple[int, int]]:
+    """Links between the sets of two blocks (or inside one), enough of them to join whatever is joined.
+
+    joined: the component each set is known to be in; sets of one component need no link.
+    """
     first, second = np.flatnonzero(in_first), np.flatnonzero(in_second)
     if not len(first) or not len(second):
         return
@@ -204,7 +215,8 @@ def links(names: list[int], sets: list[np.ndarray], in_first: np.ndarray, in_sec
     apart = x < y if b is a else x != y
     x, y, room = x[apart], y[apart], room[apart]
     size = np.array([len(s) for s in sets])
-    parent = list(range(len(sets)))
+    known: dict[int, int] = {}
+    parent = [known.setdefault(c, n) for n, c in enumerate(joined)] if joined is not None else list(range(len(sets)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -226,24 +238,157 @@ def links(names: list[int], sets: list[np.ndarray], in_first: np.ndarray, in_sec
 
 
 def _verified(work: DataFrame, percent: int) -> DataFrame:
-    """(u, v) links from rows (unit, class, block, first, second, set), sorted by unit in each partition."""
+    """(u, v) links from rows (unit, side, class, component, set): side 0 meets side 1, and 2 is on both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in packed.by_key(batches):
-            columns = [[v for p in parts for v in p[c].to_pylist()] for c in range(1, 7)]
-            cluster, names, block, first, second, data = columns
-            keys = {}
-            for n, key in enumerate(zip(cluster, first, second, strict=True)):  # units may share a hash
-                keys.setdefault(key, []).append(n)
-            for (_, i, j), rows in keys.items():
-                sets = [np.frombuffer(data[n], np.uint64) for n in rows]
-                blocks = np.array([block[n] for n in rows])
-                found = list(links([names[n] for n in rows], sets, blocks == i, blocks == j, percent))
-                if found:
-                    u, v = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return work.mapInArrow(run, "u long, v long")
+            side, names, joined, data = ([v for p in parts for v in p[c].to_pylist()] for c in range(1, 5))
+            sets, side = [np.frombuffer(x, np.uint64) for x in data], np.array(side)
+            found = list(links(names, sets, side != 1, side != 0, percent, joined))
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    chosen = work.select("unit", "side", "class", "component", "set").repartition("unit").sortWithinPartitions("unit")
+    return shared.written(chosen.mapInArrow(run, "u long, v long"), "links")
+
+
+def _node_bits(sets: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """OR of the sets' bitmaps, and the most elements of one set that share a bit with another of it."""
+    flat = np.zeros(NODE_BITS, bool)
+    slack = 0
+    for one in sets:
+        slot = np.unique((one & np.uint64(NODE_BITS - 1)).astype(np.int64))
+        slack = max(slack, len(one) - len(slot))
+        flat[slot] = True
+    return np.packbits(flat, bitorder="little").view("<u8"), slack
+
+
+def _nodes(members: DataFrame) -> DataFrame:
+    """One row for each block: cluster, block, its bitmap, sizes, slack, and its component if it has one only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in packed.by_key(batches):
+            clusters, joined, data = ([v for p in parts for v in p[c].to_pylist()] for c in range(1, 4))
+            for cluster in set(clusters):
+                own = [n for n, c in enumerate(clusters) if c == cluster]
+                sets = [np.frombuffer(data[n], np.uint64) for n in own]
+                bits, slack = _node_bits(sets)
+                sizes, one = [len(x) for x in sets], {joined[n] for n in own}
+                row = [cluster, block, bits.tobytes(), min(sizes), max(sizes), slack, min(one) if len(one) == 1 else None]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["cluster", "block", "bits", "low", "high", "slack", "component"])
+
+    chosen = members.select("block", "cluster", "component", "set").repartition("block").sortWithinPartitions("block")
+    return shared.written(chosen.mapInArrow(run, "cluster long, block long, bits binary, low long, high long, slack long, component long"), "tree-nodes")
+
+
+def _block_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """(first, second): pairs of different blocks of one cluster that may hold a link.
+
+    Blocks are put into groups; a pair of groups is a row that meets what the two groups hold, at most
+    about `BLOCK` nodes each, and gives the pairs of blocks that stay.
+    """
+    counts = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    grouped = met_hot(nodes, counts, "cluster").withColumn("groups", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    grouped = grouped.withColumn("group", F.pmod(F.xxhash64("block", F.lit(1)), F.col("groups")).cast("int"))
+    node = F.struct("block", "bits", "low", "high", "slack", "component")
+    packs = grouped.groupBy("cluster", "groups", "group").agg(F.collect_list(node).alias("nodes"))
+    packs = shared.written(packs, "tree-groups")
+    left = packs.select("cluster", "group", F.col("nodes").alias("a"), F.explode(F.sequence(F.col("group"), F.col("groups") - 1)).alias("other"))
+    right = packs.select("cluster", F.col("group").alias("other"), F.col("nodes").alias("b"))
+    met = left.join(right, ["cluster", "other"]).select("a", "b", (F.col("group") == F.col("other")).alias("own"))
+
+    def arrays(column) -> tuple[np.ndarray, ...]:
+        bits = np.stack([np.frombuffer(x["bits"], "<u8") for x in column])
+        low, high, slack = (np.array([x[c] for x in column]) for c in ("low", "high", "slack"))
+        one = np.array([x["component"] is not None for x in column])
+        return bits, low, high, slack, one, np.array([x["component"] or 0 for x in column]), np.array([x["block"] for x in column])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = arrays(batch.column(0)[row].as_py()), arrays(batch.column(1)[row].as_py())
+                own, out = batch.column(2)[row].as_py(), []
+                for i in range(len(a[0])):
+                    common = np.bitwise_count(a[0][i] & b[0]).sum(axis=1).astype(np.int64)
+                    smaller = np.minimum(a[2][i], b[2])
+                    room = np.minimum(common + np.minimum(a[3][i], b[3]), smaller)
+                    fits = ((100 + percent) * room >= percent * (a[1][i] + b[1])) & (100 * smaller >= percent * np.maximum(a[1][i], b[1]))
+                    fits &= ~(a[4][i] & b[4] & (a[5][i] == b[5]))
+                    if own:
+                        fits[: i + 1] = False
+                    out += [(a[6][i], x) for x in b[6][fits]]
+                if out:
+                    u, v = np.array(out, np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["first", "second"])
+
+    return shared.written(met.mapInArrow(run, "first long, second long"), "block-pairs")
+
+
+def met_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row for each key and, in `rows`, how many rows of left have it.
+
+    A key of very many rows would put them all into one task. Such keys are few: if they are at most
+    HOT_KEYS their rows of right are broadcast, the others are joined by shuffle. If they are more, none of
+    them is a large part of left, and all are joined by shuffle.
+    """
+    right = shared.written(right, "keys")
+    hot = right.where(F.col("rows") > HOT_ROWS)
+    if not 0 < hot.count() <= HOT_KEYS:
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("rows") <= HOT_ROWS), key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _dealt(members: DataFrame, block: int, salt: int) -> DataFrame:
+    """members (cluster, class, n, ...) with a block, and whether the cluster has more than one.
+
+    Classes of a cluster are dealt out, those of like size together, unless one block holds them all.
+    """
+    counts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block)
+    met = met_hot(members, counts, "cluster", "left")
+    by_size = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)))
+    number = F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(F.col("rows") / block))
+    dealt = F.when(F.col("rows").isNull(), F.col("cluster")).otherwise(F.xxhash64("cluster", by_size, number))
+    return met.select(*members.columns, dealt.alias("block"), F.col("rows").isNotNull().alias("large"))
+
+
+def _joined(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with the component that links found so far put each class in."""
+    named = components(found).select(F.col("node").alias("class"), F.col("label").alias("component"))
+    return members.drop("component").join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def _all_links(rows: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links that join whatever is joined, from the classes' sets and the clusters they are in."""
+    sets = rows.where("set is not null").select("class", "n", "set").dropDuplicates(["class"])
+    placed = clusters.select(F.col("node").alias("class"), F.col("label").alias("cluster"))
+    members = shared.written(_dealt(placed.join(sets, "class").withColumn("component", F.col("class")), block, 0), "tree-leaves")
+    found = _verified(members.select(F.col("block").alias("unit"), F.lit(2).alias("side"), "class", "component", "set"), percent)
+    wide = members.where("large").drop("large")
+    now, level, salt = wide.count(), wide, 0
+    if not now:
+        return found
+    # Representatives stand for what is joined in their block, as long as that makes them far fewer.
+    while True:
+        marked = _joined(level, found)
+        one = marked.groupBy("cluster", "block", "component").agg(F.min("class").alias("class"))
+        kept = marked.join(one.select("class"), "class", "left_semi").drop("block")
+        salt += 1
+        dealt = shared.written(_dealt(kept, block, salt), "representatives")
+        left = dealt.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("large"), F.lit(False)).alias("large")).first()
+        if 2 * left.n > now:
+            break
+        now, level = left.n, dealt.drop("large")
+        found = found.union(_verified(level.select(F.col("block").alias("unit"), F.lit(2).alias("side"), "class", "component", "set"), percent))
+        if not left.large:
+            break
+    leaves = shared.written(_joined(wide, found), "tree-leaves")
+    pairs = _block_pairs(_nodes(leaves), percent)
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("first").alias("block")), F.struct(F.lit(1).alias("side"), F.col("second").alias("block"))))
+    units = pairs.select(F.xxhash64("first", "second").alias("unit"), side.alias("s")).select("unit", "s.*")
+    return found.union(_verified(units.join(leaves, "block"), percent))
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -255,30 +400,15 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id",
     rows = shared.written(_prefixes(chosen, k, percent, store, bits), "shingle-prefixes")
 
     postings = rows.where("prefix is not null").select("class", F.explode("prefix").alias("shingle")).distinct()
-    groups = postings.groupBy("shingle").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    groups = groups.select(F.col("shingle").cast("decimal(20,0)").alias("key"), "least")
-    together = postings.join(groups, F.col("shingle").cast("decimal(20,0)") == F.col("key")).select(F.col("class").alias("u"), F.col("least").alias("v"))
-    clusters = components(together)
-
-    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("size")).select(F.col("label").cast("decimal(20,0)").alias("key"), "size")
-    blocks = clusters.join(sizes, F.col("label").cast("decimal(20,0)") == F.col("key")).select(
-        F.col("node").alias("member"), F.col("label").alias("cluster"), F.ceil(F.col("size") / block).cast("int").alias("blocks")
-    ).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    sets = rows.where("set is not null").select("class", "set").dropDuplicates(["class"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    work = (
-        sets.join(blocks, F.col("class") == F.col("member")).select("cluster", "class", "block", other.alias("other"), "set")
-        .select("cluster", "class", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "set")
-        .select(F.xxhash64("cluster", "first", "second").alias("unit"), "*")
-        .repartition("unit").sortWithinPartitions("unit")
-    )
-    joined = components(_verified(work, percent)).select(F.col("node").alias("member"), "label")
-
-    named = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least_id"))
-    labelled = named.join(joined, F.col("class") == F.col("member"), "left").select("class", "least_id", F.coalesce("label", "class").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id")).select(F.col("label").cast("decimal(20,0)").alias("key"), "component_id")
-    of_class = labelled.join(least, F.col("label").cast("decimal(20,0)") == F.col("key")).select(F.col("class").cast("decimal(20,0)").alias("class_key"), "component_id")
-    full = rows.where("n > 0").join(of_class, F.col("class").cast("decimal(20,0)") == F.col("class_key")).select("id", "n", "component_id")
+    groups = postings.groupBy("shingle").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    together = met_hot(postings, groups, "shingle").select(F.col("class").alias("u"), F.col("least").alias("v"))
+    joined = components(_all_links(rows, components(together), percent, block)).select(F.col("node").alias("class"), "label")
+
+    named = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
+    labelled = shared.written(named.join(joined, "class", "left").withColumn("label", F.coalesce("label", "class")), "labelled")
+    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    of_class = met_hot(labelled.select("label", "class", F.col("rows").alias("copies")), least, "label").select("class", "component_id", F.col("copies").alias("rows"))
+    full = met_hot(rows.where("n > 0").select("id", "n", "class"), of_class, "class").select("id", "n", "component_id")
     empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.union(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 

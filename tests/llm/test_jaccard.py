@@ -112,3 +112,24 @@ def test_words_are_split_at_the_six_white_bytes():
     h, first, starts, ends, data = words.hash_text(column(texts), True)
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == [w for t in texts for w in split(t)]
     assert np.diff(first).tolist() == [len(split(t)) for t in texts]
+
+
+def test_one_cluster_of_many_near_copies(spark, monkeypatch):
+    """Far fewer pairs are checked than there are, and what only some members link to is found."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    texts = family(rng, base, 3000, 2) + [" ".join(base[:100] + [f"t{i}x{j}" for j in range(18)]) for i in range(200)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 100)
+    found = {r.doc_id: r.component_id for r in jaccard_join.link(docs(spark, rows), block=16).collect()}
+    s = sets(rows)
+    assert {found[i] for i in range(3000)} == {0}
+    for i in range(3000, 3200):
+        near = any(100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]) for j in range(3000))
+        assert found[i] == (0 if near else min(j for j in range(3000, 3200) if found[j] == found[i]))
+    checked = []
+    real = jaccard_join.np.searchsorted
+    names, own = list(range(500)), [np.sort(x) for x in jaccard_join.shingle_sets(column(texts[:500]), 5)]
+    monkeypatch.setattr(jaccard_join.np, "searchsorted", lambda *a, **k: checked.append(1) or real(*a, **k))
+    every = np.ones(500, bool)
+    assert len(list(jaccard_join.links(names, own, every, every, 75))) == 499 and len(checked) < 1000
