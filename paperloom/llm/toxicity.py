@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import shared, words
 
 SLOT_BITS = 22
-MAX_TRAIN = 20_000
+MAX_TRAIN = 12_000
 FACTORS = 8
 EPOCHS, LEAST_STEPS, BATCH = 8, 600, 256
 SHRINK, RATE = 0.073, 0.05
@@ -89,10 +89,11 @@ class _Batch:
 
     def __init__(self, lists: list[np.ndarray], y: np.ndarray):
         self.y, self.n = y.astype(np.float32), np.array([len(x) for x in lists])
-        self.known, self.inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        row = np.repeat(np.arange(len(lists)), self.n)
+        self.known, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        row = np.repeat(np.arange(len(lists), dtype=np.int16), self.n)
         order = np.argsort(self.inverse, kind="stable")
-        self.row, self.heads = row[order], np.flatnonzero(np.diff(self.inverse[order], prepend=-1))
+        self.row, self.heads = row[order], np.flatnonzero(np.diff(self.inverse[order], prepend=-1)).astype(np.int32)
         self.full = np.flatnonzero(self.n)
         self.starts = (np.cumsum(self.n) - self.n)[self.full]
 
@@ -198,6 +199,7 @@ def fit(
     place = np.full(1 << SLOT_BITS, -1, np.int32)
     place[slots] = np.arange(len(slots))
     lists = [x[x >= 0] for x in np.split(place[flat], np.cumsum(sizes)[:-1])]
+    del found, column, flat, place
     bias, p = _fitted(lists, y, len(slots), factors, epochs, least)
     counts = np.flatnonzero(p.any(axis=1))
     uri = shared.folder(docs.sparkSession, "toxicity")
