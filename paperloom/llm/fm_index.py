@@ -1,8 +1,7 @@
 """A compressed full-text index of number sequences: Burrows-Wheeler transform in a wavelet matrix.
 
-Sequences are read with a stride: the symbol after position i is the one at i + stride. Suffixes are
-ordered by their first `depth` symbols, which is as deep as patterns go. All queries of a batch are
-searched at once; each step of the backward search is one rank in each level of the matrix.
+Suffixes are ordered by their first `depth` symbols, which is as long as patterns are. All queries of a
+batch are searched at once; each step of the backward search is one rank in each level of the matrix.
 """
 
 from __future__ import annotations
@@ -45,43 +44,50 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of symbols with a stride; `last` is the last position of the sequence that each position is in."""
+    """Index of symbols of several sequences end to end; `last` is the last position of each position's sequence."""
 
-    def __init__(self, symbols: np.ndarray, last: np.ndarray, stride: int, depth: int):
+    def __init__(self, symbols: np.ndarray, last: np.ndarray, depth: int):
         distinct, code = np.unique(symbols, return_inverse=True)
-        self.code, self.stride, self.depth = (code + 1).astype(np.int32), stride, depth  # 0: no symbol
+        self.code, self.depth = (code + 1).astype(np.int32), depth  # 0: no symbol
         n, sigma = len(symbols), len(distinct) + 1
         place = np.arange(n)
-        order_key, reach = self.code.astype(np.int64), stride
-        for _ in range(depth - 1):
-            follows = place + reach <= last
-            after = np.zeros(n, np.int32)
-            after[follows] = self.code[place[follows] + reach]
-            if int(order_key.max(initial=0)) >= (1 << 62) // sigma:
-                order_key = np.unique(order_key, return_inverse=True)[1] + 1
-            order_key = order_key * sigma + after
-            reach += stride
-        self.order = np.argsort(order_key, kind="stable")
-        before = self.order - stride
+
+        def followed(left: np.ndarray, width: int, right: np.ndarray) -> np.ndarray:
+            """Ranks of the strings of which `left` ranks the first `width` symbols and `right` the next ones."""
+            after = np.zeros(n, np.int64)
+            inside = place + width <= last
+            after[inside] = right[place[inside] + width]
+            return np.unique(left * (int(right.max(initial=0)) + 1) + after, return_inverse=True)[1] + 1
+
+        # Strings of 1, 2, 4, ... symbols are ranked from those of half the length, and `depth` is put together.
+        power, width, whole, so_far, rest = self.code.astype(np.int64), 1, None, 0, depth
+        while rest:
+            if rest & 1:
+                whole = power if whole is None else followed(whole, so_far, power)
+                so_far += width
+            rest >>= 1
+            if rest:
+                power, width = followed(power, width, power), width * 2
+        self.string = whole  # equal where the next `depth` symbols are
+        order = np.argsort(whole, kind="stable")
         begins = np.concatenate([[0], np.flatnonzero(np.diff(last)) + 1]) if n else np.empty(0, np.int64)
         first = np.repeat(begins, np.diff(np.append(begins, n)))
-        previous = np.where(before >= first[self.order], self.code[np.maximum(before, 0)], 0)
-        self.matrix = WaveletMatrix(previous)
+        self.matrix = WaveletMatrix(np.where(order - 1 >= first[order], self.code[np.maximum(order - 1, 0)], 0))
         self.heads = np.concatenate([[0], np.cumsum(np.bincount(self.code, minlength=sigma))])
         # Suffixes of one symbol stand first among those that begin with it, and no suffix follows them.
-        self.ended = np.bincount(self.code[place + stride > last], minlength=sigma)
+        self.ended = np.bincount(self.code[place == last], minlength=sigma)
 
     def matching(self, positions: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-        """For the pattern of `depth` symbols at each position: how many of its last symbols occur, as a
-        string, `least` times or more, and (where all do) the first rank of its interval, else -1."""
+        """Matching statistics of the `depth` symbols from each position on: how many of the last of them
+        occur, as a string, `least` times or more, and (where all do) the first rank of their interval, else -1."""
         matched = np.zeros(len(positions), np.int32)
         interval = np.full(len(positions), -1, np.int64)
         live = np.arange(len(positions))
-        symbol = self.code[positions + (self.depth - 1) * self.stride]
+        symbol = self.code[positions + self.depth - 1]
         low, high = self.heads[symbol], self.heads[symbol + 1]
         for step in range(self.depth):
             if step:
-                symbol = self.code[positions[live] + (self.depth - 1 - step) * self.stride]
+                symbol = self.code[positions[live] + self.depth - 1 - step]
                 low, high = self.matrix.rank(symbol, low, high)
                 begin = self.heads[symbol] + self.ended[symbol]
                 low, high = low + begin, high + begin

@@ -5,19 +5,21 @@ earlier too: in a document of smaller id, or earlier in the same document.
 
 1. Each window has an anchor, the smallest hash of its `anchor` word runs, which equal windows share.
    All anchors are counted over all texts; a window whose anchor occurs once can't repeat.
-2. Tasks resolve what repeats inside one block of text themselves: of equal windows only the first is
-   sent on. Stretches of windows go to the shard of their anchor; windows with a very frequent anchor go
-   to the shard of their own hash, one by one, so no shard gathers what the whole corpus shares.
-3. Each shard indexes its stretches (symbols are hashes of `symbol` words, read with that stride) and
-   streams them through backward search. Matching statistics of `window` words or more are repeats; equal
-   windows have one interval, and all but the first document's are removed.
-4. Removed stretches are gathered by document and applied to its whole text.
+2. Of equal windows in one block of text only the first is sent on, in stretches, to the shard of its
+   anchor. A very frequent anchor has as many shards as its count asks for, dealt out by document.
+3. Each shard indexes its stretches, a word being a symbol, and streams them through backward search.
+   Matching statistics of `window` words are repeats; equal windows have one interval, and all but the
+   first document's are removed. What a frequent anchor's shards leave, at most one document's windows
+   from each, goes to the shards of the windows' own hashes and is judged there once more, so no shard
+   gathers what the whole corpus shares.
+4. Removed stretches are gathered by document and applied to its whole text. Texts that surely lose
+   nothing (a bitmap of fixed size tells) are not shuffled.
 
 Defined results: null text has no words; texts shorter than a window lose nothing; rows that repeat an id
 are judged each for itself (rows of one id don't remove each other's words), rows that repeat id and
 text alike; a null id counts as greater than all ids; very long texts are used whole; extra columns are
-ignored by `repeated_spans`, kept by `remove_repeats`; empty input gives no rows. Words are compared by
-40 and word runs by 64 bits of their hashes.
+ignored by `repeated_spans`, kept by `remove_repeats`; empty input gives no rows. Windows are equal if
+all their words are, which are compared by 40 bits of their hashes (by 64 in one block).
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import packed, shared, sorted_store, words
 from paperloom.llm.columns import free
+from paperloom.llm.exact_dedup import FILTER_BITS, _bitmap, _hit
 from paperloom.llm.fm_index import FMIndex
 
-WINDOW, ANCHOR, SYMBOL = 20, 4, 10
+WINDOW, ANCHOR = 20, 10
 ANCHOR_BITS = 48
 WORD_BITS = 40
-FREQUENT = 64
+FREQUENT = 4096
 SHARD_BITS = 2  # shards are four times as many as stores have files: a task indexes one small shard after the other
 LAST_ID = (1 << 63) - 1
 COUNT = (("count", np.uint32),)
@@ -135,8 +138,20 @@ def _runs(which: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(which)]]) - 1
 
 
+def _repeated(own: np.ndarray, h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Names of windows by their hashes `own`; a window with a hash of other words than the first one's has a name of its own."""
+    _, first, name = np.unique(own, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[name] != np.arange(len(own)))
+    x, y = starts[again], starts[first[name[again]]]
+    other = np.zeros(len(again), bool)
+    for j in range(window):
+        other |= h[x + j] != h[y + j]
+    name[again[other]] = len(first) + np.arange(other.sum())
+    return name
+
+
 def _send(docs: DataFrame, window: int, anchor: int, store_uri: str, bits: int, shard_bits: int, frequent: int) -> DataFrame:
-    """Stretches of windows that may repeat, by shard; kind 1: stretches already known to be later ones."""
+    """Stretches of windows that may repeat, by shard. kind 1: already known to be later ones; 2: of a frequent anchor."""
     cut = np.uint64(64 - ANCHOR_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,25 +164,29 @@ def _send(docs: DataFrame, window: int, anchor: int, store_uri: str, bits: int,
                 if not len(starts):
                     continue
                 distinct, inverse = np.unique(g[place] >> cut << cut, return_inverse=True)
-                count = store.find(distinct, "count")[1][inverse]
+                count = store.find(distinct, "count")[1][inverse].astype(np.int64)
                 may = count > 1
                 starts, place, count = starts[may], place[may], count[may]
                 if not len(starts):
                     continue
                 row = np.searchsorted(first, starts, "right") - 1
-                own = words.grams(h, window)[starts]
-                later = _later(own, ids[row], tags[row], starts)
+                later = _later(_repeated(words.grams(h, window)[starts], h, starts, window), ids[row], tags[row], starts)
                 known = starts[later], row[later]
                 a, b = _runs(*known)
                 yield from _batches(1, sorted_store.bucket_of(words.mix(tags[known[1][a]].view(np.uint64)), shard_bits), ids[known[1][a]], tags[known[1][a]], known[0][a] - first[known[1][a]], known[0][b] - known[0][a] + 1, None)
-                starts, row, place, count, own = (x[~later] for x in (starts, row, place, count, own))
-                often = count > frequent
-                a, b = _runs(starts, np.where(often, -1 - starts, place), row)  # a window's own key is never a place
-                route = np.where(often[a], own[a], words.mix(g[place[a]]))
+                starts, row, place, count = (x[~later] for x in (starts, row, place, count))
+                a, b = _runs(starts, place, row)
+                parts = -(-count[a] // frequent)
+                salt = (words.mix(tags[row[a]].view(np.uint64)) % parts.astype(np.uint64)) + np.uint64(1)
+                route = words.mix(g[place[a]] * salt)
                 length = starts[b] - starts[a] + window
-                offsets = np.concatenate([[0], np.cumsum(length)])
-                at = np.repeat(starts[a] - offsets[:-1], length) + np.arange(offsets[-1])
-                yield from _batches(0, sorted_store.bucket_of(route, shard_bits), ids[row[a]], tags[row[a]], starts[a] - first[row[a]], length, h[at] >> np.uint64(64 - WORD_BITS))
+                for kind, which in ((0, np.flatnonzero(parts == 1)), (2, np.flatnonzero(parts > 1))):
+                    if len(which):
+                        s, n = starts[a[which]], length[which]
+                        offsets = np.cumsum(n) - n
+                        at = np.repeat(s - offsets, n) + np.arange(n.sum())
+                        r = row[a[which]]
+                        yield from _batches(kind, sorted_store.bucket_of(route[which], shard_bits), ids[r], tags[r], s - first[r], n, h[at] >> np.uint64(64 - WORD_BITS))
 
     return docs.mapInArrow(run, "shard int, kind int, ids binary, tags binary, starts binary, lengths binary, words binary")
 
@@ -182,46 +201,74 @@ def _batches(kind: int, shard, ids, tags, starts, lengths, hashed) -> Iterator[p
         yield pa.RecordBatch.from_arrays(arrays, ["shard", "kind", "ids", "tags", "starts", "lengths", "words"])
 
 
-def _judge(sent: DataFrame, window: int, symbol: int) -> DataFrame:
-    """(id, tag, start, length) of stretches of windows to remove, from rows sorted by shard."""
+JUDGED = "id long, tag long, start long, length long, shard int, words binary"
+
+
+def _judge(sent: DataFrame, window: int, shard_bits: int) -> DataFrame:
+    """(id, tag, start, length) of stretches of windows to remove, from rows sorted by shard; with a shard
+    and words: single windows of kind 2 that are the first in this shard and are judged again in that one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in packed.by_key(batches):
-            held = {0: [], 1: []}
+            held, known = [], []
             for p in parts:
                 for kind, *blobs in zip(*(c.to_pylist() for c in p[1:]), strict=True):
-                    held[kind].append([np.frombuffer(blobs[0], "<i8"), np.frombuffer(blobs[1], "<i8"), packed.wide(blobs[2]), packed.wide(blobs[3]), packed.wide(blobs[4]) if kind == 0 else None])
-            for one in held[1]:
-                yield _result(*one[:4])
-            if not held[0]:
+                    row = [np.frombuffer(blobs[0], "<i8"), np.frombuffer(blobs[1], "<i8"), packed.wide(blobs[2]), packed.wide(blobs[3])]
+                    if kind == 1:
+                        known.append(row)
+                    else:
+                        held.append([*row, packed.wide(blobs[4]), np.full(len(row[0]), kind == 2)])
+            for one in known:
+                yield _result(*one)
+            if not held:
                 continue
-            ids, tags, starts, lengths, body = (np.concatenate(x) for x in zip(*held[0], strict=True))
+            ids, tags, starts, lengths, body, again = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            # Symbols begin at every word that has `symbol` words of its stretch from there on.
-            symbols = words.grams(body.view(np.uint64), symbol)
-            size = lengths - symbol + 1
-            place = np.concatenate([[0], np.cumsum(size)])
-            at = np.repeat(offsets[:-1] - place[:-1], size) + np.arange(place[-1])
-            index = FMIndex(symbols[at], np.repeat(place[1:] - 1, size), symbol, window // symbol)
+            begin = np.cumsum(lengths) - lengths
+            index = FMIndex(body, np.repeat(begin + lengths - 1, lengths), window)
             count = lengths - window + 1
             stretch = np.repeat(np.arange(len(lengths)), count)
             inner = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
-            matched, interval = index.matching(place[stretch] + inner)
-            found = np.flatnonzero(matched == window // symbol)
-            if not len(found):
-                continue
+            at = begin[stretch] + inner
+            _, one, which = np.unique(index.string[at], return_index=True, return_inverse=True)
+            matched, interval = (x[which] for x in index.matching(at[one]))  # each different window is searched once
+            found = np.flatnonzero(matched == window)
             s, start = stretch[found], starts[stretch[found]] + inner[found]
-            later = _later(interval[found], ids[s], tags[s], start)
-            s, start, found = s[later], start[later], found[later]
-            a, b = _runs(found, s)
-            yield _result(ids[s[a]], tags[s[a]], start[a], start[b] - start[a] + 1)
+            late = np.zeros(len(stretch), bool)
+            if len(found):
+                late[found] = _later(interval[found], ids[s], tags[s], start)
+                found = found[late[found]]
+                s, start = stretch[found], starts[stretch[found]] + inner[found]
+                a, b = _runs(found, s)
+                yield _result(ids[s[a]], tags[s[a]], start[a], start[b] - start[a] + 1)
+            left = np.flatnonzero(again[stretch] & ~late)
+            if len(left):
+                own = sorted_store.bucket_of(words.grams(body.view(np.uint64), window)[at[left]], shard_bits)
+                s = stretch[left]
+                texts = body[at[left][:, None] + np.arange(window)]
+                arrays = [ids[s], tags[s], starts[s] + inner[left], np.full(len(left), window)]
+                rows = [pa.array(x.astype(np.int64)) for x in arrays] + [pa.array(own, pa.int32()), pa.array([packed.narrow(x) for x in texts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, ["id", "tag", "start", "length", "shard", "words"])
+
+    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, JUDGED)
+
+
+def _again(left: DataFrame) -> DataFrame:
+    """Single windows as rows that can be judged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[np.array([v], "<i8").tobytes() for v in batch.column(c).to_pylist()] for c in (0, 1)]
+            numbers = [[packed.narrow(np.array([v])) for v in batch.column(c).to_pylist()] for c in (2, 3)]
+            arrays = [batch.column(4), pa.array([0] * batch.num_rows, pa.int32()), *(pa.array(x, pa.binary()) for x in (*lists, *numbers)), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(arrays, ["shard", "kind", "ids", "tags", "starts", "lengths", "words"])
 
-    return sent.mapInArrow(run, "id long, tag long, start long, length long")
+    return left.select("id", "tag", "start", "length", "shard", "words").mapInArrow(run, "shard int, kind int, ids binary, tags binary, starts binary, lengths binary, words binary")
 
 
 def _result(ids, tags, starts, lengths) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids, tags, starts, lengths)], ["id", "tag", "start", "length"])
+    none = [pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids, tags, starts, lengths)] + none, ["id", "tag", "start", "length", "shard", "words"])
 
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -229,32 +276,36 @@ def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR,
-    symbol: int = SYMBOL, frequent: int = FREQUENT,
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, frequent: int = FREQUENT
+) -> DataFrame:
     """(id, tag, spans): for each document with repeats, (first word, word after the last) of its stretches.
 
-    window must be a multiple of symbol. tag tells texts of one id apart: xxhash64 of the text.
+    tag tells texts of one id apart: xxhash64 of the text.
     """
-    if window % symbol or anchor > window:
-        raise ValueError(f"window {window} must be a multiple of symbol {symbol} and not below anchor {anchor}")
+    if not 0 < anchor <= window:
+        raise ValueError(f"an anchor has 1 to {window} words, not {anchor}")
     spark = docs.sparkSession
     tagged = _tagged(docs, id_col, text_col)
     store, bits = shared.folder(spark, "anchors"), sorted_store.bits_for(spark)
     _count_anchors(tagged.select("text"), window, anchor, store, bits)
-    sent = _send(tagged, window, anchor, store, bits, bits + SHARD_BITS, frequent).repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    found = _judge(sent, window, symbol)
+    sent = _send(tagged, window, anchor, store, bits, bits + SHARD_BITS, frequent)
+    judged = shared.written(_judge(sent, window, bits + SHARD_BITS), "judged")
+    found, left = judged.where("shard is null"), judged.where("shard is not null")
+    if not left.isEmpty():
+        found = found.union(_judge(_again(left), window, bits + SHARD_BITS).where("shard is null"))
     pair = F.struct(F.col("start"), (F.col("start") + F.col("length") + (window - 1)).alias("end"))
     return found.groupBy("id", "tag").agg(F.sort_array(F.collect_list(pair)).alias("spans"))
 
 
 def _applied(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """docs with a further column of spans, and that column's name."""
+    """docs with a further column of spans, and that column's name. Only texts that may have spans are shuffled."""
     key, tag, name = free(docs, "_id", "_tag", "_spans")
-    named = spans.select(F.col("id").alias(key), F.col("tag").alias(tag), F.col("spans").alias(name))
-    same_id = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == named[key]
-    same_text = F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == named[tag]
-    return docs.join(named, same_id & same_text, "left"), name
+    named = shared.written(spans.select(F.col("id").alias(key), F.col("tag").alias(tag), F.col("spans").alias(name)), "repeated-spans")
+    own_id, own_tag = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    may = _hit(_bitmap(named, F.xxhash64(key, tag), FILTER_BITS), F.xxhash64(own_id, own_tag), FILTER_BITS)
+    whole = docs.where(~may).withColumn(name, F.lit(None).cast(named.schema[name].dataType))
+    met = docs.where(may).join(named, (own_id == named[key]) & (own_tag == named[tag]), "left").drop(key, tag)
+    return whole.unionByName(met), name
 
 
 def kept_words(text: str | None, spans) -> tuple[list[bytes], int]:
@@ -290,12 +341,14 @@ def digests(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, gone = kept_words(text, spans)
-                out.append((len(kept) + gone, gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, gone, digest = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
+            named = pa.RecordBatch.from_arrays(batch.columns, ["id", "text", "spans"])
+            for block in words.blocks(named, "text"):
+                out = []
+                for text, spans in zip(block.column(1).to_pylist(), block.column(2).to_pylist(), strict=True):
+                    kept, gone = kept_words(text, spans)
+                    out.append((len(kept) + gone, gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
+                n, gone, digest = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
 
     kind = joined.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
