@@ -1,11 +1,13 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and mapped by workers.
+"""An interpolated modified Kneser-Ney n-gram model of any order from 2 on, counted in Spark and mapped by workers.
 
-Tokens are words (A-Z lower-cased) and one end token after each text, which is the context of a text's
-first word too. Counting takes two passes. The first counts words; their hashes, sorted in files by
-leading bits, give each word an id. The second counts pairs of ids: tasks send sorted, difference-coded
-lists of pairs to buckets by hash, so a very common word is spread over all buckets and no row is a
-single count. Each bucket writes its pairs as a sorted hash array with counts and sends on what it knows
-of contexts and of words, which is summed by ranges of ids. The driver sees counts of counts only.
+Tokens are words (A-Z lower-cased) and one end token after each text; end tokens are also the context of a
+text's first words. A first pass counts words; their hashes, sorted in files by leading bits, give each
+word an id. A second pass counts n-grams of the highest order: tasks send columns of ids, compressed, to
+buckets by the hash of the context. A bucket writes its n-grams as sorted hash arrays with counts, and its
+contexts with what their probabilities need; an n-gram without its first word goes on to the next lower
+order, whose counts are continuation counts: how many different words stand before it. Bigrams are dealt
+out by their own hash, as a common word has very many, and what they say of contexts and of words is
+summed by ranges of ids. The driver sees counts of counts only.
 
 All counts cover all training texts; nothing is pruned. Probabilities sum to one over the words seen
 and one unknown word.
@@ -13,7 +15,7 @@ and one unknown word.
 Defined results: null text is empty: one end token; repeated rows count as often as they occur; a null
 id has no remainder, so by default its row is scored and not learned from; very long texts are scored
 whole; extra columns are ignored; without training texts every probability is one; empty input gives no
-rows.
+rows. n-grams of three words and more are told apart by hashes (see `gram_store`).
 """
 
 from __future__ import annotations
@@ -26,26 +28,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm import packed, shared, sorted_store, words
+from paperloom.llm import gram_store, packed, shared, sorted_store, words
 
+ORDER = 3
+FLUSH = 1_500_000
 END = np.uint64(0x5E5E5E5E5E5E5E5F)
 UNIGRAM = (("count", np.int64),)
-BIGRAM = (("count", np.uint32),)
-RANGES = {"n1": np.uint32, "n2": np.uint32, "n3": np.uint32, "total": np.int64, "before": np.uint32}
+RANGES = {"n1": np.int64, "n2": np.int64, "n3": np.int64, "total": np.int64, "before": np.int64}
+CONTEXT = ("n1", "n2", "n3", "total")
 
 
 @dataclass(frozen=True)
 class Model:
+    """`grams` and `contexts` have a folder for each order from 2 on; `discounts` three numbers for each order from 1 on."""
+
+    order: int
     unigrams: str
-    bigrams: str
-    contexts: str
+    grams: tuple[str, ...]
+    contexts: tuple[str, ...]
     bits: int
     tokens: int
     types: int
     span: int
-    discounts: tuple[float, float, float]
-    low_discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]
     pairs: int
+    rest: float
 
 
 def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -94,56 +101,104 @@ def _ids(store: sorted_store.Store, h: np.ndarray) -> np.ndarray:
     return store.find(distinct)[0][inverse]
 
 
-def _previous(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[first[:-1]] = end
-    return before
+def _history(ids: np.ndarray, first: np.ndarray, back: int, end: int) -> np.ndarray:
+    """The id that stands `back` places before each token in its row, the end token's before the row."""
+    out = np.empty_like(ids)
+    out[back:] = ids[: len(ids) - back]
+    place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    out[place < back] = end
+    return out
 
 
-def _count_pairs(texts: DataFrame, unigrams: str, bigrams: str, contexts: str, bits: int, types: int, span: int) -> DataFrame:
-    """Write the pair store and the context arrays; rows (kind, value, how many) of counts of counts."""
+def _sent_pairs(columns: list[np.ndarray], n: np.ndarray, types: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Bigrams and their counts for each bucket of their own hash."""
+    keys = columns[0].astype(np.int64) * types + columns[1]
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    for b, at in packed.buckets(keys, sorted_store.bucket_of(words.mix(keys.view(np.uint64)), bits)):
+        yield _blob(b, [np.diff(keys[at], prepend=0), n[at]])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, held = sorted_store.opened(unigrams, bits, UNIGRAM), packed.Counter()
-        end = int(store.find(np.array([END]))[0][0])
 
-        def out():
-            keys, n = held.take()
-            bucket = sorted_store.bucket_of(words.mix(keys.view(np.uint64)), bits)
-            order = np.argsort(bucket, kind="stable")
-            keys, n, bucket = keys[order], n[order], bucket[order]
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            for start, stop in zip(edges[:-1], edges[1:], strict=True):
-                if stop > start:
-                    a, b = packed.narrow(np.diff(keys[start:stop], prepend=0)), packed.narrow(n[start:stop])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([bucket[start]], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["bucket", "pairs", "n"]
-                    )
+def _sent_grams(columns: list[np.ndarray], n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Longer n-grams and their counts for each bucket of their context."""
+    bucket = sorted_store.bucket_of(gram_store.of_context(columns), bits)
+    for b, at in packed.buckets(columns[0], bucket):
+        at = at[np.lexsort([c[at] for c in columns[::-1]])]
+        yield _blob(b, [np.diff(columns[0][at], prepend=0), *(c[at] for c in columns[1:]), n[at]])
+
+
+def _blob(bucket: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([gram_store.squeeze(arrays)], pa.binary())], ["bucket", "data"])
+
 
+def _sent(order: int, columns: list[np.ndarray], n: np.ndarray, types: int, bits: int) -> Iterator[pa.RecordBatch]:
+    return _sent_pairs(columns, n, types, bits) if order == 2 else _sent_grams(columns, n, bits)
+
+
+def _count_highest(texts: DataFrame, order: int, unigrams: str, bits: int, types: int) -> DataFrame:
+    """n-grams of the highest order, by bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, held = sorted_store.opened(unigrams, bits, UNIGRAM), gram_store.Counter(FLUSH)
+        end, kind = int(store.find(np.array([END]))[0][0]), np.int32 if types < 1 << 31 else np.int64
         for batch in batches:
             for block in words.blocks(batch, "text"):
                 h, first = _tokens(block.column(0))
-                ids = _ids(store, h)
-                if held.add(_previous(ids, first, end) * types + ids):
-                    yield from out()
-        yield from out()
+                ids = _ids(store, h).astype(kind)
+                if held.add([_history(ids, first, back, end) for back in range(order - 1, 0, -1)] + [ids]):
+                    yield from _sent(order, *held.take(), types, bits)
+        if (last := held.take()) is not None:
+            yield from _sent(order, *last, types, bits)
+
+    return texts.mapInArrow(count, "bucket int, data binary")
+
+
+def _tops(n: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(n, 5), minlength=5)[1:5]
+
+
+def _by_class(n: np.ndarray, heads: np.ndarray) -> list[np.ndarray]:
+    """For each group that begins at a head: how many counts are 1, 2, and 3 or more, and their sum."""
+    return [np.add.reduceat(x.astype(np.int64), heads) for x in (n == 1, n == 2, n >= 3, n)]
+
+
+def _lowered(sent: DataFrame, order: int, grams: str, contexts: str, bits: int, types: int, end: int) -> DataFrame:
+    """Write the stores of one order above 2, with counts of counts; the n-grams of the next lower order by bucket."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, parts in packed.by_key(batches):
+            blobs = [gram_store.unsqueeze(x) for p in parts for x in p[1].to_pylist()]
+            columns = [np.concatenate([np.cumsum(b[0]) if c == 0 else b[c] for b in blobs]) for c in range(order)]
+            columns, n = gram_store.merged(columns, np.concatenate([b[order] for b in blobs]))
+            del blobs
+            context = gram_store.of_context(columns)
+            gram_store.save(grams, bucket, bits, gram_store.under(context, gram_store.hashes(columns), bits), {"count": n})
+            by = np.argsort(context, kind="stable")
+            heads = np.flatnonzero(np.diff(context[by], prepend=~context[by[:1]]))
+            stats = _by_class(n[by], heads)
+            # A context that occurs once is known from its own n-gram, unless that ends with an end token.
+            kept = (stats[3] > 1) | (columns[order - 2][by[heads]] == end)
+            gram_store.save(contexts, bucket, bits, context[by[heads]][kept], {name: x[kept] for name, x in zip(CONTEXT, stats, strict=True)})
+            shared.put(f"{grams}/{bucket:06d}-tops", _tops(n))
+            yield from _sent(order - 1, *gram_store.merged(columns[1:], np.ones(len(n), np.int64)), types, bits)
+
+    in_buckets = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    return in_buckets.mapInArrow(put, "bucket int, data binary")
+
+
+def _count_pairs(sent: DataFrame, bigrams: str, contexts: str, bits: int, types: int, span: int) -> DataFrame:
+    """Write the bigram store and the context arrays; rows (kind, value, how many) of counts of counts."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, parts in packed.by_key(batches):
-            keys = np.concatenate([np.cumsum(packed.wide(x)) for p in parts for x in p[1].to_pylist()])
-            n = np.concatenate([packed.wide(x) for p in parts for x in p[2].to_pylist()])
-            keys, n = packed.merged(keys, n)
-            h = words.mix(keys.view(np.uint64))
-            order = np.argsort(h)
-            sorted_store.save(bigrams, "hash", bucket, h[order])
-            sorted_store.save(bigrams, "count", bucket, n[order].astype(np.uint32))
-            tops = np.bincount(np.minimum(n, 5), minlength=5)[1:5]
-            yield _row(-1, 0, tops, np.array([len(n)]))
+            blobs = [gram_store.unsqueeze(x) for p in parts for x in p[1].to_pylist()]
+            keys, n = packed.merged(np.concatenate([np.cumsum(b[0]) for b in blobs]), np.concatenate([b[1] for b in blobs]))
+            del blobs
+            gram_store.save(bigrams, bucket, bits, words.mix(keys.view(np.uint64)), {"count": n})
+            yield _row(-1, 0, _tops(n), np.array([len(n)]))
             left, right = keys // types, keys % types
             heads = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
-            parts_of = [np.add.reduceat((n == 1).astype(np.int64), heads), np.add.reduceat((n == 2).astype(np.int64), heads), np.add.reduceat((n >= 3).astype(np.int64), heads), np.add.reduceat(n, heads)]
-            yield from _by_range(0, left[heads], parts_of, span)
+            yield from _by_range(0, left[heads], _by_class(n, heads), span)
             word, before = np.unique(right, return_counts=True)
             yield from _by_range(1, word, [before], span)
 
@@ -167,8 +222,8 @@ def _count_pairs(texts: DataFrame, unigrams: str, bigrams: str, contexts: str, b
             tops = np.bincount(np.minimum(sums["before"], 5), minlength=5)[1:5]
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([tops.tolist()], pa.list_(pa.int64())), pa.array([0])], ["kind", "tops", "size"])
 
-    sent = texts.mapInArrow(count, "bucket int, pairs binary, n binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-    known = sent.mapInArrow(put, "part int, kind int, ids binary, data binary").repartition(1 << bits, "part").sortWithinPartitions("part")
+    in_buckets = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    known = in_buckets.mapInArrow(put, "part int, kind int, ids binary, data binary").repartition(1 << bits, "part").sortWithinPartitions("part")
     return known.mapInArrow(gather, "kind int, tops array<long>, size long")
 
 
@@ -194,20 +249,33 @@ def _discounts(tops: np.ndarray) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * ratio[k - 1], 0.01), k - 0.01) for k in (1, 2, 3))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """A model of the texts; order is the length of its longest n-grams, 2 at least."""
+    if order < 2:
+        raise ValueError(f"the order is 2 at least, not {order}")
     spark = docs.sparkSession
     texts, bits = docs.select(F.col(text_col).alias("text")), sorted_store.bits_for(spark)
-    unigrams, bigrams, contexts = (shared.folder(spark, f"lm-{x}") for x in ("words", "pairs", "contexts"))
+    unigrams = shared.folder(spark, "lm-words")
+    grams, contexts = (tuple(shared.folder(spark, f"lm-{name}-{k}") for k in range(2, order + 1)) for name in ("grams", "contexts"))
     tokens, types = _count_words(texts, unigrams, bits)
     span = max(1, -(-types // (1 << bits)))
-    tops, pairs = {0: np.zeros(4), 1: np.zeros(4)}, 0
+    tops, pairs = {k: np.zeros(4) for k in range(1, order + 1)}, 0
     if types:
-        for row in _count_pairs(texts, unigrams, bigrams, contexts, bits, types, span).groupBy("kind").agg(
+        end = int(sorted_store.Store(unigrams, bits, dict(UNIGRAM)).find(np.array([END]))[0][0])
+        sent = _count_highest(texts, order, unigrams, bits, types)
+        for k in range(order, 2, -1):
+            sent = _lowered(sent, k, grams[k - 2], contexts[k - 2], bits, types, end)
+        for row in _count_pairs(sent, grams[0], contexts[0], bits, types, span).groupBy("kind").agg(
             *(F.sum(F.col("tops")[i]).alias(f"t{i}") for i in range(4)), F.sum("size").alias("size")
         ).collect():
-            tops[row.kind] = np.array([row.t0, row.t1, row.t2, row.t3], float)
+            tops[2 - row.kind] = np.array([row.t0, row.t1, row.t2, row.t3], float)
             pairs += row["size"]
-    return Model(unigrams, bigrams, contexts, bits, tokens, types, span, _discounts(tops[0]), _discounts(tops[1]), pairs)
+        for k in range(3, order + 1):  # four numbers for each bucket
+            tops[k] = np.sum([shared.mapped(x, np.int64) for x in shared.listed(grams[k - 2]) if x.endswith("-tops")], axis=0).astype(float)
+    discounts = tuple(_discounts(tops[k]) for k in range(1, order + 1))
+    # What the lowest order takes from its words: every word stands after something.
+    taken = np.array([tops[1][0], tops[1][1], types - tops[1][0] - tops[1][1]]) @ np.array(discounts[0])
+    return Model(order, unigrams, grams, contexts, bits, tokens, types, span, discounts, pairs, float(taken) / max(1, pairs))
 
 
 class Scorer:
@@ -216,9 +284,10 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.words = sorted_store.opened(model.unigrams, model.bits, UNIGRAM)
-        self.pairs = sorted_store.opened(model.bigrams, model.bits, BIGRAM)
+        self.grams = [gram_store.Store(uri, model.bits, ("count",)) for uri in model.grams]
+        self.contexts = [None, *(gram_store.Store(uri, model.bits, CONTEXT) for uri in model.contexts[1:])]
         parts = -(-model.types // model.span) if model.types else 0
-        self.ranges = {n: [shared.mapped(f"{model.contexts}/{n}-{p:06d}", k) for p in range(parts)] for n, k in RANGES.items()}
+        self.ranges = {n: [shared.mapped(f"{model.contexts[0]}/{n}-{p:06d}", k) for p in range(parts)] for n, k in RANGES.items()}
 
     def _of(self, name: str, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), RANGES[name])
@@ -235,50 +304,61 @@ class Scorer:
         distinct, inverse = np.unique(h, return_inverse=True)
         ids, counts = self.words.find(distinct, "count")
         base = np.log10((counts + 0.1) / (m.tokens + 0.1 * (m.types + 1)))
-        low, keep, total = self._low(ids), *self._context(ids)
-        token = ids[inverse]
-        end = int(np.searchsorted(distinct, END))
-        place = _previous(inverse, first, end)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            probability = low[inverse] * keep[place]
-            both = np.flatnonzero((token >= 0) & (total[place] > 0))
-            pair = words.mix((ids[place[both]] * m.types + token[both]).view(np.uint64))
-            order = np.argsort(pair)
-            _, seen = self.pairs.find(pair[order], "count")
-            n = np.empty(len(both), np.float64)
-            n[order] = seen
-            cut = np.array([0.0, *m.discounts])[np.minimum(n, 3).astype(np.int64)]
-            probability[both] += (n - cut) / total[place[both]]
+        if m.types:
+            probability = self._interpolated(ids, inverse, first, int(np.searchsorted(distinct, END)))
+        else:
+            probability = np.ones(len(h))
         edges = first[:-1]
         sums = [np.add.reduceat(x, edges) if len(edges) else x[:0] for x in ((counts > 0)[inverse].astype(np.int64), base[inverse], np.log10(probability))]
         return np.diff(first), *sums
 
-    def _low(self, ids: np.ndarray) -> np.ndarray:
+    def _interpolated(self, known: np.ndarray, inverse: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+        """Probability of each token, from the lowest order up; known: ids of the distinct words, -1 unknown."""
+        m, ids = self.model, known[inverse]
+        probability = self._words(known)[inverse]
+        history = [ids]
+        seen = np.zeros(len(ids), np.int64)  # counts of the n-grams of the order before that end at each token
+        for k in range(2, m.order + 1):
+            history.insert(0, known[_history(inverse, first, k - 1, end)])
+            whole = np.all([c >= 0 for c in history[:-1]], axis=0)
+            if k == 2:
+                before = _history(inverse, first, 1, end)
+                stats = [x[before] for x in (self._of(name, known) for name in CONTEXT)]
+                at = np.flatnonzero(whole & (ids >= 0) & (stats[3] > 0))
+                key = words.mix((history[0][at] * m.types + ids[at]).view(np.uint64))
+            else:
+                asked = np.flatnonzero(whole)
+                context = gram_store.of_context([c[asked] for c in history])
+                stats = [np.zeros(len(ids), np.int64) for _ in CONTEXT]
+                for s, x in zip(stats, self._found(self.contexts[k - 2], context), strict=True):
+                    s[asked] = x
+                once = np.concatenate([[0], seen[:-1]]) > 0  # the context is the n-gram that ends one token before
+                once[first[:-1]] = False
+                once &= whole & (stats[3] == 0) & (history[-2] != known[end])
+                stats[0][once] = stats[3][once] = 1
+                at = np.flatnonzero(whole & (ids >= 0) & (stats[3] > 0))
+                own = [c[at] for c in history]
+                key = gram_store.under(gram_store.of_context(own), gram_store.hashes(own), m.bits)
+            n = np.zeros(len(ids), np.int64)
+            n[at] = self._found(self.grams[k - 2], key)[0]
+            d = np.array([0.0, *m.discounts[k - 1]])
+            total = np.maximum(stats[3], 1)
+            mass = sum(d[i + 1] * stats[i] for i in range(3))
+            probability = np.where(stats[3] > 0, (n - d[np.minimum(n, 3)]) / total + mass / total * probability, probability)
+            seen = n
+        return probability
+
+    @staticmethod
+    def _found(store: gram_store.Store, h: np.ndarray) -> list[np.ndarray]:
+        distinct, inverse = np.unique(h, return_inverse=True)
+        return [x[inverse] for x in store.find(distinct)]
+
+    def _words(self, ids: np.ndarray) -> np.ndarray:
         """Probability of a word by how many words it follows, interpolated with all words alike."""
         m = self.model
-        if not m.types:
-            return np.ones(len(ids))
-        before = self._of("before", ids).astype(np.float64)
-        d = m.low_discounts
-        cut = np.array([0.0, *d])[np.minimum(before, 3).astype(np.int64)]
-        return (before - cut) / m.pairs + self._low_rest() / (m.types + 1)
-
-    def _low_rest(self) -> float:
-        if not hasattr(self, "rest"):
-            taken = 0.0
-            for part in self.ranges["before"]:
-                n = np.bincount(np.minimum(part, 3), minlength=4)
-                taken += float((n[1:4] * np.array(self.model.low_discounts)).sum())
-            self.rest = taken / self.model.pairs
-        return self.rest
-
-    def _context(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of the lower order after each word, and how often the word is a context."""
-        total = self._of("total", ids).astype(np.float64) if self.model.types else np.zeros(len(ids))
-        if not self.model.types:
-            return np.ones(len(ids)), total
-        mass = sum(d * self._of(n, ids) for d, n in zip(self.model.discounts, ("n1", "n2", "n3"), strict=True))
-        return np.where(total > 0, mass / np.maximum(total, 1), 1.0), total
+        before = self._of("before", ids)
+        cut = np.array([0.0, *m.discounts[0]])[np.minimum(before, 3)]
+        return (before - cut) / m.pairs + m.rest / (m.types + 1)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
