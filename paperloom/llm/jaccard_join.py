@@ -44,7 +44,7 @@ DF_BITS = 48
 BLOCK = 64
 FAN = 8
 NODE_BITS = 2048
-HOT_ROWS, HOT_KEYS = 1000, 100_000
+HOT_ROWS, HOT_KEYS = 200, 100_000
 DF = (("df", np.uint32),)
 
 
@@ -362,9 +362,10 @@ def _joined(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def _all_links(rows: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
     """Links that join whatever is joined, from the classes' sets and the clusters they are in."""
-    sets = rows.where("set is not null").select("class", "n", "set").dropDuplicates(["class"])
-    placed = clusters.select(F.col("node").alias("class"), F.col("label").alias("cluster"))
-    members = shared.written(_dealt(placed.join(sets, "class").withColumn("component", F.col("class")), block, 0), "tree-leaves")
+    known = rows.where("set is not null")
+    sets, sizes = known.select("class", "set").dropDuplicates(["class"]), known.select("class", "n").distinct()
+    placed = clusters.select(F.col("node").alias("class"), F.col("label").alias("cluster")).join(sizes, "class")
+    members = shared.written(_dealt(placed.withColumn("component", F.col("class")), block, 0).join(sets, "class"), "tree-leaves")
     found = _verified(members.select(F.col("block").alias("unit"), F.lit(2).alias("side"), "class", "component", "set"), percent)
     wide = members.where("large").drop("large")
     now, level, salt = wide.count(), wide, 0
@@ -399,8 +400,10 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id",
     _frequencies(chosen.select("text"), k, store, bits)
     rows = shared.written(_prefixes(chosen, k, percent, store, bits), "shingle-prefixes")
 
-    postings = rows.where("prefix is not null").select("class", F.explode("prefix").alias("shingle")).distinct()
-    groups = postings.groupBy("shingle").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # A class may stand in several tasks' rows: its repeats cost a row each and link it with itself only.
+    postings = rows.where("prefix is not null").select("class", F.explode("prefix").alias("shingle"))
+    groups = postings.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("rows"))
+    groups = groups.where("least <> most").drop("most")
     together = met_hot(postings, groups, "shingle").select(F.col("class").alias("u"), F.col("least").alias("v"))
     joined = components(_all_links(rows, components(together), percent, block)).select(F.col("node").alias("class"), "label")
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from paperloom.llm import components, jaccard_join, words
 
@@ -56,9 +57,10 @@ def fixture():
     return [*((i, t) for i, t in enumerate(texts)), (None, texts[0]), (3, texts[3]), (None, None)]
 
 
-def test_components_equal_brute_force(spark):
+def test_components_equal_brute_force(spark, monkeypatch):
     rows = fixture()
-    for block in (64, 7):
+    for block, one_task in ((64, 1 << 20), (7, 0)):
+        monkeypatch.setattr(components, "ONE_TASK_EDGES", one_task)
         found = jaccard_join.link(docs(spark, rows), block=block).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
 
@@ -95,7 +97,9 @@ def test_dual_traversal_loses_no_pair():
                     assert got[i, j] >= n
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", one_task)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 40)] + [(39, 200), (7, 7)]
     found = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert {found[i] for i in range(100, 161)} == {100} and {found[i] for i in [*range(5, 40), 200]} == {5}
