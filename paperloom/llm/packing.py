@@ -5,7 +5,8 @@ at most `capacity` numbers, however large the corpus. For each bin the longest p
 and a bitset subset-sum over the lengths still available finds the fullest feasible combination;
 the combination is then removed as often as the counts allow, which is what choosing it anew for
 bin after bin would do. Short pieces may be held back for the slack that is left (see `combinations`). Spark does the rest: tokens are counted in tasks, each piece gets its rank
-among those of its length (ranks are dealt out over `lanes`, so one common length is no hot group)
+among those of its length (ranks are dealt out by lanes, one for each task of the input, so that one
+common length is no hot group at any size)
 and the rank says which copy of which combination, and which place in it, the piece takes.
 
 Defined results: null text is empty and is one piece with the end token alone; a document longer than
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, shared, words
 
-LANES = 256
+PLAN_ROWS = 1_000_000
 RESERVES = (0, 4, 8, 16, 32, 64, 128, 256)
 
 
@@ -117,7 +118,7 @@ def places(plan: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, int
 
 def pieces(
     docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = False, lanes: int = LANES,
+    with_ids: bool = False,
 ) -> DataFrame:
     """id, piece, start, length, ids_crc32, lane (and ids) of every piece of every row."""
     chosen = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -144,8 +145,7 @@ def pieces(
                         at, stop = stop, stop + capacity
                 arrays = [block.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
                 arrays += [pa.array(x, pa.int64()) for x in (start, length, crc)]
-                arrays.append(pa.array((np.arange(len(row)) + lane) % lanes, pa.int32()))
-                lane += len(row)
+                arrays.append(pa.array(np.full(len(row), lane), pa.int32()))
                 if with_ids:
                     arrays.append(pa.array(lists, pa.list_(pa.int32())))
                 names = [id_col, "piece", "start", "length", "ids_crc32", "lane", "ids"]
@@ -158,14 +158,15 @@ def pieces(
 
 def pack(
     docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id",
-    text_col: str = "text", with_ids: bool = False, lanes: int = LANES,
+    text_col: str = "text", with_ids: bool = False,
 ) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    cut = shared.written(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids, lanes), "pieces")
-    in_lane = cut.groupBy("length", "lane").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * lanes rows
+    cut = shared.written(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids), "pieces")
+    in_lane = cut.groupBy("length", "lane").agg(F.count(F.lit(1)).alias("n"))  # a few rows for each task
     histogram = {row.length: row.n for row in in_lane.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     schema = "place_length long, first long, after long, per_bin long, first_bin long, first_offset long"
-    plan = docs.sparkSession.createDataFrame(places(combinations(histogram, capacity)), schema)
+    placed = places(combinations(histogram, capacity))
+    plan = docs.sparkSession.createDataFrame(placed, schema)
 
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = in_lane.select("length", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -174,10 +175,11 @@ def pack(
         cut.withColumn("place", F.row_number().over(order) - 1)
         .join(starts, ["length", "lane"]).withColumn("rank", F.col("before") + F.col("place"))
     )
-    # The plan has a few rows for each length, at most capacity lengths: its size is bounded.
+    # The plan has a few rows for each of at most capacity lengths; beyond PLAN_ROWS it isn't broadcast.
+    plan = F.broadcast(plan) if len(placed) <= PLAN_ROWS else plan
     fits = (F.col("length") == F.col("place_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))
     step = F.col("rank") - F.col("first")
-    return ranked.join(F.broadcast(plan), fits).select(
+    return ranked.join(plan, fits).select(
         id_col, "piece", "start", "length", "ids_crc32",
         (F.col("first_bin") + F.expr("(rank - first) div per_bin")).alias("sequence_id"),
         (F.col("first_offset") + step % F.col("per_bin") * F.col("length")).alias("offset"),

@@ -1,7 +1,7 @@
 """The folder that driver and executors share, and what the operators keep in it.
 
 The folder is ``spark.checkpoint.dir`` as the session has it. Only where it is unset (tests, a
-laptop) a temporary one is made and set. Nothing is written to machine-local folders on a cluster.
+laptop) a temporary one is made and set, and only for a local master: on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def root(spark: SparkSession) -> str:
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="paperloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -91,7 +91,7 @@ def test_fullest_combination_equals_brute_force():
 @pytest.mark.parametrize("capacity", [8, 64])
 def test_packing_is_whole_and_gapless(spark, capacity):
     rows = [*ROWS, *((200 + i, "word " * (i % 13)) for i in range(300))]
-    found = packing.pack(docs(spark, rows), VOCABULARY, capacity=capacity, with_ids=True, lanes=3).collect()
+    found = packing.pack(docs(spark, rows).repartition(3), VOCABULARY, capacity=capacity, with_ids=True).collect()
     by_doc, by_bin = {}, {}
     for r in found:
         by_doc.setdefault(r.doc_id, []).append(r)
