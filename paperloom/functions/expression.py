@@ -1,8 +1,9 @@
 """Formulas over document fields, compiled to columns.
 
-A formula is read by Python's own `ast`, checked against a list of what is allowed and turned into one
-column of value-union type. A formula that can't be answered for a row (a missing field, text in
-arithmetic, division by zero) is NULL there, which means "skip", not "false".
+Python's own `ast` reads a formula. Each kind of node that a formula may hold has a function here that turns
+it into a plan: what it reads, and how to build its column. A node without such a function isn't allowed,
+so checking a formula and compiling it are one pass. A formula that can't be answered for a row (a missing
+field, text in arithmetic, division by zero) is NULL there, which means "skip", not "false".
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import values as V
 from paperloom.operators.fields import Fields
 
+#: The limits of a formula's length, number of syntax nodes and nesting.
 MAX_CHARS, MAX_NODES, MAX_DEPTH = 400, 150, 16
 
 
@@ -26,132 +28,41 @@ class FormulaError(ValueError):
 
 
 @dataclass(frozen=True)
-class Helper:
-    build: Callable
-    least: int
-    most: int
-    literal: frozenset[int] = frozenset()
+class Plan:
+    """build: the value for given fields. reads: the fields it needs. literal: the constant it is, if it is one."""
 
+    build: Callable[[Fields], object]
+    reads: frozenset[str] = frozenset()
+    literal: object = None
 
-def _number(v: Column) -> Column:
-    return V.as_number(v)
 
-
-def _of_number(n: Column) -> Column:
-    return V.Number(n)
-
-
-def _aggregate(how: str):
-    def build(fields: Fields, args):
-        path, sub = args[0], args[1] if len(args) > 1 else None
-        return _of_number(fields.aggregate(path, how, sub))
-
-    return build
-
-
-def _on_text(change: Callable[[Column], Column]):
-    return lambda fields, args: V.Text(change(V.as_text(args[0])))
-
-
-def _days(fields: Fields, args):
-    a, b = (V.as_date(V.as_text(x)) for x in args)
-    return _of_number(F.abs(F.datediff(a, b)))
-
-
-def _matches(fields: Fields, args):
-    try:
-        re.compile(args[1])
-    except re.error:
-        return F.lit(None).cast(V.VALUE)
-    return V.Bool(V.as_text(args[0]).rlike(f"^(?:{args[1]})$"))
-
-
-def _round(fields: Fields, args):
-    digits = 0
-    if len(args) == 2:
-        if not isinstance(args[1], int):
-            raise FormulaError("round() takes its digits as a literal number")
-        digits = max(0, min(6, args[1]))
-    return _of_number(F.bround(_number(args[0]), digits))
-
-
-HELPERS: dict[str, Helper] = {
-    "sum_of": Helper(_aggregate("sum"), 1, 2, frozenset({0, 1})),
-    "min_of": Helper(_aggregate("min"), 1, 2, frozenset({0, 1})),
-    "max_of": Helper(_aggregate("max"), 1, 2, frozenset({0, 1})),
-    "avg_of": Helper(_aggregate("avg"), 1, 2, frozenset({0, 1})),
-    "count": Helper(_aggregate("count"), 1, 1, frozenset({0})),
-    "abs": Helper(lambda f, a: _of_number(F.abs(_number(a[0]))), 1, 1),
-    "round": Helper(_round, 1, 2),
-    "len": Helper(lambda f, a: _of_number(F.when(a[0]["kind"] == "string", F.char_length(a[0]["s"]))), 1, 1),
-    "lower": Helper(_on_text(F.lower), 1, 1),
-    "upper": Helper(_on_text(F.upper), 1, 1),
-    "trim": Helper(_on_text(V.strip), 1, 1),
-    "matches": Helper(_matches, 2, 2, frozenset({1})),
-    "days_between": Helper(_days, 2, 2),
-    "today": Helper(lambda f, a: V.Text(F.lit(f.settings.as_of.isoformat())), 0, 0),
-    "to_date": Helper(lambda f, a: V.Text(F.date_format(V.as_date(V.as_text(a[0])), "yyyy-MM-dd")), 1, 1),
-    "is_present": Helper(lambda f, a: V.Bool(V.present(f.value(a[0]))), 1, 1, frozenset({0})),
-    "field": Helper(lambda f, a: f.value(a[0]), 1, 1, frozenset({0})),
-}
-
-_PLAIN = (ast.Expression, ast.Load, ast.BoolOp, ast.And, ast.Or, ast.UnaryOp, ast.Not, ast.USub, ast.UAdd, ast.BinOp, ast.Compare)
-_OPERATORS = (ast.Add, ast.Sub, ast.Mult, ast.Div, ast.Mod, ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.In, ast.NotIn)
-
-
-def checked(formula: str) -> ast.expr:
-    """The formula's tree, or FormulaError."""
+def planned(formula: str) -> Plan:
+    """The plan of a formula, or FormulaError."""
     if not isinstance(formula, str) or not formula.strip() or len(formula) > MAX_CHARS:
         raise FormulaError(f"a formula has 1 to {MAX_CHARS} characters")
     try:
         tree = ast.parse(formula.strip(), mode="eval")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         raise FormulaError(f"not a formula: {e}") from None
-    nodes = list(ast.walk(tree))
-    if len(nodes) > MAX_NODES or _depth(tree) > MAX_DEPTH:
-        raise FormulaError("the formula is too large")
-    called = {id(n.func) for n in nodes if isinstance(n, ast.Call)}
-    for node in nodes:
-        _check(node, id(node) in called)
-    return tree.body
-
-
-def _depth(node: ast.AST) -> int:
-    return 1 + max(map(_depth, ast.iter_child_nodes(node)), default=-1)
-
-
-def _check(node: ast.AST, is_helper: bool) -> None:
-    if isinstance(node, _PLAIN + _OPERATORS):
-        return
-    if isinstance(node, ast.Constant) and type(node.value) in (bool, int, float, str):
-        return
-    if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load) and not node.id.startswith("_"):
-        if is_helper and node.id not in HELPERS:
-            raise FormulaError(f"no helper {node.id!r}")
-        return
-    if isinstance(node, (ast.List, ast.Tuple)) and all(isinstance(e, ast.Constant) for e in node.elts):
-        return
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords and node.func.id in HELPERS:
-        helper = HELPERS[node.func.id]
-        if not helper.least <= len(node.args) <= helper.most:
-            raise FormulaError(f"{node.func.id}() takes {helper.least} to {helper.most} arguments")
-        for i in helper.literal:
-            if i < len(node.args) and not (isinstance(node.args[i], ast.Constant) and isinstance(node.args[i].value, str)):
-                raise FormulaError(f"argument {i} of {node.func.id}() must be a literal text")
-        return
-    raise FormulaError(f"not allowed in a formula: {type(node).__name__}")
+    layer, nodes, depth = [tree], 1, 0
+    while layer := [child for node in layer for child in ast.iter_child_nodes(node)]:
+        nodes, depth = nodes + len(layer), depth + 1
+        if nodes > MAX_NODES or depth > MAX_DEPTH:
+            raise FormulaError("the formula is too large")
+    return _plan(tree.body)
+
+
+checked = planned
+
+
+def compiled(formula: str, fields: Fields) -> Column:
+    """The formula's value for each row; NULL where it is skipped."""
+    return planned(formula).build(fields)
 
 
 def references(formula: str) -> set[str]:
     """Names and literal paths that a formula reads."""
-    tree, out = checked(formula), set()
-    helpers = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Name) and id(node) not in helpers:
-            out.add(node.id)
-        if isinstance(node, ast.Call) and HELPERS[node.func.id].literal and 0 in HELPERS[node.func.id].literal:
-            out.add(node.args[0].value)
-    return out
+    return set(planned(formula).reads)
 
 
 def problems(formula: str, declared: set[str]) -> list[str]:
@@ -163,52 +74,99 @@ def problems(formula: str, declared: set[str]) -> list[str]:
     return [f"unknown field {name!r}" for name in sorted(found) if name.split(".")[0] not in declared]
 
 
-def compiled(formula: str, fields: Fields) -> Column:
-    """The formula's value for each row; NULL where it is skipped."""
-    return _built(checked(formula), fields)
+# --- nodes ---------------------------------------------------------------------
 
+_NODES: dict[type, Callable[[ast.expr], Plan]] = {}
 
-def _literal(x) -> Column:
+
+def _node(kind: type):
+    def put(function):
+        _NODES[kind] = function
+        return function
+
+    return put
+
+
+def _plan(node: ast.expr) -> Plan:
+    if type(node) not in _NODES:
+        raise FormulaError(f"not allowed in a formula: {type(node).__name__}")
+    return _NODES[type(node)](node)
+
+
+def _of(operators: dict, op: ast.AST):
+    if type(op) not in operators:
+        raise FormulaError(f"not allowed in a formula: {type(op).__name__}")
+    return operators[type(op)]
+
+
+def _joined(parts: list[Plan]) -> frozenset[str]:
+    return frozenset().union(*(p.reads for p in parts))
+
+
+def _literal(x) -> object:
     if isinstance(x, bool):
         return V.Bool(F.lit(x))
     return V.Text(F.lit(x)) if isinstance(x, str) else V.Number(F.lit(float(x)))
 
 
-def _built(node: ast.expr, fields: Fields) -> Column:
-    if isinstance(node, ast.Constant):
-        return _literal(node.value)
-    if isinstance(node, ast.Name):
-        return fields.value(node.id)
-    if isinstance(node, ast.BoolOp):
-        return _bool(node, fields)
-    if isinstance(node, ast.UnaryOp):
-        v = _built(node.operand, fields)
-        if isinstance(node.op, ast.Not):
-            return V.Bool(~V.truthy(v))
-        return V.Number(-_number(v) if isinstance(node.op, ast.USub) else _number(v))
-    if isinstance(node, ast.BinOp):
-        return V.Number(_arithmetic(node.op, _number(_built(node.left, fields)), _number(_built(node.right, fields))))
-    if isinstance(node, ast.Compare):
-        return _compare(node, fields)
-    if isinstance(node, ast.Call):
-        helper = HELPERS[node.func.id]
-        literal = helper.literal | ({1} if node.func.id == "round" else frozenset())
-        args = [a.value if i in literal and isinstance(a, ast.Constant) else _built(a, fields) for i, a in enumerate(node.args)]
-        return helper.build(fields, args)
-    raise FormulaError(f"{type(node).__name__} has no value of its own")
-
-
-def _bool(node: ast.BoolOp, fields: Fields) -> Column:
+@_node(ast.Constant)
+def _constant(node: ast.Constant) -> Plan:
+    if type(node.value) not in (bool, int, float, str):
+        raise FormulaError(f"not allowed in a formula: {node.value!r}")
+    return Plan(lambda fields: _literal(node.value), literal=node.value)
+
+
+@_node(ast.Name)
+def _name(node: ast.Name) -> Plan:
+    if node.id.startswith("_"):
+        raise FormulaError(f"not a field: {node.id!r}")
+    return Plan(lambda fields: fields.value(node.id), frozenset({node.id}))
+
+
+_SIGNS = {
+    ast.Not: lambda v: V.Bool(~V.truthy(v)),
+    ast.USub: lambda v: V.Number(-V.as_number(v)),
+    ast.UAdd: lambda v: V.Number(V.as_number(v)),
+}
+
+
+@_node(ast.UnaryOp)
+def _signed(node: ast.UnaryOp) -> Plan:
+    change, inner = _of(_SIGNS, node.op), _plan(node.operand)
+    return Plan(lambda fields: change(inner.build(fields)), inner.reads)
+
+
+_ARITHMETIC = {
+    ast.Add: lambda a, b: a + b,
+    ast.Sub: lambda a, b: a - b,
+    ast.Mult: lambda a, b: a * b,
+    ast.Div: F.try_divide,
+    ast.Mod: lambda a, b: a - b * F.floor(F.try_divide(a, b)),  # the remainder has the sign of the divisor
+}
+
+
+@_node(ast.BinOp)
+def _calculated(node: ast.BinOp) -> Plan:
+    work, sides = _of(_ARITHMETIC, node.op), [_plan(node.left), _plan(node.right)]
+    return Plan(lambda fields: V.Number(work(*(V.as_number(s.build(fields)) for s in sides))), _joined(sides))
+
+
+@_node(ast.BoolOp)
+def _decided(node: ast.BoolOp) -> Plan:
     """Left to right: a skip met first skips the whole, a deciding value met first decides it."""
-    parts = [_built(v, fields) for v in node.values]
-    is_and = isinstance(node.op, ast.And)
-    last = parts[-1]
-    if not is_and or (isinstance(last, V.Static) and last.kind == "bool"):
-        return V.Bool(_truth(parts, is_and))
-    out = V.union(last)
-    for v in reversed(parts):
-        out = F.when(v.isNull(), None).when(~V.truthy(v), V.boolean(F.lit(False))).otherwise(out)
-    return out
+    is_and, inner = isinstance(node.op, ast.And), [_plan(v) for v in node.values]
+
+    def build(fields: Fields):
+        parts = [p.build(fields) for p in inner]
+        last = parts[-1]
+        if not is_and or (isinstance(last, V.Static) and last.kind == "bool"):
+            return V.Bool(_truth(parts, is_and))
+        out = V.union(last)
+        for v in reversed(parts):
+            out = F.when(v.isNull(), None).when(~V.truthy(v), V.boolean(F.lit(False))).otherwise(out)
+        return out
+
+    return Plan(build, _joined(inner))
 
 
 def _truth(parts: list, is_and: bool) -> Column:
@@ -219,54 +177,165 @@ def _truth(parts: list, is_and: bool) -> Column:
     return out
 
 
-def _arithmetic(op: ast.operator, a: Column, b: Column) -> Column:
-    if isinstance(op, ast.Add):
-        return a + b
-    if isinstance(op, ast.Sub):
-        return a - b
-    if isinstance(op, ast.Mult):
-        return a * b
-    if isinstance(op, ast.Div):
-        return F.try_divide(a, b)
-    return a - b * F.floor(F.try_divide(a, b))  # the remainder has the sign of the divisor
-
-
 def equal(a: Column, b: Column) -> Column:
     """Equality across kinds: numbers and booleans compare as numbers, text only with text."""
     both_text = (a["kind"] == "string") & (b["kind"] == "string")
     both_number = (a["kind"] != "string") & (b["kind"] != "string")
-    return F.when(both_text, a["s"] == b["s"]).when(both_number, _number(a) == _number(b)).otherwise(F.lit(False))
+    return F.when(both_text, a["s"] == b["s"]).when(both_number, V.as_number(a) == V.as_number(b)).otherwise(F.lit(False))
 
 
-def _ordered(op: ast.cmpop, a: Column, b: Column) -> Column:
-    def test(x: Column, y: Column) -> Column:
-        return {ast.Lt: x < y, ast.LtE: x <= y, ast.Gt: x > y, ast.GtE: x >= y}[type(op)]
+def _ordered(test: Callable[[Column, Column], Column]):
+    def compare(a: Column, b: Column) -> Column:
+        both_text = (a["kind"] == "string") & (b["kind"] == "string")
+        both_number = (a["kind"] != "string") & (b["kind"] != "string")
+        return F.when(both_text, test(a["s"], b["s"])).when(both_number, test(V.as_number(a), V.as_number(b)))
 
-    both_text = (a["kind"] == "string") & (b["kind"] == "string")
-    both_number = (a["kind"] != "string") & (b["kind"] != "string")
-    return F.when(both_text, test(a["s"], b["s"])).when(both_number, test(_number(a), _number(b)))
+    return compare
+
+
+def _within(a: Column, b: Column) -> Column:
+    """Text in text; of other kinds there is no answer."""
+    return F.when((a["kind"] == "string") & (b["kind"] == "string"), b["s"].contains(a["s"]))
 
 
-def _compare(node: ast.Compare, fields: Fields) -> Column:
-    left, steps = _built(node.left, fields), []
-    for op, right_node in zip(node.ops, node.comparators, strict=True):
-        if isinstance(op, (ast.In, ast.NotIn)):
-            if isinstance(right_node, (ast.List, ast.Tuple)):
+_COMPARISONS = {
+    ast.Eq: equal,
+    ast.NotEq: lambda a, b: ~equal(a, b),
+    ast.Lt: _ordered(lambda x, y: x < y),
+    ast.LtE: _ordered(lambda x, y: x <= y),
+    ast.Gt: _ordered(lambda x, y: x > y),
+    ast.GtE: _ordered(lambda x, y: x >= y),
+    ast.In: _within,
+    ast.NotIn: lambda a, b: ~_within(a, b),
+}
+
+
+@_node(ast.Compare)
+def _compared(node: ast.Compare) -> Plan:
+    """A chain of comparisons holds if all do; the first that has no answer skips it."""
+    first, steps = _plan(node.left), []
+    for op, right in zip(node.ops, node.comparators, strict=True):
+        test = _of(_COMPARISONS, op)
+        if isinstance(op, (ast.In, ast.NotIn)) and isinstance(right, (ast.List, ast.Tuple)):
+            if not all(isinstance(e, ast.Constant) for e in right.elts):
+                raise FormulaError("a list in a formula holds constants only")
+            steps.append((op, None, [_plan(e) for e in right.elts]))
+        else:
+            steps.append((test, _plan(right), []))
+
+    def build(fields: Fields):
+        left, answers = first.build(fields), []
+        for test, right, listed in steps:
+            if right is None:
                 found = F.lit(False)
-                for e in right_node.elts:
-                    found = found | equal(left, _literal(e.value))
-                right, known = None, left.isNotNull()
+                for e in listed:
+                    found = found | equal(left, e.build(fields))
+                answers.append((left.isNotNull(), ~found if isinstance(test, ast.NotIn) else found))
             else:
-                right = _built(right_node, fields)
-                found, known = F.when((left["kind"] == "string") & (right["kind"] == "string"), right["s"].contains(left["s"])), left.isNotNull() & right.isNotNull()
-            test = found if isinstance(op, ast.In) else ~found
-        else:
-            right = _built(right_node, fields)
-            known = left.isNotNull() & right.isNotNull()
-            test = equal(left, right) if isinstance(op, ast.Eq) else ~equal(left, right) if isinstance(op, ast.NotEq) else _ordered(op, left, right)
-        steps.append((known, test))
-        left = right if right is not None else left
-    out = F.lit(True)
-    for known, test in reversed(steps):
-        out = F.when(~known | test.isNull(), None).when(~test, False).otherwise(out)
-    return V.Bool(out)
+                other = right.build(fields)
+                answers.append((left.isNotNull() & other.isNotNull(), test(left, other)))
+                left = other
+        out = F.lit(True)
+        for known, answer in reversed(answers):
+            out = F.when(~known | answer.isNull(), None).when(~answer, False).otherwise(out)
+        return V.Bool(out)
+
+    return Plan(build, _joined([first, *(right for _, right, _ in steps if right is not None)]))
+
+
+# --- helpers -------------------------------------------------------------------
+
+#: What a builder's parameter may be: a value; a literal path, which is read; another literal text; literal digits.
+VALUE, PATH, TEXT, DIGITS = "value", "path", "text", "digits"
+#: Name of a helper: its builder, the kinds of its parameters, and how many of them it needs.
+_HELPERS: dict[str, tuple[Callable, tuple[str, ...], int]] = {}
+
+
+def _helper(*kinds: str, least: int | None = None, name: str = ""):
+    def put(function):
+        _HELPERS[name or function.__name__] = function, kinds, len(kinds) if least is None else least
+        return function
+
+    return put
+
+
+@_node(ast.Call)
+def _called(node: ast.Call) -> Plan:
+    if not isinstance(node.func, ast.Name) or node.keywords or node.func.id not in _HELPERS:
+        raise FormulaError("only helpers may be called, with plain arguments")
+    build, kinds, least = _HELPERS[node.func.id]
+    if not least <= len(node.args) <= len(kinds):
+        raise FormulaError(f"{node.func.id}() takes {least} to {len(kinds)} arguments")
+    given, reads = [_plan(a) for a in node.args], frozenset()
+    for plan, kind in zip(given, kinds, strict=False):
+        wanted = {PATH: str, TEXT: str, DIGITS: int}.get(kind)
+        if wanted is not None and type(plan.literal) is not wanted:
+            raise FormulaError(f"{node.func.id}() takes a literal {kind}")
+        reads |= frozenset({plan.literal}) if kind == PATH else plan.reads
+
+    def built(fields: Fields):
+        return build(fields, *(p.build(fields) if kind == VALUE else p.literal for p, kind in zip(given, kinds, strict=False)))
+
+    return Plan(built, reads)
+
+
+for _how in ("sum", "min", "max", "avg"):
+    _helper(PATH, TEXT, least=1, name=f"{_how}_of")(lambda fields, path, column=None, how=_how: V.Number(fields.aggregate(path, how, column)))
+
+
+@_helper(PATH)
+def count(fields, path):
+    return V.Number(fields.aggregate(path, "count", None))
+
+
+@_helper(PATH)
+def is_present(fields, path):
+    return V.Bool(V.present(fields.value(path)))
+
+
+@_helper(PATH)
+def field(fields, path):
+    return fields.value(path)
+
+
+@_helper(VALUE, name="abs")
+def _size(fields, v):
+    return V.Number(F.abs(V.as_number(v)))
+
+
+@_helper(VALUE, DIGITS, least=1, name="round")
+def _rounded(fields, v, digits=0):
+    return V.Number(F.bround(V.as_number(v), min(6, max(0, digits))))
+
+
+@_helper(VALUE, name="len")
+def _length(fields, v):
+    return V.Number(F.when(v["kind"] == "string", F.char_length(v["s"])))
+
+
+for _called_as, _change in (("lower", F.lower), ("upper", F.upper), ("trim", V.strip)):
+    _helper(VALUE, name=_called_as)(lambda fields, v, change=_change: V.Text(change(V.as_text(v))))
+
+
+@_helper(VALUE, TEXT)
+def matches(fields, v, pattern):
+    try:
+        re.compile(pattern)
+    except re.error:
+        return F.lit(None).cast(V.VALUE)
+    return V.Bool(V.as_text(v).rlike(f"^(?:{pattern})$"))
+
+
+@_helper(VALUE, VALUE)
+def days_between(fields, a, b):
+    return V.Number(F.abs(F.datediff(V.as_date(V.as_text(a)), V.as_date(V.as_text(b)))))
+
+
+@_helper()
+def today(fields):
+    return V.Text(F.lit(fields.settings.as_of.isoformat()))
+
+
+@_helper(VALUE)
+def to_date(fields, v):
+    return V.Text(F.date_format(V.as_date(V.as_text(v)), "yyyy-MM-dd"))
