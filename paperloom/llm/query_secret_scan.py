@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import secret_scan
-from paperloom.llm.secret_scan import ACCESS, ASSIGN, HEX, MAX_OWNERS, OPAQUE
+from paperloom.llm.secret_scan import ACCESS, ASSIGN, HEX, MAX_OWNERS, MAX_REPOSITORIES, OPAQUE
 
 NAME = "op4_secret_scan"
 
@@ -33,7 +33,8 @@ opaque AS (
 every AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
 live AS (
     SELECT value FROM every GROUP BY value
-    HAVING bool_or(kind <> 'owned') AND count(DISTINCT coalesce(source, '?')) <= {MAX_OWNERS}),
+    HAVING bool_or(kind <> 'owned') AND (count(DISTINCT coalesce(source, '?')) = 1 OR count(DISTINCT coalesce(source, '?')) <= {MAX_OWNERS}
+        AND count(DISTINCT coalesce(source, '?') || '/' || coalesce(lang, '?')) <= {MAX_REPOSITORIES})),
 kept AS (SELECT * FROM base UNION ALL SELECT * FROM opaque WHERE value IN (SELECT value FROM live)),
 listed AS (
     SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,

@@ -39,3 +39,27 @@ def test_ranges_join_neighbours():
 
 def test_empty_table(spark):
     assert warc.read(warc.write(pages(spark, []))).count() == 0
+
+
+def test_records_are_as_the_standard_has_them(spark):
+    import gzip
+    import os
+    from urllib.parse import urlparse
+
+    index = warc.write(pages(spark, ROWS).coalesce(1), archive_bytes=1).collect()  # an archive for each record
+    records = {}
+    for row in index:
+        with gzip.open(urlparse(row.file).path) as file:
+            whole = file.read()
+        about, _ = warc.parse(whole)
+        assert about["WARC-Type"] == "warcinfo" and about["WARC-Filename"] == os.path.basename(urlparse(row.file).path)
+        with open(urlparse(row.file).path, "rb") as file:
+            file.seek(row.offset)
+            fields, block = warc.parse(gzip.decompress(file.read(row.length)))
+        assert block.startswith(b"HTTP/1.1 200 OK\r\n") and fields["Content-Type"] == "application/http; msgtype=response"
+        records[row.page_id] = fields
+    assert len({r.file for r in index}) == len(ROWS)
+    for fields in records.values():
+        if fields["WARC-Type"] == "revisit":
+            target = records[int(fields["X-Refers-To-Page"])]
+            assert (fields["WARC-Refers-To"], fields["WARC-Refers-To-Target-URI"], fields["WARC-Refers-To-Date"]) == (target["WARC-Record-ID"], target["WARC-Target-URI"], target["WARC-Date"])
