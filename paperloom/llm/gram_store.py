@@ -82,14 +82,16 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _put_numbers(uri: str, name: str, values: np.ndarray) -> None:
+def put_numbers(uri: str, name: str, values: np.ndarray) -> None:
     """Numbers in one byte each; those of 255 and more have their place and value in a second file."""
     large = np.flatnonzero(values >= 255)
     shared.put(f"{uri}/{name}", np.minimum(values, 255).astype(np.uint8))
     shared.put(f"{uri}/{name}-large", np.concatenate([large, values[large]]).astype(np.int64))
 
 
-class _Numbers:
+class Numbers:
+    """The numbers that `put_numbers` wrote, mapped."""
+
     def __init__(self, uri: str, name: str):
         self.small, large = shared.mapped(f"{uri}/{name}", np.uint8), shared.mapped(f"{uri}/{name}-large", np.int64)
         self.at, self.values = np.split(large, 2)
@@ -111,7 +113,7 @@ def save(uri: str, bucket: int, bits: int, h: np.ndarray, columns: dict[str, np.
     shared.put(f"{uri}/{name}-starts", np.searchsorted(slot, np.arange((1 << index) + 1)).astype(np.uint32))
     shared.put(f"{uri}/{name}-rest", (h << np.uint64(index) >> np.uint64(64 - REST_BITS)).astype(np.uint32))
     for column, values in columns.items():
-        _put_numbers(uri, f"{name}-{column}", values[order])
+        put_numbers(uri, f"{name}-{column}", values[order])
 
 
 class Store:
@@ -126,7 +128,7 @@ class Store:
         if bucket not in self.files:
             opened = None
             if f"{name}-starts" in self.have:
-                opened = (shared.mapped(f"{self.uri}/{name}-starts", np.uint32), shared.mapped(f"{self.uri}/{name}-rest", np.uint32), [_Numbers(self.uri, f"{name}-{c}") for c in self.columns])
+                opened = (shared.mapped(f"{self.uri}/{name}-starts", np.uint32), shared.mapped(f"{self.uri}/{name}-rest", np.uint32), [Numbers(self.uri, f"{name}-{c}") for c in self.columns])
             self.files[bucket] = opened
         return self.files[bucket]
 

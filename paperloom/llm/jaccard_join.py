@@ -396,7 +396,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id",
     """id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    store, bits = shared.folder(spark, "shingle-df"), sorted_store.bits_for(spark)
+    store, bits = shared.folder(spark, "shingle-df"), sorted_store.bits_for(chosen)
     _frequencies(chosen.select("text"), k, store, bits)
     rows = shared.written(_prefixes(chosen, k, percent, store, bits), "shingle-prefixes")
 

@@ -31,19 +31,21 @@ from pyspark.sql import functions as F
 from paperloom.llm import gram_store, packed, shared, sorted_store, words
 
 ORDER = 3
-FLUSH = 1_500_000
+FLUSH = 2_500_000
 END = np.uint64(0x5E5E5E5E5E5E5E5F)
-UNIGRAM = (("count", np.int64),)
-RANGES = {"n1": np.int64, "n2": np.int64, "n3": np.int64, "total": np.int64, "before": np.int64}
+UNIGRAM = (("place", np.uint32),)
+RANGES = ("n1", "n2", "n3", "total", "before")
 CONTEXT = ("n1", "n2", "n3", "total")
 
 
 @dataclass(frozen=True)
 class Model:
-    """`grams` and `contexts` have a folder for each order from 2 on; `discounts` three numbers for each order from 1 on."""
+    """`grams` and `contexts` have a folder for each order from 2 on; `discounts` three numbers for each order from
+    1 on; `first_ids` the first id of each class of counts and bucket of words."""
 
     order: int
     unigrams: str
+    first_ids: np.ndarray
     grams: tuple[str, ...]
     contexts: tuple[str, ...]
     bits: int
@@ -61,20 +63,26 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
-def _count_words(texts: DataFrame, target: str, bits: int) -> tuple[int, int]:
-    """Write the word store; tokens and types."""
+def _size_class(counts: np.ndarray) -> np.ndarray:
+    """0 for the greatest counts: 63 less the number's leading bit."""
+    return 63 - np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+
+
+def _count_words(texts: DataFrame, target: str, bits: int) -> tuple[int, int, np.ndarray]:
+    """Write the word store; tokens, types, and the first id of each (size class, bucket).
+
+    Words get ids by the class of their count, the greatest first, so that common words have small numbers,
+    which pack well; in a class they are in the order of their hashes.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = packed.Counter()
 
         def out():
             h, n = held.take()
-            for at in range(0, len(h), 200_000):
-                part = h[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sorted_store.bucket_of(part, bits).astype(np.int32)), pa.array((part ^ np.uint64(1 << 63)).view(np.int64)), pa.array(n[at : at + 200_000])],
-                    ["bucket", "h", "n"],
-                )
+            h = h.astype(np.uint64)  # nothing held has another kind
+            for b, at in packed.buckets(h, sorted_store.bucket_of(h, bits)):
+                yield _blob(b, [np.diff(h[at] << np.uint64(bits) >> np.uint64(bits), prepend=np.uint64(0)), n[at]])
 
         for batch in batches:
             for block in words.blocks(batch, "text"):
@@ -84,19 +92,49 @@ def _count_words(texts: DataFrame, target: str, bits: int) -> tuple[int, int]:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, parts in packed.by_key(batches):
-            h = np.concatenate([x[1].to_numpy() for x in parts]).view(np.uint64) ^ np.uint64(1 << 63)
-            n = np.concatenate([x[2].to_numpy() for x in parts])
-            sorted_store.save(target, "hash", bucket, h)
-            sorted_store.save(target, "count", bucket, n)
-            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(n)])], ["tokens", "types"])
-
-    counted = texts.mapInArrow(count, "bucket int, h long, n long").repartition(1 << bits, "bucket")
-    summed = counted.groupBy("bucket", "h").agg(F.sum("n").alias("n")).sortWithinPartitions("bucket", "h")
-    total = summed.mapInArrow(put, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
-    return total[0] or 0, total[1] or 0
-
-
-def _ids(store: sorted_store.Store, h: np.ndarray) -> np.ndarray:
+            blobs = [gram_store.unsqueeze(x) for p in parts for x in p[1].to_pylist()]
+            h, n = packed.merged(np.concatenate([np.cumsum(b[0].view(np.uint64)) for b in blobs]), np.concatenate([b[1] for b in blobs]))
+            kind = _size_class(n)
+            order = np.argsort(kind, kind="stable")
+            place = np.empty(len(n), np.int64)
+            sizes = np.bincount(kind, minlength=64)
+            place[order] = np.arange(len(n)) - (np.cumsum(sizes) - sizes)[kind[order]]
+            sorted_store.save(target, "hash", bucket, h | (np.uint64(bucket) << np.uint64(64 - bits)))
+            sorted_store.save(target, "place", bucket, place.astype(np.uint32))
+            gram_store.put_numbers(target, f"count-{bucket:06d}", n)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([int(n.sum())]), pa.array([sizes.tolist()], pa.list_(pa.int64()))], ["bucket", "tokens", "sizes"])
+
+    counted = texts.mapInArrow(count, "bucket int, data binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    held = counted.mapInArrow(put, "bucket int, tokens long, sizes array<long>").collect()  # a row for each bucket
+    sizes = np.zeros((64, 1 << bits), np.int64)
+    for row in held:
+        sizes[:, row.bucket] = row.sizes
+    return sum(row.tokens for row in held), int(sizes.sum()), (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
+
+
+class Words:
+    """The word store, mapped: id and count of each word's hash."""
+
+    def __init__(self, uri: str, bits: int, first: np.ndarray):
+        self.store, self.first, self.bits = sorted_store.opened(uri, bits, UNIGRAM), first, bits
+        have = {x.rsplit("/", 1)[1] for x in shared.listed(uri)}
+        self.counts = [gram_store.Numbers(uri, name) if (name := f"count-{b:06d}") in have else None for b in range(1 << bits)]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted hashes: id (-1 where unknown) and count (0)."""
+        at, place = self.store.find(h, "place")
+        bucket = sorted_store.bucket_of(h, self.bits)
+        counts = np.zeros(len(h), np.int64)
+        known = at >= 0
+        for b in np.unique(bucket[known]):
+            here = np.flatnonzero(known & (bucket == b))
+            counts[here] = self.counts[b][at[here] - self.store.starts[b]]
+        ids = np.full(len(h), -1, np.int64)
+        ids[known] = self.first[_size_class(counts[known]), bucket[known]] + place[known]
+        return ids, counts
+
+
+def _ids(store: Words, h: np.ndarray) -> np.ndarray:
     distinct, inverse = np.unique(h, return_inverse=True)
     return store.find(distinct)[0][inverse]
 
@@ -135,11 +173,11 @@ def _sent(order: int, columns: list[np.ndarray], n: np.ndarray, types: int, bits
     return _sent_pairs(columns, n, types, bits) if order == 2 else _sent_grams(columns, n, bits)
 
 
-def _count_highest(texts: DataFrame, order: int, unigrams: str, bits: int, types: int) -> DataFrame:
+def _count_highest(texts: DataFrame, order: int, unigrams: str, bits: int, types: int, first_ids: np.ndarray) -> DataFrame:
     """n-grams of the highest order, by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, held = sorted_store.opened(unigrams, bits, UNIGRAM), gram_store.Counter(FLUSH)
+        store, held = Words(unigrams, bits, first_ids), gram_store.Counter(FLUSH)
         end, kind = int(store.find(np.array([END]))[0][0]), np.int32 if types < 1 << 31 else np.int64
         for batch in batches:
             for block in words.blocks(batch, "text"):
@@ -217,8 +255,8 @@ def _count_pairs(sent: DataFrame, bigrams: str, contexts: str, bits: int, types:
                     values = packed.wide(values).reshape(-1, len(ids))
                     for name, v in zip(["n1", "n2", "n3", "total"] if kind == 0 else ["before"], values, strict=True):
                         sums[name][ids] += v
-            for name, dtype in RANGES.items():
-                sorted_store.save(contexts, name, key, sums[name].astype(dtype))
+            for name in RANGES:
+                gram_store.put_numbers(contexts, f"{name}-{key:06d}", sums[name])
             tops = np.bincount(np.minimum(sums["before"], 5), minlength=5)[1:5]
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([tops.tolist()], pa.list_(pa.int64())), pa.array([0])], ["kind", "tops", "size"])
 
@@ -254,15 +292,15 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     if order < 2:
         raise ValueError(f"the order is 2 at least, not {order}")
     spark = docs.sparkSession
-    texts, bits = docs.select(F.col(text_col).alias("text")), sorted_store.bits_for(spark)
+    texts, bits = docs.select(F.col(text_col).alias("text")), sorted_store.bits_for(docs)
     unigrams = shared.folder(spark, "lm-words")
     grams, contexts = (tuple(shared.folder(spark, f"lm-{name}-{k}") for k in range(2, order + 1)) for name in ("grams", "contexts"))
-    tokens, types = _count_words(texts, unigrams, bits)
+    tokens, types, first_ids = _count_words(texts, unigrams, bits)
     span = max(1, -(-types // (1 << bits)))
     tops, pairs = {k: np.zeros(4) for k in range(1, order + 1)}, 0
     if types:
-        end = int(sorted_store.Store(unigrams, bits, dict(UNIGRAM)).find(np.array([END]))[0][0])
-        sent = _count_highest(texts, order, unigrams, bits, types)
+        end = int(Words(unigrams, bits, first_ids).find(np.array([END]))[0][0])
+        sent = _count_highest(texts, order, unigrams, bits, types, first_ids)
         for k in range(order, 2, -1):
             sent = _lowered(sent, k, grams[k - 2], contexts[k - 2], bits, types, end)
         for row in _count_pairs(sent, grams[0], contexts[0], bits, types, span).groupBy("kind").agg(
@@ -275,7 +313,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     discounts = tuple(_discounts(tops[k]) for k in range(1, order + 1))
     # What the lowest order takes from its words: every word stands after something.
     taken = np.array([tops[1][0], tops[1][1], types - tops[1][0] - tops[1][1]]) @ np.array(discounts[0])
-    return Model(order, unigrams, grams, contexts, bits, tokens, types, span, discounts, pairs, float(taken) / max(1, pairs))
+    return Model(order, unigrams, first_ids, grams, contexts, bits, tokens, types, span, discounts, pairs, float(taken) / max(1, pairs))
 
 
 class Scorer:
@@ -283,14 +321,14 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.words = sorted_store.opened(model.unigrams, model.bits, UNIGRAM)
+        self.words = Words(model.unigrams, model.bits, model.first_ids)
         self.grams = [gram_store.Store(uri, model.bits, ("count",)) for uri in model.grams]
         self.contexts = [None, *(gram_store.Store(uri, model.bits, CONTEXT) for uri in model.contexts[1:])]
         parts = -(-model.types // model.span) if model.types else 0
-        self.ranges = {n: [shared.mapped(f"{model.contexts[0]}/{n}-{p:06d}", k) for p in range(parts)] for n, k in RANGES.items()}
+        self.ranges = {n: [gram_store.Numbers(model.contexts[0], f"{n}-{p:06d}") for p in range(parts)] for n in RANGES}
 
     def _of(self, name: str, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), RANGES[name])
+        out = np.zeros(len(ids), np.int64)
         part = ids // self.model.span
         for p in np.unique(part[ids >= 0]):
             here = part == p
@@ -302,7 +340,7 @@ class Scorer:
         m = self.model
         h, first = _tokens(column)
         distinct, inverse = np.unique(h, return_inverse=True)
-        ids, counts = self.words.find(distinct, "count")
+        ids, counts = self.words.find(distinct)
         base = np.log10((counts + 0.1) / (m.tokens + 0.1 * (m.types + 1)))
         if m.types:
             probability = self._interpolated(ids, inverse, first, int(np.searchsorted(distinct, END)))

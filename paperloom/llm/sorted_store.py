@@ -5,14 +5,22 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame
 
 from paperloom.llm import shared
 
 
-def bits_for(spark: SparkSession) -> int:
-    """Leading bits that give about as many files as the session has shuffle partitions."""
-    return max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+FILE_BYTES = 64 << 20
+
+
+def bits_for(docs: DataFrame) -> int:
+    """Leading bits for as many files as the session has shuffle partitions, or as the input has FILE_BYTES.
+
+    Spark knows the size of inputs that are files; of others it says that they are beyond all bounds.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    asked = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES if size < 1 << 55 else 0)
+    return max(1, (asked - 1).bit_length())
 
 
 def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:

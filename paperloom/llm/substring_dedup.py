@@ -286,7 +286,7 @@ def repeated_spans(
         raise ValueError(f"an anchor has 1 to {window} words, not {anchor}")
     spark = docs.sparkSession
     tagged = _tagged(docs, id_col, text_col)
-    store, bits = shared.folder(spark, "anchors"), sorted_store.bits_for(spark)
+    store, bits = shared.folder(spark, "anchors"), sorted_store.bits_for(docs)
     _count_anchors(tagged.select("text"), window, anchor, store, bits)
     sent = _send(tagged, window, anchor, store, bits, bits + SHARD_BITS, frequent)
     judged = shared.written(_judge(sent, window, bits + SHARD_BITS), "judged")
