@@ -6,6 +6,8 @@ guessing types from text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,8 +112,8 @@ def truthy(v: Column) -> Column:
 
 
 def strip(s: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    """Without white space at both ends."""
+    return F.btrim(s, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse(s: Column) -> Column:
@@ -120,7 +122,14 @@ def collapse(s: Column) -> Column:
 
 def as_date(s: Column) -> Column:
     """A date by the first pattern that fits, or null; month before day where both could be."""
-    return let(strip(s), lambda x: F.coalesce(*(F.try_to_date(x, p) for p in DATE_PATTERNS)))
+    x = strip(s)
+    return F.coalesce(*(F.when(x.rlike(_shape(p)), F.try_to_date(x, p)) for p in DATE_PATTERNS))
+
+
+def _shape(pattern: str) -> str:
+    """A cheap test that a text must pass before it is parsed: a parser that fails costs far more."""
+    parts = {"yyyy": r"\d{4}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}"}
+    return "^" + re.sub("y+|M+|d+", lambda m: parts[m[0]], pattern) + "$"
 
 
 def to_number(s: Column) -> Column:

@@ -1,8 +1,9 @@
 """One value for each field of a case from several documents, with tolerances; and the case's decision.
 
 Candidates are rows (case_id, field, doc_id, doc_ord, ord, value). Two documents agree on a field if any
-of their values do; a field agrees if all pairs of its documents do. Values are compared after they are
-made distinct by document, inside (case, field) only.
+of their values do; a field agrees if all pairs of its documents do. Values are made distinct by document
+before they are shuffled; where every document has one value, the range of the values settles the field, and
+only the documents of the other fields are compared in pairs, by a join.
 """
 
 from __future__ import annotations
@@ -30,19 +31,6 @@ def open_pile(leaves: DataFrame) -> DataFrame:
     return keyed.join(often.select("case_id", "field"), ["case_id", "field"], "left_semi").select("case_id", "field", "doc_id", "doc_ord", "ord", "value")
 
 
-def _gathered(candidates: DataFrame) -> DataFrame:
-    """(case_id, field, bag, field_kind): all candidates of a field in document order, from one shuffle.
-
-    The kind is money if all values are numbers, date by the field's name or by a value, else string.
-    """
-    listed = candidates.groupBy("case_id", "field").agg(F.sort_array(F.collect_list(F.struct("doc_ord", "ord", "doc_id", F.struct("value").alias("v")))).alias("bag"))
-    filled = F.filter("bag", lambda x: x["v"]["value"].isNotNull())
-    numbers = (F.size(filled) > 0) & F.forall(filled, lambda x: x["v"]["value"]["kind"] == "number")
-    days = F.exists(filled, lambda x: V.as_date(V.as_text(x["v"]["value"])).isNotNull())
-    kind = F.when(numbers, "money").when(F.col("field").rlike(V.DATE_NAME) | days, "date").otherwise("string")
-    return listed.select("case_id", "field", filled.alias("bag"), kind.alias("field_kind"))
-
-
 def agrees(kind: Column, a: Column, b: Column, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> Column:
     """Whether two values agree as money, dates or text."""
     na, nb = (F.when(v["kind"] == "string", v["s"].try_cast("double")).otherwise(V.as_number(v)) for v in (a, b))
@@ -57,36 +45,99 @@ def agrees(kind: Column, a: Column, b: Column, settings: Settings = DEFAULT, use
     return F.when(kind == "money", money).when(as_text, text).otherwise(days)
 
 
-def _compared(gathered: DataFrame, settings: Settings, use_fuzzy: bool) -> DataFrame:
-    """gathered, with one row for each pair of different values of different documents (one without a pair)."""
-    values = F.array_distinct(F.transform("bag", lambda x: F.struct(x["doc_ord"], x["doc_id"], x["v"])))
-    met = F.flatten(F.transform(values, lambda a: F.transform(
-        F.filter(values, lambda b: a["doc_ord"] < b["doc_ord"]),
-        lambda b: F.struct(a["doc_id"].alias("doc_a"), b["doc_id"].alias("doc_b"), a["v"]["value"].alias("a"), b["v"]["value"].alias("b")),
-    )))
-    rows = gathered.withColumn("pair", F.explode_outer(met))
-    return rows.withColumn("agree", agrees(F.col("field_kind"), F.col("pair.a"), F.col("pair.b"), settings, use_fuzzy))
+def _values(candidates: DataFrame) -> DataFrame:
+    """(case_id, field, doc_id, value, place, n, d, k): each document's different values of a field, combined before they
+    travel, and what they are as a number, a day and a key of text: read once for each value, not for each pair."""
+    place = F.min(F.struct("doc_ord", "ord")).alias("place")
+    found = candidates.groupBy("case_id", "field", "doc_id", "value").agg(place)
+    read = found.withColumn("n", V.as_number(F.col("value"))).withColumn("text", V.as_text(F.col("value"))).withColumn("stripped", V.strip(F.col("text")))
+    return read.withColumn("d", V.as_date(F.col("stripped"))).withColumn("k", V.company_key(F.col("stripped"))).drop("text", "stripped")
+
+
+def _described(values: DataFrame) -> DataFrame:
+    """Per (case_id, field): its kind, first value, documents, and the ranges that may settle whether they agree.
+
+    The kind is money if all values are numbers, date by the field's name or by a value, else string. `one`:
+    every document has a single value, so a range of them says for all pairs whether they agree.
+    """
+    has = F.col("value").isNotNull()
+    read = values.withColumn("place", F.when(has, F.col("place")))
+    ends = [how(c).alias(f"{c}_{end}") for c in "ndk" for end, how in (("low", F.min), ("high", F.max))]
+    each = read.groupBy("case_id", "field", "doc_id").agg(
+        F.count("value").alias("values"), F.count("d").alias("dates"), F.count_if(F.col("value.kind") == "number").alias("numbers"),
+        F.min_by("value", "place").alias("first"), F.min("place").alias("place"), *ends,
+    )
+    found = each.groupBy("case_id", "field").agg(
+        F.min_by("first", "place").alias("value"), F.count_if(F.col("values") > 0).alias("docs"), F.bool_and(F.col("values") <= 1).alias("one"),
+        F.bool_and(F.col("values") == F.col("numbers")).alias("numeric"), F.max("dates").alias("dates"), F.bool_and(F.col("values") == F.col("dates")).alias("all_dated"),
+        *(how(f"{c}_{end}").alias(f"{c}_{end}") for c in "ndk" for end, how in (("low", F.min), ("high", F.max))),
+    )
+    kind = F.when(F.col("numeric") & (F.col("docs") > 0), "money").when(F.col("field").rlike(V.DATE_NAME) | (F.col("dates") > 0), "date").otherwise("string")
+    return found.withColumn("field_kind", kind)
+
+
+def _settled(settings: Settings, use_fuzzy: bool) -> Column:
+    """Whether the documents of a field agree, where its ranges tell; else null."""
+    spread = F.col("n_high") - F.col("n_low")
+    room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs("n_low"), F.abs("n_high")))
+    exact = F.lit(settings.money_pct_tolerance == 0)
+    # Room grows with the amounts, so the widest pair speaks for all only if room is the same for all, or if it fails for none.
+    money = F.when(exact | (F.col("docs") == 2), spread <= room)
+    days = F.when(F.col("all_dated"), F.datediff("d_high", "d_low") <= settings.date_tolerance_days)
+    same = F.col("k_low") == F.col("k_high")
+    text = F.when(same, True) if use_fuzzy else same
+    kind = F.col("field_kind")
+    by_kind = F.when(kind == "money", money).when((kind == "date") & F.col("all_dated"), days).when(kind == "string", text)
+    return F.when(F.col("docs") <= 1, True).when(F.col("one"), by_kind)
+
+
+def _pairs(values: DataFrame, fields: DataFrame, settings: Settings, use_fuzzy: bool) -> DataFrame:
+    """(case_id, field, doc_a, doc_b, agree) of the fields given: values meet by a join, which a hot field can split."""
+    filled = values.where("value is not null")
+    a, b = (filled.select("case_id", "field", F.col("doc_id").alias(f"doc_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in "ndk")) for side in "ab")
+    met = fields.select("case_id", "field", "field_kind").join(a, ["case_id", "field"]).join(b, ["case_id", "field"]).where("doc_a < doc_b")
+    room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs("n_a"), F.abs("n_b")))
+    money = F.coalesce(F.abs(F.col("n_a") - F.col("n_b")) <= room, F.lit(False))
+    as_text = (F.col("field_kind") == "string") | ((F.col("field_kind") == "date") & (F.col("d_a").isNull() | F.col("d_b").isNull()))
+    ka, kb = (F.when(as_text, F.col(c)) for c in ("k_a", "k_b"))
+    text = fuzzy.ratio_at_least(ka, kb, settings.string_fuzzy_threshold) if use_fuzzy else ka == kb
+    agree = F.when(F.col("field_kind") == "money", money).when(as_text, text).otherwise(F.abs(F.datediff("d_a", "d_b")) <= settings.date_tolerance_days)
+    return met.withColumn("agree", agree).groupBy("case_id", "field", "doc_a", "doc_b").agg(F.bool_or("agree").alias("agree"))
 
 
 def pairs(candidates: DataFrame, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
-    """(case_id, field, doc_a, doc_b, agree) for each pair of documents that fill a field."""
-    rows = _compared(_gathered(candidates), settings, use_fuzzy).where("pair is not null")
-    return rows.groupBy("case_id", "field", F.col("pair.doc_a").alias("doc_a"), F.col("pair.doc_b").alias("doc_b")).agg(F.bool_or("agree").alias("agree"))
+    """(case_id, field, doc_a, doc_b, agree) for each pair of documents that fill a field, doc_a being the smaller id."""
+    values = _values(candidates)
+    return _pairs(values, _described(values), settings, use_fuzzy)
 
 
 def reconciled(candidates: DataFrame, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
     """(case_id, field, field_kind, value, docs, agreement): value is the first one in document order.
 
-    One scan and one shuffle: what follows groups by more keys than the rows are already dealt out by.
+    The range of a field's values settles most fields without comparing pairs; the others' documents are compared.
     """
-    rows = _compared(_gathered(candidates), settings, use_fuzzy)
-    by_pair = rows.groupBy("case_id", "field", "pair.doc_a", "pair.doc_b").agg(
-        F.first("field_kind").alias("field_kind"), F.first("bag").alias("bag"),
-        F.bool_or(F.when(F.col("pair").isNull(), True).otherwise(F.col("agree"))).alias("agree"),
-    )
-    whole = by_pair.groupBy("case_id", "field").agg(F.first("field_kind").alias("field_kind"), F.first("bag").alias("bag"), F.bool_and("agree").alias("agreement"))
-    docs = F.size(F.array_distinct(F.transform("bag", lambda x: x["doc_id"]))).cast("long")
-    return whole.select("case_id", "field", "field_kind", F.try_element_at("bag", F.lit(1))["v"]["value"].alias("value"), docs.alias("docs"), "agreement")
+    values = _values(candidates)
+    fields = _described(values).withColumn("settled", _settled(settings, use_fuzzy))
+    told = _pairs(values, fields.where("settled is null"), settings, use_fuzzy).groupBy("case_id", "field").agg(F.bool_and("agree").alias("told"))
+    met = fields.join(told, ["case_id", "field"], "left")
+    return met.select("case_id", "field", "field_kind", "value", "docs", F.coalesce("settled", "told", F.lit(True)).alias("agreement"))
+
+
+def conflicts(candidates: DataFrame, fields: DataFrame) -> DataFrame:
+    """(case_id, field, detail, citations) of the fields that disagree: what each document says, and where.
+
+    candidates have doc_type and page too; a document without a type goes by its id. detail: `type: v1, v2; type: v`.
+    citations: array of (doc_id, source), source being `page n` of the document's first value, or empty.
+    """
+    bad = fields.where(~F.col("agreement")).select("case_id", "field")
+    own = candidates.where("value is not null").join(bad, ["case_id", "field"], "left_semi")
+    one = F.struct("ord", V.as_text(F.col("value")).alias("said"), "page")
+    by_doc = own.groupBy("case_id", "field", "doc_id").agg(F.min("doc_ord").alias("doc_ord"), F.first("doc_type", True).alias("doc_type"), F.sort_array(F.collect_list(one)).alias("l"))
+    said = F.concat(F.coalesce("doc_type", F.col("doc_id").cast("string")), F.lit(": "), F.array_join(F.transform("l", lambda x: x["said"]), ", "))
+    page = F.col("l")[0]["page"]
+    cited = F.struct("doc_id", F.when(page.isNotNull(), F.concat(F.lit("page "), page.cast("string"))).otherwise("").alias("source"))
+    listed = by_doc.groupBy("case_id", "field").agg(F.sort_array(F.collect_list(F.struct("doc_ord", "doc_id", said.alias("said"), cited.alias("cited")))).alias("d"))
+    return listed.select("case_id", "field", F.array_join(F.transform("d", lambda x: x["said"]), "; ").alias("detail"), F.transform("d", lambda x: x["cited"]).alias("citations"))
 
 
 def conflict_checks(fields: DataFrame) -> DataFrame:

@@ -41,6 +41,15 @@ def reconcile_money(spark, sf):
     return found.select("case_id", "field_kind", "docs", "agreement")
 
 
+@query("conflict_details", """WITH i AS (SELECT l_orderkey, list(l_suppkey::VARCHAR ORDER BY l_linenumber, l_suppkey::VARCHAR) AS l, bool_or(l_suppkey = o_custkey % 100 + 1) AS met, any_value(o_custkey % 100 + 1) AS own
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT l_orderkey AS case_id, 'invoice: ' || own || '; contract: ' || array_to_string(l, ', ') AS detail, 'page 1,' AS sources FROM i WHERE NOT met""")
+def conflict_details(spark, sf):
+    rows = _parties(spark, sf).withColumn("doc_type", F.col("doc_id")).withColumn("page", F.when(F.col("doc_ord") == 1, 1))
+    found = C.conflicts(rows, C.reconciled(rows, use_fuzzy=False))
+    return found.select("case_id", "detail", F.array_join(F.transform("citations", lambda c: c["source"]), ",").alias("sources"))
+
+
 @query("reconcile_date", """WITH s AS (SELECT l_orderkey, min(l_shipdate)::DATE AS d FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS case_id, 'date' AS field_kind, strftime(o_orderdate, '%Y-%m-%d') AS value, coalesce(abs(date_diff('day', o_orderdate::DATE, d)) <= 3, true) AS agreement FROM orders LEFT JOIN s ON l_orderkey = o_orderkey""")
 def reconcile_date(spark, sf):
@@ -62,11 +71,16 @@ def reconcile_string_normalized(spark, sf):
 @query("exists_match_list", """SELECT o_orderkey AS case_id, bool_or(coalesce(l_suppkey = o_custkey % 100 + 1, true)) AS agreement
 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def exists_match_list(spark, sf):
+    return C.reconciled(_parties(spark, sf), use_fuzzy=False).select("case_id", "agreement")
+
+
+def _parties(spark, sf):
+    """One party of the invoice, and the suppliers of the contract's rows."""
     orders, items = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     known = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     a = _candidates(orders, F.col("o_orderkey"), "party", "invoice", 1, V.number(F.col("o_custkey") % 100 + 1))
     b = _candidates(known, F.col("l_orderkey"), "party", "contract", 2, V.number("l_suppkey"), F.col("l_linenumber"))
-    return C.reconciled(a.unionByName(b), use_fuzzy=False).select("case_id", "agreement")
+    return a.unionByName(b)
 
 
 @query("reconcile_string_fuzzy")

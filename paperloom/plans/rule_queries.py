@@ -11,7 +11,7 @@ from paperloom.functions import values as V
 from paperloom.operators import rules as R
 from paperloom.operators.fields import Fields
 from paperloom.plans.catalog import query
-from paperloom.plans.fixtures import INVOICES, RUNS, invoice_fields, invoices, runs, table
+from paperloom.plans.fixtures import INVOICES, RUNS, invoice_fields, invoice_totals, invoices, runs, table, total_fields
 
 P0 = [
     R.Presence(name="dated", severity="advisory", path="invoice_date"),
@@ -30,13 +30,13 @@ CHECKS = """, checks AS (
 
 @query("decision_counts", INVOICES + CHECKS + " SELECT decision, count(*) AS n FROM decided GROUP BY decision")
 def decision_counts(spark, sf):
-    docs = R.decided(invoices(spark, sf), R.ruleset(P0, invoice_fields()))
+    docs = R.decided(invoice_totals(spark, sf), R.ruleset(P0, total_fields()))
     return docs.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("check_trace", INVOICES + CHECKS + " SELECT o_orderkey, name, passed, severity FROM checks")
 def check_trace(spark, sf):
-    docs = invoices(spark, sf).select("o_orderkey", F.explode(R.ruleset(P0, invoice_fields())).alias("c"))
+    docs = invoice_totals(spark, sf).select("o_orderkey", F.explode(R.ruleset(P0, total_fields())).alias("c"))
     return docs.select("o_orderkey", "c.name", "c.passed", "c.severity")
 
 
@@ -191,7 +191,7 @@ def uniqueness_history(spark, sf):
 @query("document_decisions", INVOICES + CHECKS + """ SELECT o_orderkey, decision, CASE WHEN decision = 'flag' THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS confidence,
     CASE WHEN decision = 'needs_review' THEN 'needs_review' ELSE 'decided' END AS status FROM decided""")
 def document_decisions(spark, sf):
-    docs = R.decided(invoices(spark, sf), R.ruleset(P0, invoice_fields()), extraction=F.lit(0.8))
+    docs = R.decided(invoice_totals(spark, sf), R.ruleset(P0, total_fields()), extraction=F.lit(0.8))
     return docs.select("o_orderkey", "decision", F.col("decision_confidence").alias("confidence"), "status")
 
 
