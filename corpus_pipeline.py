@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written and read again as
 the next one's docs. All stages but the last return the columns of documents.
+
+Defined results, the operators' own: null text is empty text (not toxic unless the labels say so of no terms,
+one group of copies, linked with nothing, without secrets, one end token); very long texts are used whole; of
+ties the id decides; rows that repeat id and text are one document after the second stage; a row without an
+id stays only if no row with an id has its text; extra columns stay until the last stage; empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -54,6 +60,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with shared.tidied() as tidy:
+        for name, stage in STAGES:
+            docs = shared.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            tidy()  # what the stage needed, and what the one before it gave, is not read again
     return docs

@@ -9,6 +9,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlparse
 
 import numpy as np
@@ -30,9 +33,37 @@ def root(spark: SparkSession) -> str:
     return made
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def tidied() -> Iterator[Callable[[], None]]:
+    """What is made below in this thread is noted; the function given removes all of it but what was made last."""
+    token = _made.set([])
+
+    def tidy() -> None:
+        made = _made.get()
+        for uri in made[:-1]:
+            filesystem, path = _filesystem(uri)
+            filesystem.delete_dir(path)
+        del made[:-1]
+
+    try:
+        yield tidy
+    finally:
+        _made.reset(token)
+
+
+def _new(spark: SparkSession, name: str) -> str:
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder below the shared one; files in it are written by tasks."""
-    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _new(spark, name)
     filesystem, local = _filesystem(path)
     filesystem.create_dir(local, recursive=True)
     return path
@@ -40,7 +71,7 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, computed once and read again from the shared folder: cuts the lineage."""
-    path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = _new(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
