@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import shared, words
 
 SLOT_BITS = 22
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 FACTORS = 8
 EPOCHS, LEAST_STEPS, BATCH = 8, 600, 256
 SHRINK, RATE = 0.073, 0.05
@@ -201,6 +201,8 @@ def fit(
     lists = [x[x >= 0] for x in np.split(place[flat], np.cumsum(sizes)[:-1])]
     del found, column, flat, place
     bias, p = _fitted(lists, y, len(slots), factors, epochs, least)
+    del lists
+    words.give_back()
     counts = np.flatnonzero(p.any(axis=1))
     uri = shared.folder(docs.sparkSession, "toxicity")
     shared.put(f"{uri}/slots", slots[counts].astype(np.int64))

@@ -57,7 +57,7 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
-    _give_back()
+    give_back()
 
 
 @lru_cache(1)
@@ -66,7 +66,7 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return what a batch has used: workers live long and share a machine with the next stages."""
     pa.default_memory_pool().release_unused()
     if (trim := _trim()) is not None:
