@@ -7,7 +7,7 @@ buckets by the hash of the context. A bucket writes its n-grams as sorted hash a
 contexts with what their probabilities need; an n-gram without its first word goes on to the next lower
 order, whose counts are continuation counts: how many different words stand before it. Bigrams are dealt
 out by their own hash, as a common word has very many, and what they say of contexts and of words is
-summed by ranges of ids. The driver sees counts of counts only.
+summed by remainders of ids. The driver sees counts of counts only.
 
 All counts cover all training texts; nothing is pruned. Probabilities sum to one over the words seen
 and one unknown word.
@@ -51,7 +51,7 @@ class Model:
     bits: int
     tokens: int
     types: int
-    span: int
+    ranges: int
     discounts: tuple[tuple[float, float, float], ...]
     pairs: int
     rest: float
@@ -224,7 +224,7 @@ def _lowered(sent: DataFrame, order: int, grams: str, contexts: str, bits: int,
     return in_buckets.mapInArrow(put, "bucket int, data binary")
 
 
-def _count_pairs(sent: DataFrame, bigrams: str, contexts: str, bits: int, types: int, span: int) -> DataFrame:
+def _count_pairs(sent: DataFrame, bigrams: str, contexts: str, bits: int, types: int, ranges: int) -> DataFrame:
     """Write the bigram store and the context arrays; rows (kind, value, how many) of counts of counts."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,9 +236,9 @@ def _count_pairs(sent: DataFrame, bigrams: str, contexts: str, bits: int, types:
             yield _row(-1, 0, _tops(n), np.array([len(n)]))
             left, right = keys // types, keys % types
             heads = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
-            yield from _by_range(0, left[heads], _by_class(n, heads), span)
+            yield from _by_range(0, left[heads], _by_class(n, heads), ranges)
             word, before = np.unique(right, return_counts=True)
-            yield from _by_range(1, word, [before], span)
+            yield from _by_range(1, word, [before], ranges)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, parts in packed.by_key(batches):
@@ -247,7 +247,7 @@ def _count_pairs(sent: DataFrame, bigrams: str, contexts: str, bits: int, types:
                 pairs = sum(int(packed.wide(x)[0]) for p in parts for x in p[3].to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([tops.tolist()], pa.list_(pa.int64())), pa.array([pairs])], ["kind", "tops", "size"])
                 continue
-            size = min(span, types - key * span)
+            size = -(-(types - key) // ranges)
             sums = {name: np.zeros(size, np.int64) for name in RANGES}
             for p in parts:
                 for kind, ids, values in zip(p[1].to_pylist(), p[2].to_pylist(), p[3].to_pylist(), strict=True):
@@ -270,13 +270,10 @@ def _row(part: int, kind: int, ids: np.ndarray, values: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays(arrays, ["part", "kind", "ids", "data"])
 
 
-def _by_range(kind: int, ids: np.ndarray, values: list[np.ndarray], span: int) -> Iterator[pa.RecordBatch]:
-    part = ids // span
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-    for start, stop in zip(edges[:-1], edges[1:], strict=True):
-        if stop > start:
-            own = ids[start:stop] - part[start] * span
-            yield _row(int(part[start]), kind, np.diff(own, prepend=0), np.concatenate([v[start:stop] for v in values]))
+def _by_range(kind: int, ids: np.ndarray, values: list[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Sorted ids dealt out by their remainder: the common words, which have the small ids, come into all ranges."""
+    for part, at in packed.buckets(ids, ids % ranges):
+        yield _row(part, kind, np.diff(ids[at] // ranges, prepend=0), np.concatenate([v[at] for v in values]))
 
 
 def _discounts(tops: np.ndarray) -> tuple[float, float, float]:
@@ -296,14 +293,14 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     unigrams = shared.folder(spark, "lm-words")
     grams, contexts = (tuple(shared.folder(spark, f"lm-{name}-{k}") for k in range(2, order + 1)) for name in ("grams", "contexts"))
     tokens, types, first_ids = _count_words(texts, unigrams, bits)
-    span = max(1, -(-types // (1 << bits)))
+    ranges = max(1, min(types, 1 << bits))
     tops, pairs = {k: np.zeros(4) for k in range(1, order + 1)}, 0
     if types:
         end = int(Words(unigrams, bits, first_ids).find(np.array([END]))[0][0])
         sent = _count_highest(texts, order, unigrams, bits, types, first_ids)
         for k in range(order, 2, -1):
             sent = _lowered(sent, k, grams[k - 2], contexts[k - 2], bits, types, end)
-        for row in _count_pairs(sent, grams[0], contexts[0], bits, types, span).groupBy("kind").agg(
+        for row in _count_pairs(sent, grams[0], contexts[0], bits, types, ranges).groupBy("kind").agg(
             *(F.sum(F.col("tops")[i]).alias(f"t{i}") for i in range(4)), F.sum("size").alias("size")
         ).collect():
             tops[2 - row.kind] = np.array([row.t0, row.t1, row.t2, row.t3], float)
@@ -313,7 +310,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     discounts = tuple(_discounts(tops[k]) for k in range(1, order + 1))
     # What the lowest order takes from its words: every word stands after something.
     taken = np.array([tops[1][0], tops[1][1], types - tops[1][0] - tops[1][1]]) @ np.array(discounts[0])
-    return Model(order, unigrams, first_ids, grams, contexts, bits, tokens, types, span, discounts, pairs, float(taken) / max(1, pairs))
+    return Model(order, unigrams, first_ids, grams, contexts, bits, tokens, types, ranges, discounts, pairs, float(taken) / max(1, pairs))
 
 
 class Scorer:
@@ -324,15 +321,15 @@ class Scorer:
         self.words = Words(model.unigrams, model.bits, model.first_ids)
         self.grams = [gram_store.Store(uri, model.bits, ("count",)) for uri in model.grams]
         self.contexts = [None, *(gram_store.Store(uri, model.bits, CONTEXT) for uri in model.contexts[1:])]
-        parts = -(-model.types // model.span) if model.types else 0
+        parts = model.ranges if model.types else 0
         self.ranges = {n: [gram_store.Numbers(model.contexts[0], f"{n}-{p:06d}") for p in range(parts)] for n in RANGES}
 
     def _of(self, name: str, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
-        part = ids // self.model.span
+        part = ids % self.model.ranges
         for p in np.unique(part[ids >= 0]):
-            here = part == p
-            out[here] = self.ranges[name][p][ids[here] - p * self.model.span]
+            here = (part == p) & (ids >= 0)
+            out[here] = self.ranges[name][p][ids[here] // self.model.ranges]
         return out
 
     def score(self, column) -> tuple[np.ndarray, ...]:
