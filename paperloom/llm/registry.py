@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
     "query_packing", "query_lm", "query_toxicity", "query_secret_scan", "query_bpe", "query_exact_dedup", "query_warc",
-    "query_jaccard", "query_topk", "query_substring", "query_simhash", "query_trie",
+    "query_jaccard", "query_topk", "query_substring", "query_simhash", "query_trie", "query_whitening",
 ]
 
 
