@@ -56,7 +56,7 @@ def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
         if stop - start >= k:
             yield np.unique(grams[start : stop - k + 1])
         elif stop > start:
-            yield words.mix(np.array([(h[start:stop] * np.arange(3, 3 + 2 * (stop - start), 2, dtype=np.uint64)).sum()]) + np.uint64(stop - start))
+            yield words.mix(words.grams(h[start:stop], int(stop - start)) + np.uint64(stop - start))
         else:
             yield np.empty(0, np.uint64)
 

@@ -17,10 +17,8 @@ import pyarrow.compute as pc
 MASK = (1 << 64) - 1
 BLOCK_BYTES = 1 << 20
 
-_rng = np.random.default_rng(20240229)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LONG = np.uint64(0xD6E8FEB86659FD93)
-_MIXERS = [int(x) | 1 for x in _rng.integers(1, 1 << 62, 64, dtype=np.uint64)]
 _LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -136,14 +134,20 @@ def same(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray,
     return equal
 
 
+@lru_cache(8)
+def _multipliers(k: int) -> list[int]:
+    """An odd number for each place of k words, the same on every machine."""
+    return [int(x) | 1 for x in np.random.default_rng(20240229).integers(1, 1 << 62, k, dtype=np.uint64)]
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k consecutive words at each start; starts near a row's end cross into the next row."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out += h[j : j + n] * np.uint64(_MIXERS[j])
+    for j, m in enumerate(_multipliers(k)):
+        out += h[j : j + n] * np.uint64(m)
     return mix(out)
 
 

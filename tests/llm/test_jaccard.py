@@ -1,9 +1,11 @@
+import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
-from paperloom.llm import components, jaccard_join, words
+from paperloom.llm import components, jaccard_join, registry, words
 
 from .util import column, docs
 from .util import words as split
@@ -73,6 +75,27 @@ def test_boundary_of_similarity(spark):
     assert found == {1: 1, 2: 1, 3: 3}
 
 
+def test_every_order_of_short_texts(spark):
+    """Texts with fewer words than a shingle link only if they are the same sequence."""
+    texts = [" ".join(t) for n in (1, 2, 3, 4) for t in itertools.product("ab", repeat=n)] + ["yes no no yes", "no yes yes no", "a A", "A b"]
+    rows = list(enumerate(texts))
+    found = jaccard_join.link(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
+    assert jaccard_join.deduplicate(docs(spark, rows)).count() == len({t.lower() for t in texts})
+
+
+def test_query(spark):
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    found = registry.queries()["op9_jaccard_join"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
+
+
+def test_long_shingles(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(200))), (2, " ".join(f"w{i}" for i in range(1, 200))), (3, "other")]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(docs(spark, rows), k=100).collect()}
+    assert found == {1: (101, 1), 2: (100, 1), 3: (1, 3)}
+
+
 def test_deduplicate(spark):
     rows = [(4, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (2, "other text"), (None, "a b c d e f"), (9, None), (8, "")]
     frame = docs(spark, rows)
