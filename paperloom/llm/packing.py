@@ -4,10 +4,11 @@ Pieces of one length are exchangeable, so the packing is decided on how many pie
 at most `capacity` numbers, however large the corpus. For each bin the longest piece left opens it
 and a bitset subset-sum over the lengths still available finds the fullest feasible combination;
 the combination is then removed as often as the counts allow, which is what choosing it anew for
-bin after bin would do. Short pieces may be held back for the slack that is left (see `combinations`). Spark does the rest: tokens are counted in tasks, each piece gets its rank
-among those of its length (ranks are dealt out by lanes, one for each task of the input, so that one
-common length is no hot group at any size)
-and the rank says which copy of which combination, and which place in it, the piece takes.
+bin after bin would do. Short pieces may be held back for the slack that is left (see `combinations`). Spark does the rest: each task
+of the input is a lane and numbers its pieces of each length as it cuts them; the counts of lanes and lengths
+say where a lane's numbers begin, so a piece's rank needs no shuffle of pieces and one common length is no hot
+group. The rank says which copy of which combination, and which place in it, the piece takes. The pieces, with
+their ids if these are asked for, are written once and read once.
 
 Defined results: null text is empty and is one piece with the end token alone; a document longer than
 capacity is cut into pieces of capacity tokens of which the first may be shorter; repeated rows and
@@ -120,16 +121,20 @@ def pieces(
     docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text",
     with_ids: bool = False,
 ) -> DataFrame:
-    """id, piece, start, length, ids_crc32, lane (and ids) of every piece of every row."""
+    """id, piece, start, length, ids_crc32, lane, place (and ids) of every piece of every row.
+
+    place numbers the pieces of one length and lane.
+    """
     chosen = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, lane = bpe.Encoder(bpe.vocabulary(vocabulary)), TaskContext.get().partitionId()
+        cut_so_far = [0] * (capacity + 1)  # pieces of each length
         for batch in batches:
             for block in words.blocks(batch, "text"):
                 ids, offsets = encoder.rows(block.column(1))
                 ids = ids.astype("<u4")
-                row, piece, start, length, crc, lists = [], [], [], [], [], []
+                row, piece, start, length, crc, place, lists = [], [], [], [], [], [], []
                 for n in range(block.num_rows):
                     own = np.append(ids[offsets[n] : offsets[n + 1]], np.uint32(end_id)).astype("<u4")
                     at, stop = 0, len(own) % capacity or min(len(own), capacity)
@@ -140,20 +145,22 @@ def pieces(
                         start.append(at)
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
+                        place.append(cut_so_far[len(part)])
+                        cut_so_far[len(part)] += 1
                         if with_ids:
                             lists.append(part.astype(np.int32))
                         at, stop = stop, stop + capacity
                 arrays = [block.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
                 arrays += [pa.array(x, pa.int64()) for x in (start, length, crc)]
-                arrays.append(pa.array(np.full(len(row), lane), pa.int32()))
+                arrays += [pa.array(np.full(len(row), lane), pa.int32()), pa.array(place, pa.int64())]
                 if with_ids:
                     arrays.append(pa.array(lists, pa.list_(pa.int32())))
-                names = [id_col, "piece", "start", "length", "ids_crc32", "lane", "ids"]
+                names = [id_col, "piece", "start", "length", "ids_crc32", "lane", "place", "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
     kind = chosen.schema[id_col].dataType.simpleString()
     more = ", ids array<int>" if with_ids else ""
-    return chosen.mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, lane int{more}")
+    return chosen.mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, lane int, place long{more}")
 
 
 def pack(
@@ -170,13 +177,11 @@ def pack(
 
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = in_lane.select("length", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("length", "lane").orderBy(id_col, "piece", "ids_crc32")
-    ranked = (
-        cut.withColumn("place", F.row_number().over(order) - 1)
-        .join(starts, ["length", "lane"]).withColumn("rank", F.col("before") + F.col("place"))
-    )
-    # The plan has a few rows for each of at most capacity lengths; beyond PLAN_ROWS it isn't broadcast.
+    starts = shared.written(starts, "lane-starts")
+    # A row for each lane and length; beyond PLAN_ROWS neither these nor the plan's are broadcast.
+    starts = F.broadcast(starts) if starts.count() <= PLAN_ROWS else starts
     plan = F.broadcast(plan) if len(placed) <= PLAN_ROWS else plan
+    ranked = cut.join(starts, ["length", "lane"]).withColumn("rank", F.col("before") + F.col("place"))
     fits = (F.col("length") == F.col("place_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))
     step = F.col("rank") - F.col("first")
     return ranked.join(plan, fits).select(
