@@ -214,17 +214,19 @@ def redact(
 ) -> DataFrame:
     """docs with live-looking spans replaced by the mark; widely copied examples stay as they are.
 
-    A row whose id is null, or shared with another text, is matched by its text too.
+    A row whose id is null, or shared with another text, is matched by its text too. Only texts that may have
+    such spans (a bitmap of fixed size says so) are shuffled to meet them.
     """
     key, both, cut_id, cut_key, live_name = free(docs, "_key", "_both", "_id", "_text_key", "_live")
-    text_hash = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     pair = F.struct(F.col(id_col).alias("id"), F.col(key).alias("key"))
     spans = scan(docs.withColumn(key, text_hash).withColumn(both, pair), both, text_col, owner, repository, max_owners, max_repositories=max_repositories)
     live = F.filter("found", lambda x: x["live"])
     cuts = spans.where(F.size(live) > 0).groupBy(F.col(f"{both}.id").alias(cut_id), F.col(f"{both}.key").alias(cut_key))
-    cuts = cuts.agg(F.first(live).alias(live_name))
+    cuts = shared.written(cuts.agg(F.first(live).alias(live_name)), "secret-cuts")
     body = F.col(text_col)
-    joined = docs.join(cuts, docs[id_col].eqNullSafe(cuts[cut_id]) & (text_hash == cuts[cut_key]), "left")
+    may = _hit(_bitmap(cuts, F.xxhash64(cut_id, cut_key), FILTER_BITS), F.xxhash64(F.col(id_col), text_hash), FILTER_BITS)
+    joined = docs.where(may).join(cuts, docs[id_col].eqNullSafe(cuts[cut_id]) & (text_hash == cuts[cut_key]), "left")
     # Overlapping spans are merged: each piece of text between them is taken from the furthest end so far.
     step = F.aggregate(
         live_name, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -239,4 +241,4 @@ def redact(
     masked = F.when(F.col(live_name).isNull(), body).otherwise(
         _let(step, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.char_length(body))))
     )
-    return joined.withColumn(text_col, masked).select(docs.columns)
+    return docs.where(~may).unionByName(joined.withColumn(text_col, masked).select(docs.columns))
