@@ -5,6 +5,7 @@ Pages are rows (doc_id, page, text); blocks are rows (doc_id, page, block, label
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -196,19 +197,39 @@ def overlapping_blocks(blocks: DataFrame, spans: DataFrame, id_col: str = "doc_i
     return blocks.join(spans, id_col).where((F.col("char_start") < F.col("end")) & (F.col("char_end") > F.col("start")))
 
 
+def vocabulary_match(text: Column, vocabularies: dict[str, list[str]]) -> Column:
+    """(doc_type, confidence, scores) of a text: the share of each type's words that stand in it, as a share of all.
+
+    The text is cut into its words once and met with each vocabulary as a whole; a word with other characters than
+    letters, digits and _ is looked for in the text.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def told(words: Column) -> Column:
+        hits = []
+        for _, some in sorted(vocabularies.items()):
+            plain, other = (sorted({w for w in some if bool(re.fullmatch(r"\w+", w)) == is_plain}) for is_plain in (True, False))
+            found = F.size(F.array_intersect(words, F.array(*map(F.lit, plain)))) if plain else F.lit(0)
+            found = sum((F.when(low.rlike(rf"\b\Q{w}\E\b"), 1).otherwise(0) for w in other), found)
+            hits.append(found / max(1, len(set(some))))
+        return V.let(F.array(*hits) if hits else F.array().cast("array<double>"), lambda h: scored(h))
+
+    def scored(shares: Column) -> Column:
+        total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+        names = F.array(*map(F.lit, sorted(vocabularies)))
+        each = F.zip_with(names, shares, lambda n, x: F.struct((-F.round(F.coalesce(F.try_divide(x, total), F.lit(0.0)), 4)).alias("less"), n.alias("doc_type")))
+        return V.let(F.array_sort(each), best)
+
+    def best(order: Column) -> Column:
+        top = F.get(order, F.lit(0))
+        return F.struct(
+            F.when(top["less"] < 0, top["doc_type"]).alias("doc_type"), F.when(top["less"] < 0, -top["less"]).otherwise(0.0).alias("confidence"),
+            F.transform(order, lambda x: F.struct(x["doc_type"].alias("doc_type"), (-x["less"]).alias("score"))).alias("scores"),
+        )
+
+    return V.let(F.array_distinct(F.split(low, r"[^\p{L}\p{Nd}_]+")), told)
+
+
 def classified(docs: DataFrame, vocabularies: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, doc_type, confidence, scores): the share of each type's words in the text, as a share of all."""
-    body = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    hits = [
-        (sum((F.when(body.rlike(rf"\b\Q{w}\E\b"), 1.0).otherwise(0.0) for w in sorted(set(words))), F.lit(0.0)) / max(1, len(set(words)))).alias(name)
-        for name, words in sorted(vocabularies.items())
-    ]
-    names = sorted(vocabularies)
-    raw = docs.select(id_col, *hits)
-    total = sum((F.col(f"`{n}`") for n in names), F.lit(0.0))
-    scored = raw.select(id_col, F.array(*(F.struct((-F.round(F.coalesce(F.try_divide(F.col(f"`{n}`"), total), F.lit(0.0)), 4)).alias("less"), F.lit(n).alias("doc_type")) for n in names)).alias("s"))
-    best = F.array_min("s")
-    return scored.select(
-        id_col, F.when(best["less"] < 0, best["doc_type"]).alias("doc_type"), F.when(best["less"] < 0, -best["less"]).otherwise(0.0).alias("confidence"),
-        F.transform(F.array_sort("s"), lambda x: F.struct(x["doc_type"].alias("doc_type"), (-x["less"]).alias("score"))).alias("scores"),
-    )
+    return docs.select(id_col, vocabulary_match(F.col(text_col), vocabularies).alias("m")).select(id_col, "m.*")

@@ -13,7 +13,11 @@ from paperloom.functions import values as V
 
 @dataclass(frozen=True)
 class FieldDef:
-    """A field of a document type: scalar, presence, list_scalar, list_composite, composite or signature."""
+    """A field of a document type: scalar, presence, list_scalar, list_composite, composite or signature.
+
+    cls: the class of its extractions, by default the field's name. span_sub: the column that is the extraction's own
+    text; the others are its attributes. dedup: of a list's items with equal keys the first stays.
+    """
 
     name: str
     kind: str = "scalar"
@@ -21,6 +25,9 @@ class FieldDef:
     label: str = ""
     subs: tuple[tuple[str, str], ...] = ()  # (name, text or number)
     core: bool = False
+    cls: str = ""
+    span_sub: str = ""
+    dedup: bool = False
 
 
 #: Fields of the built-in document types; text unless said otherwise.

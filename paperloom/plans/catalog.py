@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    for name in ("rule_queries", "analytics_queries", "case_queries", "document_queries", "template_queries", "flow_queries", "record_queries"):
+    for name in ("rule_queries", "analytics_queries", "case_queries", "document_queries", "template_queries", "flow_queries", "record_queries", "way_queries"):
         importlib.import_module(f"paperloom.plans.{name}")
 
 
