@@ -8,7 +8,8 @@ costs one hash and can't change a group, as groups are those of equal full hashe
 
 Defined results: null text is empty text; rows with equal text are one group, also if doc_id repeats
 or is null (nulls sort below every id); `kept` marks the rows with the group's largest doc_id;
-extra columns are ignored by `duplicate_groups` and kept by `deduplicate`; empty input gives no rows.
+very long texts are hashed whole; extra columns are ignored by `duplicate_groups` and kept by `deduplicate`; empty
+input gives no rows.
 """
 
 from __future__ import annotations
@@ -109,13 +110,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = found.groupBy(F.col(id_col).alias(key), F.col("full_hash").alias(full)).agg(F.bool_and("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias(many))
     told = shared.written(rows.where(~F.col("kept") | F.col(many)).select(key, full, "kept", many), "exact-groups")
     body = F.coalesce(F.col(text_col), F.lit(""))
+    # Only rows whose id is told of are shuffled with their texts.
+    bits = 4 * FILTER_BITS
+    may = _hit(_bitmap(told, F.xxhash64(key), bits), F.xxhash64(F.col(id_col)), bits)
+    alone, some = docs.where(~may), docs.where(may)
 
     def same(other: DataFrame):
-        return docs[id_col].eqNullSafe(other[key]) & (F.sha2(body, 256) == other[full])
+        return some[id_col].eqNullSafe(other[key]) & (F.sha2(body, 256) == other[full])
 
     lost = told.select(key, full)
-    kept = docs.join(lost, same(lost), "left_anti")
+    kept = alone.unionByName(some.join(lost, same(lost), "left_anti"))
     again = told.where("kept").select(key, full)
     if again.isEmpty():
         return kept
-    return kept.unionByName(docs.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.unionByName(some.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col]))
