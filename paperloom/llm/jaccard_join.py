@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import packed, shared, sorted_store, words
 from paperloom.llm.columns import free
 from paperloom.llm.components import components
+from paperloom.llm.exact_dedup import FILTER_BITS, _bitmap, _hit
 
 DF_BITS = 48
 BLOCK = 64
@@ -433,8 +434,10 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "d
     rows = found.groupBy(own, named).agg(F.count(F.lit(1)).alias("n"))
     stays = (F.col(own) == F.col(named)).alias("stays")
     told = shared.written(rows.where((F.col(own) != F.col(named)) | (F.col("n") > 1)).select(own, stays), "near-duplicates")
-    marked = docs.withColumn(own, key())
-    kept = marked.join(told.select(own), own, "left_anti").select(docs.columns)
+    # Only rows whose id is told of are shuffled with their texts.
+    may = _hit(_bitmap(told, F.xxhash64(f"{own}.id"), 4 * FILTER_BITS), F.xxhash64(F.col(id_col)), 4 * FILTER_BITS)
+    marked = docs.where(may).withColumn(own, key())
+    kept = docs.where(~may).unionByName(marked.join(told.select(own), own, "left_anti").select(docs.columns))
     again = told.where("stays").select(own)
     if again.isEmpty():
         return kept
