@@ -46,6 +46,7 @@ BLOCK = 64
 FAN = 8
 NODE_BITS = 2048
 HOT_ROWS, HOT_KEYS = 200, 100_000
+FLUSH = 1_500_000
 DF = (("df", np.uint32),)
 
 
@@ -73,7 +74,7 @@ def _frequencies(texts: DataFrame, k: int, target: str, bits: int) -> None:
     cut = np.uint64(64 - DF_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = packed.Counter(), set()
+        held, seen = packed.Counter(FLUSH), set()
 
         def out():
             keys, n = held.take()
