@@ -192,9 +192,41 @@ def markdown_tables(pages: DataFrame, id_col: str = "doc_id", page_col: str = "p
     return runs.where("ruled").select(id_col, page_col, number.alias("table"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("markdown"))
 
 
+def interval_pairs(left: DataFrame, right: DataFrame, on: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], least: int = 64, step: int = 8) -> DataFrame:
+    """Pairs of rows of equal keys whose intervals [start, end) overlap, with `inside`: left, right, both or null (which one the other holds).
+
+    Intervals meet in bins, not under their key alone. A bin's width is `least` or `step` times that of the level below; an
+    interval is at the lowest level whose bins are as wide as it, and covers two of them at most. It is put into bins of its
+    own level and of the levels above, so two intervals meet at the level of the longer one, and the pair is taken in the bin
+    of the later start, once. Starts that touch an end don't overlap. All columns but the keys must have different names.
+    """
+    (ls, le), (rs, re_) = left_ends, right_ends
+    longest = F.max(F.greatest(F.col("end") - F.col("start"), F.lit(1)))
+    both = left.select(F.col(ls).alias("start"), F.col(le).alias("end")).union(right.select(F.col(rs).alias("start"), F.col(re_).alias("end")))
+    most, levels = both.agg(longest).first()[0] or 1, 1
+    while least * step ** (levels - 1) < most:
+        levels += 1
+    widths = F.array(*(F.lit(least * step**n).cast("long") for n in range(levels)))
+
+    def dealt(rows: DataFrame, start: str, end: str, own: str) -> DataFrame:
+        level = F.size(F.filter(widths, lambda w: w < F.col(end) - F.col(start)))
+        places = F.transform(F.sequence(level, F.lit(levels - 1)), lambda n: F.transform(
+            F.sequence(F.floor(F.col(start) / widths[n]), F.floor(F.col(end) / widths[n])), lambda b: F.struct(n.alias("_level"), b.alias("_bin"), (n == level).alias(own))
+        ))
+        known = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
+        return known.withColumn("_place", F.explode(F.flatten(places))).select(*rows.columns, "_place.*")
+
+    met = dealt(left, ls, le, "_own_l").join(dealt(right, rs, re_, "_own_r"), [*on, "_level", "_bin"])
+    later = F.floor(F.greatest(ls, rs) / widths[F.col("_level")])
+    found = met.where((F.col("_own_l") | F.col("_own_r")) & (F.col("_bin") == later) & (F.col(ls) < F.col(re_)) & (F.col(le) > F.col(rs)))
+    in_right, in_left = (F.col(rs) <= F.col(ls)) & (F.col(le) <= F.col(re_)), (F.col(ls) <= F.col(rs)) & (F.col(re_) <= F.col(le))
+    inside = F.when(in_left & in_right, "both").when(in_right, "left").when(in_left, "right")
+    return found.withColumn("inside", inside).drop("_level", "_bin", "_own_l", "_own_r")
+
+
 def overlapping_blocks(blocks: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Blocks (id, block, char_start, char_end) and spans (id, span, start, end) of a document that overlap."""
-    return blocks.join(spans, id_col).where((F.col("char_start") < F.col("end")) & (F.col("char_end") > F.col("start")))
+    return interval_pairs(blocks, spans, [id_col], ("char_start", "char_end"), ("start", "end")).drop("inside")
 
 
 def vocabulary_match(text: Column, vocabularies: dict[str, list[str]]) -> Column:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from paperloom.functions import fuzzy
 from paperloom.functions import values as V
 from paperloom.operators.reconcile import agrees
 from paperloom.settings import DEFAULT, Settings
@@ -53,42 +57,163 @@ def similarity(expected: DataFrame, actual: DataFrame, on: list[str], columns: l
     return met.select(*on, "i", "j", (total / len(columns)).alias("score"))
 
 
-def _greedy(scores: list[tuple[float, int, int]]) -> list[float]:
-    """Scores of the pairs taken, best first, each row once."""
-    left, right, out = set(), set(), []
-    for score, i, j in sorted(scores, key=lambda x: (-x[0], x[1], x[2])):
-        if score <= 0:
-            break
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
-            out.append(score)
-    return out
-
-
-def align(expected: DataFrame, actual: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """Row precision, recall, F1 and cell accuracy of each collection after a greedy alignment of rows."""
-    pairs = similarity(expected, actual, on, columns).where("score > 0")
-    listed = pairs.groupBy(*on).agg(F.collect_list(F.struct("score", "i", "j")).alias("pairs"))
-
-    @F.pandas_udf("array<double>")
-    def taken(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            yield pd.Series([_greedy([(p["score"], p["i"], p["j"]) for p in one]) for one in lists], dtype=object)
-
-    n_e = expected.groupBy(*on).agg(F.count(F.lit(1)).alias("n_expected"))
-    n_a = actual.groupBy(*on).agg(F.count(F.lit(1)).alias("n_actual"))
-    met = n_e.join(n_a, on, "full").join(listed.select(*on, taken("pairs").alias("taken")), on, "left")
-    met = met.select(*on, F.coalesce("n_expected", F.lit(0)).alias("n_expected"), F.coalesce("n_actual", F.lit(0)).alias("n_actual"), F.coalesce("taken", F.array().cast("array<double>")).alias("taken"))
-    n = F.size("taken")
-    precision = F.when(F.col("n_actual") == 0, 1.0).otherwise(F.try_divide(n, F.col("n_actual")))
-    recall = F.when(F.col("n_expected") == 0, 1.0).otherwise(F.try_divide(n, F.col("n_expected")))
+def taken_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of the pairs taken from pairs that stand best first, each row of either side once.
+
+    In rounds: what is the best pair left for both of its rows is taken, which is what taking pairs one by one would
+    come to. left and right may be rows of many collections, if these have numbers of their own.
+    """
+    alive, taken = np.arange(len(left)), []
+    while len(alive):
+        heads = []
+        for side in (left, right):
+            is_head = np.zeros(len(alive), bool)
+            is_head[np.unique(side[alive], return_index=True)[1]] = True
+            heads.append(is_head)
+        now = alive[heads[0] & heads[1]]
+        taken.append(now)
+        alive = alive[~np.isin(left[alive], left[now]) & ~np.isin(right[alive], right[now])]
+    return np.sort(np.concatenate(taken)) if taken else alive
+
+
+def with_taken(rows: DataFrame, pairs: str, into: str) -> DataFrame:
+    """rows with `into`, the pairs (i, j, score) taken from each list of (less, i, j) in its order, in the list's place.
+
+    All lists of an Arrow batch are matched at once; pairs must not be null.
+    """
+    kind = T.ArrayType(T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != pairs] + [T.StructField(into, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(pairs))
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            less, i, j = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            owner = np.repeat(np.arange(len(n)), n)
+            left, right = (np.unique(np.stack([owner, x]), axis=1, return_inverse=True)[1].ravel() for x in (i, j))
+            at = taken_pairs(left, right)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(n)))])
+            taken = pa.StructArray.from_arrays([pa.array(i[at], pa.int64()), pa.array(j[at], pa.int64()), pa.array(-less[at], pa.float64())], ["i", "j", "score"])
+            rest = [(batch.column(k), name) for k, name in enumerate(batch.schema.names) if name != pairs]
+            columns = [c for c, _ in rest] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken)]
+            yield pa.RecordBatch.from_arrays(columns, [name for _, name in rest] + [into])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _metrics(n_expected: Column, n_actual: Column, taken: Column) -> list[Column]:
+    """Precision, recall, F1 and the mean score of the matched cells. Without rows on either side all are 1."""
+    n = F.size(taken)
+    precision = F.when(n_actual == 0, 1.0).otherwise(F.try_divide(n, n_actual))
+    recall = F.when(n_expected == 0, 1.0).otherwise(F.try_divide(n, n_expected))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    total = F.aggregate("taken", F.lit(0.0), lambda x, y: x + y)
-    cell = F.when(n > 0, F.try_divide(total, n)).when((F.col("n_expected") == 0) & (F.col("n_actual") == 0), 1.0).otherwise(0.0)
-    return met.select(
-        *on, "n_expected", "n_actual", n.alias("matched"), F.round(precision, 6).alias("row_precision"), F.round(recall, 6).alias("row_recall"),
+    total = F.aggregate(taken, F.lit(0.0), lambda x, y: x + y["score"])
+    cell = F.when(n > 0, F.try_divide(total, n)).when((n_expected == 0) & (n_actual == 0), 1.0).otherwise(0.0)
+    return [
+        n.alias("matched"), F.round(precision, 6).alias("row_precision"), F.round(recall, 6).alias("row_recall"),
         F.round(f1, 6).alias("row_f1"), F.round(cell, 6).alias("cell_accuracy"), F.round(f1 * cell, 6).alias("line_item_score"),
+    ]
+
+
+def align(expected: DataFrame, actual: DataFrame, on: list[str], columns: list[str], room: float = 0.01) -> DataFrame:
+    """Row precision, recall, F1 and cell accuracy of each collection after a greedy alignment of rows.
+
+    Each side's rows are one array of their collection, so pairs are made and sorted in place: two shuffles.
+    """
+    e = expected.groupBy(*on).agg(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), *columns)).alias("_e"))
+    a = actual.groupBy(*on).agg(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), *columns)).alias("_a"))
+    met = e.join(a, on, "full")
+    near = {c for c, t in expected.dtypes if t in ("double", "float", "int", "bigint")}
+
+    def same(x: Column, y: Column, c: str) -> Column:
+        equal = F.abs(x[c] - y[c]) <= room if c in near else x[c] == y[c]
+        return F.when(x[c].isNull() & y[c].isNull(), 1.0).otherwise(F.coalesce(equal, F.lit(False)).cast("double"))
+
+    def pair(x: Column, y: Column) -> Column:
+        score = sum((same(x, y, c) for c in columns), F.lit(0.0)) / len(columns)
+        return F.struct((-score).alias("less"), x["idx"].alias("i"), y["idx"].alias("j"))
+
+    every = F.flatten(F.transform("_e", lambda x: F.transform("_a", lambda y: pair(x, y))))
+    made = F.coalesce(F.array_sort(F.filter(every, lambda p: p["less"] < 0)), F.array().cast("array<struct<less:double,i:bigint,j:bigint>>"))
+    zero = F.lit(0)
+    found = met.select(*on, F.coalesce(F.size("_e"), zero).alias("n_expected"), F.coalesce(F.size("_a"), zero).alias("n_actual"), made.alias("_p"))
+    return with_taken(found, "_p", "_t").select(*on, "n_expected", "n_actual", *_metrics(F.col("n_expected"), F.col("n_actual"), F.col("_t")))
+
+
+def _read(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows with what a value is when it is compared: kind, number, amount, stripped text, boolean, day and key, each read once."""
+    v = F.col(value)
+    out = rows.withColumn(f"{name}_kind", v["kind"]).withColumn(f"{name}_n", V.as_number(v)).withColumn(f"{name}_b", v["b"]).withColumn(f"{name}_s", V.strip(V.as_text(v)))
+    out = out.withColumn(f"{name}_m", F.when(v["kind"] == "string", v["s"].try_cast("double")).otherwise(F.col(f"{name}_n")))
+    return out.withColumn(f"{name}_d", V.as_date(F.col(f"{name}_s"))).withColumn(f"{name}_k", V.company_key(F.col(f"{name}_s"))).drop(value)
+
+
+def _hits(path: Column, settings: Settings, use_fuzzy: bool) -> tuple[Column, Column]:
+    """(exact, normalized) of values read as e and a: as `exact` and `matched`, with the kind from the path and the expected value."""
+    e, a = (lambda c: F.col(f"e_{c}")), (lambda c: F.col(f"a_{c}"))
+    none_e, none_a = e("kind").isNull(), a("kind").isNull()
+    equal = F.when(e("kind") == "bool", e("b") == a("b")).when(e("kind") == "number", F.abs(e("n") - a("n")) <= 1e-9).otherwise(e("s") == a("s"))
+    same = F.when(none_e & none_a, True).when(none_e | none_a, False).otherwise((e("kind") == a("kind")) & equal)
+    room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs(e("m")), F.abs(a("m"))))
+    dated = path.rlike(V.DATE_NAME) | e("d").isNotNull()
+    is_money = e("kind") == "number"
+    as_text = ~is_money & ~(dated & e("d").isNotNull() & a("d").isNotNull())
+    ke, ka = (F.when(as_text & ~same, x("k")) for x in (e, a))
+    text = fuzzy.ratio_at_least(ke, ka, settings.string_fuzzy_threshold) if use_fuzzy else ke == ka
+    near = F.when(is_money, F.abs(e("m") - a("m")) <= room).when(as_text, text).otherwise(F.abs(F.datediff(e("d"), a("d"))) <= settings.date_tolerance_days)
+    return same, F.when(same, True).when(none_e | none_a, False).otherwise(F.coalesce(near, F.lit(False)))
+
+
+def scored_collections(expected: DataFrame, actual: DataFrame, on: str = "run_id", settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
+    """(on, collection, metrics, n_columns, pairs, missing, extra): every collection of every run, each with its own columns.
+
+    expected, actual: on, collection, idx, cells map<string, value union>. A collection's columns are all that its
+    expected rows have; a list of plain values has one. Cells are compared as fields are, so a pair's score is the
+    share of its cells that match. pairs: (i, j, score) taken best first; missing, extra: rows without a partner.
+    """
+    keys = [on, "collection"]
+    columns = expected.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set(F.map_keys("cells")))).alias("columns"), F.sort_array(F.collect_set("idx")).alias("e"))
+    there = actual.groupBy(*keys).agg(F.sort_array(F.collect_set("idx")).alias("a"))
+
+    def cells(rows: DataFrame, place: str, name: str) -> DataFrame:
+        each = rows.join(columns.select(*keys, "columns"), keys).select(*keys, F.col("idx").alias(place), F.explode("columns").alias("column"), "cells")
+        return _read(each.select(*keys, place, "column", F.try_element_at("cells", F.col("column")).alias("_v")), "_v", name)
+
+    met = cells(expected, "i", "e").join(cells(actual, "j", "a"), [*keys, "column"])
+    hit = met.withColumn("hit", _hits(F.col("column"), settings, use_fuzzy)[1].cast("double"))
+    pairs = hit.groupBy(*keys, "i", "j").agg(F.avg("hit").alias("score")).where("score > 0")
+    listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))).alias("p"))
+    none, rows = F.array().cast("array<struct<less:double,i:bigint,j:bigint>>"), F.array().cast("array<bigint>")
+    whole = columns.join(there, keys, "left").join(listed, keys, "left").withColumn("p", F.coalesce("p", none))
+    whole = with_taken(whole, "p", "pairs")
+    e_rows, a_rows = F.col("e").cast("array<bigint>"), F.coalesce(F.col("a").cast("array<bigint>"), rows)
+    return whole.select(
+        *keys, F.size("e").alias("n_expected"), F.size(a_rows).alias("n_actual"), *_metrics(F.size("e"), F.size(a_rows), F.col("pairs")),
+        F.size("columns").alias("n_columns"), "pairs", F.array_except(e_rows, F.transform("pairs", lambda p: p["i"])).alias("missing"),
+        F.array_except(a_rows, F.transform("pairs", lambda p: p["j"])).alias("extra"),
+    )
+
+
+def scored_runs(fields: DataFrame, expected: DataFrame, actual: DataFrame, on: str = "run_id", settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
+    """(on, exact, normalized, n_fields, collections, overall): golden scores of whole runs in one call.
+
+    fields: on, path, expected, actual (value unions); how a field is compared follows from its path and expected value.
+    The overall score is over all expected fields and cells alike: a missing row's cells count as wrong, rows that weren't
+    asked for don't count. collections: a map of each collection's line_item_score.
+    """
+    one = _read(_read(fields, "expected", "e"), "actual", "a")
+    e, m = (x.cast("int") for x in _hits(F.col("path"), settings, use_fuzzy))
+    scalars = one.withColumn("_e", e).withColumn("_m", m).groupBy(on).agg(F.avg("_e").alias("exact"), F.avg("_m").alias("normalized"), F.sum("_m").alias("right"), F.count("_e").alias("n_fields"))
+    held = scored_collections(expected, actual, on, settings, use_fuzzy)
+    right = F.aggregate("pairs", F.lit(0.0), lambda x, p: x + p["score"]) * F.col("n_columns")
+    cells = held.groupBy(on).agg(
+        F.sum(right).alias("cells_right"), F.sum(F.col("n_expected") * F.col("n_columns")).alias("cells"), F.map_from_entries(F.collect_list(F.struct("collection", "line_item_score"))).alias("collections"),
+    )
+    met, zero = scalars.join(cells, on, "full"), F.lit(0)
+    overall = pooled(F.coalesce("right", zero), F.coalesce("n_fields", zero), F.coalesce("cells_right", F.lit(0.0)), F.coalesce("cells", zero))
+    return met.select(
+        on, F.round(F.coalesce("exact", F.lit(1.0)), 6).alias("exact"), F.round(F.coalesce("normalized", F.lit(1.0)), 6).alias("normalized"),
+        F.coalesce("n_fields", zero).alias("n_fields"), "collections", overall.alias("overall"),
     )
 
 

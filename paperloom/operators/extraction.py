@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import values as V
 from paperloom.operators import documents as D
-from paperloom.operators import evaluation as E
 from paperloom.operators import flows, rules
 from paperloom.operators.fields import Fields
 from paperloom.settings import DEFAULT, Settings
@@ -146,19 +145,3 @@ def extracted(
 def batch_counts(results: DataFrame) -> DataFrame:
     """(succeeded, failed) of a batch of results with an error column."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
-
-
-def scored_runs(fields: DataFrame, expected_rows: DataFrame, actual_rows: DataFrame, columns: list[str], run_col: str = "run_id") -> DataFrame:
-    """(run, exact, normalized, line_item_score, overall): golden scores of whole runs in one call.
-
-    fields: run, expected, actual, kind (value unions). Rows of the collection: run, idx and the columns. The
-    overall score is over all expected scalars and cells alike; rows that weren't asked for don't count against it.
-    """
-    scalars = E.scalar_accuracy(fields, run_col)
-    lines = E.align(expected_rows, actual_rows, [run_col], columns)
-    met = scalars.join(lines, run_col, "full")
-    cells = F.coalesce(F.col("n_expected"), F.lit(0)) * len(columns)
-    right = F.coalesce(F.col("cell_accuracy") * F.col("matched"), F.lit(0.0)) * len(columns)
-    n = F.coalesce("n_fields", F.lit(0))
-    overall = E.pooled(F.coalesce("normalized_accuracy", F.lit(0.0)) * n, n, right, cells)
-    return met.select(run_col, F.coalesce("exact_accuracy", F.lit(1.0)).alias("exact"), F.coalesce("normalized_accuracy", F.lit(1.0)).alias("normalized"), "line_item_score", overall.alias("overall"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from paperloom.functions import values as V
 from paperloom.operators import documents as D
 
-SIGNATURE = "%%PAPERLOOM-MOCK-SIGNATURE:"
 FINDING = "array<struct<severity:string,category:string,description:string,suggested_fix:string,page:string>>"
 
 
@@ -65,20 +64,6 @@ def backfilled_rows(tables: DataFrame, id_col: str = "doc_id", confidence: float
     return numeric.select(id_col, place.alias("idx"), F.col("cells")[0].alias("desc"), F.when(F.size("cells") > 2, number(1)).alias("qty"), F.when(F.size("cells") > 3, number(2)).alias("unit_price"), last.alias("amount"), F.lit(confidence).alias("confidence"))
 
 
-def signed(content: Column, field: Column, signer: Column) -> Column:
-    """Content with a mock signature at its end."""
-    return F.concat(content, F.lit(f"\n{SIGNATURE}"), field, F.lit(":"), signer, F.lit("\n"))
-
-
-def validated(content: Column) -> Column:
-    """(valid, field, signer) of the last mock signature in the content."""
-    line = F.substring_index(F.substring_index(content, SIGNATURE, -1), "\n", 1)
-    has = F.contains(content, F.lit(SIGNATURE))
-    field = F.substring_index(line, ":", 1)
-    signer = F.substring(line, F.char_length(field) + 2, F.char_length(line))
-    return F.struct(F.coalesce(has, F.lit(False)).alias("valid"), F.when(has, field).alias("field"), F.when(has, signer).alias("signer"))
-
-
 def findings(raw: Column, severities=("low", "medium", "high"), categories=("layout", "content", "typography", "data")) -> Column:
     """Findings of a JSON text with unknown severities, categories and pages set to their defaults."""
     read = F.coalesce(F.from_json(raw, FINDING), F.array().cast(FINDING))

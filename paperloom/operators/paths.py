@@ -72,6 +72,22 @@ def subfields(kind: T.DataType, prefix: str = "") -> Iterator[tuple[str, str]]:
             yield from subfields(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)
 
 
+def filled_paths(rows: DataFrame, column: str) -> DataFrame:
+    """(path, kind, filled) of every path of a column of nested fields: how many values stand there in all rows. One pass."""
+
+    def count(at: Column, parts: list[str]) -> Column:
+        if not parts:
+            return at.isNotNull().cast("long")
+        if parts[0] == "*":
+            return F.coalesce(F.aggregate(at, F.lit(0).cast("long"), lambda n, x: n + count(x, parts[1:])), F.lit(0))
+        return count(at[parts[0]], parts[1:])
+
+    paths = list(subfields(rows.schema[column].dataType))
+    sums = rows.agg(*(F.sum(count(F.col(column), p.split("."))).alias(f"n{i}") for i, (p, _) in enumerate(paths)))
+    each = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind"), F.coalesce(f"n{i}", F.lit(0)).alias("filled")) for i, (p, k) in enumerate(paths)))
+    return sums.select(F.explode(each).alias("x")).select("x.*")
+
+
 def coerced(reference: Column, given: Column) -> Column:
     """An edited value (a value union) brought to the kind of the field's present one, else left as it was typed."""
     said = V.as_text(given)

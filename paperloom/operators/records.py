@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import markup
+
 UNCLASSIFIED = "unclassified"
 #: The order in which a listing shows documents by their status.
 STATUS_ORDER = ["needs_review", "decided", "signed", "structured", "ocr_done", "prescanned", "uploaded"]
@@ -86,23 +88,28 @@ def by_status(docs: DataFrame, status: str = "status") -> DataFrame:
     return docs.withColumn("status_rank", F.when(F.coalesce(rank, F.lit(0)) == 0, len(STATUS_ORDER) + 1).otherwise(rank).cast("int"))
 
 
-def conflicts_first(fields: DataFrame, *order: str) -> DataFrame:
-    """Reconciled fields, those that disagree before the others, each in the order given."""
-    return fields.orderBy("agreement", *order)
+def conflicts_first(fields: DataFrame, case_col: str, *order: str) -> DataFrame:
+    """Reconciled fields with `rank`, their place in their case: those that disagree first, each in the order given."""
+    return fields.withColumn("rank", F.row_number().over(Window.partitionBy(case_col).orderBy("agreement", *order)))
 
 
 def kpi_order(kpis: DataFrame) -> DataFrame:
-    return kpis.orderBy(F.desc("documents"), "doc_type")
+    """A row for each document type with `rank`: the type of most documents first."""
+    return kpis.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("documents"), "doc_type")))
+
+
+def stored(updates: DataFrame) -> DataFrame:
+    """updates as they are kept: bodies without what a page could run."""
+    return updates.withColumn("html", markup.sanitized("html"))
 
 
 def revisions(updates: DataFrame) -> DataFrame:
     """(template_id, seq, html, css, note): what stood before each update that touches html or css.
 
     updates: template_id, seq, html, css, note; null leaves a part as it is. The state before an update is
-    the last value of each part before it, null before the first.
+    the last value of each part before it as it was stored, null before the first.
     """
-    from pyspark.sql import Window
-
+    updates = stored(updates)
     before = Window.partitionBy("template_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seen = updates.select("template_id", "seq", "note", F.last("html", True).over(before).alias("was_html"), F.last("css", True).over(before).alias("was_css"), (F.col("html").isNotNull() | F.col("css").isNotNull()).alias("touches"))
     return seen.where("touches").select("template_id", "seq", F.col("was_html").alias("html"), F.col("was_css").alias("css"), "note")
@@ -122,7 +129,7 @@ def restored(updates: DataFrame, asked: DataFrame, held: DataFrame | None = None
 def now(updates: DataFrame) -> DataFrame:
     """(template_id, html, css): the last value of each part."""
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("html", "css")]
-    return updates.groupBy("template_id").agg(*last)
+    return stored(updates).groupBy("template_id").agg(*last)
 
 
 def append_runs(scored: DataFrame, path: str) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,98 +45,12 @@ def attributes(html: Column, name: str = "data-field") -> Column:
     return F.regexp_extract_all(html, F.lit(rf'{name}="([^"]*)"'), F.lit(1))
 
 
-def placeholder(path: Column) -> Column:
-    safe = F.replace(F.replace(F.replace(path, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
-    return F.concat(F.lit('<span data-field="'), safe, F.lit('"></span>'))
-
-
 def without_scripts(html: Column) -> Column:
-    """Scripts, frames and handlers cut by patterns: what SQL can say of `sanitized`."""
+    """Scripts, frames and handlers cut by patterns: what SQL can say of `markup.sanitized`."""
     bare = F.regexp_replace(html, r"(?is)<(script|iframe)\b[^>]*>.*?</\1\s*>", "")
     return F.regexp_replace(bare, r"(?i)\son[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
 
 
-class _Cleaner(HTMLParser):
-    DROPPED = ("script", "iframe")
-
-    def __init__(self):
-        super().__init__(convert_charrefs=False)
-        self.out, self.depth = [], 0
-
-    def _tag(self, tag, attrs, close=""):
-        if tag in self.DROPPED:
-            return
-        kept = [(k, v) for k, v in attrs if not k.startswith("on") and not (k in ("href", "src") and (v or "").strip().lower().startswith("javascript:"))]
-        said = "".join(f" {k}" if v is None else f' {k}="{v.replace(chr(34), "&quot;")}"' for k, v in kept)
-        self.out.append(f"<{tag}{said}{close}>")
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.DROPPED
-        if not self.depth:
-            self._tag(tag, attrs)
-
-    def handle_startendtag(self, tag, attrs):
-        if not self.depth:
-            self._tag(tag, attrs, "/")
-
-    def handle_endtag(self, tag):
-        if tag in self.DROPPED:
-            self.depth = max(0, self.depth - 1)
-        elif not self.depth:
-            self.out.append(f"</{tag}>")
-
-    def _text(self, data):
-        if not self.depth:
-            self.out.append(data)
-
-    def handle_data(self, data):
-        self._text(data)
-
-    def handle_entityref(self, name):
-        self._text(f"&{name};")
-
-    def handle_charref(self, name):
-        self._text(f"&#{name};")
-
-    def handle_decl(self, decl):
-        self._text(f"<!{decl}>")
-
-
-@F.pandas_udf(T.StringType())
-def sanitized(html: pd.Series) -> pd.Series:
-    """HTML without scripts, frames, event handlers and javascript links."""
-
-    def clean(x):
-        if x is None:
-            return None
-        c = _Cleaner()
-        c.feed(x)
-        c.close()
-        return "".join(c.out)
-
-    return html.map(clean)
-
-
-@F.pandas_udf(T.StructType([T.StructField("html", T.StringType()), T.StructField("filled", T.ArrayType(T.StringType())), T.StructField("skipped", T.ArrayType(T.StringType()))]))
-def bound(html: pd.Series, values: pd.Series) -> pd.DataFrame:
-    """HTML with the spans of fields filled from a map of texts; the paths that were filled and those skipped."""
-    import html as escape
-    import re
-
-    out = []
-    for page, held in zip(html, values, strict=True):
-        held, filled, skipped = dict(held or {}), [], []
-
-        def put(m):
-            value = held.get(m.group(2))  # noqa: B023
-            (filled if value is not None else skipped).append(m.group(2))  # noqa: B023
-            return f"{m.group(1)}{escape.escape(value or '')}</span>"
-
-        text = None if page is None else re.sub(r'(<span[^>]*\bdata-field="([^"]*)"[^>]*>).*?</span>', put, page, flags=re.S)
-        out.append((text, filled, skipped))
-    return pd.DataFrame(out, columns=["html", "filled", "skipped"])
-
-
 def cells(sheet: DataFrame, id_cols: list[str], row_col: str, cells_col: str, max_rows: int = DEFAULT.sheet_max_rows, max_cols: int = DEFAULT.sheet_max_cols) -> DataFrame:
     """(ids, row, col, value, a1) of every cell that isn't empty, within the sheet's limits."""
     out = sheet.where(F.col(row_col) < max_rows).select(*id_cols, F.col(row_col).alias("row"), F.posexplode(F.slice(cells_col, 1, max_cols)).alias("col", "value"))
@@ -153,11 +65,6 @@ def expanded_rows(items: DataFrame, id_col: str, order: list[str], columns: list
     return numbered.select(id_col, "row", F.explode("c").alias("c")).select(id_col, "row", "c.*")
 
 
-def shifted(cells_: DataFrame, anchor_row: int, added: int) -> DataFrame:
-    """Template cells with those below an anchor moved down by the rows added."""
-    return cells_.withColumn("row", F.when(F.col("row") > anchor_row, F.col("row") + added).otherwise(F.col("row")))
-
-
 def widened(formula: Column, anchor_row: Column, added: Column, columns: tuple[str, ...]) -> Column:
     """Formulas whose ranges end at the anchor row (numbered from 1) reach over the rows added below it.
 

@@ -184,7 +184,13 @@ def align_similarity_matrix(spark, sf):
     return E.similarity(*_collections(spark, sf), ["l_orderkey"], ["qty", "flag"])
 
 
-@query("align_greedy_f1")
+@query("align_greedy_f1", SIMILAR + """, c AS (SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS n_expected, count(*) FILTER (l_linestatus = 'O') AS n_actual FROM lineitem GROUP BY 1),
+g AS (SELECT l_orderkey, list_reduce(list({'i': [i], 'j': [j], 's': [score]} ORDER BY score DESC, i, j), lambda a, x: CASE WHEN list_contains(a.i, x.i[1]) OR list_contains(a.j, x.j[1]) THEN a
+      ELSE {'i': list_concat(a.i, x.i), 'j': list_concat(a.j, x.j), 's': list_concat(a.s, x.s)} END).s AS s FROM sim WHERE score > 0 GROUP BY 1),
+m AS (SELECT c.*, coalesce(len(s), 0) AS n, coalesce(list_sum(s), 0) AS total FROM c LEFT JOIN g USING (l_orderkey)),
+f AS (SELECT *, CASE WHEN n_actual = 0 THEN 1 ELSE n / n_actual END AS p, CASE WHEN n_expected = 0 THEN 1 ELSE n / n_expected END AS r, CASE WHEN n > 0 THEN total / n ELSE 0 END AS cell FROM m)
+SELECT l_orderkey, n_expected, n_actual, n AS matched, round(p, 6) AS row_precision, round(r, 6) AS row_recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS row_f1,
+round(cell, 6) AS cell_accuracy, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END * cell, 6) AS line_item_score FROM f""")
 def align_greedy_f1(spark, sf):
     return E.align(*_collections(spark, sf), ["l_orderkey"], ["qty", "flag"])
 
@@ -198,3 +204,43 @@ def pooled_overall_score(spark, sf):
     met = per.join(cells, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     zero = F.lit(0)
     return met.select("o_orderkey", E.pooled(F.col("s"), F.col("n"), F.coalesce("cs", zero), F.coalesce("cn", zero)).alias("score"))
+
+
+def _scored(spark, sf):
+    """Orders as runs: a text with a typo, an amount and a date that are near; line items and a list of flags with rows missing."""
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    typo = F.concat(F.expr("left(o_orderpriority, length(o_orderpriority) - 1)"), F.lit("#"))
+    off = F.when(key % 3 == 0, 1.0).when(key % 2 == 0, 0.005).otherwise(0.0)
+    day = lambda shift: F.date_format(F.date_add(F.col("o_orderdate").cast("date"), shift), "yyyy-MM-dd")
+    field = lambda path, e, a: F.struct(F.lit(path).alias("path"), e.alias("expected"), a.alias("actual"))
+    each = F.array(
+        field("priority", V.text("o_orderpriority"), V.text(typo)), field("total", V.number(F.round("o_totalprice", 2)), V.number(F.round("o_totalprice", 2) + off)),
+        field("order_date", V.text(day(F.lit(0))), V.text(day((key % 5).cast("int")))),
+    )
+    fields = o.select(key.alias("run_id"), F.explode(each).alias("f")).select("run_id", "f.*")
+    n = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)")
+    rows = table(spark, sf, "lineitem").withColumn("n", n)
+    cells = F.create_map(F.lit("own"), V.number("n"), F.lit("part"), V.number("l_partkey"))
+    items = rows.select(F.col("l_orderkey").alias("run_id"), F.lit("line_items").alias("collection"), F.col("n").alias("idx"), cells.alias("cells"))
+    flags = rows.select(F.col("l_orderkey").alias("run_id"), F.lit("flags").alias("collection"), F.col("n").alias("idx"), F.create_map(F.lit("flags"), V.text("l_returnflag")).alias("cells"), "l_linestatus")
+    return fields, items.union(flags.drop("l_linestatus")), items.where("idx > 1").union(flags.where("l_linestatus = 'F'").drop("l_linestatus"))
+
+
+SCORED = """WITH f AS (SELECT o_orderkey AS run_id, ((length(o_orderpriority) - 1) / length(o_orderpriority) >= 0.85)::INT + (o_orderkey % 3 <> 0)::INT + (o_orderkey % 5 <= 3)::INT AS m,
+  (o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0)::INT + (o_orderkey % 5 = 0)::INT AS e FROM orders),
+l AS (SELECT l_orderkey AS run_id, count(*) AS n FROM lineitem GROUP BY 1),
+g AS (SELECT run_id, sum(least(e, a)) AS hit, sum(a) AS given FROM (SELECT l_orderkey AS run_id, l_returnflag, count(*) AS e, count(*) FILTER (l_linestatus = 'F') AS a FROM lineitem GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("scored_runs", SCORED + """ SELECT f.run_id, round(e / 3, 6) AS exact, round(m / 3, 6) AS normalized, round((m + coalesce((n - 1) * 2 + hit, 0)) / (3 + coalesce(3 * n, 0)), 6) AS overall
+FROM f LEFT JOIN l ON f.run_id = l.run_id LEFT JOIN g ON f.run_id = g.run_id""")
+def scored_runs(spark, sf):
+    return E.scored_runs(*_scored(spark, sf)).select("run_id", "exact", "normalized", "overall")
+
+
+@query("scored_collections", SCORED + """ SELECT run_id, 'flags' AS collection, n AS n_expected, given::BIGINT AS n_actual, hit::BIGINT AS matched, (n - hit)::BIGINT AS missing, (given - hit)::BIGINT AS extra FROM l JOIN g USING (run_id)
+UNION ALL SELECT run_id, 'line_items', n, n - 1, n - 1, 1, 0 FROM l""")
+def scored_collections(spark, sf):
+    _, expected, actual = _scored(spark, sf)
+    found = E.scored_collections(expected, actual)
+    return found.select("run_id", "collection", "n_expected", "n_actual", "matched", F.size("missing").alias("missing"), F.size("extra").alias("extra"))

@@ -130,3 +130,17 @@ def markdown_table_parse(spark, sf):
     page = rows.select(F.col("n_regionkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("Intro\n"), D.markdown_rows(F.concat(head, "rows")), F.lit("\nafter")).alias("text"))
     cells = D.markdown_tables(page).select("doc_id", F.explode(D.markdown_cells(F.col("markdown"))).alias("row"))
     return cells.select(F.col("doc_id").alias("r_regionkey"), F.col("row")[0].alias("cell"))
+
+
+@query("interval_containment", """WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + floor(value * 300)::BIGINT AS e FROM events)
+SELECT a.event_id, count(*) AS overlapped, count(*) FILTER (b.s <= a.s AND a.e <= b.e) AS inside, count(*) FILTER (a.s <= b.s AND b.e <= a.e) AS holds
+FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND a.s < b.e AND a.e > b.s GROUP BY 1""")
+def interval_containment(spark, sf):
+    """How many of a user's other stretches of time each one overlaps, lies in and holds."""
+    start = F.unix_timestamp("ts")
+    e = table(spark, sf, "events").select("event_id", "user_id", start.alias("s"), (start + F.floor(F.col("value") * 300)).alias("e"))
+    other = e.select("user_id", F.col("event_id").alias("other_id"), F.col("s").alias("os"), F.col("e").alias("oe"))
+    met = D.interval_pairs(e, other, ["user_id"], ("s", "e"), ("os", "oe"), least=1024).where("event_id <> other_id")
+    return met.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("overlapped"), F.count_if(F.col("inside").isin("left", "both")).alias("inside"), F.count_if(F.col("inside").isin("right", "both")).alias("holds")
+    )

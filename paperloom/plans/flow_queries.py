@@ -55,13 +55,6 @@ def stored_engine(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", W.stored_engine(F.when(s == "F", "b"), stored, "mock").alias("engine"))
 
 
-@query("mock_signing", "SELECT s_suppkey, s_suppkey % 2 = 0 AS valid, CASE WHEN s_suppkey % 2 = 0 THEN 'sig1' END AS field, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ':x' END AS signer FROM supplier")
-def mock_signing(spark, sf):
-    signer = F.concat(F.col("s_name"), F.lit(":x"))
-    content = F.when(F.col("s_suppkey") % 2 == 0, W.signed(F.lit("%PDF"), F.lit("sig1"), signer)).otherwise(F.lit("%PDF"))
-    return table(spark, sf, "supplier").select("s_suppkey", W.validated(content).alias("v")).select("s_suppkey", "v.*")
-
-
 @query("qa_findings", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'high' ELSE 'low' END AS severity, 'layout' AS category, s_suppkey::INT AS page FROM supplier")
 def qa_findings(spark, sf):
     raw = F.format_string('[{"severity": "%s", "category": "?", "page": %d}]', F.when(F.col("s_suppkey") % 2 == 0, "high").otherwise("odd"), F.col("s_suppkey"))

@@ -86,13 +86,13 @@ def status_order(spark, sf):
     return K.by_status(table(spark, sf, "orders").withColumn("status", named)).select("o_orderkey", "status_rank")
 
 
-@query("conflicts_first", "SELECT o_orderkey AS case_id, o_orderstatus = 'F' AS agreement FROM orders ORDER BY agreement, case_id LIMIT 50")
+@query("conflicts_first", """SELECT o_custkey AS case_id, o_orderkey AS field, o_orderstatus = 'F' AS agreement, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F', o_orderkey) AS rank FROM orders""")
 def conflicts_first(spark, sf):
-    fields = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderstatus") == "F").alias("agreement"))
-    return K.conflicts_first(fields, "case_id").limit(50)  # the first screen of a listing
+    fields = table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("field"), (F.col("o_orderstatus") == "F").alias("agreement"))
+    return K.conflicts_first(fields, "case_id", "field")
 
 
-@query("kpi_order", "SELECT o_orderpriority AS doc_type, count(*) AS documents FROM orders GROUP BY 1")
+@query("kpi_order", "SELECT o_orderpriority AS doc_type, count(*) AS documents, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS rank FROM orders GROUP BY 1")
 def kpi_order(spark, sf):
     return K.kpi_order(table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("doc_type")).agg(F.count(F.lit(1)).alias("documents")))
 
@@ -171,9 +171,11 @@ def values_only(spark, sf):
     return plain.select("o_orderkey", said.alias("plain"))
 
 
-@query("field_tree", "SELECT * FROM (VALUES ('total', 'leaf'), ('clause', 'object'), ('clause.status', 'leaf'), ('items', 'list'), ('items.*.qty', 'leaf'), ('items.*.part', 'leaf')) t(path, kind)")
+@query("field_tree", NESTED + """, t AS (SELECT unnest([{'p': 'total', 'k': 'leaf', 'c': 1}, {'p': 'clause', 'k': 'object', 'c': 1}, {'p': 'clause.status', 'k': 'leaf', 'c': 1}, {'p': 'items', 'k': 'list', 'c': 1}, {'p': 'items.*.qty', 'k': 'leaf', 'c': len(l)}, {'p': 'items.*.part', 'k': 'leaf', 'c': len(l)}]) AS x FROM n)
+SELECT x.p AS path, x.k AS kind, sum(x.c)::BIGINT AS filled FROM t GROUP BY 1, 2""")
 def field_tree(spark, sf):
-    return spark.createDataFrame(list(P.subfields(_nested(spark, sf).schema["fields"].dataType)), "path string, kind string")
+    """Every path of the documents' fields, what stands there and how many documents' values it has."""
+    return P.filled_paths(_nested(spark, sf), "fields")
 
 
 @query("edits_applied", RUNS + """, f AS (SELECT o_orderkey AS doc_id, 'total' AS path, o_totalprice AS value FROM orders),
@@ -362,16 +364,3 @@ def extracted_documents(spark, sf):
 @query("batch_counts", "WITH x AS (SELECT 1)" + EXTRACTED + " SELECT count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed FROM r")
 def batch_counts(spark, sf):
     return X.batch_counts(_extracted(spark, sf))
-
-
-@query("scored_runs", """WITH l AS (SELECT l_orderkey AS run_id, l_linenumber AS idx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS all_rows FROM lineitem),
-a AS (SELECT run_id, max(all_rows) AS e, count(*) FILTER (n > 1) AS a FROM l GROUP BY 1)
-SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact, round((CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END + coalesce(a, 0) * 2) / (1 + coalesce(e, 0) * 2), 6) AS overall FROM orders LEFT JOIN a ON run_id = o_orderkey""")
-def scored_runs(spark, sf):
-    from pyspark.sql import Window
-
-    said = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("something else")
-    fields = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), V.text("o_orderpriority").alias("expected"), V.text(said).alias("actual"), F.lit("string").alias("kind"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), place.alias("idx"), place.alias("own"), F.col("l_partkey").alias("part"))
-    return X.scored_runs(fields, rows, rows.where("idx > 1"), ["own", "part"]).select("run_id", "exact", "overall")

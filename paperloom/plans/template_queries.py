@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.functions import markup as M
 from paperloom.functions import values as V
 from paperloom.operators import documents as D
 from paperloom.operators import templates as T
@@ -22,16 +23,21 @@ def html_sanitize(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(T.without_scripts(F.col("html")), 256).alias("digest"))
 
 
-@query("html_sanitize_parsed")
+@query("html_sanitize_parsed", r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<iframe\b[^>]*>.*?</iframe\s*>', '', 'g'),
+'(?i)\son[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g'), '(?i)\s(href|src)\s*=\s*("\s*javascript:[^"]*"|''\s*javascript:[^'']*''|javascript:[^\s>]+)', '', 'g')) AS digest FROM pages""")
 def html_sanitize_parsed(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.sanitized("html").alias("html")).select("page_id", F.contains("html", F.lit("<script")).alias("has_script"))
+    """Every page cleaned by its tags, with a handler, a link and a frame put into it."""
+    return table(spark, sf, "pages").select("page_id", F.sha2(M.sanitized("html"), 256).alias("digest"))
 
 
-@query("html_bind")
+@query("html_bind", """SELECT page_id, ['url'] AS filled, ['none'] AS skipped, sha256('<p><span class=''>'' data-field=''url''>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+|| '</span><span data-field="none"></span></p>' || html || '<p><span data-sig-anchor="true" style="color:transparent;font-size:6px;">§§SIGZONE§§</span></p>') AS digest FROM pages""")
 def html_bind(spark, sf):
-    page = F.concat(T.placeholder(F.lit("vendor")), T.placeholder(F.lit("missing")))
-    rows = table(spark, sf, "supplier").select("s_suppkey", T.bound(page, F.create_map(F.lit("vendor"), F.col("s_name"))).alias("b"))
-    return rows.select("s_suppkey", "b.html", "b.filled", "b.skipped")
+    """A form before each page and a signature after it: only what they bind changes."""
+    form = F.lit("<p><span class='>' data-field='url'>old <b><span>deep</span></b> tail</span><span data-field=\"none\">x</span></p>")
+    body = F.concat(form, F.col("html"), F.lit("<p><img alt='a > b' data-signature src=x></p>"))
+    rows = table(spark, sf, "pages").select("page_id", M.bound(body, F.create_map(F.lit("url"), F.col("url"))).alias("b"))
+    return rows.select("page_id", "b.filled", "b.skipped", F.sha2("b.html", 256).alias("digest"))
 
 
 @query("jaccard_mapping_top1", r"""WITH f AS (SELECT DISTINCT p_name AS name, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+'))) AS ft FROM part),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators import definitions as N
 from paperloom.operators import rules as R
 from paperloom.operators import staged as S
 from paperloom.operators.leaves import FieldDef
@@ -12,6 +13,7 @@ from paperloom.plans.catalog import query
 from paperloom.plans.fixtures import table
 from paperloom.settings import Settings
 from paperloom.sources import offline
+from paperloom.sources import workbooks as W
 from paperloom.sources.providers import Provider, Providers, answered
 from paperloom.sources.snapshots import Snapshots, shared_folder
 
@@ -155,3 +157,69 @@ def provider_errors(spark, sf):
 
     provider = Provider("judge", "lengths", ("doc_id", "text", "lang"), "bigint", call=lengths, batch=16, retries=0)
     return answered(table(spark, sf, "documents"), provider).select("doc_id", "answer", "error")
+
+
+def _books(spark, sf) -> str:
+    """A workbook for each nation: its customers' accounts with their sum as a formula, and a sheet about it."""
+    c = table(spark, sf, "customer").select("c_nationkey", "c_name", "c_acctbal", F.expr("row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)").alias("n"))
+    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+    cell = lambda sheet, row, col, text=none_s, number=none_d, formula=none_s: F.struct(
+        F.lit(sheet).alias("sheet"), row.cast("int").alias("row"), F.lit(col).alias("col"), text.alias("text"), number.alias("number"), formula.alias("formula")
+    )
+    one = c.select("c_nationkey", F.explode(F.array(cell("Accounts", F.col("n"), 0, text=F.col("c_name")), cell("Accounts", F.col("n"), 1, number=F.col("c_acctbal")))).alias("x"))
+    sums = c.groupBy("c_nationkey").agg(F.max("n").alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("total"))
+    formula = F.format_string("=SUM(B2:B%d)", F.col("n") + 1)
+    total = sums.select("c_nationkey", F.explode(F.array(cell("Accounts", F.col("n") + 1, 1, number=F.col("total"), formula=formula), cell("Accounts", F.lit(0), 0, text=F.lit("name")))).alias("x"))
+    about = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), cell("About", F.lit(0), 0, text=F.col("n_name")).alias("x"))
+    cells = one.union(total).union(about).select(F.format_string("nation-%d.xlsx", "c_nationkey").alias("file"), "x.*")
+    folder = shared_folder(spark, "books")
+    W.write_workbooks(cells, folder).agg(F.count(F.lit(1))).collect()
+    return folder
+
+
+BOOKS = "WITH c AS (SELECT c_nationkey AS k, count(*) AS n, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS total FROM customer GROUP BY 1)"
+
+
+@query("workbook_sheets", BOOKS + """ SELECT 'nation-' || k || '.xlsx' AS file, 'Accounts' AS sheet, n + 2 AS max_row, 2 AS max_col, 2 * n + 2 AS cells, 1 AS formulas FROM c
+UNION ALL SELECT 'nation-' || n_nationkey || '.xlsx', 'About', 1, 1, 1, 0 FROM nation""")
+def workbook_sheets(spark, sf):
+    return W.workbook(spark, _books(spark, sf), "sheets").select("file", "sheet", F.col("max_row").cast("long").alias("max_row"), "max_col", "cells", "formulas")
+
+
+@query("workbook_grid", BOOKS + """, r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)
+SELECT 'nation-' || c_nationkey || '.xlsx' AS file, 'A' || (i + 1) AS a1, c_name AS value, false AS is_formula FROM r WHERE i < 500 UNION ALL
+SELECT 'nation-' || k || '.xlsx', 'A1', 'name', false FROM c UNION ALL SELECT 'nation-' || k || '.xlsx', 'B' || (n + 2), '=SUM(B2:B' || (n + 1) || ')', true FROM c WHERE n + 1 < 500""")
+def workbook_grid(spark, sf):
+    """Names and formulas of the accounts' grids, within the limits of a grid."""
+    cells = W.workbook(spark, _books(spark, sf))
+    return W.template_grid(cells, "Accounts").where("col = 0 or is_formula").select("file", "a1", "value", "is_formula")
+
+
+@query("definition_problems", """WITH d AS (SELECT p_partkey AS id, p_size AS s, CASE WHEN p_size % 7 = 0 THEN 'price' ELSE 'brand' END AS second, CASE WHEN p_size % 4 = 0 THEN 'lost' ELSE 'brand' END AS core FROM part)
+SELECT id, 'field' AS part, 1 AS place, 'the name is there already' AS problem FROM d WHERE second = 'price'
+UNION ALL SELECT id, 'field', 1, '''kind'' must be one of composite, list_composite, list_scalar, presence, scalar, signature' FROM d WHERE s % 11 = 0
+UNION ALL SELECT id, 'core', NULL, core || ' is no declared field' FROM d WHERE core <> second
+UNION ALL SELECT id, 'rule', 0, '''field_path'' has the undeclared field gone' FROM d WHERE s % 3 = 0
+UNION ALL SELECT id, 'rule', 0, '''op'' must be one of gt, gte, lt, lte' FROM d WHERE s % 5 = 0
+UNION ALL SELECT id, 'rule', 1, '''min'' must be <= ''max''' FROM d WHERE s > 25
+UNION ALL SELECT id, 'rule', 2, '''n'' must be <= the number of ''field_paths''' FROM d WHERE s % 3 + 1 > 2
+UNION ALL SELECT id, 'rule', 2, '''field_paths'' has the undeclared field brand' FROM d WHERE second = 'price'
+UNION ALL SELECT id, 'rule', 3, 'unknown field ''brand''' FROM d WHERE second = 'price'""")
+def definition_problems(spark, sf):
+    """Definitions of parts, with faults that follow from their sizes."""
+    s, lit = F.col("p_size"), F.lit
+    second, core = F.when(s % 7 == 0, "price").otherwise("brand"), F.when(s % 4 == 0, "lost").otherwise("brand")
+    field = lambda name, kind: F.struct(name.alias("name"), kind.alias("kind"))
+    extraction = F.struct(
+        F.col("p_name").alias("name"), F.array(field(lit("price"), lit("scalar")), field(second, F.when(s % 11 == 0, "odd").otherwise("scalar"))).alias("fields"),
+        F.array(lit("price"), core).alias("core_paths"),
+    )
+    rule = lambda kind, **more: F.to_json(F.struct(lit(kind).alias("kind"), *(c.alias(k) for k, c in more.items())))
+    listed = F.concat_ws(
+        ",", rule("threshold", field_path=F.when(s % 3 == 0, "gone").otherwise("price"), op=F.when(s % 5 == 0, "eq").otherwise("lte"), threshold=lit(1.5)),
+        rule("numeric_range", field_path=lit("price"), min=s, max=lit(25)), rule("at_least_n_of", field_paths=F.array(lit("price"), lit("brand")), n=s % 3 + 1),
+        rule("expression", expression=lit("price > 1 and brand != 'x'")),
+    )
+    rules = F.concat(lit('{"name":"r","rules":['), listed, lit("]}"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.to_json(extraction).alias("extraction"), rules.alias("rules"))
+    return N.problems(rows).drop("name")

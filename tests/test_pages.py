@@ -54,8 +54,6 @@ def test_flows(spark):
     rows = [(1, 0, "total", "about $1,5", 0.8), (1, 1, "total", "$9", 1.0), (1, 2, "tax", "none", 0.8), (1, 3, "vendor", " A ", 0.7)]
     got = {r.field: (r.value and (r.value.n, r.value.s), r.confidence) for r in W.assembled(spark.createDataFrame(rows, "doc_id int, ord int, cls string, text string, confidence double"), ["total", "tax"]).collect()}
     assert got == {"total": ((15.0, None), 0.8), "tax": (None, 0.4), "vendor": ((None, "A"), 0.7)}
-    v = spark.range(1).select(W.validated(W.signed(F.lit("x"), F.lit("f"), F.lit("Ann: B"))).alias("a"), W.validated(F.lit("x")).alias("b")).first()
-    assert (v.a.valid, v.a.field, v.a.signer) == (True, "f", "Ann: B") and (v.b.valid, v.b.field) == (False, None)
     body = spark.createDataFrame([('{"data": [{"id": "b", "name": "beta", "architecture": {"input_modalities": ["image"]}}, {"id": "a", "name": "Alpha", "architecture": {"input_modalities": ["text", "image"]}}, {"id": "c", "name": "c", "architecture": {"input_modalities": ["text"]}}]}',)], "body string")
     assert [r.id for r in W.image_models(body).collect()] == ["a", "b"]
     odd = spark.range(1).select(W.findings(F.lit("no json")).alias("a"), W.server_events(F.lit("data: 1")).alias("b")).first()
