@@ -35,6 +35,7 @@ from paperloom.llm.exact_dedup import FILTER_BITS, _bitmap, _hit
 
 GAP = 64 << 10
 RANGE_BYTES = 8 << 20
+READ_BYTES = 16 << 20
 ARCHIVE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -208,9 +209,11 @@ def read(index: DataFrame, payloads: bool = True, gap: int = GAP) -> DataFrame:
         if file is not None:
             file.close()
 
-    narrow = index.select("file", "offset", "length")
-    sorted_ranges = narrow.repartition("file").sortWithinPartitions("file", "offset")
-    return sorted_ranges.mapInArrow(fetch, READ)
+    # A task for each READ_BYTES of what is asked for: an archive's stretches are read by as many tasks as it has of them.
+    narrow = index.select("file", "offset", "length", F.expr(f"offset div {READ_BYTES}").alias("stretch"))
+    total = narrow.agg(F.sum("length")).first()[0] or 0
+    dealt = narrow.repartition(max(1, -(-total // READ_BYTES)), "file", "stretch").sortWithinPartitions("file", "offset")
+    return dealt.drop("stretch").mapInArrow(fetch, READ)
 
 
 def _checked(fields: dict[str, str], block: bytes, payloads: bool) -> tuple:
