@@ -9,9 +9,12 @@ bound is below the k-th best score so far are dropped from the candidates, which
 sends k rows for each query to the final merge.
 
 Vectors are integers floor(scale * x). Sums stay exact: in doubles while they stay below 2**53, else in
-Python integers, limited to the range of a long.
+Python integers of any size; the merge orders scores by texts that sort as the numbers do.
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part; only
+Query blocks are searched in groups of `QUERY_GROUP`, one job for each, whose merged lists are written before the next
+begins: what a task holds and sends does not grow with the number of queries.
+
+Defined results: a score beyond a long is null, in its right place; vectors that are null, empty or hold null or non-finite components take no part; only
 vectors of the same length meet; ties go to the smaller id; every query row has its own list, also
 when ids repeat; rows with the query's id are no candidates; rows with a null id take no part; a query
 without candidates, or empty input, gives no rows; extra columns are ignored.
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import shared
 
 QUERY_BLOCK = 512
+QUERY_GROUP = 64
 ROW_BLOCK = 8192
 DIMENSION_BLOCK = 16
 EXACT = float(1 << 52)
@@ -130,14 +134,21 @@ def _search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndar
 
 def _search_large(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, best: dict, k: int) -> None:
     """The same result in Python integers, for components too large for exact doubles."""
-    limit = (1 << 63) - 1
     whole = [[int(x) for x in column] for column in rows.T]
     for q, vector in enumerate(queries):
         v = [int(x) for x in vector]
-        scored = [(-max(-limit - 1, min(limit, sum(a * b for a, b in zip(v, row, strict=True)))), int(i)) for row, i in zip(whole, ids, strict=True) if i != own[q]]
+        scored = [(-sum(a * b for a, b in zip(v, row, strict=True)), int(i)) for row, i in zip(whole, ids, strict=True) if i != own[q]]
         best[q] = sorted(best.get(q, []) + scored)[:k]
 
 
+def sortable(score: int) -> str:
+    """A text that sorts among others as the number does: sign, number of digits, digits; turned round below zero."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99_999 - len(digits):05d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
 def top_k(
     rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
     scale: float = 256.0, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK,
@@ -151,8 +162,9 @@ def top_k(
     blocks = max(1, queries.count() // query_block)
     _write_queries(queries.repartition(blocks), target, scale, query_block).agg(F.sum("n")).collect()
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [(n, x, int(x.rsplit("-", 1)[1])) for n, x in enumerate(shared.listed(target))]
+    files = [(n, x, int(x.rsplit("-", 1)[1])) for n, x in enumerate(shared.listed(target))]
+
+    def search(batches: Iterator[pa.RecordBatch], names: list[tuple[int, str, int]]) -> Iterator[pa.RecordBatch]:
         best: dict[int, _Best] = {}
         large: dict[tuple[int, int], dict] = {}
         for batch in batches:
@@ -175,11 +187,22 @@ def top_k(
             found = [(i, int(s), int(x)) for i in range(len(best[n].ids)) for s, x in zip(best[n].scores[i], best[n].ids[i], strict=True)] if n in best else [(i, -s, x) for i, pairs in large.get(n, {}).items() for s, x in pairs]
             if found:
                 own = shared.mapped(name, np.float64).reshape(-1, d + 1)[:, 0].copy().view(np.int64)
-                at, score, ids = map(np.array, zip(*found, strict=True))
-                arrays = [np.full(len(at), n, np.int64), at.astype(np.int64), own[at], ids.astype(np.int64), score.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["block", "place", "query_id", "vec_id", "score"])
-
-    local = narrow.select("id", "vector").mapInArrow(search, "block long, place long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "vec_id")
-    ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+                at, score, ids = zip(*found, strict=True)
+                at, ids = np.array(at, np.int64), np.array(ids, np.int64)
+                exact = [x if -(1 << 63) <= x < 1 << 63 else None for x in score]
+                arrays = [pa.array(np.full(len(at), n, np.int64)), pa.array(at), pa.array(own[at]), pa.array(ids), pa.array(exact, pa.int64()), pa.array(list(map(sortable, score)))]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "place", "query_id", "vec_id", "score", "order"])
+
+    def merged(names: list[tuple[int, str, int]]) -> DataFrame:
+        local = narrow.select("id", "vector").mapInArrow(lambda b: search(b, names), "block long, place long, query_id long, vec_id long, score long, order string")
+        order = Window.partitionBy("block", "place").orderBy(F.col("order").desc(), "vec_id")
+        ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
+
+    if len(files) <= QUERY_GROUP:
+        return merged(files)
+    out = None
+    for start in range(0, len(files), QUERY_GROUP):
+        part = shared.written(merged(files[start : start + QUERY_GROUP]), "topk")
+        out = part if out is None else out.union(part)
+    return out
