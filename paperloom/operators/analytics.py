@@ -109,6 +109,19 @@ def top_corrections(log: DataFrame, n: int = DEFAULT.few_shot_examples, by: str
     return newest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(by, "field_path", "c.value", "rank")
 
 
+def correction_texts(log: DataFrame, fields: DataFrame, n: int = DEFAULT.few_shot_examples) -> DataFrame:
+    """(doc_type, rank, text, cls, value): the newest corrections of each type as texts "Label: value" with what is to be found.
+
+    log: doc_type, field_path, value, updated_at, seq. fields: doc_type, name, cls, kind; only scalar ones are taken, and only
+    values that aren't empty.
+    """
+    scalar = fields.where("kind = 'scalar'").select("doc_type", F.col("name").alias("field_path"), "cls")
+    kept = log.where(F.coalesce("value", F.lit("")) != "").join(scalar, ["doc_type", "field_path"])
+    newest = kept.groupBy("doc_type", "field_path", "cls").agg(F.max_by("value", F.struct("updated_at", "seq")).alias("value"), F.max("updated_at").alias("updated_at"))
+    ranked = newest.withColumn("rank", F.row_number().over(Window.partitionBy("doc_type").orderBy(F.desc("updated_at"), "field_path"))).where(F.col("rank") <= n)
+    return ranked.select("doc_type", "rank", F.concat(F.initcap(F.replace("field_path", F.lit("_"), F.lit(" "))), F.lit(": "), "value").alias("text"), "cls", "value")
+
+
 def with_stage(stages: Column, name: str, payload: Column) -> Column:
     """A map of stage results with one stage put in; deciding again drops the signature."""
     kept = F.map_filter(stages, lambda k, v: (k != name) & ~((F.lit(name) == "decide") & (k == "sign")))

@@ -28,6 +28,12 @@ def first_of_class(extractions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return extractions.groupBy(id_col, "cls").agg(F.min_by("text", "ord").alias("text"), F.count(F.lit(1)).alias("n"))
 
 
+def grouped_by_class(extractions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, groups): a map of each class to its texts, in the order in which they were extracted. extractions: id, ord, cls, text."""
+    listed = extractions.groupBy(id_col, "cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts"))
+    return listed.groupBy(id_col).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("cls", "texts")))).alias("groups"))
+
+
 def assembled(extractions: DataFrame, numbers: list[str], id_col: str = "doc_id") -> DataFrame:
     """(id, field, value, confidence): scalar fields of the first extraction of each class; a number that can't
     be read is null with half the confidence. extractions: id, ord, cls, text, confidence."""

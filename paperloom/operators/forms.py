@@ -37,26 +37,36 @@ def on_state(states: Column) -> Column:
     return F.when(first.isNull(), "/Yes").when(first.startswith("/"), first).otherwise(F.concat(F.lit("/"), first))
 
 
+def _given(rows: DataFrame, name: str, default: Column) -> Column:
+    """A column that rows may have."""
+    return F.coalesce(F.col(name), default) if name in rows.columns else default
+
+
 def form_values(fields: DataFrame, leaves: DataFrame, on: list[str]) -> DataFrame:
-    """fields with what is written into each: `written` (null: skipped) and `warning`.
+    """fields with what is written into each: `written` (null: skipped), `stamped` and `warning`.
 
-    fields: on..., name, kind, field_path, states, options. leaves: on..., path, value (a value union).
+    fields: on..., name, kind, field_path, states, options; and, where a binding has them, is_signature (the field is one,
+    whatever its kind), rect (where it is: without a place it isn't stamped) and image (whether there is one to stamp).
+    leaves: on..., path, value (a value union).
     """
     held = leaves.select(*on, F.col("path").alias("field_path"), F.col("value").alias("_value"))
     met = fields.join(held, [*on, "field_path"], "left")
     said, kind, path = V.as_text(F.col("_value")), F.col("kind"), F.col("field_path")
+    signs = (kind == "signature") | _given(fields, "is_signature", F.lit(False))
+    placed, image = F.col("rect").isNotNull() if "rect" in fields.columns else F.lit(True), _given(fields, "image", F.lit(True))
     known = F.array_contains(F.coalesce("options", F.array().cast("array<string>")), said)
     written = (
-        F.when(kind.isin("signature", "radio") | F.col("_value").isNull(), None)
+        F.when(signs | (kind == "radio") | F.col("_value").isNull(), None)
         .when(kind == "checkbox", F.when(ticked(F.col("_value")), on_state(F.col("states"))).otherwise("/Off"))
         .when(kind == "choice", F.when(known, said)).otherwise(said)
     )
     warning = (
-        F.when(kind == "signature", None).when(F.coalesce(path, F.lit("")) == "", "no field bound")
+        F.when(signs, F.when(~placed, "the signature has no place and is not stamped").when(~image, "there is no image to stamp"))
+        .when(F.coalesce(path, F.lit("")) == "", "no field bound")
         .when(F.col("_value").isNull(), F.concat(F.lit("no value at "), path)).when(kind == "radio", "radio groups are not filled")
         .when((kind == "choice") & ~known, F.concat(F.lit("not an option: "), said))
     )
-    return met.select(*fields.columns, written.alias("written"), F.concat(F.col("name"), F.lit(": "), warning).alias("warning"))
+    return met.select(*fields.columns, written.alias("written"), (signs & placed & image).alias("stamped"), F.concat(F.col("name"), F.lit(": "), warning).alias("warning"))
 
 
 def with_unit(v: Column, unit: Column) -> Column:
@@ -67,17 +77,25 @@ def with_unit(v: Column, unit: Column) -> Column:
 
 
 def taken_suggestions(suggested: DataFrame, fallback: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(name, path, confidence, source): a suggestion whose path the catalogue has, its confidence kept within
-    0 and 1; else the fallback. suggested and fallback: name, path, confidence. catalogue: path."""
-    valid = catalogue.select(F.col("path").alias("_known")).distinct()
-    s = suggested.select("name", F.col("path").alias("_path"), F.col("confidence").alias("_sure"))
+    """(name, path, confidence, source, is_signature, rationale): a suggestion whose path the catalogue has, or that is a
+    signature (which has no path), its confidence kept within 0 and 1; else the fallback.
+
+    suggested and fallback: name, path, confidence, and is_signature and rationale where they have them. catalogue: path.
+    """
+    valid, no = catalogue.select(F.col("path").alias("_known")).distinct(), F.lit(False)
+    none = F.lit(None).cast("string")
+    s = suggested.select("name", F.col("path").alias("_path"), F.col("confidence").alias("_sure"), _given(suggested, "is_signature", no).alias("_signs"), _given(suggested, "rationale", none).alias("_why"), F.lit(True).alias("_said"))
     s = s.join(valid, F.col("_path") == F.col("_known"), "left")
-    good = F.col("_known").isNotNull()
+    own = fallback.select("name", "path", "confidence", _given(fallback, "is_signature", no).alias("is_signature"), _given(fallback, "rationale", none).alias("rationale"))
+    met = own.join(s, "name", "left")
+    signs = F.coalesce("_signs", no) | (F.col("is_signature") & F.col("_said").isNotNull())
+    good = F.coalesce("_said", no) & (F.col("_known").isNotNull() | (F.col("_path").isNull() & signs))
     sure = F.least(F.greatest(F.col("_sure"), F.lit(0.0)), F.lit(1.0))
-    return fallback.join(s, "name", "left").select(
-        "name", F.when(good, F.col("_path")).otherwise(F.col("path")).alias("path"),
+    return met.select(
+        "name", F.when(good, F.when(~signs, F.col("_path"))).otherwise(F.col("path")).alias("path"),
         F.when(good, F.when(F.col("_sure").isNotNull(), sure)).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(good, "given").otherwise("fallback").alias("source"),
+        F.when(good, "given").otherwise("fallback").alias("source"), F.when(good, signs).otherwise(F.col("is_signature")).alias("is_signature"),
+        F.when(good, F.col("_why")).otherwise(F.col("rationale")).alias("rationale"),
     )
 
 

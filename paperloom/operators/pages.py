@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from paperloom.settings import DEFAULT, Settings
 
 INK_BELOW = 200
 NORMAL_WIDTH = 1000
+GRID = 32
 
 
 def effective_dpi(width: Column, height: Column, source: Column, render_dpi: float = 200.0, page_inches: float = 11.0) -> Column:
@@ -83,38 +86,80 @@ def skew(angle: Column) -> Column:
     return F.when(turned == -45, F.lit(45.0)).otherwise(turned)
 
 
-def best_boxes(boxes: np.ndarray, scores: np.ndarray, least: float, overlap: float) -> list[int]:
-    """Places of the boxes (x1, y1, x2, y2) that stay: best first, those that overlap a better one too much go."""
-    order = [i for i in np.argsort(-scores, kind="stable") if scores[i] >= least]
-    area = np.maximum(0, boxes[:, 2] - boxes[:, 0]) * np.maximum(0, boxes[:, 3] - boxes[:, 1])
-    kept: list[int] = []
-    for i in order:
-        for j in kept:
-            w = min(boxes[i, 2], boxes[j, 2]) - max(boxes[i, 0], boxes[j, 0])
-            h = min(boxes[i, 3], boxes[j, 3]) - max(boxes[i, 1], boxes[j, 1])
-            common = max(0.0, w) * max(0.0, h)
-            if common > overlap * (area[i] + area[j] - common):
-                break
-        else:
-            kept.append(int(i))
-    return kept
+def _met(owner: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i before j, of one owner's boxes that share a cell of its grid."""
+    n = int(owner.max()) + 1
+    low, high = np.full((n, 2), np.inf), np.full((n, 2), -np.inf)
+    np.minimum.at(low, owner, boxes[:, :2])
+    np.maximum.at(high, owner, boxes[:, 2:])
+    side = np.bincount(owner, (boxes[:, 2:] - boxes[:, :2]).max(axis=1), n) / np.maximum(1, np.bincount(owner, minlength=n))
+    cell = np.maximum(np.maximum(side, (high - low).max(axis=1) / GRID), 1e-9)[owner][:, None]  # GRID cells a side at most
+    first, last = ((np.floor((boxes[:, c : c + 2] - low[owner]) / cell)).astype(np.int64) for c in (0, 2))
+    wide, tall = (last - first + 1).T
+    of = np.repeat(np.arange(len(boxes)), wide * tall)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(wide * tall) - wide * tall, wide * tall)
+    x, y = first[of, 0] + k % wide[of], first[of, 1] + k // wide[of]
+    key = (owner[of] * (GRID + 2) + x) * (GRID + 2) + y
+    order = np.lexsort((of, key))
+    key, of, step, pairs = key[order], of[order], 1, []
+    while len(at := np.flatnonzero(key[step:] == key[:-step])):
+        pairs.append(of[at] * len(boxes) + of[at + step])
+        step += 1
+    return np.divmod(np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64), len(boxes))
+
+
+def best_boxes(owner: np.ndarray, boxes: np.ndarray, scores: np.ndarray, least: float, overlap: float) -> np.ndarray:
+    """Places of the boxes (x1, y1, x2, y2) that stay, by owner and then best first: those that overlap a better one that stays
+    too much go, as do those with a score below `least`.
+
+    All owners' boxes at once: boxes meet in the cells of a grid; in rounds, those with no better one left that they overlap
+    stay, and what they overlap goes.
+    """
+    order = np.lexsort((np.arange(len(scores)), -scores, owner))
+    order = order[scores[order] >= least]
+    if not len(order):
+        return order
+    own, b = owner[order], boxes[order]
+    area = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
+    i, j = _met(own, b)
+    common = np.maximum(0, np.minimum(b[i, 2], b[j, 2]) - np.maximum(b[i, 0], b[j, 0])) * np.maximum(0, np.minimum(b[i, 3], b[j, 3]) - np.maximum(b[i, 1], b[j, 1]))
+    too_near = common > overlap * (area[i] + area[j] - common)
+    i, j = i[too_near], j[too_near]
+    open_, kept = np.ones(len(order), bool), np.zeros(len(order), bool)
+    while open_.any():
+        stays = open_.copy()
+        stays[j] = False
+        kept |= stays
+        open_ &= ~stays
+        open_[j[stays[i]]] = False
+        left = open_[i] & open_[j]
+        i, j = i[left], j[left]
+    return order[kept]
 
 
 def detections(pages: DataFrame, id_cols: list[str], least: float = 0.45, overlap: float = 0.5) -> DataFrame:
     """(ids, x1, y1, x2, y2, score) from raw rows: candidates array<struct<cx,cy,w,h,score>>, scale, pad_x, pad_y, width, height."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                raw = np.array([(c["cx"], c["cy"], c["w"], c["h"], c["score"]) for c in (row.candidates if row.candidates is not None else [])], float).reshape(-1, 5)
-                boxes = np.stack([raw[:, 0] - raw[:, 2] / 2, raw[:, 1] - raw[:, 3] / 2, raw[:, 0] + raw[:, 2] / 2, raw[:, 1] + raw[:, 3] / 2], axis=1)
-                for i in best_boxes(boxes, raw[:, 4], least, overlap):
-                    x1, x2 = (min(max((boxes[i, k] - row.pad_x) / row.scale, 0), row.width) for k in (0, 2))
-                    y1, y2 = (min(max((boxes[i, k] - row.pad_y) / row.scale, 0), row.height) for k in (1, 3))
-                    out.append((*(getattr(row, c) for c in id_cols), x1, y1, x2, y2, raw[i, 4]))
-            yield pd.DataFrame(out, columns=[*id_cols, "x1", "y1", "x2", "y2", "score"])
+            lists = batch.column(batch.schema.get_field_index("candidates"))
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            cx, cy, w, h, score = (x.to_numpy(zero_copy_only=False).astype(float) for x in lists.flatten().flatten())
+            owner = np.repeat(np.arange(len(n)), n)
+            boxes = np.stack([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2], axis=1)
+            at = best_boxes(owner, boxes, score, least, overlap)
+            one = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(float)[owner[at]]
+            scale = one("scale")
+            placed = [np.clip((boxes[at, k] - one(f"pad_{'xy'[k % 2]}")) / scale, 0, one(("width", "height")[k % 2])) for k in range(4)]
+            ids = [batch.column(batch.schema.get_field_index(c)).take(pa.array(owner[at])) for c in id_cols]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x) for x in placed), pa.array(score[at])], [*id_cols, "x1", "y1", "x2", "y2", "score"])
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in id_cols)
-    chosen = pages.select(*id_cols, "candidates", "scale", "pad_x", "pad_y", "width", "height")
-    return chosen.mapInPandas(run, f"{kinds}, x1 double, y1 double, x2 double, y2 double, score double")
+    number = lambda x: F.struct(*(x[c].cast("double").alias(c) for c in ("cx", "cy", "w", "h", "score")))
+    chosen = pages.select(*id_cols, F.transform("candidates", number).alias("candidates"), "scale", "pad_x", "pad_y", "width", "height")
+    return chosen.mapInArrow(run, f"{kinds}, x1 double, y1 double, x2 double, y2 double, score double")
+
+
+def skewed(pages: DataFrame, angle_col: str = "angle", settings: Settings = DEFAULT) -> DataFrame:
+    """pages with `skew`, the angle brought to (-45, 45], and `straighten`: whether it is beyond what is left as it is."""
+    return pages.withColumn("skew", skew(F.col(angle_col))).withColumn("straighten", F.coalesce(F.abs("skew") > settings.max_skew_degrees, F.lit(False)))

@@ -152,7 +152,9 @@ def completeness_checks(cases: DataFrame, members: DataFrame, required: DataFram
     cases: case_id. members: case_id, doc_type, structured. required: doc_type, least.
     """
     have = members.groupBy("case_id", "doc_type").agg(F.count(F.lit(1)).alias("n"), F.bool_and("structured").alias("structured"))
-    asked = cases.crossJoin(F.broadcast(required))  # a case type has a handful of members
+    # The document types of a case type are one array, read once: each case asks for all of them.
+    listed = required.agg(F.collect_list(F.struct("doc_type", "least"))).scalar()
+    asked = cases.withColumn("_r", F.explode(listed)).select(*cases.columns, "_r.doc_type", "_r.least")
     met = asked.join(have, ["case_id", "doc_type"], "left")
     n = F.coalesce("n", F.lit(0))
     missing, open_ = n < F.col("least"), (n > 0) & ~F.coalesce("structured", F.lit(False))

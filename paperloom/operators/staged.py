@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import values as V
+from paperloom.operators import definitions as N
 from paperloom.operators import documents as D
 from paperloom.operators import pages as P
 from paperloom.operators import rules as R
@@ -261,14 +262,61 @@ def classified(docs: DataFrame, plan: Plan) -> DataFrame:
     return given.union(guess).withColumn("error", why)
 
 
+DEFS = (
+    "array<struct<name:string,kind:string,coerce:string,cls:string,core:boolean,dedup:boolean,"
+    "subs:array<struct<name:string,coerce:string,span:boolean,key:string>>>>"
+)
+
+
 def _definitions(plan: Plan, rows: DataFrame) -> DataFrame:
     """A row for each document type, with its fields as data: the plan's size doesn't follow the number of types."""
-    kind = "array<struct<name:string,kind:string,coerce:string,cls:string,core:boolean,dedup:boolean,subs:array<struct<name:string,coerce:string,span:boolean>>>>"
     data = [
-        (t.name, [(f.name, f.kind, f.coerce, f.cls or f.name, f.core, f.dedup, [(n, c, n == f.span_sub) for n, c in f.subs]) for f in t.fields])
+        (t.name, [(f.name, f.kind, f.coerce, f.cls or f.name, f.core, f.dedup, [(n, c, n == f.span_sub, n) for n, c in f.subs]) for f in t.fields])
         for t in plan.types
     ]
-    return rows.sparkSession.createDataFrame(data, f"doc_type string, defs {kind}")
+    return F.broadcast(rows.sparkSession.createDataFrame(data, f"doc_type string, defs {DEFS}"))  # as many rows as the plan has types
+
+
+def read_definitions(drafts: DataFrame, id_col: str = "draft_id", extraction_col: str = "extraction") -> DataFrame:
+    """(doc_type, defs) of definitions in JSON; the draft's id is the type. Kinds and the rest are taken as they are written."""
+    field_kind = "struct<name:string,kind:string,cls:string,coerce:string,is_core:boolean,dedup:boolean,sub_fields:array<struct<name:string,source:string,attr_key:string,coerce:string>>>"
+    read = F.from_json(extraction_col, f"struct<fields:array<{field_kind}>,core_paths:array<string>>")
+    text = F.lit("text")
+
+    def sub(x: Column) -> Column:
+        key = F.when(F.coalesce(x["attr_key"], F.lit("")) != "", x["attr_key"]).otherwise(x["name"])
+        return F.struct(x["name"].alias("name"), F.coalesce(x["coerce"], text).alias("coerce"), (x["source"] == "span").alias("span"), key.alias("key"))
+
+    def one(x: Column, cores: Column) -> Column:
+        cls = F.when(F.coalesce(x["cls"], F.lit("")) != "", x["cls"]).otherwise(x["name"])
+        subs = F.transform(F.coalesce(x["sub_fields"], F.array().cast("array<struct<name:string,source:string,attr_key:string,coerce:string>>")), sub)
+        return F.struct(
+            x["name"].alias("name"), x["kind"].alias("kind"), F.coalesce(x["coerce"], text).alias("coerce"), cls.alias("cls"),
+            F.array_contains(cores, x["name"]).alias("core"), F.coalesce(x["dedup"], F.lit(False)).alias("dedup"), subs.alias("subs"),
+        )
+
+    rows = drafts.select(F.col(id_col).cast("string").alias("doc_type"), read.alias("r"))
+    cores = F.coalesce("r.core_paths", F.array().cast("array<string>"))
+    return rows.select("doc_type", F.transform("r.fields", lambda x: one(x, cores)).cast(DEFS).alias("defs"))
+
+
+def preview(drafts: DataFrame, docs: DataFrame, plan: Plan, keep: Snapshots) -> DataFrame:
+    """draft_id, doc_id, problems, leaves, confidence, warnings, error: drafts of definitions tried on documents.
+
+    drafts: draft_id, doc_id (the document to try it on), extraction (JSON). docs: doc_id, engine, pages, ocr_confidence. All
+    drafts are one plan, as definitions are data in it. A draft with problems is not tried: it has them and no leaves.
+    """
+    wrong = N.problems(drafts.select(F.col("draft_id").alias("id"), "extraction", F.lit(None).cast("string").alias("rules")))
+    said = F.struct("part", "place", F.concat_ws(" ", "part", F.coalesce("name", F.col("place").cast("string")), F.lit("-"), "problem").alias("text"))
+    told = wrong.groupBy(F.col("id").alias("draft_id")).agg(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]).alias("problems"))
+    every = keep.scratch(drafts.join(told, "draft_id", "left"), "drafts")
+    good = every.where("problems is null").select(F.col("draft_id").cast("string").alias("doc_type"), "doc_id", "extraction")
+    pair = F.concat_ws("/", "doc_type", "doc_id")
+    asked = good.join(docs, "doc_id").select(pair.alias("pair"), "doc_type", "engine", "pages", "ocr_confidence", F.lit(None).cast("string").alias("examples"))
+    made = structured(asked.withColumnRenamed("pair", "doc_id"), plan, keep, read_definitions(good.withColumnRenamed("doc_type", "draft_id")).distinct())
+    shown = made.select(F.col("doc_id").alias("_pair"), "leaves", "confidence", "warnings", "error")
+    met = every.join(shown, F.concat_ws("/", F.col("draft_id").cast("string"), "doc_id") == F.col("_pair"), "left")
+    return met.select("draft_id", "doc_id", F.coalesce("problems", F.array().cast("array<string>")).alias("problems"), "leaves", "confidence", "warnings", "error")
 
 
 def _union(kind: Column, raw: Column) -> Column:
@@ -303,7 +351,7 @@ def _assembled(d: Column, found: Column) -> Column:
     name, first = d["name"], F.get(found, F.lit(0))
     kept = F.when(d["dedup"], F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: V.dedup_key(y["text"]) == V.dedup_key(x["text"])))).otherwise(found)
     missing = lambda path: _leaf(path, name, none, F.lit(0.0), none, none, none, none)
-    subs = lambda item, before: F.transform(d["subs"], lambda s: _cell(F.concat(before, s["name"]), name, s["coerce"], F.when(s["span"], item["text"]).otherwise(F.try_element_at(item["attributes"], s["name"])), item))
+    subs = lambda item, before: F.transform(d["subs"], lambda s: _cell(F.concat(before, s["name"]), name, s["coerce"], F.when(s["span"], item["text"]).otherwise(F.try_element_at(item["attributes"], s["key"])), item))
     scalar = F.array(F.when(first.isNull(), missing(name)).otherwise(_cell(name, name, d["coerce"], first["text"], first)))
     true, false = (F.struct(F.lit("bool").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("n"), F.lit(b).alias("b")) for b in (True, False))
     presence = F.array(
@@ -342,8 +390,11 @@ def _overall(leaves: Column, defs: Column) -> Column:
     return F.round(F.coalesce(mean(of), F.lit(0.0)), 4)
 
 
-def structured(docs: DataFrame, plan: Plan, keep: Snapshots) -> DataFrame:
-    """doc_id, leaves, confidence, backfilled, warnings, error from (doc_id, doc_type, engine, pages, ocr_confidence, examples)."""
+def structured(docs: DataFrame, plan: Plan, keep: Snapshots, definitions: DataFrame | None = None) -> DataFrame:
+    """doc_id, leaves, confidence, backfilled, warnings, error from (doc_id, doc_type, engine, pages, ocr_confidence, examples).
+
+    definitions: (doc_type, defs), by default those of the plan's types.
+    """
     read = keep.scratch(sectioned(docs.select("doc_id", "engine", "pages"), plan), "sections")
     about = docs.select("doc_id", "doc_type", "examples", "ocr_confidence", F.map_from_entries(F.transform(F.filter("pages", lambda p: p["confidence"].isNotNull()), lambda p: F.struct(p["page"], p["confidence"]))).alias("page_confidence"))
     asked = read.select("doc_id", F.posexplode("sections").alias("section", "s")).select("doc_id", "section", F.col("s.text").alias("text"), F.col("s.offsets").alias("offsets")).join(about, "doc_id")
@@ -361,7 +412,7 @@ def structured(docs: DataFrame, plan: Plan, keep: Snapshots) -> DataFrame:
 
     failed = got.groupBy("doc_id").agg(F.min("error").alias("error"))
     met = docs.join(read.drop("sections"), "doc_id").join(found, "doc_id", "left").join(failed, "doc_id", "left")
-    met = met.join(F.broadcast(_definitions(plan, docs)), "doc_type")  # as many rows as the plan has types
+    met = met.join(_definitions(plan, docs) if definitions is None else definitions, "doc_type")
     kind = placed.select(item.alias("i")).schema["i"].dataType.simpleString()
     items = lambda d: F.coalesce(F.try_element_at("found", d["cls"]), F.array().cast(f"array<{kind}>"))
     leaves = F.flatten(F.transform("defs", lambda d: _assembled(d, items(d))))

@@ -25,6 +25,12 @@ def first_extraction(spark, sf):
     return W.first_of_class(runs(spark, sf).select("doc_id", F.col("seq").alias("ord"), F.col("stage").alias("cls"), F.col("k").cast("string").alias("text")))
 
 
+@query("grouped_extractions", RUNS + " SELECT doc_id, stage AS cls, string_agg(k::VARCHAR, ',' ORDER BY seq) AS texts FROM runs WHERE k IS NOT NULL GROUP BY 1, 2")
+def grouped_extractions(spark, sf):
+    rows = runs(spark, sf).where("k is not null").select("doc_id", F.col("seq").alias("ord"), F.col("stage").alias("cls"), F.col("k").cast("string").alias("text"))
+    return W.grouped_by_class(rows).select("doc_id", F.explode("groups").alias("cls", "t")).select("doc_id", "cls", F.array_join("t", ",").alias("texts"))
+
+
 @query("regrounded_leaves", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 5 WHEN w <> '' AND instr(text, w) > 0 THEN instr(text, w) - 1 END AS char_start,
 CASE WHEN doc_id % 2 = 0 OR NOT (w <> '' AND instr(text, w) > 0) THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM (SELECT *, coalesce(string_split(text, ' ')[3], '') AS w FROM documents)""")
 def regrounded_leaves(spark, sf):
@@ -132,3 +138,27 @@ def image_metrics(spark, sf):
     gray = F.encode("text", "ISO-8859-1")
     image = F.struct(F.lit(32).alias("width"), F.floor(F.octet_length(gray) / 32).cast("int").alias("height"), gray.alias("gray"))
     return table(spark, sf, "documents").select("doc_id", P.image_metrics(image).alias("m")).select("doc_id", "m.*")
+
+
+@query("page_skew", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, a - 90 * floor((a + 45) / 90) + CASE WHEN a - 90 * floor((a + 45) / 90) = -45 THEN 90 ELSE 0 END AS skew, abs(a - 90 * floor((a + 45) / 90)) > 2 AS straighten FROM (SELECT *, (l_partkey % 360 - 180)::DOUBLE AS a FROM lineitem)")
+def page_skew(spark, sf):
+    pages = table(spark, sf, "lineitem").withColumn("angle", (F.col("l_partkey") % 360 - 180).cast("double"))
+    return P.skewed(pages).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "skew", "straighten")
+
+
+@query("boxes_kept", """WITH c AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_partkey % 60 AS cx, l_suppkey % 60 AS cy, l_quantity + 10 AS w, l_tax * 500 + 10 AS h, l_discount * 8 + 0.2 AS score FROM lineitem),
+b AS (SELECT page, n, score, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2 FROM c WHERE score >= 0.45),
+s AS (SELECT page, list([{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score, 'area': greatest(0, x2 - x1) * greatest(0, y2 - y1)}] ORDER BY score DESC, n) AS l FROM b GROUP BY 1),
+k AS (SELECT page, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: greatest(0, least(x[1].x2, y.x2) - greatest(x[1].x1, y.x1)) * greatest(0, least(x[1].y2, y.y2) - greatest(x[1].y1, y.y1))
+  > 0.5 * (y.area + x[1].area - greatest(0, least(x[1].x2, y.x2) - greatest(x[1].x1, y.x1)) * greatest(0, least(x[1].y2, y.y2) - greatest(x[1].y1, y.y1))))) > 0 THEN a ELSE list_concat(a, x) END)) AS k FROM s)
+SELECT page, least(greatest((k.x1 - 2) / 0.5, 0), 100) AS x1, least(greatest((k.y1 - 1) / 0.5, 0), 90) AS y1, least(greatest((k.x2 - 2) / 0.5, 0), 100) AS x2, least(greatest((k.y2 - 1) / 0.5, 0), 90) AS y2, k.score AS score FROM k""")
+def boxes_kept(spark, sf):
+    """Line items as boxes of their orders' pages: those that stay after better ones have suppressed what they overlap."""
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    box = F.struct(
+        (F.col("l_partkey") % 60).cast("double").alias("cx"), (F.col("l_suppkey") % 60).cast("double").alias("cy"), (F.col("l_quantity") + 10).alias("w"),
+        (F.col("l_tax") * 500 + 10).alias("h"), (F.col("l_discount") * 8 + 0.2).alias("score"),
+    )
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), box.alias("b")))).alias("l"))
+    pages = rows.select("page", F.transform("l", lambda x: x["b"]).alias("candidates"), F.lit(0.5).alias("scale"), F.lit(2.0).alias("pad_x"), F.lit(1.0).alias("pad_y"), F.lit(100.0).alias("width"), F.lit(90.0).alias("height"))
+    return P.detections(pages, ["page"])

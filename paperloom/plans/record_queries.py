@@ -235,7 +235,40 @@ def suggestions_taken(spark, sf):
     path = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, "made up")
     suggested = c.select(F.col("c_name").alias("name"), path.alias("path"), F.col("c_acctbal").alias("confidence"))
     fallback = c.select(F.col("c_name").alias("name"), F.lit("other").alias("path"), F.lit(0.25).alias("confidence"))
-    return M.taken_suggestions(suggested, fallback, c.select(F.col("c_mktsegment").alias("path")))
+    return M.taken_suggestions(suggested, fallback, c.select(F.col("c_mktsegment").alias("path"))).drop("is_signature", "rationale")
+
+
+@query("signatures_suggested", """SELECT c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN c_mktsegment ELSE 'other' END AS path, c_custkey % 5 = 0 OR c_custkey % 5 = 4 AS is_signature,
+CASE WHEN c_custkey % 5 IN (0, 1) THEN 'because' END AS rationale, CASE WHEN c_custkey % 5 IN (0, 1) THEN 'given' ELSE 'fallback' END AS source FROM customer""")
+def signatures_suggested(spark, sf):
+    """Suggestions of signatures have no path; those without a path that are none, and made-up paths, are not taken."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey") % 5
+    path = F.when(k == 1, F.col("c_mktsegment")).when(k.isin(3, 4), "made up")
+    suggested = c.select(F.col("c_name").alias("name"), path.alias("path"), F.lit(0.5).alias("confidence"), (k == 0).alias("is_signature"), F.lit("because").alias("rationale"))
+    fallback = c.select(F.col("c_name").alias("name"), F.lit("other").alias("path"), F.lit(0.25).alias("confidence"), (k == 4).alias("is_signature"))
+    return M.taken_suggestions(suggested, fallback, c.select(F.col("c_mktsegment").alias("path"))).drop("confidence")
+
+
+@query("signatures_stamped", """SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 AND o_orderstatus = 'F' AS stamped, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'f: the signature has no place and is not stamped'
+WHEN o_orderstatus <> 'F' THEN 'f: there is no image to stamp' END END AS warning FROM orders""")
+def signatures_stamped(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    rect = F.when(k % 3 > 0, F.array(*(F.lit(float(x)) for x in (0, 0, 9, 9))))
+    none = F.array().cast("array<string>")
+    form = o.select(k.alias("doc_id"), F.lit("f").alias("name"), F.lit("text").alias("kind"), F.lit("status").alias("field_path"), none.alias("states"), none.alias("options"), (k % 2 == 0).alias("is_signature"), rect.alias("rect"), (F.col("o_orderstatus") == "F").alias("image"))
+    leaves = o.select(k.alias("doc_id"), F.lit("status").alias("path"), V.text("o_orderstatus").alias("value"))
+    return M.form_values(form, leaves, ["doc_id"]).select("doc_id", "stamped", "warning")
+
+
+@query("few_shot_texts", RUNS + """, l AS (SELECT stage AS doc_type, 'field_' || k % 4 AS f, arg_max(k, (ts, seq)) AS k, max(ts) AS t FROM runs WHERE k % 4 < 3 AND k % 7 <> 0 GROUP BY 1, 2)
+SELECT doc_type, row_number() OVER (PARTITION BY doc_type ORDER BY t DESC, f) AS rank, 'Field ' || f[7:] || ': ' || k AS text, 'cls_' || f[7:] AS cls, k::VARCHAR AS value FROM l QUALIFY rank <= 2""")
+def few_shot_texts(spark, sf):
+    """Corrections as short texts to learn from: of scalar fields with a value, the newest of each, two for a type."""
+    k = F.col("k")
+    log = runs(spark, sf).select(F.col("stage").alias("doc_type"), F.concat(F.lit("field_"), k % 4).alias("field_path"), F.when(k % 7 != 0, k.cast("string")).otherwise("").alias("value"), F.col("ts").alias("updated_at"), "seq")
+    four = F.array(*(F.struct(F.lit(f"field_{i}").alias("name"), F.lit(f"cls_{i}").alias("cls"), F.lit("scalar" if i < 3 else "list_scalar").alias("kind")) for i in range(4)))
+    fields = runs(spark, sf).select(F.col("stage").alias("doc_type")).distinct().select("doc_type", F.explode(four).alias("f")).select("doc_type", "f.*")
+    return A.correction_texts(log, fields, 2)
 
 
 @query("places_of_fields", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'box' WHEN 1 THEN 'blocks' WHEN 2 THEN 'table' ELSE 'none' END AS source, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n FROM part")

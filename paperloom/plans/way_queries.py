@@ -223,3 +223,19 @@ def definition_problems(spark, sf):
     rules = F.concat(lit('{"name":"r","rules":['), listed, lit("]}"))
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.to_json(extraction).alias("extraction"), rules.alias("rules"))
     return N.problems(rows).drop("name")
+
+
+@query("definition_preview", """SELECT c_custkey AS draft_id, (c_custkey % 3 = 0)::INT AS problems, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS subject, CASE WHEN c_custkey % 3 <> 0 THEN CASE WHEN c_custkey % 5 = 0 THEN 0.45 ELSE 0.9 END::DOUBLE END AS confidence FROM customer""")
+def definition_preview(spark, sf):
+    """A draft for each customer, tried on their note: every third has a core field that it doesn't declare, every fifth one that isn't there."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    field = lambda name: F.struct(name.alias("name"), F.lit("scalar").alias("kind"))
+    second = F.when(k % 5 == 0, "absent").otherwise("segment")
+    draft = F.struct(F.lit("d").alias("name"), F.array(field(F.lit("subject")), field(second)).alias("fields"), F.array(F.lit("subject"), F.when(k % 3 == 0, "gone").otherwise(second)).alias("core_paths"))
+    text = F.concat(F.lit("Subject: "), "c_name", F.lit("\nSegment: "), "c_mktsegment")
+    page = F.struct(F.lit(1).alias("page"), text.alias("text"), F.lit(0.9).alias("confidence"), F.array().cast("array<struct<text:string,label:string,confidence:double>>").alias("blocks"), F.array().cast("array<string>").alias("tables"))
+    docs = c.select(k.alias("doc_id"), F.lit("fast").alias("engine"), F.array(page).cast(S.PAGES).alias("pages"), F.lit(0.9).alias("ocr_confidence"))
+    drafts = c.select(k.alias("draft_id"), k.alias("doc_id"), F.to_json(draft).alias("extraction"))
+    found = S.preview(drafts, docs, _plan("labelled"), Snapshots(spark, shared_folder(spark, "drafts")))
+    subject = F.get(F.filter("leaves", lambda x: x["path"] == "subject"), F.lit(0))["value"]["s"]
+    return found.select("draft_id", F.size("problems").alias("problems"), subject.alias("subject"), "confidence")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions import values as V
 from paperloom.settings import DEFAULT
 
 #: File endings that documents may have, and their kinds.
@@ -108,9 +109,50 @@ def xlsx_sheets(spark: SparkSession, path: str, max_rows: int = DEFAULT.sheet_ma
 
 
 def goldens(spark: SparkSession, path: str) -> DataFrame:
-    """Golden cases from a folder of JSON files."""
-    schema = "id string, sample_file string, doc_type string, expected_fields map<string,string>, expected_collections map<string,string>"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Golden cases from a folder of JSON files, by id: id, sample_file, doc_type, expected_fields map<string,value union>,
+    expected_collections map<string, array of rows map<string,value union>>; a row that is a plain value has its collection's name."""
+    read = spark.read.schema("id string, sample_file string, doc_type string, expected_fields variant, expected_collections variant").json(path, multiLine=True)
+    cells = lambda v: F.transform_values(v.try_cast("map<string,variant>"), lambda _, x: _value(x))
+
+    def rows(name: Column, listed: Column) -> Column:
+        plain = lambda x: ~F.schema_of_variant(x).startswith("OBJECT")
+        some = F.coalesce(listed.try_cast("array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(some, lambda x: F.when(plain(x), F.create_map(name, _value(x))).otherwise(cells(x)))
+
+    none = F.create_map().cast(f"map<string,{V.VALUE}>")
+    held = F.coalesce(F.col("expected_collections").try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return read.select(
+        "id", "sample_file", "doc_type", F.coalesce(cells(F.col("expected_fields")), none).alias("expected_fields"),
+        F.transform_values(held, rows).alias("expected_collections"),
+    ).orderBy("id")
+
+
+def _value(x: Column) -> Column:
+    """A JSON value as a value union; null for null, lists and objects."""
+    kind = F.schema_of_variant(x)
+    text, flag = F.when(kind == "STRING", x.try_cast("string")), F.when(kind == "BOOLEAN", x.try_cast("boolean"))
+    amount = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), x.try_cast("double"))
+    said = F.when(text.isNotNull(), "string").when(flag.isNotNull(), "bool").when(amount.isNotNull(), "number")
+    return F.when(said.isNotNull(), F.struct(said.alias("kind"), text.alias("s"), amount.alias("n"), flag.alias("b")))
+
+
+def golden(cases: DataFrame, golden_id: str):
+    """The case of an id; KeyError if there is none."""
+    found = cases.where(F.col("id") == golden_id).head()
+    if found is None:
+        raise KeyError(golden_id)
+    return found
+
+
+def golden_fields(cases: DataFrame) -> DataFrame:
+    """(id, path, expected) of every expected field, as scoring takes them."""
+    return cases.select("id", F.explode("expected_fields").alias("path", "expected"))
+
+
+def golden_rows(cases: DataFrame) -> DataFrame:
+    """(id, collection, idx, cells) of every expected row, as scoring takes them."""
+    each = cases.select("id", F.explode("expected_collections").alias("collection", "rows"))
+    return each.select("id", "collection", F.posexplode("rows").alias("idx", "cells"))
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:

@@ -77,3 +77,27 @@ def test_collections_with_typos_and_missing_rows(spark):
     assert (runs[1].exact, runs[1].normalized, runs[1].n_fields) == (0.0, 0.5, 4)
     assert runs[1].overall == round((2 + 0.75 * 2 * 2 + 1) / (4 + 6 + 1), 6)
     assert (runs[2].overall, runs[4].overall, runs[2].exact) == (0.0, 1.0, 1.0)
+
+
+def test_boxes_equal_the_quadratic_version():
+    from paperloom.operators import pages as P
+
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        n, pages = int(rng.integers(0, 120)), int(rng.integers(1, 5))
+        owner = np.sort(rng.integers(0, pages, n))
+        start = rng.integers(0, 60, (n, 2)).astype(float)
+        boxes = np.concatenate([start, start + rng.integers(0, 30, (n, 2)) * rng.choice([0.1, 1, 10])], axis=1)
+        scores = np.round(rng.random(n), 1)
+        want = []
+        for page in range(pages):
+            kept = []
+            for i in sorted(np.flatnonzero(owner == page), key=lambda i: (-scores[i], i)):
+                if scores[i] < 0.3:
+                    continue
+                area = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
+                inside = [max(0.0, min(boxes[i, 2], boxes[j, 2]) - max(boxes[i, 0], boxes[j, 0])) * max(0.0, min(boxes[i, 3], boxes[j, 3]) - max(boxes[i, 1], boxes[j, 1])) for j in kept]
+                if not any(c > 0.4 * (area(boxes[i]) + area(boxes[j]) - c) for c, j in zip(inside, kept)):
+                    kept.append(int(i))
+            want += kept
+        assert P.best_boxes(owner, boxes, scores, 0.3, 0.4).tolist() == want

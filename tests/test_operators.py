@@ -1,6 +1,7 @@
 import datetime
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import values as V
@@ -146,7 +147,15 @@ def test_sheets(spark, tmp_path):
     assert {(r.a1, r.value) for r in cells} == {("A1", "name"), ("C1", "2"), ("B3", "True")}
     (tmp_path / "g").mkdir()
     (tmp_path / "g" / "one.json").write_text('{"id": "a",\n "doc_type": "invoice", "expected_fields": {"total": 1.5}}')
-    assert S.goldens(spark, str(tmp_path / "g")).first().expected_fields == {"total": "1.5"}
+    (tmp_path / "g" / "two.json").write_text('{"id": "Z", "expected_fields": {"n": null, "b": true, "s": "x", "i": 3}, "expected_collections": {"items": [{"d": "y", "q": 2}], "tags": ["t", 1]}}')
+    cases = S.goldens(spark, str(tmp_path / "g"))
+    assert [r.id for r in cases.collect()] == ["Z", "a"] and S.golden(cases, "a").expected_fields["total"].n == 1.5
+    with pytest.raises(KeyError):
+        S.golden(cases, "none")
+    said = {r.path: r.expected and (r.expected.kind, r.expected.s, r.expected.n, r.expected.b) for r in S.golden_fields(cases).where("id = 'Z'").collect()}
+    assert said == {"n": None, "b": ("bool", None, None, True), "s": ("string", "x", None, None), "i": ("number", None, 3.0, None)}
+    rows = {(r.collection, r.idx): {k: v.s or v.n for k, v in r.cells.items()} for r in S.golden_rows(cases).collect()}
+    assert rows == {("items", 0): {"d": "y", "q": 2.0}, ("tags", 0): {"tags": "t"}, ("tags", 1): {"tags": 1.0}}
 
 
 def test_streams_equal_batch(spark, tmp_path):

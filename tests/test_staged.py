@@ -209,3 +209,27 @@ def test_providers_are_chosen_by_name():
 
 def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, [], plan()) == ({}, {}, set())
+
+
+def test_preview_of_drafts(spark, tmp_path):
+    """Drafts of one plan: a good one gives what the whole way gives, a bad one its problems."""
+    whole, _, _ = run(spark, tmp_path, [doc(1, [page(1, TEXT.format(no="P")), page(2, ITEMS)])], plan())
+    sub = lambda name, source="attribute", coerce="number", **more: {"name": name, "source": source, "coerce": coerce, **more}
+    good = {"name": "d", "core_paths": ["vendor", "line_items"], "fields": [
+        {"name": "vendor", "kind": "scalar"}, {"name": "stamp", "kind": "presence"}, {"name": "parties", "kind": "list_scalar", "cls": "party", "dedup": True},
+        {"name": "clause", "kind": "composite", "sub_fields": [sub("text", "span", "text"), sub("within", attr_key="days")]},
+        {"name": "line_items", "kind": "list_composite", "cls": "item", "sub_fields": [sub("desc", "span", "text"), sub("amount")]},
+    ]}
+    bad = {"name": "d", "core_paths": ["gone"], "fields": [{"name": "vendor", "kind": "scalar"}, {"name": "vendor", "kind": "odd"}]}
+    drafts = spark.createDataFrame([(1, 1, json.dumps(good)), (2, 1, json.dumps(bad)), (3, 1, "no json"), (4, 99, json.dumps(good))], "draft_id int, doc_id long, extraction string")
+    keep = Snapshots(spark, f"file://{tmp_path}/kept", "preview")
+    docs = keep.all("ocr").select("doc_id", "engine", "pages", F.col("confidence").alias("ocr_confidence"))
+    found = {r.draft_id: r for r in S.preview(drafts, docs, plan(), keep).collect()}
+    assert leaves(found[1]) == {
+        "vendor": "Acme", "stamp": False, "parties.0": "Acme Inc.", "clause.text": "pay soon", "clause.within": 30.0,
+        "line_items.0.desc": "bolt", "line_items.0.amount": 3.0, "line_items.1.desc": "nut", "line_items.1.amount": 4.0,
+    }
+    same = {x.path: x for x in whole[1].leaves}
+    assert all(x == same[x.path] for x in found[1].leaves if x.path != "clause.within") and found[1].confidence == 0.9 and found[1].problems == []
+    assert [p.split(" - ")[0] for p in found[2].problems] == ["core", "field vendor", "field vendor"] and found[2].leaves is None
+    assert found[3].problems == ["extraction - must be a JSON object"] and found[4].leaves is None and found[4].problems == []
