@@ -122,7 +122,8 @@ def _found(text: Column, kind: str, order: int, pattern: str, least: int, may: C
 
 
 def _hash(value: Column, any_value: bool) -> Column:
-    return F.sha2(F.regexp_replace(value, r"\.+$", "") if any_value else value, 256)
+    """16 bytes that stand for a value."""
+    return F.substring(F.unhex(F.sha2(F.regexp_replace(value, r"\.+$", "") if any_value else value, 256)), 1, 16)
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column, any_value: bool = True) -> DataFrame:
@@ -200,12 +201,16 @@ def scan(
     owner = F.col("source") if owner is None else owner
     repository = owner if repository is None else repository
     found = shared.written(candidates(docs, id_col, text_col, owner, repository, any_value), "secret-candidates")
-    counted = ownership(found, max_owners, max_repositories).withColumnRenamed("hash", "counted_hash")
-    own = F.sha2(F.concat(F.lit("row "), F.col("row").cast("string")), 256)  # deals out rows without a candidate
-    judged = found.join(counted, F.coalesce("hash", own) == F.concat("counted_hash", F.lit("")), "left")
-    stays = F.col("kind").isin(BASE) | F.col("live")
-    one = F.when(stays, F.struct("start", "end", "order", "kind", "live", "owners", "repositories"))
-    return judged.groupBy("row", "id").agg(F.sort_array(F.collect_list(one)).alias("found")).select(F.col("id").alias(id_col), "row", "found")
+    # Only values that a base pattern finds somewhere can be told or live: most bare tokens end here, by a bitmap.
+    is_base, bits = F.col("kind").isin(BASE), 4 * FILTER_BITS
+    named = _hit(_bitmap(found.where(is_base).select("hash"), F.xxhash64("hash"), bits), F.xxhash64("hash"), bits)
+    some = found.where(F.col("hash").isNotNull() & (is_base | named))
+    counted = ownership(some, max_owners, max_repositories).where("named").withColumnRenamed("hash", "counted_hash")
+    # Another form of the key: adaptive execution may then split a value that very many documents have.
+    judged = some.join(counted, F.col("hash") == F.concat("counted_hash", F.lit(b"")))
+    kept = judged.where(is_base | F.col("live")).select("row", "id", F.struct("start", "end", "order", "kind", "live", "owners", "repositories").alias("one"))
+    every = kept.unionByName(found.where("hash is null").select("row", "id"), allowMissingColumns=True)
+    return every.groupBy("row", "id").agg(F.sort_array(F.collect_list("one")).alias("found")).select(F.col("id").alias(id_col), "row", "found")
 
 
 def redact(
