@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a lexicon of the corpus's frequent words.
 
 One pass over all texts counts words; a word reaches the driver only if its share of some block of
-text is at least `share`, so every word with that share of the corpus is found, and at most
-1/share words are. They are compiled with their ids into a minimal acyclic automaton that workers
+text is at least `share` (what blocks hold in which its share is smaller is not added), so the words
+of the corpus's largest shares are found, and at most 1/share of a task are. They are compiled with their ids into a minimal acyclic automaton that workers
 memory-map from the shared folder. A second pass encodes: words of the automaton by walking it,
 all others by exact merges. Which words it holds changes the speed and never a result.
 

@@ -7,13 +7,13 @@
    it links to. Shingles that one set alone has share nothing, so most texts end here. Classes that
    share such a shingle belong to one cluster (connected components).
 4. Each cluster has a tree: its classes are the leaves, blocks of up to `block` classes of like size are
-   nodes, groups of blocks are nodes above them. A node holds the OR of its sets' bitmaps, the range of
-   their sizes and, if its classes are joined already, the component they are in. Pairs of nodes are rows
-   and are traversed in rounds: first each block with itself; then representatives, one for each
-   component of a block, which form blocks of their own until one is left; last groups with groups, blocks
-   with blocks and, in tasks, their own small trees. A pair of nodes goes on only if its sizes and the bits
-   it has in common leave room for enough overlap and it isn't inside one component. Sets travel only for
-   pairs of blocks that stay. Pairs of leaves are checked on the sets, best bound first, unless links
+   nodes, and below them, in tasks, small trees of `FAN` sets a node. A node holds the OR of its sets' bitmaps,
+   the range of their sizes and, if its classes are joined already, the component they are in. Pairs of nodes
+   are traversed in rounds: first each block with itself; then representatives, one for each
+   component of a block, which form blocks of their own until one is left; last blocks with blocks (dealt out
+   by groups, which have no bounds of their own) and, in tasks, their small trees. A pair of nodes goes on only if
+   its sizes and the bits it has in common leave room for enough overlap and it isn't inside one component.
+   Sets travel only for pairs of blocks that stay. Pairs of leaves are checked on the sets, best bound first, unless links
    found before already join them.
 5. Links give components; a component is named by its smallest document.
 
