@@ -137,7 +137,7 @@ SELECT a.event_id, count(*) AS overlapped, count(*) FILTER (b.s <= a.s AND a.e <
 FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND a.s < b.e AND a.e > b.s GROUP BY 1""")
 def interval_containment(spark, sf):
     """How many of a user's other stretches of time each one overlaps, lies in and holds."""
-    start = F.unix_timestamp("ts")
+    start = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")  # the nearest second, as the SQL's cast takes it
     e = table(spark, sf, "events").select("event_id", "user_id", start.alias("s"), (start + F.floor(F.col("value") * 300)).alias("e"))
     other = e.select("user_id", F.col("event_id").alias("other_id"), F.col("s").alias("os"), F.col("e").alias("oe"))
     met = D.interval_pairs(e, other, ["user_id"], ("s", "e"), ("os", "oe"), least=1024).where("event_id <> other_id")

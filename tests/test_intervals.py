@@ -101,3 +101,21 @@ def test_boxes_equal_the_quadratic_version():
                     kept.append(int(i))
             want += kept
         assert P.best_boxes(owner, boxes, scores, 0.3, 0.4).tolist() == want
+
+
+def test_fractional_seconds_are_taken_as_in_sql(spark, tmp_path):
+    """Stretches of time begin at the nearest second, a half at the even one, as the query's SQL has them."""
+    import datetime
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    at = lambda second, micros: datetime.datetime(2024, 1, 1, 0, 0, second, micros)
+    rows = [(1, 1, at(10, 600_000), 0.02), (2, 1, at(5, 400_000), 0.02), (3, 1, at(16, 500_000), 0.01), (4, 1, at(19, 100_000), 0.01), (5, 1, at(11, 500_000), 0.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    columns = ["event_id", "overlapped", "inside", "holds"]
+    found = {tuple(r) for r in entry.queries()["interval_containment"](spark, str(tmp_path)).select(columns).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert found == set(con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()['interval_containment']})").fetchall()) and found
