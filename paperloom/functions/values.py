@@ -87,6 +87,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def rounded(x: Column, places: int = 4) -> Column:
+    """A mean of few-digit numbers, rounded as its exact value is: what their sum is off by doesn't move a tie."""
+    return F.round(F.round(x, places + 8), places)
+
+
 def present(v: Column) -> Column:
     """Not null, '', 0 or false; blanks and '0' are present."""
     empty = ((v["kind"] == "string") & (v["s"] == "")) | ((v["kind"] == "number") & (v["n"] == 0)) | ((v["kind"] == "bool") & ~v["b"])

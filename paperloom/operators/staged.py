@@ -213,7 +213,7 @@ def recognised(docs: DataFrame, plan: Plan, keep: Snapshots) -> DataFrame:
     known = plan.providers.names("ocr")
     usable = F.filter("chain", lambda e: e.isin(*known)) if known else F.array().cast("array<string>")
     now = keep.scratch(docs.withColumn("chain", usable), "ocr-chain")
-    mean = lambda c: F.round(F.try_divide(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.size(c)), 4)
+    mean = lambda c: V.rounded(F.try_divide(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.size(c)))
     sure = lambda blocks: F.transform(F.filter(blocks, lambda b: b["confidence"].isNotNull()), lambda b: b["confidence"])
     nothing = F.array().cast("array<struct<text:string,label:string,confidence:double>>")
     done, rank = None, 0
@@ -387,7 +387,7 @@ def _overall(leaves: Column, defs: Column) -> Column:
     """Mean over the core fields of their confidence: of lists and composites the mean of their parts; an empty list is 0."""
     mean = lambda c: F.try_divide(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.size(c))
     of = F.transform(F.filter(defs, lambda d: d["core"]), lambda d: F.coalesce(mean(F.transform(F.filter(leaves, lambda x: x["field"] == d["name"]), lambda x: x["confidence"])), F.lit(0.0)))
-    return F.round(F.coalesce(mean(of), F.lit(0.0)), 4)
+    return V.rounded(F.coalesce(mean(of), F.lit(0.0)))
 
 
 def structured(docs: DataFrame, plan: Plan, keep: Snapshots, definitions: DataFrame | None = None) -> DataFrame:

@@ -228,3 +228,10 @@ def test_preview_of_drafts(spark, tmp_path):
     assert all(x == same[x.path] for x in found[1].leaves if x.path != "clause.within") and found[1].confidence == 0.9 and found[1].problems == []
     assert [p.split(" - ")[0] for p in found[2].problems] == ["core", "field vendor", "field vendor"] and found[2].leaves is None
     assert found[3].problems == ["extraction - must be a JSON object"] and found[4].leaves is None and found[4].problems == []
+
+
+def test_a_mean_that_is_a_tie_is_rounded_as_its_exact_value(spark, tmp_path):
+    """(3 * 0.9 + 0.675) / 4 is 0.84375, whatever the sum of 48 confidences is off by."""
+    items = "# Items\n" + "\n".join(f"Item: bolt {i}; qty=2; amount=3" for i in range(12))
+    found, _, _ = run(spark, tmp_path, [doc(1, [page(1, TEXT.format(no="A-1")), page(2, items)])], plan())
+    assert found[1].confidence == 0.8438
