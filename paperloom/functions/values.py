@@ -142,8 +142,7 @@ def to_number(s: Column) -> Column:
     at_sign = F.regexp_extract(s, r"[$€£]\s?([0-9][0-9.,oO]*)", 1)
     bare = F.regexp_extract(s, r"(?:^|[^\w.])([0-9][0-9.,oO]*)", 1)
     token = F.coalesce(F.nullif(at_sign, F.lit("")), bare)
-    cleaned = F.rtrim(F.translate(F.translate(token, ",", ""), "oO", "00"), F.lit("."))
-    return F.when(cleaned.isin("", "."), None).otherwise(cleaned.try_cast("double"))
+    return F.rtrim(F.translate(F.translate(token, ",", ""), "oO", "00"), F.lit(".")).try_cast("double")  # of no text, null
 
 
 def looks_numeric(s: Column) -> Column:

@@ -65,7 +65,9 @@ def _nearest(needle, hay, hint) -> int:
 def grounded(rows: DataFrame, needle: str = "span", hay: str = "text", start: str = "hint_start", end: str = "hint_end") -> DataFrame:
     """rows with char_start, char_end, alignment and base confidence of the span."""
     quoted = (F.col(start) >= 0) & (F.col(start) < F.col(end)) & (F.substring(F.col(hay), F.col(start) + 1, F.col(end) - F.col(start)) == F.col(needle))
-    at = F.when(quoted, F.col(start)).otherwise(nearest(F.col(needle), F.col(hay), F.col(start)))
+    open_ = ~F.coalesce(quoted, F.lit(False))
+    # A span that stands where it says isn't looked for, so its text isn't sent anywhere.
+    at = F.when(quoted, F.col(start)).otherwise(nearest(F.when(open_, F.col(needle)), F.when(open_, F.col(hay)), F.col(start)))
     out = rows.withColumn("_at", at)
     found = F.col("_at") >= 0
     alignment = F.when(quoted | (found & F.col(start).isNull()), "exact").when(found, "partial").otherwise("ungrounded")

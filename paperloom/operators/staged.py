@@ -29,7 +29,7 @@ from paperloom.operators.fields import Fields
 from paperloom.operators.leaves import FieldDef
 from paperloom.settings import DEFAULT, Settings
 from paperloom.sources.providers import Provider, Providers, answered
-from paperloom.sources.snapshots import Snapshots
+from paperloom.sources.snapshots import Snapshots, carried
 
 #: What an OCR provider answers for one page, and what a document's pages are after OCR.
 PAGE_ANSWER = "struct<text:string,blocks:array<struct<text:string,label:string,confidence:double>>,tables:array<string>>"
@@ -114,7 +114,9 @@ def units(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     line = F.transform(F.split("p.text", "\n"), lambda x: F.struct(x.alias("text"), x.rlike(r"^#{1,6}\s+").alias("heading"), V.strip(F.regexp_replace(x, "^#+", "")).alias("title")))
     block = F.transform("p.blocks", lambda b: F.struct(b["text"].alias("text"), F.coalesce(b["label"].isin(*HEADING_LABELS), F.lit(False)).alias("heading"), b["text"].alias("title")))
     listed = one.select(id_col, "pi", F.col("p.page").alias("page"), F.col("p.tables").alias("tables"), F.when(F.col("engine") == LAYOUT, block).otherwise(line).alias("u"))
-    return listed.select(id_col, "pi", "page", "tables", F.posexplode_outer("u").alias("ui", "u")).select(id_col, "pi", "page", "tables", "ui", "u.text", F.coalesce("u.heading", F.lit(False)).alias("heading"), "u.title")
+    each = listed.select(id_col, "pi", "page", "tables", F.posexplode_outer("u").alias("ui", "u"))
+    first = F.when(F.coalesce("ui", F.lit(0)) == 0, F.col("tables")).alias("tables")  # a page's tables go with one row, not with each
+    return each.select(id_col, "pi", "page", first, "ui", "u.text", F.coalesce("u.heading", F.lit(False)).alias("heading"), F.when(F.col("u.heading"), F.col("u.title")).alias("title"))
 
 
 def cut_sections(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -131,7 +133,7 @@ def cut_sections(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     after = F.first(own, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     numbered = numbered.withColumn("section", F.coalesce(own, after, F.greatest("_n", F.lit(0))))
     # The tables of a page stand with its first unit.
-    row = F.struct("ui", "text", "title")
+    row = F.struct("ui", "text")
     by_page = numbered.groupBy(id_col, "section", "pi").agg(
         F.first("page").alias("page"), F.sort_array(F.collect_list(F.when(F.col("ui").isNotNull(), row))).alias("u"),
         F.max(F.when(F.coalesce(F.col("ui"), F.lit(0)) == 0, F.col("tables"))).alias("tables"),
@@ -170,24 +172,27 @@ def folded_sections(parts: DataFrame, id_col: str = "doc_id", least: int = DEFAU
     return listed.select(id_col, F.aggregate("s", begin, step, end).alias("sections"))
 
 
-def sectioned(pages: DataFrame, plan: Plan, id_col: str = "doc_id") -> DataFrame:
-    """id, text, offsets, sections, said: how each document is read. pages: id, engine, pages.
+def sectioned(pages: DataFrame, plan: Plan, id_col: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """id, text, offsets, sections, said: how each document is read. pages: id, engine, pages; more: its columns that stay.
 
     One section, the whole text, where sectioning is off, the engine is the spreadsheet one, there are fewer than two
     headings or the text fits the window; and, with a warning, where there are too many sections.
     """
-    whole = pages.select(id_col, "engine", "pages", structuring_text(F.col("pages")).alias("w")).select(id_col, "engine", "pages", "w.*")
+    whole = pages.select(id_col, *more, "engine", "pages", structuring_text(F.col("pages")).alias("w")).select(id_col, *more, "engine", "pages", "w.*")
     in_lines = F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(F.filter(F.split(p["text"], "\n"), lambda x: x.rlike(r"^#{1,6}\s+"))))
     in_blocks = F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(F.filter(p["blocks"], lambda b: F.coalesce(b["label"].isin(*HEADING_LABELS), F.lit(False)))))
     heads = F.when(F.col("engine") == LAYOUT, in_blocks).otherwise(in_lines)
     apart = F.lit(plan.sectioning) & (F.col("engine") != SPREADSHEET) & (F.char_length("text") > plan.window) & (heads >= 2)
+    apart = F.coalesce(apart, F.lit(False))
     folded = folded_sections(cut_sections(whole.where(apart), id_col), id_col, plan.settings.section_min_chars)
-    met = whole.drop("pages").join(folded, id_col, "left")
+    kept = whole.select(id_col, *more, "text", "offsets", apart.alias("apart"))
+    alone = kept.where("not apart").withColumn("sections", F.lit(None).cast(folded.schema["sections"].dataType))
+    met = alone.unionByName(kept.where("apart").join(folded, id_col, "left"))  # a document that isn't cut meets nothing
     one = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col("text"), F.col("offsets")))
     n, most = F.coalesce(F.size("sections"), F.lit(1)), plan.settings.max_sections
     said = F.when(n > most, F.array(F.format_string(f"%d sections are more than {most}: the document is read as a whole", n)))
     said = said.when(n > 1, F.array(F.format_string("read in %d sections", n))).otherwise(F.array().cast("array<string>"))
-    return met.select(id_col, "text", "offsets", F.when((n > most) | F.col("sections").isNull(), one).otherwise(F.col("sections")).alias("sections"), said.alias("said"))
+    return met.select(id_col, *more, "text", "offsets", F.when((n > most) | F.col("sections").isNull(), one).otherwise(F.col("sections")).alias("sections"), said.alias("said"))
 
 
 # --- stages ---------------------------------------------------------------------
@@ -200,8 +205,8 @@ def prescanned(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """
     one = docs.where(~F.col("spreadsheet")).select("doc_id", F.explode("scans").alias("s"))
     checked = one.select("doc_id", F.col("s.page").alias("page"), P.verdicts(F.col("s"), F.col("s.dpi"), settings).alias("checks"))
-    found = docs.select("doc_id").join(P.prescan(checked), "doc_id", "left")
-    return found.select("doc_id", F.coalesce("verdict", F.lit("pass")).alias("verdict"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), F.lit(None).cast("string").alias("error"))
+    found = docs.select("doc_id", *carried(docs)).join(P.prescan(checked), "doc_id", "left")
+    return found.select("doc_id", F.coalesce("verdict", F.lit("pass")).alias("verdict"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), F.lit(None).cast("string").alias("error"), *carried(docs))
 
 
 def recognised(docs: DataFrame, plan: Plan, keep: Snapshots) -> DataFrame:
@@ -212,16 +217,18 @@ def recognised(docs: DataFrame, plan: Plan, keep: Snapshots) -> DataFrame:
     """
     known = plan.providers.names("ocr")
     usable = F.filter("chain", lambda e: e.isin(*known)) if known else F.array().cast("array<string>")
-    now = keep.scratch(docs.withColumn("chain", usable), "ocr-chain")
+    own = carried(docs)
+    now = docs.select("doc_id", usable.alias("chain"), "contents", *own)
     mean = lambda c: V.rounded(F.try_divide(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.size(c)))
     sure = lambda blocks: F.transform(F.filter(blocks, lambda b: b["confidence"].isNotNull()), lambda b: b["confidence"])
     nothing = F.array().cast("array<struct<text:string,label:string,confidence:double>>")
     done, rank = None, 0
-    while not (left := now.where(F.size("chain") > rank)).isEmpty():
+    left = now.where(F.size("chain") > 0)
+    while not (left if done is None else waiting).isEmpty():
         tried = None
         for name in known:
-            asked = left.where(F.get("chain", F.lit(rank)) == name).select("doc_id", F.explode_outer("contents").alias("c")).select("doc_id", "c.page", "c.content")
-            got = answered(asked, plan.providers.chosen("ocr", name)).withColumn("engine", F.lit(name))
+            asked = left.where(F.get("chain", F.lit(rank)) == name).select("doc_id", "chain", *own, F.explode_outer("contents").alias("c")).select("doc_id", "chain", *own, "c.page", "c.content")
+            got = answered(asked, plan.providers.chosen("ocr", name)).drop("content").withColumn("engine", F.lit(name))
             tried = got if tried is None else tried.union(got)
         blocks = F.coalesce("answer.blocks", nothing)
         page = F.struct(
@@ -229,34 +236,38 @@ def recognised(docs: DataFrame, plan: Plan, keep: Snapshots) -> DataFrame:
             blocks.alias("blocks"), F.coalesce("answer.tables", F.array().cast("array<string>")).alias("tables"),
         )
         found = tried.groupBy("doc_id").agg(
-            F.first("engine").alias("engine"), F.min("error").alias("error"),
+            F.first("engine").alias("engine"), F.first("chain").alias("chain"), *(F.first(c).alias(c) for c in own), F.min("error").alias("error"),
             F.sort_array(F.collect_list(F.when(F.col("page").isNotNull(), F.struct("page", page.alias("p"))))).alias("listed"),
         )
         pages = F.transform("listed", lambda x: x["p"]).cast(PAGES)
-        found = found.select("doc_id", "engine", F.when(F.col("error").isNull(), pages).alias("pages"), "error")
+        found = found.select("doc_id", "engine", "chain", *own, F.when(F.col("error").isNull(), pages).alias("pages"), "error")
         found = found.withColumn("confidence", F.when(F.col("error").isNull(), mean(F.flatten(F.transform("pages", lambda p: sure(p["blocks"]))))))
         has_text = F.exists("pages", lambda p: V.strip(p["text"]) != "")
         good = F.col("error").isNull() & has_text & F.coalesce(F.col("confidence") >= plan.settings.ocr_fallback_confidence, F.lit(True))
         last = F.size("chain") == rank + 1
-        found = keep.scratch(found.join(left.select("doc_id", "chain"), "doc_id").withColumn("stays", F.coalesce(good, F.lit(False)) | last), "ocr-rank")
+        found = found.withColumn("stays", F.coalesce(good, F.lit(False)) | last)
+        # What the next engine is asked for instead isn't kept.
+        found = keep.scratch(found.withColumn("pages", F.when(F.col("stays"), F.col("pages"))), "ocr-rank")
         ready = found.where("stays").withColumn("tried", F.slice("chain", 1, rank + 1))
         done = ready if done is None else done.union(ready)
-        now = left.join(found.where("not stays").select("doc_id"), "doc_id", "left_semi")
+        waiting = found.where("not stays").select("doc_id")
+        left = now.join(waiting, "doc_id", "left_semi")
         rank += 1
-    columns = ["doc_id", "engine", "tried", "pages", "confidence", "error"]
+    columns = ["doc_id", "engine", "tried", "pages", "confidence", "error", *own]
     none = docs.where(F.size(usable) == 0).select(
         "doc_id", F.lit(None).cast("string").alias("engine"), F.array().cast("array<string>").alias("tried"), F.lit(None).cast(PAGES).alias("pages"),
-        F.lit(None).cast("double").alias("confidence"), F.lit("no usable OCR engine").alias("error"),
+        F.lit(None).cast("double").alias("confidence"), F.lit("no usable OCR engine").alias("error"), *own,
     )
     return none if done is None else done.select(columns).union(none)
 
 
 def classified(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, doc_type, guessed, class_confidence, error from (doc_id, doc_type, pages); a given type is taken as it is."""
-    text = docs.select("doc_id", "doc_type", F.array_join(F.transform("pages", lambda p: p["text"]), D.JOINER).alias("text"))
-    given = text.where("doc_type is not null").select("doc_id", "doc_type", F.lit(False).alias("guessed"), F.lit(None).cast("double").alias("class_confidence"), F.lit(None).cast("string").alias("error"))
+    own = carried(docs)
+    text = docs.select("doc_id", "doc_type", F.array_join(F.transform("pages", lambda p: p["text"]), D.JOINER).alias("text"), *own)
+    given = text.where("doc_type is not null").select("doc_id", "doc_type", F.lit(False).alias("guessed"), F.lit(None).cast("double").alias("class_confidence"), F.lit(None).cast("string").alias("error"), *own)
     asked = answered(text.where("doc_type is null").drop("doc_type"), plan.providers.chosen("classify", plan.classify))
-    guess = asked.select("doc_id", F.col("answer.doc_type").alias("doc_type"), F.lit(True).alias("guessed"), F.col("answer.confidence").alias("class_confidence"), "error")
+    guess = asked.select("doc_id", F.col("answer.doc_type").alias("doc_type"), F.lit(True).alias("guessed"), F.col("answer.confidence").alias("class_confidence"), "error", *own)
     known = F.coalesce(F.col("doc_type").isin(*(t.name for t in plan.types)), F.lit(False))
     why = F.coalesce("error", F.when(F.col("doc_type").isNull(), "the type can't be told: name it").when(~known, F.concat(F.lit("no document type "), F.col("doc_type"))))
     return given.union(guess).withColumn("error", why)
@@ -321,12 +332,14 @@ def preview(drafts: DataFrame, docs: DataFrame, plan: Plan, keep: Snapshots) ->
 
 def _union(kind: Column, raw: Column) -> Column:
     """Text as the value of a field: the stripped text, or the number in it."""
-    amount = V.to_number(raw)
-    made = F.struct(
-        F.when(kind == "number", "number").otherwise("string").alias("kind"), F.when(kind != "number", V.strip(raw)).alias("s"),
-        F.when(kind == "number", amount).alias("n"), F.lit(None).cast("boolean").alias("b"),
-    )
-    return F.when(raw.isNotNull() & ((kind != "number") | amount.isNotNull()), made)
+
+    def made(amount: Column) -> Column:
+        value = F.struct(
+            F.when(kind == "number", "number").otherwise("string").alias("kind"), F.when(kind != "number", V.strip(raw)).alias("s"), amount.alias("n"), F.lit(None).cast("boolean").alias("b"),
+        )
+        return F.when(raw.isNotNull() & ((kind != "number") | amount.isNotNull()), value)
+
+    return V.let(F.when(kind == "number", V.to_number(raw)), made)
 
 
 def _leaf(path, name, value, confidence, page, start, end, alignment) -> Column:
@@ -339,10 +352,12 @@ def _leaf(path, name, value, confidence, page, start, end, alignment) -> Column:
 def _cell(path: Column, name: Column, kind: Column, raw: Column, item: Column) -> Column:
     """A leaf with its item's anchor; what can't be read is null with half the confidence, what isn't there has none."""
     none = F.lit(None)
-    value = _union(kind, raw)
-    sure = F.round(F.when(value.isNull(), item["confidence"] / 2).otherwise(item["confidence"]), 4)
-    made = _leaf(path, name, value, sure, item["page"], item["char_start"], item["char_end"], item["alignment"])
-    return F.when(raw.isNull(), _leaf(path, name, none, F.lit(0.0), none, none, none, none)).otherwise(made)
+
+    def told(value: Column) -> Column:
+        sure = F.round(F.when(value.isNull(), item["confidence"] / 2).otherwise(item["confidence"]), 4)
+        return _leaf(path, name, value, sure, item["page"], item["char_start"], item["char_end"], item["alignment"])
+
+    return V.let(raw, lambda raw: F.when(raw.isNull(), _leaf(path, name, none, F.lit(0.0), none, none, none, none)).otherwise(V.let(_union(kind, raw), told)))
 
 
 def _assembled(d: Column, found: Column) -> Column:
@@ -370,7 +385,7 @@ def _assembled(d: Column, found: Column) -> Column:
 
 def _backfilled() -> Column:
     """Rows with a number in the tables of the document's pages, as line items of little trust."""
-    cells = F.flatten(F.transform("pages", lambda p: F.flatten(F.transform(p["tables"], lambda t: F.transform(D.markdown_cells(t), lambda c: F.struct(p["page"].alias("page"), c.alias("c")))))))
+    cells = F.flatten(F.transform("tables", lambda p: F.flatten(F.transform(p["tables"], lambda t: F.transform(D.markdown_cells(t), lambda c: F.struct(p["page"].alias("page"), c.alias("c")))))))
     some = F.filter(cells, lambda x: F.exists(x["c"], V.looks_numeric))
     name, none = F.lit("line_items"), F.lit(None)
 
@@ -395,28 +410,33 @@ def structured(docs: DataFrame, plan: Plan, keep: Snapshots, definitions: DataFr
 
     definitions: (doc_type, defs), by default those of the plan's types.
     """
-    read = keep.scratch(sectioned(docs.select("doc_id", "engine", "pages"), plan), "sections")
-    about = docs.select("doc_id", "doc_type", "examples", "ocr_confidence", F.map_from_entries(F.transform(F.filter("pages", lambda p: p["confidence"].isNotNull()), lambda p: F.struct(p["page"], p["confidence"]))).alias("page_confidence"))
-    asked = read.select("doc_id", F.posexplode("sections").alias("section", "s")).select("doc_id", "section", F.col("s.text").alias("text"), F.col("s.offsets").alias("offsets")).join(about, "doc_id")
-    got = keep.scratch(answered(asked, plan.providers.chosen("structure", plan.structure)), "spans")
-
-    spans = got.select("doc_id", "section", "text", "offsets", "ocr_confidence", "page_confidence", F.posexplode("answer").alias("ord", "x"))
-    spans = spans.select("doc_id", "section", "ord", "text", "offsets", "ocr_confidence", "page_confidence", F.col("x.cls").alias("cls"), F.coalesce("x.text", F.lit("")).alias("span"), F.col("x.attributes").alias("attributes"), F.col("x.char_start").alias("hint_start"), F.col("x.char_end").alias("hint_end"))
+    own = carried(docs)
+    page_confidence = F.map_from_entries(F.transform(F.filter("pages", lambda p: p["confidence"].isNotNull()), lambda p: F.struct(p["page"], p["confidence"])))
+    tables = F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["tables"].alias("tables")))
+    about = keep.scratch(docs.select("doc_id", "doc_type", "engine", "pages", "ocr_confidence", "examples", page_confidence.alias("page_confidence"), *own), "asked")
+    more = ("doc_type", "ocr_confidence", "examples", "page_confidence", "tables", *own)
+    read = keep.scratch(sectioned(about.withColumn("tables", tables), plan, more=more), "sections")
+    asked = read.select("doc_id", "doc_type", "examples", "ocr_confidence", "page_confidence", F.posexplode("sections").alias("section", "s"))
+    asked = asked.select("doc_id", "section", F.col("s.text").alias("text"), F.col("s.offsets").alias("offsets"), "doc_type", "examples", "ocr_confidence", "page_confidence")
+    got = answered(asked, plan.providers.chosen("structure", plan.structure))
+
+    # A section without spans keeps a row, so that its error and its document's spans are one aggregation of one reading.
+    spans = got.select("doc_id", "section", "text", "offsets", "ocr_confidence", "page_confidence", "error", F.posexplode_outer("answer").alias("ord", "x"))
+    spans = spans.select("doc_id", "section", "ord", "text", "offsets", "ocr_confidence", "page_confidence", "error", F.col("x.cls").alias("cls"), F.coalesce("x.text", F.lit("")).alias("span"), F.col("x.attributes").alias("attributes"), F.col("x.char_start").alias("hint_start"), F.col("x.char_end").alias("hint_end"))
     placed = D.grounded(spans, "span", "text").withColumn("page", page_of(F.col("offsets"), F.col("char_start")))
     on_page = F.try_element_at("page_confidence", F.col("page"))
-    item = F.struct("section", "ord", F.col("span").alias("text"), "attributes", "page", "char_start", "char_end", "alignment", D.span_confidence(F.col("base_confidence"), on_page, F.col("ocr_confidence")).alias("confidence"))
-    # One list for each class of a document; of the first section that has a class its first span, of lists all.
-    by_class = placed.select("doc_id", "cls", item.alias("i")).groupBy("doc_id", "cls").agg(F.collect_list("i").alias("i"))
+    item = F.struct("cls", "section", "ord", F.col("span").alias("text"), "attributes", "page", "char_start", "char_end", "alignment", D.span_confidence(F.col("base_confidence"), on_page, F.col("ocr_confidence")).alias("confidence"))
+    # Of the first section that has a class its first span, of lists all.
     order = lambda a, b: F.when((a["section"] < b["section"]) | ((a["section"] == b["section"]) & (a["ord"] < b["ord"])), -1).otherwise(1)
-    found = by_class.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cls", F.array_sort("i", order).alias("i")))).alias("found"))
-
-    failed = got.groupBy("doc_id").agg(F.min("error").alias("error"))
-    met = docs.join(read.drop("sections"), "doc_id").join(found, "doc_id", "left").join(failed, "doc_id", "left")
+    each = placed.select("doc_id", "error", F.when(F.col("ord").isNotNull(), item).alias("i"))
+    found = each.groupBy("doc_id").agg(F.collect_list("i").alias("found"), F.min("error").alias("error"))
+    met = read.drop("sections").join(found, "doc_id", "left")
     met = met.join(_definitions(plan, docs) if definitions is None else definitions, "doc_type")
-    kind = placed.select(item.alias("i")).schema["i"].dataType.simpleString()
-    items = lambda d: F.coalesce(F.try_element_at("found", d["cls"]), F.array().cast(f"array<{kind}>"))
-    leaves = F.flatten(F.transform("defs", lambda d: _assembled(d, items(d))))
-    met = met.withColumn("leaves", leaves)
+    # A document with an error has no leaves, so none are made.
+    given = F.when(F.col("error").isNull(), F.coalesce(F.array_sort("found", order), F.array().cast(found.schema["found"].dataType)))
+    of_class = lambda held, d: V.let(F.filter(held, lambda x: x["cls"] == d["cls"]), lambda some: _assembled(d, some))
+    leaves = V.let(given, lambda held: F.flatten(F.transform("defs", lambda d: of_class(held, d))))
+    met = met.withColumn("leaves", F.when(F.col("error").isNull(), leaves))
 
     has_rows = F.exists("leaves", lambda x: x["field"] == "line_items")
     wants = (F.col("doc_type") == "invoice") & F.exists("defs", lambda d: d["name"] == "line_items") & ~has_rows
@@ -430,7 +450,7 @@ def structured(docs: DataFrame, plan: Plan, keep: Snapshots, definitions: DataFr
         sure = D.span_confidence(F.lit(D.ALIGNMENT["exact"]), F.try_element_at("page_confidence", page), F.col("ocr_confidence"))
         return F.when(F.coalesce(open_ & (at >= 0), F.lit(False)), _leaf(x["path"], x["field"], x["value"], sure, page, at, at + F.char_length(x["value"]["s"]), F.lit("exact"))).otherwise(x)
 
-    met = met.join(about.select("doc_id", "page_confidence"), "doc_id").withColumn("leaves", F.concat(F.transform("leaves", again), F.col("more")))
+    met = met.withColumn("leaves", F.concat(F.transform("leaves", again), F.col("more")))
     met = met.withColumn("confidence", _overall(F.col("leaves"), F.col("defs")))
     number = F.exists("leaves", lambda x: x["value"].isNull() & x["alignment"].isNotNull())
     warnings = F.concat(
@@ -439,7 +459,7 @@ def structured(docs: DataFrame, plan: Plan, keep: Snapshots, definitions: DataFr
         _if(F.col("confidence") < plan.settings.extraction_confidence_warn, F.format_string("low confidence of the extraction (%.2f)", F.col("confidence"))),
     )
     fine = F.col("error").isNull()
-    return met.select("doc_id", F.when(fine, F.col("leaves")).alias("leaves"), F.when(fine, F.col("confidence")).alias("confidence"), (F.size("more") > 0).alias("backfilled"), warnings.alias("warnings"), "error")
+    return met.select("doc_id", F.when(fine, F.col("leaves")).alias("leaves"), F.when(fine, F.col("confidence")).alias("confidence"), (F.size("more") > 0).alias("backfilled"), warnings.alias("warnings"), "error", *own)
 
 
 def _if(test: Column, text: Column) -> Column:
@@ -511,7 +531,7 @@ def decided(docs: DataFrame, plan: Plan) -> DataFrame:
     fine = F.col("error").isNull()
     made = made.withColumn("decision", F.when(fine, R.decision(F.col("checks"), base)))
     made = made.withColumn("decision_confidence", F.when(fine, R.decision_confidence(F.col("checks"), sure, F.col("confidence"))))
-    return made.select("doc_id", "decision", "decision_confidence", R.reasons(F.col("checks")).alias("reasons"), "checks", "error")
+    return made.select("doc_id", "decision", "decision_confidence", R.reasons(F.col("checks")).alias("reasons"), "checks", "error", *carried(docs))
 
 
 def extract(docs: DataFrame, plan: Plan, keep: Snapshots, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -541,9 +561,13 @@ def extract(docs: DataFrame, plan: Plan, keep: Snapshots, prior: DataFrame | Non
         scans = told("prescan", keep.stage("prescan", repr(plan.settings), source.select("doc_id", "spreadsheet", "scans"), lambda x: prescanned(x, plan.settings)))
     engines = ",".join(prov("ocr", n) for n in plan.providers.names("ocr")) + f"/{plan.settings.ocr_fallback_confidence}"
     read = told("ocr", keep.stage("ocr", engines, source.select("doc_id", "chain", "contents"), lambda x: recognised(x, plan, keep)))
-    read = read.withColumnRenamed("confidence", "ocr_confidence").join(source.select("doc_id", "doc_type", "examples"), "doc_id")
-    typed = told("classify", keep.stage("classify", prov("classify", plan.classify) + types, read.select("doc_id", "doc_type", "pages"), lambda x: classified(x, plan)))
-    asked = read.drop("doc_type").join(typed, "doc_id")
+    read = read.withColumnRenamed("confidence", "ocr_confidence")
+    # Blocks and tables travel once, to structuring; here a digest stands for them, so that changed pages are still met.
+    about = source.select("doc_id", "doc_type", "examples")
+    texts = read.select("doc_id", F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text"))).alias("texts"), F.sha2(F.to_json("pages", {"ignoreNullFields": "false"}), 256).alias("digest"))
+    asked = texts.join(about.select("doc_id", "doc_type"), "doc_id").select("doc_id", "doc_type", F.when(F.col("doc_type").isNull(), F.col("texts")).alias("pages"), "digest")
+    typed = told("classify", keep.stage("classify", prov("classify", plan.classify) + types, asked, lambda x: classified(x, plan)))
+    asked = read.join(typed.join(about.select("doc_id", "examples"), "doc_id"), "doc_id")
     how = f"{prov('structure', plan.structure)}/{plan.sectioning}/{plan.window}/{plan.settings!r}/{types}"
     made = told("structure", keep.stage("structure", how, asked.select("doc_id", "doc_type", "engine", "pages", "ocr_confidence", "examples"), lambda x: structured(x, plan, keep)))
     asked = made.join(typed, "doc_id")

@@ -5,8 +5,9 @@ computes only documents whose key isn't kept yet and appends them; all else is r
 columns that the stage gets, not of the run or the stage before, a stage isn't run again for a document whose inputs
 came out as they were. A document that had an error is tried again by the next run.
 
-Keeping is an append of Parquet files below one folder for each stage: what an interrupted run has not committed is
-computed again, what it has committed isn't.
+Keeping is an append of Parquet files below one folder for each stage, a folder in it for each append: what an
+interrupted run has not committed is computed again, what it has committed isn't. Where nothing was kept before, the
+append is the result as it stands and nothing is looked up. What a stage writes for itself goes when it is committed.
 """
 
 from __future__ import annotations
@@ -34,9 +35,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The column with the digest of what a stage gets; a stage's function gives it back with each row.
+KEY = "_key"
+
+
+def carried(frame: DataFrame) -> list[str]:
+    """The key's column, where the frame has it."""
+    return [KEY] if KEY in frame.columns else []
+
+
 def kept(frame: DataFrame, uri: str) -> DataFrame:
     """The rows of frame, written once and read again from uri."""
-    frame.write.parquet(uri)
+    frame.write.option("compression", "zstd").parquet(uri)
     return frame.sparkSession.read.schema(frame.schema).parquet(uri)
 
 
@@ -45,17 +55,29 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, folder: str, run: str = ""):
         self.spark, self.folder, self.run = spark, folder.rstrip("/"), run or uuid.uuid4().hex
+        self._own: list[str] = []
 
     def _path(self, stage: str) -> str:
         return f"{self.folder}/{stage}"
 
-    def _exists(self, path: str) -> bool:
+    def _at(self, path: str):
         there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there)
+        return there.getFileSystem(self.spark._jsc.hadoopConfiguration()), there
+
+    def _exists(self, path: str) -> bool:
+        system, there = self._at(path)
+        return system.exists(there)
 
     def scratch(self, frame: DataFrame, name: str) -> DataFrame:
-        """Rows needed more than once inside a stage."""
-        return kept(frame, f"{self.folder}/_scratch/{name}-{uuid.uuid4().hex}")
+        """Rows needed more than once; inside a stage they go with its commit."""
+        self._own.append(f"{self.folder}/_scratch/{name}-{uuid.uuid4().hex}")
+        return kept(frame, self._own[-1])
+
+    def _drop(self, since: int) -> None:
+        for path in self._own[since:]:
+            system, there = self._at(path)
+            system.delete(there, True)
+        del self._own[since:]
 
     def all(self, stage: str) -> DataFrame | None:
         """All rows ever kept for a stage, with the run that made them."""
@@ -65,19 +87,36 @@ class Snapshots:
     def stage(self, name: str, version: str, inputs: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str = "doc_id") -> DataFrame:
         """id, what compute gives, error: for every row of inputs, computed or kept.
 
-        compute makes (id, ..., error) of rows of inputs, one for each. It has to give equal results for equal
-        columns; its version is part of the key.
+        compute makes (id, ..., error, _key) of rows of inputs with their _key, one for each. It has to give equal
+        results for equal columns; its version is part of the key.
         """
         asked = [c for c in inputs.columns if c != id_col]
-        key = F.sha2(F.concat_ws("|", F.lit(name), F.lit(version), F.to_json(F.struct(*asked), {"ignoreNullFields": "false"})), 256)
-        keyed = self.scratch(inputs.withColumn("_key", key), f"{name}-inputs")
-        wanted, held = keyed.select(id_col, "_key"), self.all(name)
-        todo = keyed if held is None else keyed.join(held.where("error is null").select(id_col, "_key"), [id_col, "_key"], "left_anti")
-        made = compute(todo.drop("_key")).join(todo.select(id_col, "_key"), id_col).withColumn("_run", F.lit(self.run))
-        made.write.mode("append").parquet(self._path(name))
-        found = self.all(name).where(F.col("error").isNull() | (F.col("_run") == self.run)).drop("_run")
-        found = found.join(wanted, [id_col, "_key"], "left_semi").drop("_key")
-        return found.dropDuplicates([id_col])  # a run that was repeated after its commit keeps a row twice
+        digest = F.sha2(F.concat_ws("|", F.lit(name), F.lit(version), F.to_json(F.struct(*asked), {"ignoreNullFields": "false"})), 256)
+        keyed = inputs.withColumn(KEY, F.unhex(digest))
+        held, since, todo = self.all(name), len(self._own), keyed
+        if held is not None:
+            # Only ids and keys are looked up; rows are read again for what is left.
+            wanted = self.scratch(keyed.select(id_col, KEY), f"{name}-keys")
+            left = self.scratch(wanted.join(held.where("error is null").select(id_col, KEY), [id_col, KEY], "left_anti"), f"{name}-left")
+            todo = inputs.join(left, id_col)
+        appended = f"{self._path(name)}/append=a{uuid.uuid4().hex}"
+        made = compute(todo).withColumn("_run", F.lit(self.run))
+        made.write.option("compression", "zstd").parquet(appended)
+        if held is None:
+            self._drop(since)
+            return self.spark.read.schema(made.schema).parquet(appended).drop(KEY, "_run")
+        every = self.all(name).where(F.col("error").isNull() | (F.col("_run") == self.run)).drop("_run")
+        # A run that was repeated after its commit keeps a row twice: the append to read is told for each id, rows aren't compared.
+        last = self.scratch(every.select(id_col, KEY, "append").join(wanted, [id_col, KEY], "left_semi").groupBy(id_col, KEY).agg(F.max("append").alias("append")), f"{name}-found")
+        self._drop_but(since, 1)
+        return every.join(last, [id_col, KEY, "append"], "left_semi").drop(KEY, "append")
+
+    def _drop_but(self, since: int, latest: int) -> None:
+        """Scratch since then is dropped, but for the latest."""
+        stays = self._own[len(self._own) - latest :]
+        del self._own[len(self._own) - latest :]
+        self._drop(since)
+        self._own += stays
 
     def done(self) -> DataFrame:
         """stage, id of what this run computed."""

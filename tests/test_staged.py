@@ -235,3 +235,12 @@ def test_a_mean_that_is_a_tie_is_rounded_as_its_exact_value(spark, tmp_path):
     items = "# Items\n" + "\n".join(f"Item: bolt {i}; qty=2; amount=3" for i in range(12))
     found, _, _ = run(spark, tmp_path, [doc(1, [page(1, TEXT.format(no="A-1")), page(2, items)])], plan())
     assert found[1].confidence == 0.8438
+
+
+def test_a_run_keeps_one_copy_of_what_it_makes(spark, tmp_path):
+    """Of what the stages write for themselves nothing is left, and a page's tables go with one of its lines."""
+    run(spark, tmp_path, [doc(i, [page(1, TEXT.format(no=f"N{i}")), page(2, ITEMS)]) for i in range(3)], plan(window=10))
+    assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "kept/_scratch").iterdir()} == {"documents", "errors"}
+    pages = [(1, "a\nb\nc", None, [], ["| t |"]), (2, "", None, [], ["| u |"])]
+    frame = spark.createDataFrame([(1, "vlm", pages)], f"doc_id long, engine string, pages {S.PAGES}")
+    assert [(r.pi, r.ui, r.tables) for r in S.units(frame).orderBy("pi", "ui").collect()] == [(0, 0, ["| t |"]), (0, 1, None), (0, 2, None), (1, 0, ["| u |"])]
