@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import expression
+from paperloom.functions import values as V
 from paperloom.operators import rules as R
 
 # The words of definitions.
@@ -36,39 +37,43 @@ def _at(v: Column, key: str) -> Column:
 
 def _kind(v: Column) -> Column:
     """The JSON kind of a value: string, number, whole, bool, list, object, null; null where there is no value."""
-    said = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), None).when(said == "STRING", "string").when(said == "BOOLEAN", "bool").when(said == "VOID", "null").when(said == "BIGINT", "whole")
-        .when(said.startswith("ARRAY"), "list").when(said.startswith("OBJECT"), "object").otherwise("number")
-    )
+    def told(said: Column) -> Column:
+        return (
+            F.when(said.isNull(), None).when(said == "STRING", "string").when(said == "BOOLEAN", "bool").when(said == "VOID", "null").when(said == "BIGINT", "whole")
+            .when(said.startswith("ARRAY"), "list").when(said.startswith("OBJECT"), "object").otherwise("number")
+        )
+
+    return V.let(F.schema_of_variant(v), told)
 
 
 def _text(v: Column) -> Column:
     """The value if it is a text."""
-    return F.when(_kind(v) == "string", F.try_variant_get(v, "$", "string"))
+    return V.let(v, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def _number(v: Column) -> Column:
-    return F.when(_kind(v).isin("whole", "number"), F.try_variant_get(v, "$", "double"))
+    return V.let(v, lambda x: F.when(_kind(x).isin("whole", "number"), F.try_variant_get(x, "$", "double")))
 
 
 def _set(v: Column) -> Column:
     """Whether there is a value that is not null."""
-    return v.isNotNull() & (F.coalesce(_kind(v), F.lit("null")) != "null")
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID")) != "VOID"
 
 
 def _filled(v: Column) -> Column:
     """Whether a value is not null, false, zero or empty."""
-    size = F.size(F.coalesce(_list(v), F.array().cast("array<variant>")))
-    return F.coalesce(
-        F.when(_kind(v) == "string", F.try_variant_get(v, "$", "string") != "").when(_kind(v) == "bool", F.try_variant_get(v, "$", "boolean"))
-        .when(_kind(v).isin("whole", "number"), _number(v) != 0).when(_kind(v) == "list", size > 0).when(_kind(v) == "null", False).otherwise(v.isNotNull()),
-        F.lit(False),
-    )
+    def told(x: Column, kind: Column) -> Column:
+        return (
+            F.when(kind == "string", F.try_variant_get(x, "$", "string") != "").when(kind == "bool", F.try_variant_get(x, "$", "boolean"))
+            .when(kind.isin("whole", "number"), F.try_variant_get(x, "$", "double") != 0).when(kind == "list", F.size(F.try_variant_get(x, "$", "array<variant>")) > 0)
+            .when(kind == "null", False).otherwise(x.isNotNull())
+        )
+
+    return F.coalesce(V.let(v, lambda x: V.let(_kind(x), lambda kind: told(x, kind))), F.lit(False))
 
 
 def _list(v: Column) -> Column:
-    return F.when(_kind(v) == "list", F.try_variant_get(v, "$", "array<variant>"))
+    return V.let(v, lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>")))
 
 
 def _if(bad: Column, problem: str | Column) -> Column:
@@ -100,9 +105,8 @@ class OneOf:
     needed: bool = False
 
     def found(self, v, declared):
-        x = _at(v, self.key)
-        known = F.coalesce(_text(x).isin(*self.words), F.lit(False))
-        return _if(~known & (F.lit(self.needed) | x.isNotNull()), f"'{self.key}' must be one of {', '.join(sorted(self.words))}")
+        bad = lambda x: ~F.coalesce(_text(x).isin(*self.words), F.lit(False)) & (F.lit(self.needed) | x.isNotNull())
+        return _if(V.let(_at(v, self.key), bad), f"'{self.key}' must be one of {', '.join(sorted(self.words))}")
 
 
 @dataclass(frozen=True)
@@ -116,16 +120,18 @@ class Number:
     skip: str = ""
 
     def found(self, v, declared):
-        x = _at(v, self.key)
-        n = _number(x)
-        bad = n.isNull() if not self.whole else (_kind(x) != "whole") | x.isNull()
-        if self.low is not None:
-            bad = bad | F.coalesce(n < self.low, F.lit(False))
-        if self.high is not None:
-            bad = bad | F.coalesce(n > self.high, F.lit(False))
-        asked = {"": F.lit(True), "missing": x.isNotNull(), "null": _set(x)}[self.skip]
+
+        def wrong(x: Column, n: Column) -> Column:
+            bad = n.isNull() if not self.whole else (_kind(x) != "whole") | x.isNull()
+            if self.low is not None:
+                bad = bad | F.coalesce(n < self.low, F.lit(False))
+            if self.high is not None:
+                bad = bad | F.coalesce(n > self.high, F.lit(False))
+            asked = {"": F.lit(True), "missing": x.isNotNull(), "null": _set(x)}[self.skip]
+            return asked & F.coalesce(bad, F.lit(True))
+
         bounds = " and ".join(f"at {side} {bound:g}" for side, bound in (("least", self.low), ("most", self.high)) if bound is not None)
-        return _if(asked & F.coalesce(bad, F.lit(True)), f"'{self.key}' must be {'a whole number' if self.whole else 'a number'}{' of ' + bounds if bounds else ''}")
+        return _if(V.let(_at(v, self.key), lambda x: V.let(_number(x), lambda n: wrong(x, n))), f"'{self.key}' must be {'a whole number' if self.whole else 'a number'}{' of ' + bounds if bounds else ''}")
 
 
 @dataclass(frozen=True)
@@ -186,12 +192,15 @@ class Words:
     paths: bool = False
 
     def found(self, v, declared):
-        some = F.coalesce(_list(_at(v, self.key)), F.array().cast("array<variant>"))
-        empty = F.exists(some, lambda x: F.coalesce(_text(x), F.lit("")) == "")
+        none = F.lit("")
+        return V.let(F.transform(F.coalesce(_list(_at(v, self.key)), F.array().cast("array<variant>")), lambda x: F.coalesce(_text(x), none)), lambda some: self._told(some, declared))
+
+    def _told(self, some: Column, declared: Column) -> Column:
+        empty = F.exists(some, lambda x: x == "")
         out = F.concat(_if(F.size(some) == 0, f"'{self.key}' must be a list that isn't empty"), _if(empty, f"each of '{self.key}' must be a text that isn't empty"))
         if not self.paths:
             return out
-        lost = F.filter(F.transform(some, lambda x: _base(_text(x))), lambda p: F.coalesce((p != "") & ~F.array_contains(declared, p), F.lit(False)))
+        lost = F.filter(F.transform(some, _base), lambda p: F.coalesce((p != "") & ~F.array_contains(declared, p), F.lit(False)))
         return F.concat(out, F.transform(lost, lambda p: F.concat(F.lit(f"'{self.key}' has the undeclared field "), p)))
 
 
@@ -203,8 +212,9 @@ class NoMoreThan:
     listed: str
 
     def found(self, v, declared):
-        n, size = _at(v, self.key), F.size(F.coalesce(_list(_at(v, self.listed)), F.array().cast("array<variant>")))
-        return _if((_kind(n) == "whole") & (_number(n) >= 1) & (_number(n) > size), f"'{self.key}' must be <= the number of '{self.listed}'")
+        size = F.size(F.coalesce(_list(_at(v, self.listed)), F.array().cast("array<variant>")))
+        bad = lambda x: (F.schema_of_variant(x) == "BIGINT") & V.let(F.try_variant_get(x, "$", "double"), lambda n: (n >= 1) & (n > size))
+        return _if(V.let(_at(v, self.key), bad), f"'{self.key}' must be <= the number of '{self.listed}'")
 
 
 #: What each kind of rule may say; kinds that are not here carry code and are refused.
@@ -245,28 +255,31 @@ def _read(formula: pd.Series, pattern: pd.Series, declared: pd.Series) -> pd.Ser
     return pd.Series([one(*x) for x in zip(formula, pattern, declared, strict=True)], dtype=object)
 
 
-def _rule_problems(v: Column, declared: Column) -> Column:
-    kind = _text(_at(v, "kind"))
-    severity = _at(v, "severity")
-    free = (kind == "llm_advisory") | severity.isNull() | _text(severity).isin(*R.SEVERITIES)
-    by_kind = F.array().cast("array<string>")
+def _rule_problems(v: Column, kind: Column, formula: Column, declared: Column) -> Column:
+    """Problems of a rule whose kind and expression were read before."""
+    free = lambda severity: (kind == "llm_advisory") | severity.isNull() | _text(severity).isin(*R.SEVERITIES)
+    free = V.let(_at(v, "severity"), free)
+    fine = (F.coalesce(formula, F.lit("")) != "") & (F.char_length(formula) <= MAX_FORMULA)
+    by_kind = F.when(kind == "expression", _if(~F.coalesce(fine, F.lit(False)), f"'expression' must be a text of 1 to {MAX_FORMULA} characters"))
     for name, constraints in GRAMMAR.items():
         if constraints:
-            by_kind = F.when(kind == name, F.concat(*(c.found(v, declared) for c in constraints))).otherwise(by_kind)
-    formula = _text(_at(v, "expression"))
-    fine = (F.coalesce(formula, F.lit("")) != "") & (F.char_length(formula) <= MAX_FORMULA)
-    by_kind = F.when(kind == "expression", _if(~F.coalesce(fine, F.lit(False)), f"'expression' must be a text of 1 to {MAX_FORMULA} characters")).otherwise(by_kind)
-    keys = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: e["key"].endswith("_path") & (F.coalesce(_text(e["value"]), F.lit("")) != ""))
-    lost = F.filter(keys, lambda e: ~F.array_contains(declared, _base(_text(e["value"]))))
-    paths = F.transform(lost, lambda e: F.concat(F.lit("'"), e["key"], F.lit("' has the undeclared field "), _base(_text(e["value"]))))
+            by_kind = by_kind.when(kind == name, F.concat(*(c.found(v, declared) for c in constraints)))
+    by_kind = by_kind.otherwise(F.array().cast("array<string>"))
+    keys = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: e["key"].endswith("_path"))
+    named = F.transform(keys, lambda e: F.struct(e["key"].alias("key"), F.coalesce(_text(e["value"]), F.lit("")).alias("path")))
+    lost = F.filter(named, lambda e: (e["path"] != "") & ~F.array_contains(declared, _base(e["path"])))
+    paths = F.transform(lost, lambda e: F.concat(F.lit("'"), e["key"], F.lit("' has the undeclared field "), _base(e["path"])))
     known = F.coalesce(kind.isin(*GRAMMAR), F.lit(False))
     told = F.concat(_if(~F.coalesce(free, F.lit(False)), f"'severity' must be one of {', '.join(sorted(R.SEVERITIES))}"), by_kind, F.coalesce(paths, F.array().cast("array<string>")))
     return F.when(_kind(v) != "object", F.array(F.lit("must be an object"))).when(~known, F.array(F.lit("no kind of rule that can be written down"))).otherwise(told)
 
 
 def _field_problems(v: Column, earlier: Column) -> Column:
-    name, kind = _text(_at(v, "name")), _text(_at(v, "kind"))
-    subs = F.coalesce(_list(_at(v, "sub_fields")), F.array().cast("array<variant>"))
+    read = F.struct(_text(_at(v, "name")).alias("name"), _text(_at(v, "kind")).alias("kind"), F.coalesce(_list(_at(v, "sub_fields")), F.array().cast("array<variant>")).alias("subs"))
+    return V.let(read, lambda x: _problems_of_field(v, x["name"], x["kind"], x["subs"], earlier))
+
+
+def _problems_of_field(v: Column, name: Column, kind: Column, subs: Column, earlier: Column) -> Column:
     composite = F.coalesce(kind.isin(*COMPOSITE), F.lit(False))
     coerce = lambda x: OneOf("coerce", COERCE).found(x, None)
     sub = lambda x: F.when(_kind(x) != "object", F.array(F.lit("a column must be an object"))).otherwise(F.transform(F.concat(
@@ -312,10 +325,14 @@ def problems(definitions: DataFrame, id_col: str = "id", extraction_col: str = "
     wide = rows.select(id_col, F.concat(F.when(F.col("has_e"), of_e).otherwise(F.array().cast(kind)), F.when(F.col("has_r"), of_r).otherwise(F.array().cast(kind))).alias("told"))
     out = wide.select(id_col, F.explode("told").alias("t")).select(id_col, "t.*")
     each = rows.where("has_r").select(id_col, "declared", F.posexplode("rules").alias("place", "v"))
-    is_formula = _text(_at(F.col("v"), "kind")) == "expression"
-    formula = F.when(is_formula & (F.char_length(_text(_at(F.col("v"), "expression"))).between(1, MAX_FORMULA)), _text(_at(F.col("v"), "expression")))
-    is_pattern = (_text(_at(F.col("v"), "kind")) == "equality") & (_text(_at(F.col("v"), "match_mode")) == "regex")
-    pattern = F.when(is_pattern, _text(_at(F.col("v"), "expected")))
-    read = each.withColumn("read", _read(formula, pattern, F.when(formula.isNotNull(), F.col("declared")).otherwise(text)))
-    told = read.select(id_col, "place", _text(_at(F.col("v"), "name")).alias("name"), F.explode(F.concat(_rule_problems(F.col("v"), F.col("declared")), "read")).alias("problem"))
+    # What more than one check asks for is a column, read once.
+    v, kind = F.col("v"), F.col("kind")
+    each = each.select("*", _text(_at(v, "kind")).alias("kind"), _text(_at(v, "name")).alias("name"), _text(_at(v, "expression")).alias("said"))
+    formula = F.when((kind == "expression") & F.char_length("said").between(1, MAX_FORMULA), F.col("said"))
+    is_pattern = (kind == "equality") & (_text(_at(v, "match_mode")) == "regex")
+    pattern = F.when(is_pattern, _text(_at(v, "expected")))
+    asks = each.withColumn("formula", formula).withColumn("pattern", pattern)
+    told_by = F.when(F.col("formula").isNotNull() | F.col("pattern").isNotNull(), _read("formula", "pattern", F.when(F.col("formula").isNotNull(), F.col("declared")).otherwise(text)))
+    read = asks.withColumn("read", F.coalesce(told_by, text))
+    told = read.select(id_col, "place", "name", F.explode(F.concat(_rule_problems(v, kind, F.col("said"), F.col("declared")), "read")).alias("problem"))
     return out.union(told.select(id_col, F.lit("rule").alias("part"), "place", "name", "problem"))

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from paperloom.operators import definitions as N
 
 FIELDS = [{"name": "total", "kind": "scalar", "coerce": "number"}, {"name": "items", "kind": "list_composite", "sub_fields": [{"name": "qty", "source": "attribute", "coerce": "number"}]}]
@@ -82,3 +84,8 @@ def test_rules_without_a_list_and_none(spark):
         (3, "rule", "'field_path' has the undeclared field total"),
     }
     assert N.problems(spark.createDataFrame([], "id int, extraction string, rules string")).count() == 0
+
+
+def test_a_value_has_its_kind_told_once(spark):
+    """However many kinds there are: telling it reads the whole value."""
+    assert str(N._kind(F.col("v"))).count("schema_of_variant") == 1
