@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from pyspark.sql import types as T
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    pairs = [None if x is None or y is None else (x, y) for x, y in zip(a, b, strict=True)]
+    of = {pair: None if pair is None else SequenceMatcher(None, *pair).ratio() for pair in set(pairs)}  # a pair is compared once in a batch
+    return pd.Series([of[pair] for pair in pairs], dtype="float64")
 
 
 def ratio_at_least(a: Column, b: Column, threshold: float) -> Column:
@@ -29,6 +32,12 @@ def ratio_at_least(a: Column, b: Column, threshold: float) -> Column:
     return F.when(a == b, True).when(~bound, False).otherwise(ratio >= threshold)
 
 
+def ratios_reach(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """The same for texts that differ, inside a task."""
+    close = (2 * min(len(x), len(y)) >= threshold * (len(x) + len(y)) and SequenceMatcher(None, x, y).ratio() >= threshold for x, y in zip(a, b, strict=True))
+    return np.fromiter(close, bool, len(a))
+
+
 @F.pandas_udf(T.StringType())
 def without_accents(s: pd.Series) -> pd.Series:
     def fold(x):

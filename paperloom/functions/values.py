@@ -103,6 +103,12 @@ def as_number(v: Column) -> Column:
     return F.when(v["kind"] == "number", v["n"]).when(v["kind"] == "bool", v["b"].cast("double"))
 
 
+def read_number(s: Column) -> Column:
+    """The number that a whole text is, or null; texts that can't be one don't reach the cast, as one that fails costs far more."""
+    shape = r"^[\x00-\x20]*[+-]?(\d+\.?\d*([eE][+-]?\d+)?[fFdD]?|\.\d+([eE][+-]?\d+)?[fFdD]?|0[xX].*|(?i:inf|infinity|nan))[\x00-\x20]*$"
+    return F.when(s.rlike(shape), s.try_cast("double"))
+
+
 def as_text(v: Column) -> Column:
     """Text of any value; whole numbers without a fraction."""
     n = v["n"]
@@ -128,7 +134,8 @@ def collapse(s: Column) -> Column:
 def as_date(s: Column) -> Column:
     """A date by the first pattern that fits, or null; month before day where both could be."""
     x = strip(s)
-    return F.coalesce(*(F.when(x.rlike(_shape(p)), F.try_to_date(x, p)) for p in DATE_PATTERNS))
+    # All patterns have a year of four digits, so most texts are settled by one test.
+    return F.when(s.rlike(r"\d{4}"), F.coalesce(*(F.when(x.rlike(_shape(p)), F.try_to_date(x, p)) for p in DATE_PATTERNS)))
 
 
 def _shape(pattern: str) -> str:
@@ -162,7 +169,8 @@ def company_key(s: Column) -> Column:
     forms = "|".join(LEGAL_SUFFIXES)
     cut = F.regexp_replace(base, rf"(\s+[.,]*({forms})[.,]*)+$", "")
     only_forms = cut.rlike(rf"^[.,]*({forms})[.,]*$")
-    return F.when(only_forms, base).otherwise(cut)
+    # A form is cut off after a space only, so a single word stays as it is.
+    return F.when(~base.contains(" ") | only_forms, base).otherwise(cut)
 
 
 def dedup_key(s: Column) -> Column:

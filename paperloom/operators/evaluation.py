@@ -140,12 +140,13 @@ def align(expected: DataFrame, actual: DataFrame, on: list[str], columns: list[s
     return with_taken(found, "_p", "_t").select(*on, "n_expected", "n_actual", *_metrics(F.col("n_expected"), F.col("n_actual"), F.col("_t")))
 
 
-def _read(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """rows with what a value is when it is compared: kind, number, amount, stripped text, boolean, day and key, each read once."""
+def _read(rows: DataFrame, value: str, name: str, has_text: Column) -> DataFrame:
+    """rows with what a value is when it is compared: kind, number, amount, boolean, and stripped text, day and key where
+    has_text; each read once."""
     v = F.col(value)
-    out = rows.withColumn(f"{name}_kind", v["kind"]).withColumn(f"{name}_n", V.as_number(v)).withColumn(f"{name}_b", v["b"]).withColumn(f"{name}_s", V.strip(V.as_text(v)))
-    out = out.withColumn(f"{name}_m", F.when(v["kind"] == "string", v["s"].try_cast("double")).otherwise(F.col(f"{name}_n")))
-    return out.withColumn(f"{name}_d", V.as_date(F.col(f"{name}_s"))).withColumn(f"{name}_k", V.company_key(F.col(f"{name}_s"))).drop(value)
+    out = rows.withColumn(f"{name}_kind", v["kind"]).withColumn(f"{name}_n", V.as_number(v)).withColumn(f"{name}_b", v["b"]).withColumn(f"{name}_s", F.when(has_text, V.strip(V.as_text(v))))
+    out = out.withColumn(f"{name}_m", F.when(v["kind"] == "string", V.read_number(v["s"])).otherwise(F.col(f"{name}_n")))
+    return out.withColumn(f"{name}_d", V.as_date(F.col(f"{name}_s"))).withColumn(f"{name}_k", V.company_key(F.col(f"{name}_s")))
 
 
 def _hits(path: Column, settings: Settings, use_fuzzy: bool) -> tuple[Column, Column]:
@@ -164,33 +165,145 @@ def _hits(path: Column, settings: Settings, use_fuzzy: bool) -> tuple[Column, Co
     return same, F.when(same, True).when(none_e | none_a, False).otherwise(F.coalesce(near, F.lit(False)))
 
 
+def _compared(v: Column, has_text: Column) -> Column:
+    """What a cell is when it is compared: kind, number, amount; and stripped text, day and key if they may be asked for."""
+    said = V.let(F.when(has_text, V.strip(V.as_text(v))), lambda s: F.struct(s.alias("s"), V.as_date(s).alias("d"), V.company_key(s).alias("k")))
+    kind = F.when(v["kind"] == "string", 1).when(v["kind"] == "number", 2).when(v["kind"] == "bool", 3).otherwise(0)
+    amount = F.when(v["kind"] == "string", V.read_number(v["s"])).otherwise(V.as_number(v))
+    return F.struct(kind.alias("kind"), V.as_number(v).alias("n"), amount.alias("m"), F.when(has_text, said).alias("text"))
+
+
+def _cells(lists: pa.ListArray) -> dict[str, np.ndarray | pa.Array]:
+    """The fields of all cells of a batch's lists, in order; days as numbers, -1 and NaN for nothing."""
+    values = lists.flatten()
+    kind, n, m, text = values.flatten()
+    s, d, k = text.flatten()
+    plain = lambda x: x.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return {"kind": kind.to_numpy(zero_copy_only=False), "n": plain(n), "m": plain(m), "s": s, "d": plain(d.cast(pa.int32())), "k": k}
+
+
+def _coded(e: dict, a: dict, name: str) -> list:
+    """The different texts of both sides; e's and a's become their places in it, -1 for null."""
+    both = pa.concat_arrays([e[name], a[name]]).dictionary_encode()
+    codes = pc.fill_null(both.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    e[name], a[name] = codes[: len(e[name])], codes[len(e[name]) :]
+    return both.dictionary.to_pylist()
+
+
+def _cell_hits(e: dict, a: dict, keys: list[str], settings: Settings, use_fuzzy: bool) -> np.ndarray:
+    """Which cells match: as `_hits` has it, over pairs of cells. A pair of texts is compared once, however many cells have it."""
+    there = (e["kind"] > 0) & (a["kind"] > 0)
+    with np.errstate(invalid="ignore"):
+        equal = np.where(e["kind"] == 1, (e["s"] == a["s"]) & (e["s"] >= 0), np.abs(e["n"] - a["n"]) <= np.where(e["kind"] == 2, 1e-9, 0))
+        same = there & (e["kind"] == a["kind"]) & equal
+        room = np.fmax(settings.money_abs_tolerance, settings.money_pct_tolerance * np.maximum(np.abs(e["m"]), np.abs(a["m"])))
+        is_money, days = e["kind"] == 2, np.abs(e["d"] - a["d"])
+        near = np.where(is_money, np.abs(e["m"] - a["m"]) <= room, days <= settings.date_tolerance_days)
+    as_text = there & ~same & ~is_money & np.isnan(days) & (e["k"] >= 0) & (a["k"] >= 0)
+    near[as_text] = e["k"][as_text] == a["k"][as_text]
+    if use_fuzzy and as_text.any():
+        at = np.flatnonzero(as_text & ~near)
+        pairs, which = np.unique(e["k"][at] * len(keys) + a["k"][at], return_inverse=True)
+        found = fuzzy.ratios_reach([keys[x] for x in pairs // len(keys)], [keys[x] for x in pairs % len(keys)], settings.string_fuzzy_threshold)
+        near[at] = found[which]
+    return same | (there & near) | ((e["kind"] == 0) & (a["kind"] == 0))
+
+
+def _places(owner: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """A number for each different (owner, idx)."""
+    order = np.lexsort((idx, owner))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], (np.diff(owner[order]) != 0) | (np.diff(idx[order]) != 0)])) if len(order) else 0
+    return out
+
+
+def _with_matches(rows: DataFrame, settings: Settings, use_fuzzy: bool, cells_at_once: int = 1 << 21) -> DataFrame:
+    """rows (.., n_columns, e, a, e_cells, a_cells) with `pairs` (i, j, score) taken best first, in place of the cells.
+
+    Cells stand by row, then column. All collections of an Arrow batch are compared at once, in stretches of expected rows
+    that have a bounded number of cells; of a stretch, only pairs that score are kept.
+    """
+    kind = T.ArrayType(T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("e_cells", "a_cells")] + [T.StructField("pairs", kind)])
+
+    def within(n: np.ndarray) -> np.ndarray:
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def matched_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        of = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        columns = of["n_columns"].to_numpy(zero_copy_only=False).astype(np.int64)
+        size = {x: pc.list_value_length(of[x]).to_numpy(zero_copy_only=False).astype(np.int64) for x in "ea"}
+        idx = {x: of[x].flatten().to_numpy(zero_copy_only=False) for x in "ea"}
+        cells = {x: _cells(of[f"{x}_cells"]) for x in "ea"}
+        _coded(cells["e"], cells["a"], "s")
+        keys = _coded(cells["e"], cells["a"], "k")
+        owner = np.repeat(np.arange(len(columns)), size["e"])
+        place = {x: _places(np.repeat(np.arange(len(columns)), size[x]), idx[x]) for x in "ea"}
+        repeated = any(len(place[x]) and place[x].max() + 1 < len(place[x]) for x in "ea")
+        first = {x: np.cumsum(size[x]) - size[x] for x in "ea"}
+        start = {x: np.cumsum(size[x] * columns) - size[x] * columns for x in "ea"}
+        mates = np.where(columns[owner] > 0, size["a"][owner], 0)
+        stretch = (np.cumsum(mates * columns[owner]) - 1) // cells_at_once
+        parts = []
+        for rows_at in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(stretch)) + 1):
+            left = np.repeat(rows_at, mates[rows_at])
+            on, to = owner[left], within(mates[rows_at])
+            wide = columns[on]
+            part = within(wide)
+            x = np.repeat(start["e"][on] + (left - first["e"][on]) * wide, wide) + part
+            y = np.repeat(start["a"][on] + to * wide, wide) + part
+            if len(x):
+                hit = _cell_hits({c: v[x] for c, v in cells["e"].items()}, {c: v[y] for c, v in cells["a"].items()}, keys, settings, use_fuzzy)
+                score = np.add.reduceat(hit.astype(np.float64), np.cumsum(wide) - wide) / wide
+                kept = np.flatnonzero((score > 0) | repeated)
+                parts.append((left[kept], (first["a"][on] + to)[kept], score[kept]))
+        left, right, score = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.array([], np.int64), np.array([], np.int64), np.array([]))
+        if repeated:  # rows of one collection with the same idx are one row, which scores what they do on average
+            _, at, which, n = np.unique(place["e"][left] * (len(place["a"]) + 1) + place["a"][right], return_index=True, return_inverse=True, return_counts=True)
+            score = np.bincount(which, score, len(at)) / n
+            left, right, score = (x[score > 0] for x in (left[at], right[at], score))
+        order = np.lexsort((idx["a"][right], idx["e"][left], -score, owner[left]))
+        at = order[taken_pairs(place["e"][left[order]], place["a"][right[order]])]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[left[at]], minlength=len(columns)))])
+        taken = pa.StructArray.from_arrays([pa.array(idx["e"][left[at]], pa.int64()), pa.array(idx["a"][right[at]], pa.int64()), pa.array(score[at])], ["i", "j", "score"])
+        of["pairs"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken)
+        return pa.RecordBatch.from_arrays([of[f.name] for f in schema.fields], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(matched_batch, batches)
+
+    return rows.mapInArrow(run, schema)
+
+
 def scored_collections(expected: DataFrame, actual: DataFrame, on: str = "run_id", settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
     """(on, collection, metrics, n_columns, pairs, missing, extra): every collection of every run, each with its own columns.
 
-    expected, actual: on, collection, idx, cells map<string, value union>. A collection's columns are all that its
-    expected rows have; a list of plain values has one. Cells are compared as fields are, so a pair's score is the
-    share of its cells that match. pairs: (i, j, score) taken best first; missing, extra: rows without a partner.
+    expected, actual: on, collection, idx, cells map<string, value union>; idx is a row's own in its collection. A
+    collection's columns are all that its expected rows have; a list of plain values has one. Cells are compared as fields
+    are, so a pair's score is the share of its cells that match. pairs: (i, j, score) taken best first; missing, extra:
+    rows without a partner. Rows of both sides travel once, to their collection; pairs are made there and never travel.
     """
     keys = [on, "collection"]
-    columns = expected.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set(F.map_keys("cells")))).alias("columns"), F.sort_array(F.collect_set("idx")).alias("e"))
-    there = actual.groupBy(*keys).agg(F.sort_array(F.collect_set("idx")).alias("a"))
-
-    def cells(rows: DataFrame, place: str, name: str) -> DataFrame:
-        each = rows.join(columns.select(*keys, "columns"), keys).select(*keys, F.col("idx").alias(place), F.explode("columns").alias("column"), "cells")
-        return _read(each.select(*keys, place, "column", F.try_element_at("cells", F.col("column")).alias("_v")), "_v", name)
-
-    met = cells(expected, "i", "e").join(cells(actual, "j", "a"), [*keys, "column"])
-    hit = met.withColumn("hit", _hits(F.col("column"), settings, use_fuzzy)[1].cast("double"))
-    pairs = hit.groupBy(*keys, "i", "j").agg(F.avg("hit").alias("score")).where("score > 0")
-    listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))).alias("p"))
-    none, rows = F.array().cast("array<struct<less:double,i:bigint,j:bigint>>"), F.array().cast("array<bigint>")
-    whole = columns.join(there, keys, "left").join(listed, keys, "left").withColumn("p", F.coalesce("p", none))
-    whole = with_taken(whole, "p", "pairs")
-    e_rows, a_rows = F.col("e").cast("array<bigint>"), F.coalesce(F.col("a").cast("array<bigint>"), rows)
+    row = F.struct(F.col("idx").cast("long").alias("idx"), "cells")
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    both = expected.select(*keys, row.alias("row"), F.lit(True).alias("wanted")).union(actual.where(known).select(*keys, row.alias("row"), F.lit(False).alias("wanted"))).where("row.idx is not null")
+    listed = both.groupBy(*keys).agg(F.collect_list(F.when(F.col("wanted"), F.col("row"))).alias("_e"), F.collect_list(F.when(~F.col("wanted"), F.col("row"))).alias("_a")).where(F.size("_e") > 0)
+    names = F.array_distinct(F.flatten(F.filter(F.transform("_e", lambda x: F.map_keys(x["cells"])), lambda k: k.isNotNull())))
+    named = listed.withColumn("_names", names)
+    # Numbers alone need no text: a column's cells are read as texts and days only if something else is expected in it.
+    other = F.transform("_names", lambda c: F.exists("_e", lambda x: F.coalesce(F.try_element_at(x["cells"], c)["kind"] != "number", F.lit(False))))
+    read = named.withColumn("_other", other)
+
+    def cells(rows: str) -> Column:
+        return F.flatten(F.transform(rows, lambda x: F.zip_with("_names", "_other", lambda c, t: V.let(F.try_element_at(x["cells"], c), lambda v: _compared(v, t)))))
+
+    idx = lambda rows: F.transform(rows, lambda x: x["idx"])
+    found = _with_matches(read.select(*keys, F.size("_names").alias("n_columns"), idx("_e").alias("e"), idx("_a").alias("a"), cells("_e").alias("e_cells"), cells("_a").alias("a_cells")), settings, use_fuzzy)
+    whole = found.withColumn("e", F.sort_array(F.array_distinct("e"))).withColumn("a", F.sort_array(F.array_distinct("a")))
     return whole.select(
-        *keys, F.size("e").alias("n_expected"), F.size(a_rows).alias("n_actual"), *_metrics(F.size("e"), F.size(a_rows), F.col("pairs")),
-        F.size("columns").alias("n_columns"), "pairs", F.array_except(e_rows, F.transform("pairs", lambda p: p["i"])).alias("missing"),
-        F.array_except(a_rows, F.transform("pairs", lambda p: p["j"])).alias("extra"),
+        *keys, F.size("e").alias("n_expected"), F.size("a").alias("n_actual"), *_metrics(F.size("e"), F.size("a"), F.col("pairs")),
+        "n_columns", "pairs", F.array_except("e", F.transform("pairs", lambda p: p["i"])).alias("missing"),
+        F.array_except("a", F.transform("pairs", lambda p: p["j"])).alias("extra"),
     )
 
 
@@ -201,7 +314,8 @@ def scored_runs(fields: DataFrame, expected: DataFrame, actual: DataFrame, on: s
     The overall score is over all expected fields and cells alike: a missing row's cells count as wrong, rows that weren't
     asked for don't count. collections: a map of each collection's line_item_score.
     """
-    one = _read(_read(fields, "expected", "e"), "actual", "a")
+    worded = F.col("expected.kind") != "number"  # what is compared with a number is never compared as text or day
+    one = _read(_read(fields, "expected", "e", worded), "actual", "a", worded).drop("expected", "actual")
     e, m = (x.cast("int") for x in _hits(F.col("path"), settings, use_fuzzy))
     scalars = one.withColumn("_e", e).withColumn("_m", m).groupBy(on).agg(F.avg("_e").alias("exact"), F.avg("_m").alias("normalized"), F.sum("_m").alias("right"), F.count("_e").alias("n_fields"))
     held = scored_collections(expected, actual, on, settings, use_fuzzy)

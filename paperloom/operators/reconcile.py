@@ -33,7 +33,7 @@ def open_pile(leaves: DataFrame) -> DataFrame:
 
 def agrees(kind: Column, a: Column, b: Column, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> Column:
     """Whether two values agree as money, dates or text."""
-    na, nb = (F.when(v["kind"] == "string", v["s"].try_cast("double")).otherwise(V.as_number(v)) for v in (a, b))
+    na, nb = (F.when(v["kind"] == "string", V.read_number(v["s"])).otherwise(V.as_number(v)) for v in (a, b))
     room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs(na), F.abs(nb)))
     money = F.coalesce(F.abs(na - nb) <= room, F.lit(False))
     ka, kb = V.company_key(V.as_text(a)), V.company_key(V.as_text(b))

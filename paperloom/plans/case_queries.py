@@ -220,10 +220,10 @@ def _scored(spark, sf):
     fields = o.select(key.alias("run_id"), F.explode(each).alias("f")).select("run_id", "f.*")
     n = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)")
     rows = table(spark, sf, "lineitem").withColumn("n", n)
-    cells = F.create_map(F.lit("own"), V.number("n"), F.lit("part"), V.number("l_partkey"))
-    items = rows.select(F.col("l_orderkey").alias("run_id"), F.lit("line_items").alias("collection"), F.col("n").alias("idx"), cells.alias("cells"))
-    flags = rows.select(F.col("l_orderkey").alias("run_id"), F.lit("flags").alias("collection"), F.col("n").alias("idx"), F.create_map(F.lit("flags"), V.text("l_returnflag")).alias("cells"), "l_linestatus")
-    return fields, items.union(flags.drop("l_linestatus")), items.where("idx > 1").union(flags.where("l_linestatus = 'F'").drop("l_linestatus"))
+    own = F.struct(F.lit("line_items").alias("collection"), F.create_map(F.lit("own"), V.number("n"), F.lit("part"), V.number("l_partkey")).alias("cells"), (F.col("n") > 1).alias("given"))
+    flag = F.struct(F.lit("flags").alias("collection"), F.create_map(F.lit("flags"), V.text("l_returnflag")).alias("cells"), (F.col("l_linestatus") == "F").alias("given"))
+    each = rows.select(F.col("l_orderkey").alias("run_id"), F.col("n").alias("idx"), F.explode(F.array(own, flag)).alias("r")).select("run_id", "r.collection", "idx", "r.cells", "r.given")
+    return fields, each.drop("given"), each.where("given").drop("given")
 
 
 SCORED = """WITH f AS (SELECT o_orderkey AS run_id, ((length(o_orderpriority) - 1) / length(o_orderpriority) >= 0.85)::INT + (o_orderkey % 3 <> 0)::INT + (o_orderkey % 5 <= 3)::INT AS m,
