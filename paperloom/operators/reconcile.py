@@ -18,10 +18,13 @@ from paperloom.settings import DEFAULT, Settings
 
 def mapped(leaves: DataFrame, mapping: DataFrame) -> DataFrame:
     """Candidates of leaves (case_id, doc_id, doc_ord, doc_type, path, ord, value) under a mapping (doc_type,
-    field_path, field): the leaf at the path and all below it."""
+    field_path, field): the leaf at the path and all below it.
+
+    A mapping is written by hand and goes to all tasks: there are few document types, so leaves aren't dealt out by them.
+    """
     named = mapping.select(F.col("doc_type").alias("map_type"), "field_path", "field")
     below = (F.col("path") == F.col("field_path")) | F.col("path").startswith(F.concat(F.col("field_path"), F.lit(".")))
-    return leaves.join(named, (F.col("doc_type") == F.col("map_type")) & below).select("case_id", "field", "doc_id", "doc_ord", "ord", "value")
+    return leaves.join(F.broadcast(named), (F.col("doc_type") == F.col("map_type")) & below).select("case_id", "field", "doc_id", "doc_ord", "ord", "value")
 
 
 def open_pile(leaves: DataFrame) -> DataFrame:

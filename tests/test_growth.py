@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fuzzy
 from paperloom.functions import values as V
 from paperloom.operators import evaluation as E
+from paperloom.operators import reconcile as C
 from paperloom.settings import DEFAULT
 
 CELLS = f"run_id int, collection string, idx int, cells map<string,{V.VALUE}>"
@@ -82,3 +83,11 @@ def test_texts_that_are_no_numbers_do_not_reach_the_cast(spark):
     said = ["1", "-1.5", " 2 ", "1e5", ".5", ".", "1.5f", "2d", "inf", "-Infinity", "NaN", "0x1p3", "0x", "1-U", "", "1,000", "\t7\n", "5.e3", "1_0", "d", None]
     frame = spark.createDataFrame([(s,) for s in said], "s string")
     assert all(str(r.a) == str(r.b) for r in frame.select(F.col("s").try_cast("double").alias("a"), V.read_number(F.col("s")).alias("b")).collect())
+
+
+def test_a_mapping_does_not_deal_out_leaves_by_document_type(spark):
+    leaves = spark.createDataFrame([(1, "a", 1, "invoice", "total", 0, 2.0), (1, "b", 2, "po", "lines.0.amount", 1, 3.0), (1, "b", 2, "po", "linesman", 2, 3.0)], "case_id int, doc_id string, doc_ord int, doc_type string, path string, ord int, value double")
+    mapping = spark.createDataFrame([("invoice", "total", "t"), ("po", "lines", "t")], "doc_type string, field_path string, field string")
+    found = C.mapped(leaves, mapping)
+    assert shuffles(found) == 0
+    assert {(r.doc_id, r.field, r.value) for r in found.collect()} == {("a", "t", 2.0), ("b", "t", 3.0)}
