@@ -1,9 +1,9 @@
 """One value for each field of a case from several documents, with tolerances; and the case's decision.
 
 Candidates are rows (case_id, field, doc_id, doc_ord, ord, value). Two documents agree on a field if any
-of their values do; a field agrees if all pairs of its documents do. Values are made distinct by document
-before they are shuffled; where every document has one value, the range of the values settles the field, and
-only the documents of the other fields are compared in pairs, by a join.
+of their values do; a field agrees if all pairs of its documents do. Values travel once, to their field, distinct
+by document in each task; the range of the values, or a few values compared in place, settles most fields, and only
+the documents of the other fields are compared in pairs, by a join.
 """
 
 from __future__ import annotations
@@ -39,91 +39,115 @@ def agrees(kind: Column, a: Column, b: Column, settings: Settings = DEFAULT, use
     na, nb = (F.when(v["kind"] == "string", V.read_number(v["s"])).otherwise(V.as_number(v)) for v in (a, b))
     room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs(na), F.abs(nb)))
     money = F.coalesce(F.abs(na - nb) <= room, F.lit(False))
-    ka, kb = V.company_key(V.as_text(a)), V.company_key(V.as_text(b))
+    # Amounts aren't read as text. The rest is read inside a lambda: written out, it is beyond what Spark compiles.
+    said = [F.when(~kind.eqNullSafe("money"), V.strip(V.as_text(v))) for v in (a, b)]
+    (da, ka), (db, kb) = ((x["d"], x["k"]) for x in (V.let(s, lambda s: F.struct(V.as_date(s).alias("d"), V.company_key(s).alias("k"))) for s in said))
     # Only what is compared as text reaches the similarity function.
-    da, db = V.as_date(V.as_text(a)), V.as_date(V.as_text(b))
     as_text = (kind == "string") | ((kind == "date") & (da.isNull() | db.isNull()))
     text = fuzzy.ratio_at_least(F.when(as_text, ka), F.when(as_text, kb), settings.string_fuzzy_threshold) if use_fuzzy else ka == kb
     days = F.abs(F.datediff(da, db)) <= settings.date_tolerance_days
     return F.when(kind == "money", money).when(as_text, text).otherwise(days)
 
 
-def _values(candidates: DataFrame) -> DataFrame:
-    """(case_id, field, doc_id, value, place, n, d, k): each document's different values of a field, combined before they
-    travel, and what they are as a number, a day and a key of text: read once for each value, not for each pair."""
-    place = F.min(F.struct("doc_ord", "ord")).alias("place")
-    found = candidates.groupBy("case_id", "field", "doc_id", "value").agg(place)
-    read = found.withColumn("n", V.as_number(F.col("value"))).withColumn("text", V.as_text(F.col("value"))).withColumn("stripped", V.strip(F.col("text")))
-    return read.withColumn("d", V.as_date(F.col("stripped"))).withColumn("k", V.company_key(F.col("stripped"))).drop("text", "stripped")
+#: Fields with more values than this are settled by their range or by the join of their documents.
+MAX_LISTED = 64
 
 
-def _described(values: DataFrame) -> DataFrame:
-    """Per (case_id, field): its kind, first value, documents, and the ranges that may settle whether they agree.
+def _once(rows: DataFrame) -> DataFrame:
+    """rows whose columns are computed once: a filter on a row's struct can't go below it and take their expressions along."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
 
-    The kind is money if all values are numbers, date by the field's name or by a value, else string. `one`:
-    every document has a single value, so a range of them says for all pairs whether they agree.
+
+def _listed(candidates: DataFrame) -> DataFrame:
+    """Per (case_id, field): kind, first value, documents, and `points`: each document's different values as a number, or as
+    a day and a key of text.
+
+    Values travel once, to their field, each different one of a document once from a task. The kind is money if all values
+    are numbers, date by the field's name or by a value, else string; only what isn't money is read as text.
     """
     has = F.col("value").isNotNull()
-    read = values.withColumn("place", F.when(has, F.col("place")))
-    ends = [how(c).alias(f"{c}_{end}") for c in "ndk" for end, how in (("low", F.min), ("high", F.max))]
-    each = read.groupBy("case_id", "field", "doc_id").agg(
-        F.count("value").alias("values"), F.count("d").alias("dates"), F.count_if(F.col("value.kind") == "number").alias("numbers"),
-        F.min_by("value", "place").alias("first"), F.min("place").alias("place"), *ends,
+    found = candidates.groupBy("case_id", "field").agg(
+        F.min_by(F.when(has, F.col("value")), F.when(has, F.struct("doc_ord", "ord"))).alias("value"),
+        F.collect_set(F.when(has, F.struct("doc_id", F.col("value").alias("v")))).alias("_s"),
     )
-    found = each.groupBy("case_id", "field").agg(
-        F.min_by("first", "place").alias("value"), F.count_if(F.col("values") > 0).alias("docs"), F.bool_and(F.col("values") <= 1).alias("one"),
-        F.bool_and(F.col("values") == F.col("numbers")).alias("numeric"), F.max("dates").alias("dates"), F.bool_and(F.col("values") == F.col("dates")).alias("all_dated"),
-        *(how(f"{c}_{end}").alias(f"{c}_{end}") for c in "ndk" for end, how in (("low", F.min), ("high", F.max))),
-    )
-    kind = F.when(F.col("numeric") & (F.col("docs") > 0), "money").when(F.col("field").rlike(V.DATE_NAME) | (F.col("dates") > 0), "date").otherwise("string")
-    return found.withColumn("field_kind", kind)
+    numeric = (F.size("_s") > 0) & F.forall("_s", lambda x: x["v"]["kind"] == "number")
+    none = lambda kind: F.lit(None).cast(kind)
+    numbers = F.transform("_s", lambda x: F.struct(x["doc_id"].alias("doc"), x["v"]["n"].alias("n"), none("date").alias("d"), none("string").alias("k")))
+
+    def text(x: Column) -> Column:
+        return V.let(V.strip(V.as_text(x["v"])), lambda s: F.struct(x["doc_id"].alias("doc"), none("double").alias("n"), V.as_date(s).alias("d"), V.company_key(s).alias("k")))
+
+    read = found.withColumn("_numeric", F.coalesce(numeric, F.lit(False))).withColumn("points", F.when(F.col("_numeric"), numbers).otherwise(F.transform("_s", text)))
+    read = _once(read.select("case_id", "field", "value", "_numeric", "points"))
+    dated = F.col("field").rlike(V.DATE_NAME) | F.exists("points", lambda x: x["d"].isNotNull())
+    kind = F.when(F.col("_numeric"), "money").when(dated, "date").otherwise("string")
+    return read.select("case_id", "field", kind.alias("field_kind"), "value", F.size(F.array_distinct("points.doc")).alias("docs"), "points")
+
+
+def _agree(x: Column, y: Column, kind: Column, settings: Settings) -> Column:
+    """Whether two points agree, with texts taken as equal or not."""
+    room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs(x["n"]), F.abs(y["n"])))
+    as_text = (kind == "string") | x["d"].isNull() | y["d"].isNull()
+    return F.when(kind == "money", F.abs(x["n"] - y["n"]) <= room).when(as_text, x["k"] == y["k"]).otherwise(F.abs(F.datediff(x["d"], y["d"])) <= settings.date_tolerance_days)
 
 
 def _settled(settings: Settings, use_fuzzy: bool) -> Column:
-    """Whether the documents of a field agree, where its ranges tell; else null."""
-    spread = F.col("n_high") - F.col("n_low")
-    room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs("n_low"), F.abs("n_high")))
-    exact = F.lit(settings.money_pct_tolerance == 0)
-    # Room grows with the amounts, so the widest pair speaks for all only if room is the same for all, or if it fails for none.
-    money = F.when(exact | (F.col("docs") == 2), spread <= room)
-    days = F.when(F.col("all_dated"), F.datediff("d_high", "d_low") <= settings.date_tolerance_days)
-    same = F.col("k_low") == F.col("k_high")
-    text = F.when(same, True) if use_fuzzy else same
-    kind = F.col("field_kind")
-    by_kind = F.when(kind == "money", money).when((kind == "date") & F.col("all_dated"), days).when(kind == "string", text)
-    return F.when(F.col("docs") <= 1, True).when(F.col("one"), by_kind)
-
-
-def _pairs(values: DataFrame, fields: DataFrame, settings: Settings, use_fuzzy: bool) -> DataFrame:
-    """(case_id, field, doc_a, doc_b, agree) of the fields given: values meet by a join, which a hot field can split."""
-    filled = values.where("value is not null")
-    a, b = (filled.select("case_id", "field", F.col("doc_id").alias(f"doc_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in "ndk")) for side in "ab")
-    met = fields.select("case_id", "field", "field_kind").join(a, ["case_id", "field"]).join(b, ["case_id", "field"]).where("doc_a < doc_b")
+    """Whether the documents of a field agree, where its own row tells: by the range of its values, or by a few values
+    compared in place; else null."""
+    kind, points = F.col("field_kind"), F.col("points")
+    low, high = ({c: how(points[c]) for c in "ndk"} for how in (F.array_min, F.array_max))
+    room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs(low["n"]), F.abs(high["n"])))
+    one = F.size(points) == F.col("docs")
+    # Room grows with the amounts, so the widest pair speaks for all only if room is the same for all, or if there is no other.
+    money = F.when(F.lit(settings.money_pct_tolerance == 0) | (F.col("docs") == 2), high["n"] - low["n"] <= room)
+    all_dated = F.forall(points, lambda x: x["d"].isNotNull())
+    days = F.when(all_dated, F.datediff(high["d"], low["d"]) <= settings.date_tolerance_days)
+    same = low["k"] == high["k"]
+    by_range = F.when(one, F.when(kind == "money", money).when(kind == "date", days).otherwise(F.when(same, True) if use_fuzzy else same))
+    docs = F.filter(F.array_distinct(points["doc"]), lambda d: d.isNotNull())
+    by_doc = F.transform(docs, lambda p: F.filter(points, lambda x: x["doc"] == p))
+    some = lambda xs, ys: F.exists(xs, lambda x: F.exists(ys, lambda y: _agree(x, y, kind, settings)))
+    met = F.forall(F.sequence(F.lit(1), F.size(docs) - 1), lambda i: V.let(F.get(by_doc, i), lambda ys: F.forall(F.slice(by_doc, F.lit(1), i), lambda xs: some(xs, ys))))
+    # Texts that aren't equal may still be alike.
+    in_place = F.when(F.size(points) <= MAX_LISTED, F.when(met, True).when((kind == "money") | F.lit(not use_fuzzy), met))
+    return F.when(F.col("docs") <= 1, True).otherwise(F.coalesce(by_range, in_place))
+
+
+def _pairs(fields: DataFrame, settings: Settings, use_fuzzy: bool, *kept: str) -> DataFrame:
+    """(case_id, field, doc_a, doc_b, agree) and kept columns of the fields given: values meet by a join, which a hot field can split."""
+    # Dealt out by document first, so that the join has a shuffle of its own.
+    each = fields.select("case_id", "field", "field_kind", *kept, F.explode("points").alias("p")).repartition("case_id", "field", "p.doc")
+    a = each.select("case_id", "field", "field_kind", *kept, F.col("p.doc").alias("doc_a"), *(F.col(f"p.{c}").alias(f"{c}_a") for c in "ndk"))
+    b = each.select("case_id", "field", F.col("p.doc").alias("doc_b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in "ndk"))
+    met = a.join(b, ["case_id", "field"]).where("doc_a < doc_b")
     room = F.greatest(F.lit(settings.money_abs_tolerance), F.lit(settings.money_pct_tolerance) * F.greatest(F.abs("n_a"), F.abs("n_b")))
     money = F.coalesce(F.abs(F.col("n_a") - F.col("n_b")) <= room, F.lit(False))
     as_text = (F.col("field_kind") == "string") | ((F.col("field_kind") == "date") & (F.col("d_a").isNull() | F.col("d_b").isNull()))
     ka, kb = (F.when(as_text, F.col(c)) for c in ("k_a", "k_b"))
     text = fuzzy.ratio_at_least(ka, kb, settings.string_fuzzy_threshold) if use_fuzzy else ka == kb
     agree = F.when(F.col("field_kind") == "money", money).when(as_text, text).otherwise(F.abs(F.datediff("d_a", "d_b")) <= settings.date_tolerance_days)
-    return met.withColumn("agree", agree).groupBy("case_id", "field", "doc_a", "doc_b").agg(F.bool_or("agree").alias("agree"))
+    of = [F.any_value(k).alias(k) for k in ("field_kind", *kept)]
+    return met.withColumn("agree", agree).groupBy("case_id", "field", "doc_a", "doc_b").agg(F.bool_or("agree").alias("agree"), *of)
 
 
 def pairs(candidates: DataFrame, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
     """(case_id, field, doc_a, doc_b, agree) for each pair of documents that fill a field, doc_a being the smaller id."""
-    values = _values(candidates)
-    return _pairs(values, _described(values), settings, use_fuzzy)
+    return _pairs(_listed(candidates), settings, use_fuzzy).drop("field_kind")
 
 
 def reconciled(candidates: DataFrame, settings: Settings = DEFAULT, use_fuzzy: bool = True) -> DataFrame:
     """(case_id, field, field_kind, value, docs, agreement): value is the first one in document order.
 
-    The range of a field's values settles most fields without comparing pairs; the others' documents are compared.
+    Most fields are settled in their own row; the others' documents are compared by a join.
     """
-    values = _values(candidates)
-    fields = _described(values).withColumn("settled", _settled(settings, use_fuzzy))
-    told = _pairs(values, fields.where("settled is null"), settings, use_fuzzy).groupBy("case_id", "field").agg(F.bool_and("agree").alias("told"))
-    met = fields.join(told, ["case_id", "field"], "left")
-    return met.select("case_id", "field", "field_kind", "value", "docs", F.coalesce("settled", "told", F.lit(True)).alias("agreement"))
+    columns = ["case_id", "field", "field_kind", "value", "docs"]
+    listed = _listed(candidates)
+    # What can't meet by the join (no case, or one document with an id) has nothing to disagree with.
+    meet = F.col("case_id").isNotNull() & F.col("field").isNotNull() & (F.size(F.filter(F.array_distinct("points.doc"), lambda d: d.isNotNull())) > 1)
+    fields = _once(listed.select(*columns, "points", F.coalesce(_settled(settings, use_fuzzy), F.when(~meet, True)).alias("settled")))
+    told = _pairs(fields.where("settled is null"), settings, use_fuzzy, "value", "docs")
+    told = told.groupBy("case_id", "field").agg(F.any_value("field_kind").alias("field_kind"), F.any_value("value").alias("value"), F.any_value("docs").alias("docs"), F.bool_and("agree").alias("agreement"))
+    return fields.where("settled is not null").select(*columns, F.col("settled").alias("agreement")).union(told.select(*columns, F.coalesce("agreement", F.lit(True)).alias("agreement")))
 
 
 def conflicts(candidates: DataFrame, fields: DataFrame) -> DataFrame:

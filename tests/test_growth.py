@@ -91,3 +91,32 @@ def test_a_mapping_does_not_deal_out_leaves_by_document_type(spark):
     found = C.mapped(leaves, mapping)
     assert shuffles(found) == 0
     assert {(r.doc_id, r.field, r.value) for r in found.collect()} == {("a", "t", 2.0), ("b", "t", 3.0)}
+
+
+def _candidates(spark, rows):
+    frame = spark.createDataFrame(rows, "case_id int, field string, doc_id string, doc_ord int, ord int, n double, s string")
+    return frame.withColumn("value", F.coalesce(V.number("n"), V.text("s"))).drop("n", "s")
+
+
+def test_documents_of_few_values_are_settled_in_their_row(spark):
+    """Three shuffles before the join of those that are left: the field's own, and one for each side of the join."""
+    rows = [(1, "party", "a", 1, 0, 5.0, None)] + [(1, "party", "b", 2, k, float(k), None) for k in range(4)]
+    found = C.reconciled(_candidates(spark, rows), use_fuzzy=False)
+    assert shuffles(found) <= 7
+    assert [(r.field_kind, r.value.n, r.docs, r.agreement) for r in found.collect()] == [("money", 5.0, 2, False)]
+
+
+def test_agreement_of_few_and_of_many_values_and_of_documents_without_id(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for case in range(40):
+        size, docs = rng.choice([1, 2, 3, 50]), ["a", "b", None, "c"][: rng.randint(1, 4)]
+        values = {d: [rng.randrange(60 if size == 50 else 4) for _ in range(size)] for d in docs}
+        text = case % 2
+        rows += [(case, "party", d, k, j, None if text else float(v), f"w {v} co" if text else None) for k, d in enumerate(docs) for j, v in enumerate(values[d])]
+        sets = {d: set(v) for d, v in values.items()}
+        known = [d for d in docs if d is not None]
+        one = all(len(v) == 1 for v in sets.values())
+        met = all(sets[p] & sets[q] for p, q in itertools.combinations(known, 2))
+        want[case] = (len(docs), len(docs) == 1 or (len(set.union(*sets.values())) == 1 if one else met))
+    assert {r.case_id: (r.docs, r.agreement) for r in C.reconciled(_candidates(spark, rows), use_fuzzy=False).collect()} == want
