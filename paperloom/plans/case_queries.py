@@ -147,8 +147,9 @@ def _scalars(spark, sf):
     o = table(spark, sf, "orders")
     i = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linestatus").alias("state"), F.round(F.max("l_extendedprice"), 0).alias("top"))
     met = o.join(i, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    a = met.select("o_orderkey", F.lit("string").alias("kind"), V.text("o_orderstatus").alias("expected"), V.text(F.lower("state")).alias("actual"))
-    return a.unionByName(met.select("o_orderkey", F.lit("money").alias("kind"), V.number(F.round("o_totalprice", 0)).alias("expected"), V.number("top").alias("actual")))
+    field = lambda kind, e, a: F.struct(F.lit(kind).alias("kind"), e.alias("expected"), a.alias("actual"))
+    both = F.array(field("string", V.text("o_orderstatus"), V.text(F.lower("state"))), field("money", V.number(F.round("o_totalprice", 0)), V.number("top")))
+    return met.select("o_orderkey", F.explode(both).alias("f")).select("o_orderkey", "f.*")
 
 
 SCALARS = """WITH i AS (SELECT l_orderkey, max(l_linestatus) AS state, round(max(l_extendedprice), 0) AS top FROM lineitem GROUP BY 1),

@@ -120,3 +120,11 @@ def test_agreement_of_few_and_of_many_values_and_of_documents_without_id(spark):
         met = all(sets[p] & sets[q] for p, q in itertools.combinations(known, 2))
         want[case] = (len(docs), len(docs) == 1 or (len(set.union(*sets.values())) == 1 if one else met))
     assert {r.case_id: (r.docs, r.agreement) for r in C.reconciled(_candidates(spark, rows), use_fuzzy=False).collect()} == want
+
+
+def test_scalar_fields_are_read_in_one_pass(spark):
+    import __spark_entry__ as entry
+
+    for name in ("values_match_scalar", "field_accuracy"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2
