@@ -128,3 +128,15 @@ def test_scalar_fields_are_read_in_one_pass(spark):
     for name in ("values_match_scalar", "field_accuracy"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == 2
+
+
+def test_items_stay_where_they_are_when_invoices_meet_their_history(spark):
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = entry.queries()["invoice_ruleset"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = [next(x for x in lines[k + 1 :] if "Project [" in x) for k, line in enumerate(lines) if "Exchange hashpartitioning(number#" in line]
+    assert sent and not any("AS items#" in x or ", items#" in x for x in sent)
