@@ -178,11 +178,13 @@ def completeness_checks(cases: DataFrame, members: DataFrame, required: DataFram
 
     cases: case_id. members: case_id, doc_type, structured. required: doc_type, least.
     """
-    have = members.groupBy("case_id", "doc_type").agg(F.count(F.lit(1)).alias("n"), F.bool_and("structured").alias("structured"))
+    each = members.groupBy("case_id", "doc_type").agg(F.count(F.lit(1)).alias("n"), F.bool_and("structured").alias("structured"))
+    # A case meets its members once, in one row for all of its document types.
+    have = each.groupBy("case_id").agg(F.collect_list(F.struct("doc_type", "n", "structured")).alias("_have"))
     # The document types of a case type are one array, read once: each case asks for all of them.
     listed = required.agg(F.collect_list(F.struct("doc_type", "least"))).scalar()
-    asked = cases.withColumn("_r", F.explode(listed)).select(*cases.columns, "_r.doc_type", "_r.least")
-    met = asked.join(have, ["case_id", "doc_type"], "left")
+    asked = cases.join(have, "case_id", "left").withColumn("_r", F.explode(listed)).select(*cases.columns, "_r.doc_type", "_r.least", "_have")
+    met = asked.withColumn("_h", F.get(F.filter("_have", lambda h: h["doc_type"] == F.col("doc_type")), F.lit(0))).select(*cases.columns, "doc_type", "least", "_h.n", "_h.structured")
     n = F.coalesce("n", F.lit(0))
     missing, open_ = n < F.col("least"), (n > 0) & ~F.coalesce("structured", F.lit(False))
     word = F.when(missing, "missing").when(open_, "unstructured").otherwise("present")

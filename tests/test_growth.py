@@ -140,3 +140,11 @@ def test_items_stay_where_they_are_when_invoices_meet_their_history(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     sent = [next(x for x in lines[k + 1 :] if "Project [" in x) for k, line in enumerate(lines) if "Exchange hashpartitioning(number#" in line]
     assert sent and not any("AS items#" in x or ", items#" in x for x in sent)
+
+
+def test_cases_do_not_travel_once_for_each_document_type_asked_for(spark):
+    cases, members = spark.createDataFrame([(1,)], "case_id int"), spark.createDataFrame([(1, "po", True)], "case_id int, doc_type string, structured boolean")
+    found = C.completeness_checks(cases, members, spark.createDataFrame([("po", 2), ("invoice", 1)], "doc_type string, least int"))
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert len([x for x in lines if "Exchange hashpartitioning(case_id#" in x and ", doc_type#" in x]) == 1
+    assert {(r.name, r.passed, r.detail) for r in found.collect()} == {("missing:po", False, "1 of 2"), ("missing:invoice", False, "0 of 1")}
