@@ -61,7 +61,8 @@ def _invoices(spark, sf) -> DataFrame:
     # Rows travel as their numbers, and become texts where their order is; orders meet customers while they are narrow.
     items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_quantity", "l_extendedprice")).alias("l"))
     items = items.select("l_orderkey", F.array_sort(F.transform("l", line)).alias("lines"), F.array_sort(F.transform("l", cells)).alias("cells"))
-    rows = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    names = table(spark, sf, "customer").select("c_custkey", "c_name").hint("merge")  # a row for each customer: nothing to broadcast
+    rows = table(spark, sf, "orders").join(names, F.col("o_custkey") == F.col("c_custkey")).join(items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     open_, bare = F.col("o_orderstatus") == "O", F.col("lines").isNull()
     number = F.concat_ws("-", "o_custkey", F.substring("o_orderpriority", 1, 1))
     said = F.concat_ws("\n", F.lit("# Invoice"), F.concat(F.lit("Invoice No: "), number), F.concat(F.lit("Vendor: "), "c_name"), F.format_string("Total: $%.2f", "o_totalprice"))

@@ -44,6 +44,15 @@ def carried(frame: DataFrame) -> list[str]:
     return [KEY] if KEY in frame.columns else []
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of documents by sorting, never by a broadcast.
+
+    Spark guesses the rows of a side from the size of its files, and rows that are much alike are next to nothing in
+    them: a side with a row for each document would be taken for small and go through the driver whole.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def kept(frame: DataFrame, uri: str) -> DataFrame:
     """The rows of frame, written once and read again from uri."""
     frame.write.option("compression", "zstd").parquet(uri)
@@ -97,8 +106,8 @@ class Snapshots:
         if held is not None:
             # Only ids and keys are looked up; rows are read again for what is left.
             wanted = self.scratch(keyed.select(id_col, KEY), f"{name}-keys")
-            left = self.scratch(wanted.join(held.where("error is null").select(id_col, KEY), [id_col, KEY], "left_anti"), f"{name}-left")
-            todo = inputs.join(left, id_col)
+            left = self.scratch(met(wanted, held.where("error is null").select(id_col, KEY), [id_col, KEY], "left_anti"), f"{name}-left")
+            todo = met(inputs, left, id_col)
         appended = f"{self._path(name)}/append=a{uuid.uuid4().hex}"
         made = compute(todo).withColumn("_run", F.lit(self.run))
         made.write.option("compression", "zstd").parquet(appended)
@@ -107,9 +116,9 @@ class Snapshots:
             return self.spark.read.schema(made.schema).parquet(appended).drop(KEY, "_run")
         every = self.all(name).where(F.col("error").isNull() | (F.col("_run") == self.run)).drop("_run")
         # A run that was repeated after its commit keeps a row twice: the append to read is told for each id, rows aren't compared.
-        last = self.scratch(every.select(id_col, KEY, "append").join(wanted, [id_col, KEY], "left_semi").groupBy(id_col, KEY).agg(F.max("append").alias("append")), f"{name}-found")
+        last = self.scratch(met(every.select(id_col, KEY, "append"), wanted, [id_col, KEY], "left_semi").groupBy(id_col, KEY).agg(F.max("append").alias("append")), f"{name}-found")
         self._drop_but(since, 1)
-        return every.join(last, [id_col, KEY, "append"], "left_semi").drop(KEY, "append")
+        return met(every, last, [id_col, KEY, "append"], "left_semi").drop(KEY, "append")
 
     def _drop_but(self, since: int, latest: int) -> None:
         """Scratch since then is dropped, but for the latest."""

@@ -244,3 +244,20 @@ def test_a_run_keeps_one_copy_of_what_it_makes(spark, tmp_path):
     pages = [(1, "a\nb\nc", None, [], ["| t |"]), (2, "", None, [], ["| u |"])]
     frame = spark.createDataFrame([(1, "vlm", pages)], f"doc_id long, engine string, pages {S.PAGES}")
     assert [(r.pi, r.ui, r.tables) for r in S.units(frame).orderBy("pi", "ui").collect()] == [(0, 0, ["| t |"]), (0, 1, None), (0, 2, None), (1, 0, ["| u |"])]
+
+
+def test_documents_do_not_go_through_the_driver(spark, tmp_path):
+    """Files say little of the rows in them, so no join of documents is left to their size: only the types' definitions are broadcast."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        some = store.executionsList()
+        return [some.apply(k).physicalPlanDescription() for k in range(some.size())]
+
+    before = len(plans())
+    rows = [doc(i, [page(1, TEXT.format(no=f"N{i}")), page(2, ITEMS)]) for i in range(4)]
+    run(spark, tmp_path, rows, plan(window=10), "one")
+    rows[1] = doc(1, [page(1, TEXT.format(no="changed"))])
+    run(spark, tmp_path, rows, plan(window=10), "two")
+    assert sum("BroadcastHashJoin" in p for p in plans()[before:]) == 2  # the definitions of two runs
