@@ -43,40 +43,39 @@ def char_to_page(spans: DataFrame, offsets: DataFrame, id_col: str = "doc_id", p
 def nearest(needle: Column, hay: Column, hint: Column) -> Column:
     """Start of the occurrence nearest to the hint, the earlier of two; the first without a hint; -1 if none."""
 
-    @F.pandas_udf("int")
-    def find(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for needles, hays, hints in parts:
-            yield pd.Series([_nearest(n, h, None if pd.isna(x) else int(x)) for n, h, x in zip(needles, hays, hints, strict=True)], dtype="int32")
-
-    return F.when(hint.isNull() | (F.coalesce(needle, F.lit("")) == "") | ~F.contains(hay, needle), F.when(F.coalesce(needle, F.lit("")) == "", -1).otherwise(F.instr(hay, needle) - 1)).otherwise(
-        find(F.when(hint.isNotNull(), needle), F.when(hint.isNotNull(), hay), hint)
+    def around(at: Column) -> Column:
+        """The first one from `at` on, and the last one that starts before it: that is, of the text reversed the first."""
+        after = F.call_function("locate", needle, hay, at + 1) - 1
+        before = F.substring(hay, F.lit(1), at + F.char_length(needle) - 1)
+        turned = F.when(at > 0, F.instr(F.reverse(before), F.reverse(needle)))
+        back = F.when(turned > 0, F.char_length(before) - turned + 1 - F.char_length(needle))
+        return F.when(back.isNull() | ((after >= 0) & (after - at < at - back)), after).otherwise(back)
+
+    missing = F.when(F.coalesce(needle, F.lit("")) == "", -1).otherwise(F.instr(hay, needle) - 1)
+    return F.when(hint.isNull() | (F.coalesce(needle, F.lit("")) == "") | ~F.coalesce(F.contains(hay, needle), F.lit(False)), missing).otherwise(
+        V.let(F.greatest(F.lit(0), F.least(hint, F.char_length(hay))), around)
     )
 
 
-def _nearest(needle, hay, hint) -> int:
-    if not needle or not hay or hint is None:
-        return -1
-    at = hay.find(needle, max(0, hint))
-    back = hay.rfind(needle, 0, max(0, hint) + len(needle) - 1 if hint > 0 else 0)
-    found = [x for x in (at, back) if x >= 0]
-    return min(found, key=lambda x: (abs(x - hint), x), default=-1)
+def anchored(needle: Column, hay: Column, start: Column, end: Column) -> Column:
+    """(alignment, char_start, char_end, base_confidence) of a span in a text, where it says that it stands or is looked for."""
+    quoted = F.coalesce((start >= 0) & (start < end) & (F.substring(hay, start + 1, end - start) == needle), F.lit(False))
+
+    def told(at: Column, found: Column, alignment: Column, base: Column) -> Column:
+        return F.struct(alignment.alias("alignment"), F.when(found, at).alias("char_start"), F.when(found, at + F.char_length(needle)).alias("char_end"), base.alias("base_confidence"))
+
+    def looked_for(at: Column) -> Column:
+        exact = (at >= 0) & start.isNull()
+        weight = F.when(exact, ALIGNMENT["exact"]).when(at >= 0, ALIGNMENT["partial"]).otherwise(ALIGNMENT["ungrounded"])
+        return told(at, at >= 0, F.when(exact, "exact").when(at >= 0, "partial").otherwise("ungrounded"), weight)
+
+    # A span that stands where it says isn't looked for.
+    return F.when(quoted, told(start, F.lit(True), F.lit("exact"), F.lit(ALIGNMENT["exact"]))).otherwise(V.let(nearest(needle, hay, start), looked_for))
 
 
 def grounded(rows: DataFrame, needle: str = "span", hay: str = "text", start: str = "hint_start", end: str = "hint_end") -> DataFrame:
     """rows with char_start, char_end, alignment and base confidence of the span."""
-    quoted = (F.col(start) >= 0) & (F.col(start) < F.col(end)) & (F.substring(F.col(hay), F.col(start) + 1, F.col(end) - F.col(start)) == F.col(needle))
-    open_ = ~F.coalesce(quoted, F.lit(False))
-    # A span that stands where it says isn't looked for, so its text isn't sent anywhere.
-    at = F.when(quoted, F.col(start)).otherwise(nearest(F.when(open_, F.col(needle)), F.when(open_, F.col(hay)), F.col(start)))
-    out = rows.withColumn("_at", at)
-    found = F.col("_at") >= 0
-    alignment = F.when(quoted | (found & F.col(start).isNull()), "exact").when(found, "partial").otherwise("ungrounded")
-    out = out.withColumn("alignment", alignment).withColumn("char_start", F.when(found, F.col("_at")))
-    out = out.withColumn("char_end", F.when(found, F.col("_at") + F.char_length(F.col(needle)))).drop("_at")
-    base = F.lit(ALIGNMENT["ungrounded"])
-    for name, weight in ALIGNMENT.items():
-        base = F.when(F.col("alignment") == name, F.lit(weight)).otherwise(base)
-    return out.withColumn("base_confidence", base)
+    return rows.withColumn("_a", anchored(F.col(needle), F.col(hay), F.col(start), F.col(end))).select(*rows.columns, "_a.*")
 
 
 def span_confidence(base: Column, page: Column, document: Column) -> Column:

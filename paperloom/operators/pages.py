@@ -71,13 +71,21 @@ def verdicts(m: Column, dpi: Column, settings: Settings = DEFAULT) -> Column:
     return F.array(*(F.struct(F.lit(n).alias("name"), F.when(F.coalesce(t, F.lit(True)), "warn").otherwise("pass").alias("verdict")) for n, t in tests.items()))
 
 
+def said_of(checks: Column, page: Column) -> Column:
+    """Texts of a page's warnings."""
+    return F.transform(F.filter(checks, lambda c: c["verdict"] == "warn"), lambda c: F.concat(F.lit("page "), page, F.lit(": "), c["name"]))
+
+
+def reasons_of(listed: Column) -> Column:
+    """A document's reasons, from an array of (page, said)."""
+    return F.array_distinct(F.flatten(F.transform(F.sort_array(listed), lambda x: x["said"])))
+
+
 def prescan(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page") -> DataFrame:
     """(id, verdict, reasons) from page rows with `checks`: one warning makes the document warn."""
-    warned = F.filter("checks", lambda c: c["verdict"] == "warn")
-    said = F.transform(warned, lambda c: F.concat(F.lit("page "), F.col(page_col), F.lit(": "), c["name"]))
-    listed = pages.select(id_col, page_col, said.alias("said")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(page_col, "said"))).alias("p"))
-    reasons = F.array_distinct(F.flatten(F.transform("p", lambda x: x["said"])))
-    return listed.select(id_col, F.when(F.size(reasons) > 0, "warn").otherwise("pass").alias("verdict"), reasons.alias("reasons"))
+    listed = pages.select(id_col, page_col, said_of(F.col("checks"), F.col(page_col)).alias("said")).groupBy(id_col).agg(F.collect_list(F.struct(page_col, "said")).alias("p"))
+    found = listed.select(id_col, reasons_of(F.col("p")).alias("reasons"))
+    return found.select(id_col, F.when(F.size("reasons") > 0, "warn").otherwise("pass").alias("verdict"), "reasons")
 
 
 def skew(angle: Column) -> Column:

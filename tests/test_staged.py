@@ -1,10 +1,12 @@
 """The whole way of documents, its stages and providers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.operators import documents as D
 from paperloom.operators import rules as R
 from paperloom.operators import staged as S
 from paperloom.operators.leaves import FieldDef
@@ -261,3 +263,44 @@ def test_documents_do_not_go_through_the_driver(spark, tmp_path):
     rows[1] = doc(1, [page(1, TEXT.format(no="changed"))])
     run(spark, tmp_path, rows, plan(window=10), "two")
     assert sum("BroadcastHashJoin" in p for p in plans()[before:]) == 2  # the definitions of two runs
+
+
+def test_pages_and_sections_stay_in_the_row_of_their_document(spark):
+    pages = [(1, "# A\na\n#\n# B", None, [], ["| t |"]), (2, "b\n# C\r\nc", None, [], [])]
+    frame = spark.createDataFrame([(1, "vlm", pages)], f"doc_id long, engine string, pages {S.PAGES}")
+    found = S.sectioned(frame, plan(window=5, settings=Settings(section_min_chars=1)))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(s.title, s.text, [tuple(o) for o in s.offsets]) for s in found.first().sections] == [
+        ("A", "# A\na\n#\n\n| t |", [(1, 0)]), ("B", "# B\n\nb", [(1, 0), (2, 5)]), ("C", "# C\r\nc", [(2, 0)]),
+    ]
+
+
+def test_elements_of_arrays_are_asked_for_without_a_row_for_each(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(some):
+        calls.add(1)
+        if any(x["n"] in (3, 4) for x in some):
+            raise RuntimeError(" ".join(str(x["n"]) for x in some))
+        return [x["n"] * x["by"] for x in some]
+
+    rows = [(1, 10, [(1,), (2,)]), (2, 10, []), (3, 10, None), (4, 100, [(4,), (3,), (5,)]), (5, 1, [(6,)])]
+    frame = spark.createDataFrame(rows, "k int, by int, some array<struct<n:int>>").coalesce(1)
+    batch = answered(frame, Provider("judge", "product", ("n", "by"), "bigint", call=call, batch=4), each="some").collect()
+    assert {r.k: (r.answer, r.error) for r in batch} == {1: ([10, 20], None), 2: ([], None), 3: ([], None), 4: ([None, None, 500], "product: 3"), 5: ([6], None)}
+    # Of 1 2 4 3 | 5 6 the first batch and its lone rows are tried twice, its halves once.
+    assert calls.value == 2 + 1 + 1 + 2 + 2 + 1
+    native = answered(frame, Provider("judge", "product", ("n", "by"), "bigint", column=lambda c: c["n"] * c["by"]), each="some").collect()
+    assert {r.k: r.answer for r in native} == {1: [10, 20], 2: [], 3: None, 4: [400, 300, 500], 5: [6]}
+
+
+def test_the_nearest_occurrence_is_found_without_python(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("aé😀") for _ in range(rng.randint(0, n)))
+    rows = [(k, word(3), word(12), rng.choice([None, *range(-2, 15)])) for k in range(400)] + [(400, "a", None, 3), (401, None, "a", 3)]
+    found = spark.createDataFrame(rows, "k int, needle string, hay string, hint int").select("*", D.nearest(F.col("needle"), F.col("hay"), F.col("hint")).alias("at"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        some = [i for i in range(len(r.hay or "")) if r.needle and r.hay.startswith(r.needle, i)]
+        want = min(some, key=lambda i: (abs(i - (r.hint or 0)), i) if r.hint is not None else i, default=-1)
+        assert r.at == want or (r.hay is None and r.at is None), r
