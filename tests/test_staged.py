@@ -304,3 +304,19 @@ def test_the_nearest_occurrence_is_found_without_python(spark):
         some = [i for i in range(len(r.hay or "")) if r.needle and r.hay.startswith(r.needle, i)]
         want = min(some, key=lambda i: (abs(i - (r.hint or 0)), i) if r.hint is not None else i, default=-1)
         assert r.at == want or (r.hay is None and r.at is None), r
+
+
+def test_a_second_run_looks_up_what_is_kept_by_sorting(spark, tmp_path):
+    rows = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("x"))
+    compute = lambda docs: docs.select("doc_id", (F.col("x") * 2).alias("y"), F.lit(None).cast("string").alias("error"), "_key")
+    Snapshots(spark, f"file://{tmp_path}/kept", "one").stage("ocr", "1", rows, compute)
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsList().size()
+    again = Snapshots(spark, f"file://{tmp_path}/kept", "two")
+    found = again.stage("ocr", "1", rows.withColumn("x", F.when(F.col("doc_id") == 7, 50).otherwise(F.col("x"))), compute).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    some = store.executionsList()
+    assert not any("BroadcastHashJoin" in some.apply(k).physicalPlanDescription() for k in range(before, some.size()))
+    assert {r.doc_id: r.y for r in found} == {i: 100 if i == 7 else i % 3 * 2 for i in range(20)}
+    assert [r.id for r in again.done().collect()] == ["7"]
